@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -163,8 +164,13 @@ def _whole_number(text: Column) -> Column:
     return F.when(number == F.floor(number), number.cast("bigint"))
 
 
+def bind(value: Column, build: Callable[[Column], Column]) -> Column:
+    """`build(value)` with the value computed once, however often `build` uses it."""
+    return F.get(F.transform(F.array(value), build), 0)
+
+
 def validate_events(messages: DataFrame, topic: str, value: str = "value") -> DataFrame:
-    """Add `event` (typed struct), `error_type` and `error_message` to raw messages.
+    """Add `event` (typed struct), `error_type`, `error_message` and `raw_event_id` to raw messages.
 
     Every field is read as a JSON value of its own, so one bad field does not hide the
     others; exactly one of `event` and `error_type` is set.
@@ -174,46 +180,74 @@ def validate_events(messages: DataFrame, topic: str, value: str = "value") -> Da
     for kind in kinds:
         fields.update(EVENT_FIELDS[kind])
     ddl = ", ".join(f"{name} variant" for name in fields) + ", _corrupt string"
-    text = F.col(value).cast("string")
-    parsed = messages.withColumn(
-        "__doc", F.from_json(text, ddl, {"columnNameOfCorruptRecord": "_corrupt", "mode": "PERMISSIVE"})
-    )
-    empty = text.isNull() | (F.length(text) == 0)
-    broken = F.col("__doc._corrupt").isNotNull() | F.col("__doc").isNull() | ~F.ltrim(text).startswith("{")
-    kind_of = {n: F.schema_of_variant(F.col(f"__doc.{n}")) for n in fields}
-    raw_of = {n: F.col(f"__doc.{n}").cast("string") for n in fields}
-    event_type = F.when(kind_of["event_type"] == "STRING", raw_of["event_type"])
-    values, problems = [], []
-    for name, spec in fields.items():
-        wanted = spec.rstrip("?")
-        owners = [k for k in kinds if name in EVENT_FIELDS[k]]
-        applies = event_type.isin(*owners) if len(owners) < len(kinds) else F.lit(True)
-        absent = F.col(f"__doc.{name}").isNull()
-        null = kind_of[name] == "VOID"
-        typed, valid = _field_value(raw_of[name], kind_of[name], wanted)
-        values.append(F.when(applies, typed).alias(name))
-        if spec.endswith("?"):
-            problem = F.when(applies & ~absent & ~null & ~valid, F.lit(f"{name}: invalid {wanted}"))
-        else:
-            problem = F.when(applies & absent, F.lit(f"{name}: missing")).when(
-                applies & ~valid, F.lit(f"{name}: invalid {wanted}")
-            )
-        problems.append(problem)
-    unknown = ~F.coalesce(event_type.isin(*kinds), F.lit(False))
-    message = F.when(unknown, F.concat(F.lit("event_type: unknown "), F.coalesce(event_type, F.lit("null")))).otherwise(
-        F.concat_ws("; ", *problems)
-    )
-    error_type = (
-        F.when(empty, EMPTY_PAYLOAD).when(broken, JSON_ERROR).when(message != "", VALIDATION_ERROR)
-    )
-    error_message = F.when(empty | broken, F.lit("Could not decode JSON payload")).otherwise(blank_null(message))
-    checked = parsed.withColumn("error_type", error_type).withColumn("error_message", error_message)
-    seen_id = F.when(F.coalesce(F.col("error_type"), F.lit("")).isin("", VALIDATION_ERROR), raw_of["event_id"])
-    return (
-        checked.withColumn("event", F.when(F.col("error_type").isNull(), F.struct(*values)))
-        .withColumn("raw_event_id", blank_null(seen_id))
-        .drop("__doc")
-    )
+
+    def parsed_text(text: Column) -> Column:
+        doc = F.from_json(text, ddl, {"columnNameOfCorruptRecord": "_corrupt", "mode": "PERMISSIVE"})
+        empty = text.isNull() | (F.length(text) == 0)
+        return F.struct(doc.alias("doc"), empty.alias("empty"), (~F.ltrim(text).startswith("{")).alias("not_object"))
+
+    def raw_fields(parsed: Column) -> Column:
+        doc = parsed["doc"]
+        parts = [
+            F.struct(doc[n].cast("string").alias("text"), F.schema_of_variant(doc[n]).alias("kind")).alias(n)
+            for n in fields
+        ]
+        broken = doc.isNull() | doc["_corrupt"].isNotNull() | parsed["not_object"]
+        return F.struct(parsed["empty"].alias("empty"), broken.alias("broken"), *parts)
+
+    def typed_fields(raw: Column) -> Column:
+        parts = []
+        for name, spec in fields.items():
+            typed, valid = _field_value(raw[name]["text"], raw[name]["kind"], spec.rstrip("?"))
+            given = raw[name]["kind"]
+            parts.append(F.struct(typed.alias("value"), valid.alias("valid"), given.alias("kind")).alias(name))
+        seen = blank_null(raw["event_id"]["text"])
+        return F.struct(raw["empty"].alias("empty"), raw["broken"].alias("broken"), seen.alias("seen_id"), *parts)
+
+    def verdict(typed: Column) -> Column:
+        event_type = F.when(typed["event_type"]["kind"] == "STRING", typed["event_type"]["value"])
+        problems, values = [], []
+        for name, spec in fields.items():
+            field, wanted = typed[name], spec.rstrip("?")
+            applies = event_type.isin(*[k for k in kinds if name in EVENT_FIELDS[k]])
+            absent = field["kind"].isNull()
+            if spec.endswith("?"):
+                bad = ~absent & (field["kind"] != "VOID") & ~field["valid"]
+                problem = F.when(bad, F.lit(f"{name}: invalid {wanted}"))
+            else:
+                problem = F.when(absent, F.lit(f"{name}: missing")).when(
+                    ~field["valid"], F.lit(f"{name}: invalid {wanted}")
+                )
+            problems.append(F.when(applies, problem))
+            values.append(F.when(applies, field["value"]).alias(name))
+        unknown = ~F.coalesce(event_type.isin(*kinds), F.lit(False))
+        message = F.when(
+            unknown, F.concat(F.lit("event_type: unknown "), F.coalesce(event_type, F.lit("null")))
+        ).otherwise(F.concat_ws("; ", *problems))
+        return F.struct(
+            F.struct(*values).alias("event"),
+            F.when(typed["empty"] | typed["broken"], F.lit("Could not decode JSON payload")).otherwise(message).alias("message"),
+            F.when(typed["empty"], EMPTY_PAYLOAD)
+            .when(typed["broken"], JSON_ERROR)
+            .when(message != "", VALIDATION_ERROR)
+            .alias("error_type"),
+            typed["seen_id"].alias("seen_id"),
+        )
+
+    def outcome(found: Column) -> Column:
+        failed = found["error_type"]
+        return F.struct(
+            F.when(failed.isNull(), found["event"]).alias("event"),
+            failed.alias("error_type"),
+            F.when(failed.isNotNull(), found["message"]).alias("error_message"),
+            F.when(F.coalesce(failed, F.lit("")).isin("", VALIDATION_ERROR), found["seen_id"]).alias("raw_event_id"),
+        )
+
+    # The chain reads the message once, so filters on its outcome stay small when pushed down.
+    checked = F.col(value).cast("string")
+    for step in (parsed_text, raw_fields, typed_fields, verdict, outcome):
+        checked = bind(checked, step)
+    return messages.withColumn("__checked", checked).select(*messages.columns, "__checked.*")
 
 
 def blank_null(text: Column) -> Column:
