@@ -175,17 +175,19 @@ def split_states(
     experiments: DataFrame | None = None,
     policy: SplitPolicy = SplitPolicy(),
     *,
+    earlier: DataFrame | None = None,
     rows_per_slice: int | None = None,
 ) -> DataFrame:
     """State of every experiment after all its feedback.
 
     `feedback`: experiment_id, id, rated_at, model_role, rating. `experiments` may give the
-    starting fractions and whether there is a candidate. Returns experiment_id, rows,
+    starting fractions and whether there is a candidate, `earlier` the feedback that was
+    folded before (it only counts towards the candidate's average). Returns experiment_id, rows,
     candidate_ratings, candidate_avg, main_fraction, candidate_fraction, promoted, promoted_id.
     """
     rows = feedback.select("experiment_id", "rated_at", "id", "model_role", F.col("rating").cast("double"))
     plan = plan_slices(rows, FEEDBACK_ORDER, rows_per_slice=rows_per_slice)
-    started = _with_start(with_slice(rows, plan), experiments, policy)
+    started = _with_start(with_slice(rows, plan), experiments, earlier, policy)
     if plan.count == 1:
         return _report(_walk(_plain_start(started), plan, policy))
     spark = feedback.sparkSession
@@ -199,30 +201,36 @@ def _ddl(fields: list[tuple[str, str]]) -> str:
     return ", ".join(f"{n} {t}" for n, t in fields)
 
 
-def _with_start(rows: DataFrame, experiments: DataFrame | None, policy: SplitPolicy) -> DataFrame:
-    main, candidate = F.lit(policy.initial_main), F.lit(policy.initial_candidate)
-    if experiments is None:
-        return rows.select("*", main.alias("s_main"), candidate.alias("s_candidate"), F.lit(True).alias("s_challenged"))
-    states = experiments.select(
-        "experiment_id",
-        F.col("main_split_fraction").alias("s_main"),
-        F.col("candidate_split_fraction").alias("s_candidate"),
-        F.col("candidate_model_version").isNotNull().alias("s_challenged"),
-    )
-    joined = rows.join(states, "experiment_id", "left")
-    return joined.withColumns(
-        {
-            "s_main": F.coalesce("s_main", main),
-            "s_candidate": F.coalesce("s_candidate", candidate),
-            "s_challenged": F.coalesce("s_challenged", F.lit(True)),
-        }
-    )
+def _with_start(
+    rows: DataFrame, experiments: DataFrame | None, earlier: DataFrame | None, policy: SplitPolicy
+) -> DataFrame:
+    defaults = {
+        "s_main": F.lit(policy.initial_main),
+        "s_candidate": F.lit(policy.initial_candidate),
+        "s_challenged": F.lit(True),
+        "p_ratings": F.lit(0).cast("bigint"),
+        "p_total": F.lit(0.0),
+    }
+    if experiments is not None:
+        states = experiments.select(
+            "experiment_id",
+            F.col("main_split_fraction").alias("s_main"),
+            F.col("candidate_split_fraction").alias("s_candidate"),
+            F.col("candidate_model_version").isNotNull().alias("s_challenged"),
+        )
+        rows = rows.join(states, "experiment_id", "left")
+    if earlier is not None:
+        rated = earlier.where(F.col("model_role") == "candidate").groupBy("experiment_id").agg(
+            F.count("rating").alias("p_ratings"), F.sum("rating").alias("p_total")
+        )
+        rows = rows.join(rated, "experiment_id", "left")
+    return rows.withColumns({n: F.coalesce(n, v) if n in rows.columns else v for n, v in defaults.items()})
 
 
 def _plain_start(rows: DataFrame) -> DataFrame:
     """Every experiment begins inside its slice."""
     return rows.select(
-        "*", F.lit(True).alias("start_known"), F.lit(0).cast("bigint").alias("c_ratings"), F.lit(0.0).alias("c_total")
+        "*", F.lit(True).alias("start_known"), F.col("p_ratings").alias("c_ratings"), F.col("p_total").alias("c_total")
     )
 
 
@@ -273,8 +281,8 @@ def _resolve(rows: DataFrame, plan: SlicePlan, policy: SplitPolicy) -> list[tupl
     asked = joined.select(
         *rows.columns,
         F.col("c_ratings").isNull().alias("start_known"),
-        F.coalesce("c_ratings", F.lit(0)).cast("bigint").alias("c_ratings"),
-        F.coalesce("c_total", F.lit(0.0)).alias("c_total"),
+        (F.coalesce("c_ratings", F.lit(0)) + F.col("p_ratings")).cast("bigint").alias("c_ratings"),
+        (F.coalesce("c_total", F.lit(0.0)) + F.col("p_total")).alias("c_total"),
     )
     found = {(r["experiment_id"], r[SLICE]): r.asDict() for r in _walk(asked, plan, policy).collect()}
     chains: dict[str, list[int]] = {}
