@@ -13,6 +13,7 @@ from tastemill.models import encoder as en
 from tastemill.models import factors as fa
 from tastemill.models import ranker as ra
 from tastemill.operators import features as ft
+from tastemill.operators.vectors import norm
 from tastemill.plans import recommend_jobs as rj
 
 
@@ -63,15 +64,20 @@ def cf_fit_quality(spark, sf):
     )
 
 
-@query("stale_text_embeddings")
+@query(
+    "stale_text_embeddings",
+    "SELECT doc_id AS movie_id, sha256(text) AS embedding_text_hash, 32::BIGINT AS width, 1.0::DOUBLE AS length FROM documents WHERE doc_id % 2 <> 0",
+)
 def stale_text_embeddings(spark, sf):
-    """Unit-length hashed embeddings of document texts (no SQL: Spark's hash function)."""
+    """Unit-length hashed embeddings of the texts whose stored one is missing."""
     texts = t.load(spark, sf, "documents").select(F.col("doc_id").alias("movie_id"), "text")
     stored = texts.where(F.pmod("movie_id", F.lit(2)) == 0).select(
         "movie_id", F.array_repeat(F.lit(0.1).cast("float"), 32).alias("embedding"), F.sha2("text", 256).alias("embedding_text_hash")
     )
     fresh = en.embed_stale(texts, stored, 32, "v1")
-    return fresh.select("movie_id", "embedding_text_hash", F.size("embedding").alias("width"))
+    return fresh.select(
+        "movie_id", "embedding_text_hash", F.size("embedding").cast("bigint").alias("width"), F.round(norm(F.col("embedding")), 5).alias("length")
+    )
 
 
 def model(spark, sf, version: str, shift: int) -> rj.RankingModel:
