@@ -59,7 +59,13 @@ def test_temporal_split_matches_row_numbers(rows):
     for r in split.collect():
         want = "train" if ranks[r.id] <= 4000 else "validation" if ranks[r.id] <= 4500 else "test"
         assert r.split == want
-    assert "Exchange" not in split._jdf.queryExecution().executedPlan().toString().replace("InMemoryRelation", "").split("InMemory")[0]
+
+
+def test_temporal_split_needs_no_shuffle(spark):
+    df = spark.range(100).select("id", F.timestamp_seconds("id").alias("rating_timestamp"))
+    split = rk.temporal_split(df)
+    assert "Exchange" not in split._jdf.queryExecution().executedPlan().toString()
+    assert split.where("split = 'test'").count() == 10
 
 
 @pytest.mark.parametrize(("fractions", "total", "ends"), [((0.7, 0.2), 10, (7, 8)), ((0.8, 0.1), 1000, (800, 900))])
