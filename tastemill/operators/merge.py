@@ -9,11 +9,21 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tastemill.functions.text import error_text
 
 
 
+def nullable(kind: T.DataType) -> T.DataType:
+    """The same type with NULL allowed inside arrays and maps."""
+    if isinstance(kind, T.ArrayType):
+        return T.ArrayType(nullable(kind.elementType), True)
+    if isinstance(kind, T.MapType):
+        return T.MapType(nullable(kind.keyType), nullable(kind.valueType), True)
+    return kind
+
+
 def merge_tables(
     base: DataFrame,
     changes: DataFrame,
@@ -42,7 +52,7 @@ def merge_tables(
         value = F.when(matched, on_match[name]).otherwise(kept) if name in on_match else kept
         if on_insert is not None:
             value = F.when(new, on_insert.get(name, F.lit(None))).otherwise(value)
-        columns.append(value.cast(field.dataType).alias(name))
+        columns.append(value.cast(nullable(field.dataType)).alias(name))
     return joined.select(*columns).select(*base.columns)
 
 

@@ -13,6 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tastemill.functions.events import dead_letters, valid_events, validate_events
 from tastemill.operators.merge import add_tag_counts, mark_dirty, new_events
+from tastemill.session import broadcast_if_small
 from tastemill.sources.datasets import path_exists, read_current, write_version
 
 WORKERS = {"ratings": "ratings-consumer", "tags": "tags-consumer"}
@@ -67,6 +68,16 @@ def _stored(spark: SparkSession, path: str, like: DataFrame, batch_id: int) -> D
     return spark.read.parquet(path).where(F.col("batch_id") != batch_id)
 
 
+def known_among(batch: DataFrame, stored: DataFrame) -> DataFrame:
+    """Event ids of the batch that are stored already.
+
+    Only the id column of the big table is read; it is filtered by the batch's ids where it
+    lies, so it is not shuffled while the batch is small enough to be sent along.
+    """
+    asked = batch.select("event_id").distinct()
+    return stored.select("event_id").join(broadcast_if_small(asked, 64), "event_id", "left_semi")
+
+
 def _write_batch(df: DataFrame, path: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
@@ -85,8 +96,8 @@ def ingest_batch(batch: DataFrame, batch_id: int, topic: str, root: str, catalog
 
         rows = valid_events(checked).select("event.*", "partition", "offset")
         event_path = f"{root}/{topic}_events"
-        known = _stored(spark, event_path, rows, batch_id).select("event_id")
-        fresh = new_events(rows, known, ["partition", "offset"])
+        stored = _stored(spark, event_path, rows, batch_id)
+        fresh = new_events(rows, known_among(rows, stored), ["partition", "offset"])
         _write_batch(fresh, event_path, batch_id)
         if topic == "tags":
             written = spark.read.parquet(f"{event_path}/batch_id={batch_id}")
