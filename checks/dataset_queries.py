@@ -9,6 +9,7 @@ from checks.registry import query
 from checks.sql import CATALOG, MAPS, RATINGS, SPLIT, with_
 from tastemill.operators import rank
 from tastemill.operators.ranking import movie_coverage
+from tastemill.session import checkpointed
 
 
 def split(spark, sf):
@@ -26,6 +27,11 @@ def mapped(spark, sf):
     return rank.map_to_indexes(*maps(spark, sf))
 
 
+def mapped_train(spark, sf):
+    """Training rows, written once since numbering reads them several times."""
+    return checkpointed(mapped(spark, sf).where(F.col("split") == "train"))
+
+
 @query("temporal_split", with_(SPLIT, select="SELECT id, user_id, movie_id, split FROM split_ratings"))
 def temporal_split(spark, sf):
     return split(spark, sf).select("id", "user_id", "movie_id", "split")
@@ -92,7 +98,7 @@ SHUFFLED = MAPPED + """, shuffled AS (
     with_(SHUFFLED, select="SELECT id, row_number() OVER (ORDER BY shuffle_key, id) AS position FROM shuffled"),
 )
 def train_shuffle_order(spark, sf):
-    train = mapped(spark, sf).where(F.col("split") == "train")
+    train = mapped_train(spark, sf)
     return rank.shuffle_order(train, 42).select("id", "position")
 
 
@@ -102,7 +108,7 @@ def train_shuffle_order(spark, sf):
       epoch_us(rating_timestamp) || '-45'), id) AS position FROM mapped WHERE split = 'train'"""),
 )
 def epoch_shuffle_order(spark, sf):
-    train = mapped(spark, sf).where(F.col("split") == "train")
+    train = mapped_train(spark, sf)
     return rank.shuffle_order(train, 42, epoch=3).select("id", "position")
 
 
@@ -112,7 +118,7 @@ def epoch_shuffle_order(spark, sf):
       SELECT id, (row_number() OVER (ORDER BY shuffle_key, id) - 1) // 500 AS part_idx FROM shuffled) GROUP BY part_idx"""),
 )
 def part_assignment(spark, sf):
-    train = mapped(spark, sf).where(F.col("split") == "train").withColumn("shuffle_key", rank.shuffle_key(42))
+    train = mapped_train(spark, sf).withColumn("shuffle_key", rank.shuffle_key(42))
     parts = rank.number_parts(train, ["shuffle_key", "id"], 500)
     return parts.groupBy("part_idx").agg(F.count(F.lit(1)).alias("rows"), F.sum("id").alias("id_sum"))
 

@@ -11,6 +11,7 @@ from checks.sql import FEEDBACK, RATINGS, TAGS, with_
 from tastemill.functions import events as ev
 from tastemill.operators import experiment as ex
 from tastemill.operators import merge as m
+from tastemill.session import checkpointed
 from tastemill.streaming import health
 
 MESSAGES = RATINGS + f""", made AS (SELECT *, {UUID_SQL} AS made_id FROM (SELECT *,
@@ -64,12 +65,17 @@ STORED = """, valid AS (SELECT * FROM messages WHERE error_type IS NULL), stored
     WHERE rn = 1 AND made_id NOT IN (SELECT made_id FROM stored))"""
 
 
+def checked_messages(spark, sf):
+    """Validated messages, written once since several branches read them."""
+    return checkpointed(ev.validate_events(t.rating_messages(spark, sf), "ratings"))
+
+
 @query(
     "dedup_events",
     with_(MESSAGES, select=STORED + " SELECT made_id AS event_id, event_type, user_id, movie_id, rating, event_id % 4 AS partition FROM fresh"),
 )
 def dedup_events(spark, sf):
-    checked = ev.validate_events(t.rating_messages(spark, sf), "ratings")
+    checked = checked_messages(spark, sf)
     rows = ev.valid_events(checked).select("event.*", "partition", "offset", "key_id")
     stored = rows.where(F.pmod("key_id", F.lit(3)) == 0).select("event_id")
     fresh = m.new_events(rows.drop("key_id"), stored, ["partition", "offset"])
@@ -85,7 +91,7 @@ def dedup_events(spark, sf):
 def ingest_status_counts(spark, sf):
     from tastemill.streaming.ingest import message_status
 
-    checked = ev.validate_events(t.rating_messages(spark, sf), "ratings")
+    checked = checked_messages(spark, sf)
     rows = ev.valid_events(checked).select("event.*", "partition", "offset", "key_id")
     stored = rows.where(F.pmod("key_id", F.lit(3)) == 0).select("event_id")
     return message_status(checked, stored).groupBy("status").agg(F.count(F.lit(1)).alias("rows"))

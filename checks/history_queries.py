@@ -206,18 +206,16 @@ SHOWN_SQL = """, shown AS (SELECT DISTINCT user_id, [(user_id * 3 + i * i) % 200
       SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY pos) AS rn FROM firsts) WHERE rn <= 60)"""
 
 
-def shown(spark, sf):
+def shown(rows):
+    """A recently shown list with repeats for every user."""
     ids = F.transform(F.sequence(F.lit(0), F.lit(89)), lambda i: F.pmod(F.col("user_id") * 3 + i * i, F.lit(200)))
-    return active(spark, sf).select("user_id").distinct().withColumn("shown_movie_ids", ids)
-
-
-def excluded(spark, sf):
-    return h.exclude_ids(active(spark, sf), shown(spark, sf))
+    return rows.select("user_id").distinct().withColumn("shown_movie_ids", ids)
 
 
 @query("exclude_ids", with_(ACTIVE, select=SHOWN_SQL + " SELECT user_id, movie_id FROM excluded"))
 def exclude_ids(spark, sf):
-    return excluded(spark, sf)
+    rows = active(spark, sf)
+    return h.exclude_ids(rows, shown(rows))
 
 
 @query(

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks import tables as t
-from checks.history_queries import LIKED, SHOWN_SQL, active, excluded
+from checks.history_queries import LIKED, SHOWN_SQL, active, shown
 from checks.registry import query
 from checks.sql import CATALOG, CONTENT, with_
 from tastemill.operators import history as h
 from tastemill.operators import retrieval as ret
 from tastemill.operators.search import search_titles
+from tastemill.session import checkpointed
 
 SIZES = ret.RetrievalSizes()
 
@@ -28,8 +29,17 @@ BASE = (LIKED, CONTENT, PROFILES)
 EXCLUDED = SHOWN_SQL.lstrip(", ")
 
 
-def profiles(spark, sf):
-    return h.weighted_profiles(active(spark, sf), [t.content_space(spark, sf)])
+def history(spark, sf):
+    """Active ratings, written once since every bucket reads them."""
+    return checkpointed(active(spark, sf))
+
+
+def profiles(spark, sf, rows):
+    return h.weighted_profiles(rows, [t.content_space(spark, sf)])
+
+
+def excluded(rows):
+    return h.exclude_ids(rows, shown(rows))
 
 
 def safe_vectors(spark, sf):
@@ -37,8 +47,8 @@ def safe_vectors(spark, sf):
     return t.content_vectors(spark, sf).join(safe, "movie_id", "left_semi")
 
 
-def pool(spark, sf):
-    return ret.knn(profiles(spark, sf), safe_vectors(spark, sf), excluded(spark, sf), SIZES.knn_pool)
+def pool(spark, sf, rows):
+    return ret.knn(profiles(spark, sf, rows), safe_vectors(spark, sf), excluded(rows), SIZES.knn_pool)
 
 
 @query(
@@ -46,12 +56,13 @@ def pool(spark, sf):
     with_(*BASE, EXCLUDED, POOL, select="SELECT user_id, movie_id, round(score, 6) AS score, rank FROM near WHERE rank <= 250"),
 )
 def knn_topk(spark, sf):
-    near = ret.knn(profiles(spark, sf), safe_vectors(spark, sf), excluded(spark, sf), SIZES.knn)
+    rows = history(spark, sf)
+    near = ret.knn(profiles(spark, sf, rows), safe_vectors(spark, sf), excluded(rows), SIZES.knn)
     return near.withColumn("score", F.round("score", 6))
 
 
-def liked(spark, sf):
-    return h.liked_genres(active(spark, sf), t.catalog(spark, sf))
+def liked(spark, sf, rows):
+    return h.liked_genres(rows, t.catalog(spark, sf))
 
 
 def indexed_catalog(spark, sf):
@@ -72,16 +83,18 @@ GOOD = """good AS (SELECT movie_id, genres, tmdb_popularity FROM catalog
 
 @query("popular_by_genre", with_(*BASE, EXCLUDED, GOOD, select="SELECT user_id, movie_id, score, rank FROM popular"))
 def popular_by_genre(spark, sf):
-    return ret.popular_by_genres(liked(spark, sf), indexed_catalog(spark, sf), excluded(spark, sf))
+    rows = history(spark, sf)
+    return ret.popular_by_genres(liked(spark, sf, rows), indexed_catalog(spark, sf), excluded(rows))
 
 
-def seeds(spark, sf):
-    return active(spark, sf).select("user_id").distinct().withColumn("seed", F.col("user_id") * 7 + 11)
+def seeds(rows):
+    return rows.select("user_id").distinct().withColumn("seed", F.col("user_id") * 7 + 11)
 
 
 @query("random_by_genre", with_(*BASE, EXCLUDED, GOOD, select="SELECT user_id, movie_id, rank FROM drawn"))
 def random_by_genre(spark, sf):
-    found = ret.random_by_genres(liked(spark, sf), indexed_catalog(spark, sf), excluded(spark, sf), seeds(spark, sf))
+    rows = history(spark, sf)
+    found = ret.random_by_genres(liked(spark, sf, rows), indexed_catalog(spark, sf), excluded(rows), seeds(rows))
     return found.select("user_id", "movie_id", "rank")
 
 
@@ -92,7 +105,8 @@ TAIL = """tail AS (SELECT * FROM (SELECT user_id, movie_id, score,
 
 @query("knn_tail_sample", with_(*BASE, EXCLUDED, POOL, TAIL, select="SELECT user_id, movie_id, rank FROM tail"))
 def knn_tail_sample(spark, sf):
-    return ret.sample_knn_tail(pool(spark, sf), seeds(spark, sf)).select("user_id", "movie_id", "rank")
+    rows = history(spark, sf)
+    return ret.sample_knn_tail(pool(spark, sf, rows), seeds(rows)).select("user_id", "movie_id", "rank")
 
 
 @query(
@@ -107,8 +121,9 @@ def knn_tail_sample(spark, sf):
         FROM kept) WHERE pool_rank <= 300"""),
 )
 def merged_pool(spark, sf):
+    rows = history(spark, sf)
     merged = ret.candidate_pool(
-        profiles(spark, sf), t.content_vectors(spark, sf), t.catalog(spark, sf), liked(spark, sf), excluded(spark, sf), seeds(spark, sf)
+        profiles(spark, sf, rows), t.content_vectors(spark, sf), t.catalog(spark, sf), liked(spark, sf, rows), excluded(rows), seeds(rows)
     )
     return merged.select("user_id", "movie_id", "retrieval_source", "pool_rank")
 

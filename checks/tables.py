@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tastemill.functions.events import event_json, rating_event_id
 from tastemill.operators.vectors import VectorSpace
-from tastemill.session import use_utc
+from tastemill.session import spread, use_utc
 
 CONTENT_DIM = 64
 CF_DIM = 64
@@ -190,5 +190,7 @@ def rating_messages(spark: SparkSession, sf: str) -> DataFrame:
         (F.floor(F.col("key_id") / 4) * 2).alias("offset"),
         "key_id",
     )
+    # Messages arrive in as many pieces as the topic has partitions.
+    messages = spread(messages)
     copies = messages.where(every(31)).withColumn("offset", F.col("offset") + 1)
     return messages.unionByName(copies)

@@ -36,6 +36,7 @@ UUID_PATTERN = r"^[0-9a-fA-F]{8}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{4}
 INT_PATTERN = r"^[+-]?\d+(\.0+)?$"
 FLOAT_PATTERN = r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"
 TIME_PATTERN = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?(Z|[+-]\d{2}:?\d{2})?)?$"
+TYPE_SUFFIX = r"[dDfF]\s*$"
 EPOCH_MILLIS_FROM = 2e10
 
 _SPARK_TYPE = {"uuid": "string", "text": "string", "int": "bigint", "float": "double", "time": "timestamp"}
@@ -126,42 +127,45 @@ def _field_value(raw: Column, kind: Column, wanted: str) -> tuple[Column, Column
     """(typed value, is valid) of one JSON field; `kind` is its JSON type.
 
     Lenient like a web API: numbers may come as text, whole floats count as integers,
-    booleans as numbers, times as ISO text or epoch numbers.
+    booleans as numbers, times as ISO text or epoch numbers. Patterns are only tried where
+    a plain cast leaves a doubt.
     """
     is_text = kind == "STRING"
-    is_number = kind.rlike("^(BIGINT|DOUBLE|DECIMAL|FLOAT|INT|SMALLINT|TINYINT)")
-    flag = F.when(kind == "BOOLEAN", F.when(raw == "true", F.lit(1)).otherwise(F.lit(0)))
-    trimmed = F.trim(raw)
+    is_number = kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL")
+    if wanted == "text":
+        return F.when(is_text, raw), F.coalesce(is_text, F.lit(False))
     if wanted == "uuid":
         bare = F.lower(F.regexp_replace(raw, "-", ""))
-        value = F.concat_ws(
+        joined = F.concat_ws(
             "-", *[F.substring(bare, start, length) for start, length in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
         )
-        valid = is_text & raw.rlike(UUID_PATTERN)
-    elif wanted == "text":
-        value, valid = raw, is_text
+        value = F.when(is_text & raw.rlike(UUID_PATTERN), F.when(F.length(raw) == 36, F.lower(raw)).otherwise(joined))
     elif wanted == "int":
-        whole = F.regexp_replace(trimmed, r"\.0+$", "").try_cast("bigint")
-        whole = F.coalesce(whole, F.when(is_number, _whole_number(trimmed)))
-        value = F.coalesce(flag.cast("bigint"), whole)
-        valid = ((is_text & trimmed.rlike(INT_PATTERN)) | is_number | flag.isNotNull()) & value.isNotNull()
+        flag = F.when(kind == "BOOLEAN", F.when(raw == "true", F.lit(1)).otherwise(F.lit(0)))
+        whole = F.when(F.contains(raw, F.lit(".")) | F.contains(raw, F.lit("E")), _whole_number(F.trim(raw), is_number))
+        value = F.coalesce(F.when(is_text | is_number, F.coalesce(F.trim(raw).try_cast("bigint"), whole)), flag)
     elif wanted == "float":
-        value = F.coalesce(flag.cast("double"), trimmed.try_cast("double"))
-        valid = ((is_text & trimmed.rlike(FLOAT_PATTERN)) | is_number | flag.isNotNull()) & value.isNotNull()
+        flag = F.when(kind == "BOOLEAN", F.when(raw == "true", F.lit(1.0)).otherwise(F.lit(0.0)))
+        number = F.when(is_number, raw.try_cast("double")).when(
+            is_text & ~raw.rlike(TYPE_SUFFIX), F.trim(raw).try_cast("double")
+        )
+        value = F.coalesce(number, flag)
     else:
-        number = trimmed.try_cast("double")
-        seconds = F.when(F.abs(number) > EPOCH_MILLIS_FROM, number / 1000).otherwise(number)
-        numeric = is_number | (is_text & trimmed.rlike(FLOAT_PATTERN))
-        value = F.when(numeric, F.timestamp_micros(F.round(seconds * 1_000_000).cast("bigint"))).otherwise(
-            F.when(trimmed.rlike(TIME_PATTERN), trimmed.try_cast("timestamp"))
+        value = F.when(is_text & raw.rlike(TIME_PATTERN), raw.try_cast("timestamp")).when(
+            is_number | (is_text & raw.rlike(FLOAT_PATTERN)), _epoch_time(F.trim(raw).try_cast("double"))
         )
-        valid = (is_text | is_number) & value.isNotNull()
-    return F.when(valid, value.cast(_SPARK_TYPE[wanted])), F.coalesce(valid, F.lit(False))
+    return value.cast(_SPARK_TYPE[wanted]), value.isNotNull()
 
 
-def _whole_number(text: Column) -> Column:
+def _whole_number(text: Column, is_number: Column) -> Column:
+    """A float without fraction as integer; as text only in the form 12.0."""
     number = text.try_cast("double")
-    return F.when(number == F.floor(number), number.cast("bigint"))
+    return F.when((is_number | text.rlike(INT_PATTERN)) & (number == F.floor(number)), number.cast("bigint"))
+
+
+def _epoch_time(number: Column) -> Column:
+    seconds = F.when(F.abs(number) > EPOCH_MILLIS_FROM, number / 1000).otherwise(number)
+    return F.timestamp_micros(F.round(seconds * 1_000_000).cast("bigint"))
 
 
 def bind(value: Column, build: Callable[[Column], Column]) -> Column:

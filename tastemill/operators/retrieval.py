@@ -68,10 +68,9 @@ def knn(
     the pairs themselves never exist as rows. `vectors` has (movie_id, vector) of the
     movies allowed in results. A user without a direction scores 0 everywhere.
     """
-    width = vectors.select(F.max(F.size("vector"))).first()[0]
-    if width is None:
+    rows, width = vectors.agg(F.count(F.lit(1)), F.max(F.size("vector"))).first()
+    if not rows:
         return profiles.sparkSession.createDataFrame([], _KNN_SCHEMA)
-    rows = vectors.count()
     blocks = max(1, -(-rows * (width * 8 + 8) // block_bytes))
     users = profiles.select("user_id", F.col(profile).alias("profile"))
     hits: DataFrame | None = None

@@ -10,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tastemill.session import spread
+
 # BM25 parameters and the token pattern.
 K1 = 1.2
 B = 0.75
@@ -32,7 +34,8 @@ def search_titles(queries: DataFrame, movies: DataFrame, k: int = 20) -> DataFra
     be shown. Titles are scanned in batches against a bounded group of queries and every
     task keeps only k rows per query, so a word found in every title adds no rows.
     """
-    titles = movies.select(F.col("movie_id").cast("bigint"), "title", tokens(F.col("title")).alias("tokens"))
+    shown = spread(movies.select(F.col("movie_id").cast("bigint"), "title"))
+    titles = shown.select("*", tokens(F.col("title")).alias("tokens"))
     asked = queries.where(F.trim("query") != "").select(F.col("query_id").cast("bigint"), F.trim("query").alias("query"))
     total, words = titles.agg(F.count_if(F.size("tokens") > 0), F.sum(F.size("tokens"))).first()
     if not total:

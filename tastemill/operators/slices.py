@@ -13,7 +13,7 @@ import json
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -191,6 +191,7 @@ def keys_at_ranks(df: DataFrame, keys: list[str], ranks: list[int]) -> dict[int,
 
 
 def _select_small(df: DataFrame, keys: list[str], ranks: list[int]) -> dict[int, tuple]:
+    """Ranks within at most SELECT_LIMIT rows: one bounded sort of the keys alone."""
     keyed = df.select(*[sortable(df, k).alias(f"k{i}") for i, k in enumerate(keys)])
-    ordered = keyed.orderBy(*keyed.columns)
-    return {r: tuple(ordered.offset(r - 1).limit(1).first()) for r in ranks}
+    numbered = keyed.withColumn("rn", F.row_number().over(Window.orderBy(*keyed.columns)))
+    return {r["rn"]: tuple(r)[:-1] for r in numbered.where(F.col("rn").isin(*ranks)).collect()}

@@ -11,6 +11,7 @@ from tastemill.operators import history as h
 from tastemill.operators import rank as rk
 from tastemill.operators.ranking import METRICS, ranking_metrics, regression_metrics
 from tastemill.operators.vectors import VectorSpace, drop_bad_vectors
+from tastemill.session import checkpointed
 from tastemill.sources import datasets as ds
 
 TIME_ORDERED = {"ratings_events": ["rating_timestamp", "id"], "tag_events": ["id"]}
@@ -61,7 +62,8 @@ def prepare_training(
     for name, df in maps.items():
         df.write.mode("overwrite").parquet(f"{base}/{name}")
     users, movies = (spark.read.parquet(f"{base}/{name}") for name in maps)
-    mapped = rk.map_to_indexes(split, users, movies)
+    # Numbering reads the rows several times, so the joins run once, into a staging copy.
+    mapped = checkpointed(rk.map_to_indexes(split, users, movies))
     for name in ("train", "validation", "test"):
         rows = mapped.where(F.col("split") == name).drop("split")
         if name == "train":
@@ -132,7 +134,7 @@ def create_features(
     stats = ft.stats_values(ft.fit_metadata_stats(targets[0], catalog))
     history = h.of_users(ratings, h.candidate_users(candidates))
     rows = ft.feature_rows(
-        h.mark_targets(history, candidates),
+        checkpointed(h.mark_targets(history, candidates)),
         VectorSpace("content", content, content_dim),
         VectorSpace("cf", cf, cf_dim),
         ft.metadata_space(catalog, stats),

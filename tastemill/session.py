@@ -57,6 +57,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for costly per-row work when the input came in fewer pieces than cores."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def broadcast_if_small(df: DataFrame, row_bytes: int, limit_bytes: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
     """Hint a broadcast only when the counted size fits; otherwise leave the join to AQE."""
     cap = limit_bytes // max(1, row_bytes)
