@@ -77,8 +77,8 @@ GOOD = """good AS (SELECT movie_id, genres, tmdb_popularity FROM catalog
     WHERE NOT EXISTS (SELECT 1 FROM excluded e WHERE e.user_id = l.user_id AND e.movie_id = g.movie_id)),
   popular AS (SELECT * FROM (SELECT user_id, movie_id, tmdb_popularity AS score,
       row_number() OVER (PARTITION BY user_id ORDER BY tmdb_popularity DESC, movie_id) AS rank FROM fresh) WHERE rank <= 50),
-  drawn AS (SELECT * FROM (SELECT user_id, movie_id,
-      row_number() OVER (PARTITION BY user_id ORDER BY md5((user_id * 7 + 11)::VARCHAR || ':' || movie_id), movie_id) AS rank FROM fresh) WHERE rank <= 75)"""
+  drawn AS (SELECT * FROM (SELECT user_id, movie_id, row_number() OVER (PARTITION BY user_id ORDER BY (m * ((m * 16807 + 12345) % 2147483647)) % 2147483647, movie_id) AS rank
+      FROM (SELECT *, ((user_id * 7 + 11) * 48271 + movie_id * 69621) % 2147483647 AS m FROM fresh)) WHERE rank <= 75)"""
 
 
 @query("popular_by_genre", with_(*BASE, EXCLUDED, GOOD, select="SELECT user_id, movie_id, score, rank FROM popular"))
@@ -98,9 +98,8 @@ def random_by_genre(spark, sf):
     return found.select("user_id", "movie_id", "rank")
 
 
-TAIL = """tail AS (SELECT * FROM (SELECT user_id, movie_id, score,
-    row_number() OVER (PARTITION BY user_id ORDER BY md5((user_id * 7 + 11)::VARCHAR || ':' || movie_id), movie_id) AS rank
-    FROM near WHERE rank > 150) WHERE rank <= 75)"""
+TAIL = """tail AS (SELECT * FROM (SELECT user_id, movie_id, score, row_number() OVER (PARTITION BY user_id ORDER BY (m * ((m * 16807 + 12345) % 2147483647)) % 2147483647, movie_id) AS rank
+    FROM (SELECT *, ((user_id * 7 + 11) * 48271 + movie_id * 69621) % 2147483647 AS m FROM near WHERE rank > 150)) WHERE rank <= 75)"""
 
 
 @query("knn_tail_sample", with_(*BASE, EXCLUDED, POOL, TAIL, select="SELECT user_id, movie_id, rank FROM tail"))

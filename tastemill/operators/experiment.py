@@ -16,9 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tastemill.operators.history import carried, edge_rows
 from tastemill.operators.merge import merge_tables
-from tastemill.operators.slices import SLICE, SlicePlan, plan_slices, with_slice
+from tastemill.operators.slices import SLICE, SlicePlan, carried, edge_rows, plan_slices, with_slice
 
 FEEDBACK_ORDER = ["experiment_id", "rated_at", "id"]
 

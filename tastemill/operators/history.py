@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tastemill.operators.slices import SLICE, SlicePlan, plan_slices, with_slice
+from tastemill.operators.slices import SLICE, SlicePlan, carried, edge_rows, plan_slices, with_slice
 from tastemill.operators.vectors import (
     VectorSpace,
     VectorTable,
@@ -166,20 +166,6 @@ def user_behavior(ratings: DataFrame) -> DataFrame:
     return totals.select("user_id", *behavior_columns(*[F.col(n) for n in _TOTALS]))
 
 
-def edge_rows(sliced: DataFrame, plan: SlicePlan, key: str) -> DataFrame:
-    """Rows of key values that occur as a slice border, hence may span slices."""
-    edges = sliced.sparkSession.createDataFrame([(v,) for v in plan.edge_values()], sliced.select(key).schema)
-    return sliced.join(F.broadcast(edges), key, "left_semi")
-
-
-def carried(partial: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """Totals of all earlier slices of the same key; at most (borders + slices) rows."""
-    earlier = Window.partitionBy(key).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    return partial.select(SLICE, key, *[F.sum(c).over(earlier).alias(c) for c in columns]).where(
-        F.col(columns[0]).isNotNull()
-    )
-
-
 def pit_behavior(ratings: DataFrame, *, rows_per_slice: int | None = None) -> DataFrame:
     """Behaviour values over each user's strictly earlier ratings."""
     plan = plan_slices(ratings, USER_ORDER, rows_per_slice=rows_per_slice)

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from tastemill.operators.slices import (
     SLICE,
+    carried,
     constant_array,
+    edge_rows,
     key_before,
     keys_at_ranks,
     plan_distinct_slices,
@@ -37,6 +39,25 @@ def _rank_in_slices(df: DataFrame, keys: list[str], name: str, plan) -> DataFram
     return sliced.withColumn(name, local).drop(SLICE)
 
 
+def rank_in_groups(
+    df: DataFrame, group: str, keys: list[str], name: str = "rank", *, rows_per_slice: int | None = None
+) -> DataFrame:
+    """1-based position inside each group in the order of `keys` (unique within a group).
+
+    Ranks are counted per slice of (group, keys); groups that reach over a slice border add
+    the rows of their earlier slices, so one large group is ranked by many tasks.
+    """
+    plan = plan_slices(df, [group, *keys], rows_per_slice=rows_per_slice)
+    sliced = with_slice(df, plan)
+    local = F.row_number().over(Window.partitionBy(SLICE, group).orderBy(*keys)).cast("bigint")
+    ranked = sliced.withColumn(name, local)
+    if plan.count > 1:
+        partial = edge_rows(sliced, plan, group).groupBy(SLICE, group).agg(F.count(F.lit(1)).alias("__before"))
+        ranked = ranked.join(F.broadcast(carried(partial, group, ["__before"])), [SLICE, group], "left")
+        ranked = ranked.withColumn(name, F.col(name) + F.coalesce("__before", F.lit(0))).drop("__before")
+    return ranked.drop(SLICE)
+
+
 def split_rows(total: int, train_fraction: float, validation_fraction: float) -> tuple[int, int]:
     """Last train and last validation row numbers, in exact decimals of the configured values."""
     train_end = int(Decimal(total) * Decimal(str(train_fraction)))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tastemill.operators.history import HIGH_RATING
+from tastemill.operators.rank import rank_in_groups
 
 METRICS = (
     "precision_at_5",
@@ -31,9 +32,15 @@ def regression_metrics(df: DataFrame, prediction: str = "prediction", actual: st
 
 
 def rank_by_score(df: DataFrame, score: str = "score", tie: str = "id", name: str = "rank") -> DataFrame:
-    """Per-user position by score; the tie column makes it repeatable."""
+    """Per-user position by score over whole lists of any length; the tie column makes it repeatable."""
+    keyed = df.withColumn("__down", -F.col(score).cast("double"))
+    return rank_in_groups(keyed, "user_id", ["__down", tie], name).drop("__down")
+
+
+def best_by_score(df: DataFrame, k: int, score: str = "score", tie: str = "id") -> DataFrame:
+    """The k best rows per user with their position; each task keeps at most k rows per user."""
     best = Window.partitionBy("user_id").orderBy(F.col(score).desc(), F.col(tie))
-    return df.withColumn(name, F.row_number().over(best).cast("bigint"))
+    return df.withColumn("rank", F.row_number().over(best).cast("bigint")).where(F.col("rank") <= k)
 
 
 def _ideal_gain(relevant: Column, k: int) -> Column:
@@ -57,7 +64,7 @@ def user_ranking_metrics(df: DataFrame, score: str = "score", tie: str = "id", t
         .agg(F.count(F.lit(1)).alias("rows"), F.sum(relevant).cast("bigint").alias("relevant"))
         .where((F.col("rows") >= 2) & (F.col("relevant") > 0))
     )
-    top = rank_by_score(df.select("user_id", score, tie, relevant.alias("gain")), score, tie).where(F.col("rank") <= 10)
+    top = best_by_score(df.select("user_id", score, tie, relevant.alias("gain")), 10, score, tie)
     discounted = F.col("gain") / F.log2(F.col("rank") + 1)
     five = F.col("rank") <= 5
     hits = top.groupBy("user_id").agg(

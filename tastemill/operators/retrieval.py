@@ -199,9 +199,22 @@ def _genre_bucket(liked, catalog, excluded, n, min_votes, min_average, order) ->
     )
 
 
+# A quadratic generator modulo the prime 2**31 - 1.
+PRIME = 2_147_483_647
+SEED_FACTOR, MOVIE_FACTOR, MIX_FACTOR, MIX_OFFSET = 48_271, 69_621, 16_807, 12_345
+
+
 def random_key(seed: Column, movie: Column) -> Column:
     """Repeatable random order of movies under a seed."""
-    return F.md5(F.concat_ws(":", seed.cast("string"), movie.cast("string")))
+    prime = F.lit(PRIME).cast("bigint")
+    mixed = F.pmod(seed.cast("bigint") * SEED_FACTOR + movie.cast("bigint") * MOVIE_FACTOR, prime)
+    return F.pmod(mixed * F.pmod(mixed * MIX_FACTOR + MIX_OFFSET, prime), prime)
+
+
+def random_keys(seed: int, movies: np.ndarray) -> np.ndarray:
+    """The same keys for many movies at once."""
+    mixed = (seed * SEED_FACTOR + movies * MOVIE_FACTOR) % PRIME
+    return mixed * ((mixed * MIX_FACTOR + MIX_OFFSET) % PRIME) % PRIME
 
 
 def random_by_genres(
@@ -212,19 +225,23 @@ def random_by_genres(
     n: int = 75,
     min_votes: int = 100,
     min_average: float = 6.0,
+    limit_bytes: int = BROADCAST_LIMIT_BYTES,
 ) -> DataFrame:
     """Seeded random good movies sharing a liked genre, per user; `seeds` has (user_id, seed).
 
-    The order differs per user, so no shared ranking can cut the list: the filter, the
-    exclusion and the per-user top n run on the joined rows, with the limit applied inside
-    each task first.
+    The order differs per user, so no shared ranking can cut the list. With a genre table
+    small enough to send along, each user's draw happens inside one task row by row and
+    only n rows per user come out; otherwise the pairs are joined and cut per task.
     """
     movies = quality_movies(catalog, min_votes, min_average)
-    by_genre = movies.select("movie_id", "tmdb_popularity", F.explode(F.array_distinct("genres")).alias("genre"))
+    by_genre = movies.select("movie_id", F.explode(F.array_distinct("genres")).alias("genre"))
     wanted = liked.select("user_id", "genre").join(seeds, "user_id")
-    near = wanted.join(broadcast_if_small(by_genre, 64), "genre")
-    keyed = near.select("user_id", "movie_id", random_key(F.col("seed"), F.col("movie_id")).alias("draw")).distinct()
-    fresh = keyed.join(excluded.select("user_id", "movie_id"), ["user_id", "movie_id"], "left_anti")
+    if by_genre.count() * 64 <= limit_bytes:
+        return _draw_in_tasks(wanted, by_genre, excluded, n)
+    keyed = wanted.join(by_genre, "genre").select(
+        "user_id", "movie_id", random_key(F.col("seed"), F.col("movie_id")).alias("draw")
+    )
+    fresh = keyed.distinct().join(excluded.select("user_id", "movie_id"), ["user_id", "movie_id"], "left_anti")
     best = Window.partitionBy("user_id").orderBy("draw", "movie_id")
     return (
         fresh.withColumn("rank", F.row_number().over(best).cast("bigint"))
@@ -233,6 +250,44 @@ def random_by_genres(
     )
 
 
+def _draw_in_tasks(wanted: DataFrame, by_genre: DataFrame, excluded: DataFrame, n: int) -> DataFrame:
+    """Exclusions are first reduced to good movies, so a user's list is no longer than the sent table."""
+    lists = {r["genre"]: np.array(sorted(r["ids"]), dtype=np.int64) for r in by_genre.groupBy("genre").agg(F.collect_set("movie_id").alias("ids")).collect()}
+    shared = wanted.sparkSession.sparkContext.broadcast(lists)
+    known = F.broadcast(by_genre.select("movie_id").distinct())
+    out = excluded.join(known, "movie_id", "left_semi").groupBy("user_id").agg(F.collect_set("movie_id").alias("out"))
+    asked = wanted.groupBy("user_id").agg(F.collect_list("genre").alias("liked"), F.first("seed").alias("seed"))
+    users = asked.join(out, "user_id", "left").select(
+        F.col("user_id").cast("bigint"), "liked", F.col("seed").cast("bigint"), F.coalesce("out", F.array().cast("array<bigint>")).alias("out")
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        genres = shared.value
+        for batch in batches:
+            found = [np.zeros((0, 3), dtype=np.int64)]
+            columns = [batch.column(c).to_pylist() for c in ("user_id", "liked", "seed")]
+            gone = batch.column("out")
+            for i, (user, liked, seed) in enumerate(zip(*columns, strict=True)):
+                pools = [genres[g] for g in liked if g in genres]
+                if not pools:
+                    continue
+                skipped = gone[i].values.to_numpy(zero_copy_only=False)
+                pool = np.setdiff1d(np.concatenate(pools), skipped)
+                drawn = pool[np.lexsort((pool, random_keys(seed, pool)))[:n]]
+                found.append(np.stack([np.full(len(drawn), user), drawn, np.arange(1, len(drawn) + 1)], axis=1))
+            rows = np.concatenate(found)
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "user_id": pa.array(rows[:, 0]),
+                    "movie_id": pa.array(rows[:, 1]),
+                    "score": pa.nulls(len(rows), pa.float64()),
+                    "rank": pa.array(rows[:, 2]),
+                }
+            )
+
+    return users.mapInArrow(run, "user_id bigint, movie_id bigint, score double, rank bigint")
+
+
 def sample_knn_tail(pool: DataFrame, seeds: DataFrame, skip: int = 150, n: int = 75) -> DataFrame:
     """Seeded sample without replacement from the nearest movies after the first `skip`."""
     tail = pool.where(F.col("rank") > skip).join(seeds, "user_id")

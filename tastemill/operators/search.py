@@ -17,6 +17,7 @@ K1 = 1.2
 B = 0.75
 TOKEN_BREAK = r"[^\p{L}\p{N}]+"
 QUERIES_PER_PASS = 256
+TERMS_PER_PASS = 20_000
 
 
 def tokens(text: Column) -> Column:
@@ -40,7 +41,8 @@ def search_titles(queries: DataFrame, movies: DataFrame, k: int = 20) -> DataFra
     total, words = titles.agg(F.count_if(F.size("tokens") > 0), F.sum(F.size("tokens"))).first()
     if not total:
         return queries.sparkSession.createDataFrame([], "query_id bigint, movie_id bigint, score double, rank bigint")
-    groups = max(1, -(-asked.count() // QUERIES_PER_PASS))
+    count, terms = asked.agg(F.count(F.lit(1)), F.sum(F.size(F.array_distinct(tokens(F.col("query")))))).first()
+    groups = max(1, -(-count // QUERIES_PER_PASS), -(-(terms or 0) // TERMS_PER_PASS))
     hits: DataFrame | None = None
     for group in range(groups):
         part = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(groups)) == group) if groups > 1 else asked

@@ -27,7 +27,7 @@ SELECT_LIMIT = 100_000
 
 
 def sortable(df: DataFrame, name: str) -> Column:
-    """The column as bigint or string, in the same order."""
+    """The column as bigint, double or string, in the same order (doubles must be finite)."""
     kind = df.schema[name].dataType
     if isinstance(kind, T.TimestampType):
         return F.unix_micros(F.col(name))
@@ -35,6 +35,8 @@ def sortable(df: DataFrame, name: str) -> Column:
         return F.unix_micros(F.col(name).cast("timestamp"))
     if isinstance(kind, T.StringType):
         return F.col(name)
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return F.col(name).cast("double")
     return F.col(name).cast("bigint")
 
 
@@ -45,7 +47,7 @@ def literal_for(df: DataFrame, name: str, value) -> Column:
         return F.timestamp_micros(F.lit(int(value)))
     if isinstance(kind, T.TimestampNTZType):
         return F.timestamp_micros(F.lit(int(value))).cast("timestamp_ntz")
-    if isinstance(kind, T.StringType):
+    if isinstance(kind, (T.StringType, T.DoubleType, T.FloatType)):
         return F.lit(value)
     return F.lit(int(value))
 
@@ -163,6 +165,20 @@ def running_offsets(counts: list[int]) -> list[int]:
     return offsets
 
 
+def edge_rows(sliced: DataFrame, plan: SlicePlan, key: str) -> DataFrame:
+    """Rows of key values that occur as a slice border, hence may span slices."""
+    edges = sliced.sparkSession.createDataFrame([(v,) for v in plan.edge_values()], sliced.select(key).schema)
+    return sliced.join(F.broadcast(edges), key, "left_semi")
+
+
+def carried(partial: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """Totals of all earlier slices of the same key; at most (borders + slices) rows."""
+    earlier = Window.partitionBy(key).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    return partial.select(SLICE, key, *[F.sum(c).over(earlier).alias(c) for c in columns]).where(
+        F.col(columns[0]).isNotNull()
+    )
+
+
 def keys_at_ranks(df: DataFrame, keys: list[str], ranks: list[int]) -> dict[int, tuple]:
     """Exact sort keys at the given 1-based ranks, without sorting the table.
 

@@ -140,8 +140,7 @@ def create_features(
         ft.metadata_space(catalog, stats),
     )
     base = f"{root}/version={version}"
-    writer = rows.write.mode("overwrite").option("maxRecordsPerFile", part_rows).partitionBy("split")
-    writer.parquet(f"{base}/features")
+    ds.write_feature_parts(rows, f"{base}/features", part_rows)
     written = spark.read.parquet(f"{base}/features")
     quality = ft.feature_quality(written, candidates.count()).first().asDict()
     details = {

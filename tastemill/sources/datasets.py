@@ -151,9 +151,9 @@ def write_numbered_parts(df: DataFrame, path: str) -> None:
 
 
 def write_feature_parts(df: DataFrame, path: str, part_rows: int = 100_000) -> None:
-    """Feature rows by split, at most `part_rows` rows per file."""
-    writer = df.select("split", "user_id", "movie_id", F.col("rating").cast("float").alias("rating"), "features").write
-    writer.mode("overwrite").option("maxRecordsPerFile", part_rows).partitionBy("split").parquet(path)
+    """Feature rows by split, at most `part_rows` rows per file; ratings are stored as float."""
+    writer = df.withColumn("rating", F.col("rating").cast("float")).write.mode("overwrite")
+    writer.option("maxRecordsPerFile", part_rows).partitionBy("split").parquet(path)
 
 
 def part_inventory(spark: SparkSession, path: str) -> DataFrame:

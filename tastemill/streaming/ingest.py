@@ -7,7 +7,7 @@ overwrites only its own folder.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -50,15 +50,18 @@ def write_messages(df: DataFrame, path: str) -> None:
 
 
 def message_status(validated: DataFrame, stored: DataFrame) -> DataFrame:
-    """Each message as validation_error, success (first copy of a new event) or duplicate."""
-    first = F.row_number().over(Window.partitionBy("event.event_id").orderBy("partition", "offset"))
-    good = valid_events(validated).withColumn("copy", first)
-    known = stored.select(F.col("event_id").alias("known_id")).distinct()
-    good = good.join(known, F.col("event.event_id") == F.col("known_id"), "left")
-    status = F.when((F.col("copy") == 1) & F.col("known_id").isNull(), "success").otherwise("duplicate")
+    """Each message as validation_error, success (first copy of a new event) or duplicate.
+
+    The first copy of a new event is found by aggregation and matched back by its message
+    position, so an event repeated many times does not gather in one task.
+    """
+    place = ["topic", "partition", "offset"]
+    good = valid_events(validated).select("event.event_id", *place)
+    firsts = new_events(good, stored, ["partition", "offset"]).select(*place, F.lit("success").alias("status"))
+    judged = good.join(firsts, place, "left").withColumn("status", F.coalesce("status", F.lit("duplicate")))
     bad = validated.where(F.col("error_type").isNotNull()).withColumn("status", F.lit("validation_error"))
-    columns = ["topic", "partition", "offset", "status"]
-    return good.withColumn("status", status).select(columns).unionByName(bad.select(columns))
+    columns = [*place, "status"]
+    return judged.select(columns).unionByName(bad.select(columns))
 
 
 def _stored(spark: SparkSession, path: str, like: DataFrame, batch_id: int) -> DataFrame:

@@ -81,6 +81,37 @@ def test_popular_reaches_past_a_users_exclusions(spark):
     assert sorted(r.movie_id for r in rows if r.user_id == 2) == [0, 1, 2, 3, 4]
 
 
+def test_random_draw_is_the_same_in_tasks_and_by_join(spark):
+    catalog = spark.range(300).select(
+        F.col("id").alias("movie_id"), F.array(F.when(F.col("id") % 2 == 0, "Drama").otherwise("War"), F.lit("Any")).alias("genres"),
+        F.lit(1.0).alias("tmdb_popularity"), F.lit(500).alias("tmdb_vote_count"), F.lit(7.0).alias("tmdb_vote_average"), F.lit(True).alias("poster_safe"),
+    )
+    liked = spark.createDataFrame([(1, "Drama"), (1, "War"), (2, "Drama"), (3, "None")], "user_id bigint, genre string")
+    excluded = spark.range(200).select(F.lit(1).cast("bigint").alias("user_id"), F.col("id").alias("movie_id"))
+    seeds = spark.createDataFrame([(1, 5), (2, 2**31 - 1), (3, 1)], "user_id bigint, seed bigint")
+    here, joined = (
+        {(r.user_id, r.movie_id, r["rank"]) for r in rt.random_by_genres(liked, catalog, excluded, seeds, 20, limit_bytes=limit).collect()}
+        for limit in (1 << 20, 0)
+    )
+    assert here == joined and len(here) == 40
+    assert all(m >= 200 for u, m, _ in here if u == 1) and all(m % 2 == 0 for u, m, _ in here if u == 2)
+
+
+def test_ranks_inside_a_huge_group(spark):
+    rows = spark.range(3000).select(
+        F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 40).cast("bigint").alias("user_id"), "id",
+        (F.pmod(F.col("id") * 379, F.lit(50)) / 10).alias("score"),
+    )
+    from tastemill.operators.rank import rank_in_groups
+
+    keyed = rows.withColumn("down", -F.col("score"))
+    found = {r.id: r.place for r in rank_in_groups(keyed, "user_id", ["down", "id"], "place", rows_per_slice=150).collect()}
+    by_user = {}
+    for r in rows.collect():
+        by_user.setdefault(r.user_id, []).append((-r.score, r.id))
+    assert found == {key[1]: i + 1 for group in by_user.values() for i, key in enumerate(sorted(group))}
+
+
 def test_no_cartesian_product_in_knn(world):
     plan = rt.knn(*world[3], 10)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
