@@ -6,9 +6,11 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from checks import tables as t
-from checks.feature_queries import stats
+from checks.feature_queries import NORMS, STATS, stats
+from checks.history_queries import LIKED
 from checks.registry import query
-from checks.sql import CF, CONTENT, CREATED, FEEDBACK, with_
+from checks.retrieval_queries import GOOD, POOL
+from checks.sql import CATALOG, CF, CONTENT, CREATED, FEEDBACK, LATEST, SPLIT, with_
 from tastemill.models import encoder as en
 from tastemill.models import factors as fa
 from tastemill.models import ranker as ra
@@ -86,7 +88,70 @@ def model(spark, sf, version: str, shift: int) -> rj.RankingModel:
     return rj.RankingModel(version, layers, t.cf_space(spark, sf))
 
 
-@query("recommendations")
+# The liked genres of eligible users only; the bucket scores are not part of the result.
+LIKED_READY = LIKED[LIKED.index("liked AS (") :].replace("FROM active a", "FROM ready a")
+POOL_SQL = POOL.replace("scored AS (", "alike AS (").replace("FROM scored s", "FROM alike s")
+RECOMMENDED = """ready AS (SELECT a.* FROM active a WHERE user_id IN (SELECT user_id FROM active GROUP BY user_id HAVING count(*) >= 5)),
+  excluded AS (SELECT user_id, movie_id FROM ready),
+  seed_texts AS (SELECT DISTINCT user_id, user_id || ':2024-02-01' AS text FROM ready),
+  seed_steps(user_id, text, i, a, b) AS (SELECT user_id, text, 0, 1::BIGINT, 0::BIGINT FROM seed_texts
+    UNION ALL SELECT user_id, text, i + 1, (a + ascii(substr(text, i + 1, 1))) % 65521,
+      (b + (a + ascii(substr(text, i + 1, 1))) % 65521) % 65521 FROM seed_steps WHERE i < length(text)),
+  seeds AS (SELECT user_id, (b * 65536 + a) % 2147483648 AS seed FROM seed_steps WHERE i = length(text)),
+  user_dims AS (SELECT 'content' AS space, r.user_id, p.pos, sum(r.rating) AS weight, sum(coalesce(v.vector[p.pos], 0)::DOUBLE * r.rating) AS total
+    FROM ready r CROSS JOIN (SELECT unnest(range(1, 65)) AS pos) p LEFT JOIN content v USING (movie_id) GROUP BY ALL
+    UNION ALL
+    SELECT 'cf', r.user_id, p.pos, sum(r.rating), sum(coalesce(v.vector[p.pos], 0)::DOUBLE * r.rating)
+    FROM ready r CROSS JOIN (SELECT unnest(range(1, 65)) AS pos) p LEFT JOIN cf v USING (movie_id) GROUP BY ALL),
+  inputs AS (SELECT user_id, list(total / weight ORDER BY pos) FILTER (space = 'content') AS profile,
+      list(total / weight ORDER BY pos) FILTER (space = 'cf') AS cf_profile FROM user_dims GROUP BY user_id),
+  profiles AS (SELECT user_id, profile FROM inputs),
+  behavior AS (SELECT user_id, [count(*)::DOUBLE, avg(rating), stddev_pop(rating), count(*) FILTER (rating >= 4)::DOUBLE,
+      count(*) FILTER (rating <= 2)::DOUBLE] AS behavior FROM ready GROUP BY user_id)"""
+DRAWS = f"""keyed AS (SELECT *, (m * ((m * 16807 + 12345) % 2147483647)) % 2147483647 AS draw FROM (
+      SELECT f.*, (seed * 48271 + movie_id * 69621) % 2147483647 AS m FROM fresh f JOIN seeds USING (user_id))),
+  my_drawn AS (SELECT * FROM (SELECT user_id, movie_id, row_number() OVER (PARTITION BY user_id ORDER BY draw, movie_id) AS rank FROM keyed) WHERE rank <= 75),
+  tail_keyed AS (SELECT *, (m * ((m * 16807 + 12345) % 2147483647)) % 2147483647 AS draw FROM (
+      SELECT n.*, (seed * 48271 + movie_id * 69621) % 2147483647 AS m FROM near n JOIN seeds USING (user_id)
+      WHERE rank > 150 AND user_id NOT IN (SELECT user_id FROM liked))),
+  my_tail AS (SELECT * FROM (SELECT user_id, movie_id, row_number() OVER (PARTITION BY user_id ORDER BY draw, movie_id) AS rank FROM tail_keyed) WHERE rank <= 75),
+  buckets AS (SELECT user_id, movie_id, 'knn' AS retrieval_source, 0 AS p, rank FROM near WHERE rank <= 250
+    UNION ALL SELECT user_id, movie_id, 'popular', 1, rank FROM popular UNION ALL SELECT user_id, movie_id, 'random_genre', 2, rank FROM my_drawn
+    UNION ALL SELECT user_id, movie_id, 'random_knn', 3, rank FROM my_tail),
+  kept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id, movie_id ORDER BY p, rank) AS copy FROM buckets) WHERE copy = 1),
+  pool AS (SELECT * FROM (SELECT user_id, movie_id, retrieval_source, row_number() OVER (PARTITION BY user_id ORDER BY p, rank, movie_id) AS pool_rank
+    FROM kept) WHERE pool_rank <= 300),
+  norms AS (SELECT movie_id, [{", ".join(f"({e})::DOUBLE" for e in NORMS.values())}] AS metadata FROM catalog, stats),
+  joined AS (SELECT p.*, i.profile AS u, i.cf_profile AS w, b.behavior, n.metadata, coalesce(c.vector::DOUBLE[], z.zero) AS v, coalesce(f.vector::DOUBLE[], z.zero) AS x
+    FROM pool p JOIN inputs i USING (user_id) JOIN behavior b USING (user_id) LEFT JOIN norms n USING (movie_id)
+    LEFT JOIN content c USING (movie_id) LEFT JOIN cf f USING (movie_id), (SELECT list_resize([0.0::DOUBLE], 64, 0.0::DOUBLE) AS zero) z),
+  features AS (SELECT user_id, movie_id, retrieval_source, pool_rank, list_concat(u, v, [cos_uv], list_transform(range(1, 65), lambda i: u[i] * v[i]),
+      w, x, [cos_wx], list_transform(range(1, 65), lambda i: w[i] * x[i]), behavior, metadata) AS f
+    FROM (SELECT *, CASE WHEN list_dot_product(u, u) * list_dot_product(v, v) > 0
+        THEN list_dot_product(u, v) / sqrt(list_dot_product(u, u) * list_dot_product(v, v)) ELSE 0 END AS cos_uv,
+      CASE WHEN list_dot_product(w, w) * list_dot_product(x, x) > 0
+        THEN list_dot_product(w, x) / sqrt(list_dot_product(w, w) * list_dot_product(x, x)) ELSE 0 END AS cos_wx FROM joined)),
+  models AS (SELECT * FROM (VALUES ('main', 6), ('candidate', 7)) m(model_role, hidden)),
+  units AS (SELECT model_role, j, list(((i * 7 + j * 13) % 11 - 5) / 50.0::DOUBLE ORDER BY i) AS weights
+    FROM models, range(396) a(i), range(7) b(j) WHERE j < hidden GROUP BY model_role, j),
+  scored AS (SELECT user_id, movie_id, retrieval_source, pool_rank, model_role,
+      sum(greatest(0, list_dot_product(f, weights) + (j % 3) / 10.0::DOUBLE) * (((j * 3) % 5 - 1) / 4.0::DOUBLE)) + 3.0 AS predicted_score
+    FROM features, units GROUP BY ALL),
+  listed AS (SELECT *, row_number() OVER (PARTITION BY user_id, model_role ORDER BY predicted_score DESC, pool_rank) AS rank FROM scored),
+  picked AS (SELECT * FROM listed WHERE rank <= CASE WHEN model_role = 'main' THEN 14 ELSE 6 END),
+  single AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id, movie_id ORDER BY predicted_score DESC, model_role DESC) AS copy FROM picked) WHERE copy = 1)"""
+
+
+@query(
+    "recommendations",
+    with_(
+        SPLIT, LATEST, "active AS (SELECT * FROM latest WHERE event_type = 'rating_created' AND rating IS NOT NULL)",
+        CATALOG, STATS, CONTENT, CF, RECOMMENDED, LIKED_READY, POOL_SQL, GOOD, DRAWS, recursive=True,
+        select="""SELECT user_id, movie_id, rank_position, model_role, retrieval_source, round(predicted_score, 6) AS predicted_score FROM (
+          SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY predicted_score DESC, model_role DESC, rank, movie_id) AS rank_position FROM single)
+          WHERE rank_position <= 20""",
+    ),
+)
 def recommendations(spark, sf):
     """Ranked lists for every eligible user from two models (composite of operators checked on their own)."""
     main = model(spark, sf, "m1", 0)

@@ -30,6 +30,8 @@ HIGH_RATING = 4.0
 LOW_RATING = 2.0
 MIN_RATINGS_TO_RECOMMEND = 5
 
+# Rows walked at a time; bounds the memory for wide feature rows.
+WALK_ROWS = 2048
 USER_ORDER = ["user_id", "rating_timestamp", "id"]
 BEHAVIOR_FIELDS = (
     "num_user_ratings",
@@ -260,9 +262,7 @@ def walk_batches(
     """
     dims = {s.name: s.dim for s in shapes if s.profiled}
     state = _UserState()
-    for batch in batches:
-        if batch.num_rows == 0:
-            continue
+    for batch in (whole.slice(at, WALK_ROWS) for whole in batches for at in range(0, whole.num_rows, WALK_ROWS)):
         users = batch.column("user_id").to_numpy(zero_copy_only=False)
         is_carry = batch.column("carry").to_numpy(zero_copy_only=False).astype(bool)
         rating = np.nan_to_num(batch.column("rating").to_numpy(zero_copy_only=False).astype(np.float64))
@@ -346,7 +346,7 @@ def walk_history(
             yield build(walked)
 
     laid_out = rows.repartitionById(plan.count, F.col(SLICE)).sortWithinPartitions(
-        F.col("user_id"), F.col("carry").desc(), F.col("rating_timestamp"), F.col("id")
+        F.col(SLICE), F.col("user_id"), F.col("carry").desc(), F.col("rating_timestamp"), F.col("id")
     )
     return laid_out.mapInArrow(run, schema)
 

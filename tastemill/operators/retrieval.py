@@ -98,8 +98,7 @@ def _knn_block(users: DataFrame, vectors: DataFrame, excluded: DataFrame, k: int
     unit = np.where(lengths > 0, matrix / np.where(lengths > 0, lengths, 1.0), 0.0)
     shared = spark.sparkContext.broadcast((ids, unit))
     # How many of this block's movies each user excludes decides how deep the hit list must be.
-    block_ids = spark.createDataFrame([(int(i),) for i in ids], "movie_id bigint")
-    within = excluded.join(F.broadcast(block_ids), "movie_id", "left_semi")
+    within = excluded.join(F.broadcast(vectors.select("movie_id")), "movie_id", "left_semi")
     counted = within.groupBy("user_id").agg(F.count(F.lit(1)).alias("skip"))
     asked = users.join(counted, "user_id", "left").select(
         F.col("user_id").cast("bigint"), "profile", F.coalesce("skip", F.lit(0)).alias("skip")

@@ -44,9 +44,14 @@ def eligible_ratings(
 
 
 def score_pool(
-    pool: DataFrame, users: DataFrame, content: VectorSpace, cf: VectorSpace, metadata: VectorSpace, layers: Layers
+    pool: DataFrame,
+    users: DataFrame,
+    content: VectorSpace,
+    cf: VectorSpace,
+    metadata: VectorSpace,
+    models: dict[str, RankingModel],
 ) -> DataFrame:
-    """Model scores of every pool row.
+    """Scores of every pool row by each model (role -> model), all fed with the same vectors.
 
     `users` has user_id, content_profile, cf_profile and behavior. A user's candidates (at
     most the pool cap) travel as one row with the profile, so profiles are not repeated per
@@ -66,19 +71,24 @@ def score_pool(
     )
     asked = packed.join(users, "user_id")
     dims = {s.name: s.dim for s in spaces}
-    shared = pool.sparkSession.sparkContext.broadcast((tables, layers))
+    shared = pool.sparkSession.sparkContext.broadcast((tables, {r: (m.version, m.layers) for r, m in models.items()}))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, weights = shared.value
+        known, nets = shared.value
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
-                yield _score_users(batch.slice(at, 64), known, dims, weights)
+                yield from _score_users(batch.slice(at, 64), known, dims, nets)
 
-    schema = "user_id bigint, movie_id bigint, pool_rank bigint, retrieval_source string, predicted_score double"
+    schema = (
+        "user_id bigint, movie_id bigint, pool_rank bigint, retrieval_source string, "
+        "model_role string, model_version string, predicted_score double"
+    )
     return asked.mapInArrow(run, schema)
 
 
-def _score_users(batch: pa.RecordBatch, tables: dict, dims: dict[str, int], layers: Layers) -> pa.RecordBatch:
+def _score_users(
+    batch: pa.RecordBatch, tables: dict, dims: dict[str, int], nets: dict[str, tuple[str, Layers]]
+) -> Iterator[pa.RecordBatch]:
     lists = batch.column("rows")
     counts = lists.value_lengths().to_numpy(zero_copy_only=False)
     flat = lists.flatten()
@@ -100,15 +110,18 @@ def _score_users(batch: pa.RecordBatch, tables: dict, dims: dict[str, int], laye
         per_row("behavior", 5),
         vectors("metadata"),
     )
-    return pa.RecordBatch.from_pydict(
-        {
-            "user_id": pa.array(np.repeat(batch.column("user_id").to_numpy(), counts)),
-            "movie_id": pa.array(movies),
-            "pool_rank": flat.field("pool_rank"),
-            "retrieval_source": flat.field("retrieval_source"),
-            "predicted_score": pa.array(forward(matrix, layers)),
-        }
-    )
+    for role, (version, layers) in nets.items():
+        yield pa.RecordBatch.from_pydict(
+            {
+                "user_id": pa.array(np.repeat(batch.column("user_id").to_numpy(), counts)),
+                "movie_id": pa.array(movies),
+                "pool_rank": flat.field("pool_rank"),
+                "retrieval_source": flat.field("retrieval_source"),
+                "model_role": pa.array([role] * len(matrix)),
+                "model_version": pa.array([version] * len(matrix)),
+                "predicted_score": pa.array(forward(matrix, layers)),
+            }
+        )
 
 
 def user_inputs(ratings: DataFrame, content: VectorSpace, cf: VectorSpace) -> DataFrame:
@@ -150,16 +163,19 @@ def recommend_batch(
     liked = h.liked_genres(ratings, catalog, sizes.liked_genres)
     seeds = users.select("user_id", daily_seed(F.col("user_id"), now, F.lit(token or "")).alias("seed"))
     pool = checkpointed(rt.candidate_pool(users, content.movies, catalog, liked, excluded, seeds, sizes)).drop("score")
-    metadata = metadata_space(catalog, stats)
-    scored = _ranked(score_pool(pool, users, content, main.cf, metadata, main.layers), "main", main.version)
+    metadata = metadata_space(catalog, stats, "double")
     challenged = candidate is not None and candidate_fraction > 0
-    if challenged:
-        inputs = users if candidate.cf is main.cf else user_inputs(ratings, content, candidate.cf)
-        other = score_pool(pool, inputs, content, candidate.cf, metadata, candidate.layers)
-        scored = scored.unionByName(_ranked(other, "candidate", candidate.version))
+    models = {"main": main}
+    if challenged and candidate.cf is main.cf:
+        models["candidate"] = candidate
+    scored = score_pool(pool, users, content, main.cf, metadata, models)
+    if challenged and candidate.cf is not main.cf:
+        # The challenger was trained with other factors, so it needs its own profiles.
+        inputs = user_inputs(ratings, content, candidate.cf)
+        scored = scored.unionByName(score_pool(pool, inputs, content, candidate.cf, metadata, {"candidate": candidate}))
     slots = model_slots(F.lit(top_k), F.lit(float(candidate_fraction)), F.lit(challenged))
     shares = users.select("user_id", slots.alias("s")).select("user_id", "s.main_slots", "s.candidate_slots")
-    merged = merge_model_rankings(scored, shares, top_k)
+    merged = merge_model_rankings(_ranked(scored, top_k), shares, top_k)
     request = name_uuid(F.concat_ws(":", F.lit("request"), F.col("user_id").cast("string"), F.unix_micros(now).cast("string"), F.lit(token or "")))
     return merged.select(
         F.concat(F.lit("rec-"), request).alias("request_id"),
@@ -175,13 +191,11 @@ def recommend_batch(
     )
 
 
-def _ranked(scored: DataFrame, role: str, version: str) -> DataFrame:
-    best = Window.partitionBy("user_id").orderBy(F.col("predicted_score").desc(), "pool_rank")
-    return scored.select(
-        "user_id", "movie_id", "predicted_score", "retrieval_source",
-        F.lit(role).alias("model_role"), F.lit(version).alias("model_version"),
-        F.row_number().over(best).cast("bigint").alias("rank"),
-    )
+def _ranked(scored: DataFrame, top_k: int) -> DataFrame:
+    """Each model's best rows per user; no model gets more than top_k slots."""
+    best = Window.partitionBy("user_id", "model_role").orderBy(F.col("predicted_score").desc(), "pool_rank")
+    ranked = scored.withColumn("rank", F.row_number().over(best).cast("bigint")).where(F.col("rank") <= top_k)
+    return ranked.drop("pool_rank")
 
 
 @dataclass

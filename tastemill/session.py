@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,20 +39,12 @@ def rows_per_slice(spark: SparkSession) -> int:
     return int(spark.conf.get(ROWS_PER_SLICE_CONF, str(DEFAULT_ROWS_PER_SLICE)))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Shared folder named by the cluster; a local one only where none is set (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = os.environ.get("TASTEMILL_SCRATCH") or tempfile.mkdtemp(prefix="tastemill-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
-
-
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage through reliable storage."""
-    context = df.sparkSession.sparkContext
+    """Cut lineage through reliable storage: the cluster's shared folder, a local one only where none is named."""
+    spark = df.sparkSession
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_dir(df.sparkSession))
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tastemill-"))
     return df.checkpoint(eager=True)
 
 

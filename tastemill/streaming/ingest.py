@@ -94,7 +94,9 @@ def ingest_batch(batch: DataFrame, batch_id: int, topic: str, root: str, catalog
         letter_path = f"{root}/dead_letter_events"
         seen = _stored(spark, letter_path, letters, batch_id)
         position = ["source_topic", "kafka_partition", "kafka_offset"]
-        fresh_letters = letters.dropDuplicates(position).join(seen.select(*position), position, "left_anti")
+        fresh_letters = letters.dropDuplicates(position)
+        kept = seen.select(*position).join(broadcast_if_small(fresh_letters.select(*position), 64), position, "left_semi")
+        fresh_letters = fresh_letters.join(kept, position, "left_anti")
         _write_batch(fresh_letters, letter_path, batch_id)
 
         rows = valid_events(checked).select("event.*", "partition", "offset")
