@@ -59,98 +59,98 @@ def knn(
     k: int,
     *,
     profile: str = "content_profile",
+    depth: str | None = None,
     block_bytes: int = BROADCAST_LIMIT_BYTES,
 ) -> DataFrame:
     """Exact top-k movies by cosine per user, without the excluded pairs.
 
     Item vectors are handled in blocks of a fixed byte size; each task multiplies a batch
-    of users with one block and keeps k + (exclusions inside the block) hits per user, so
-    the pairs themselves never exist as rows. `vectors` has (movie_id, vector) of the
-    movies allowed in results. A user without a direction scores 0 everywhere.
+    of users with one block and emits at most k hits per user, so the pairs themselves
+    never exist as rows. `vectors` has (movie_id, vector) of the movies allowed in results.
+    A user without a direction scores 0 everywhere. `depth` may name a profile column with a
+    smaller k of that user.
     """
     rows, width = vectors.agg(F.count(F.lit(1)), F.max(F.size("vector"))).first()
     if not rows:
         return profiles.sparkSession.createDataFrame([], _KNN_SCHEMA)
     blocks = max(1, -(-rows * (width * 8 + 8) // block_bytes))
-    users = profiles.select("user_id", F.col(profile).alias("profile"))
+    users = profiles.select("user_id", F.col(profile).alias("profile"), (F.col(depth) if depth else F.lit(k)).alias("k"))
     hits: DataFrame | None = None
     for block in range(blocks):
         part = vectors.where(F.pmod(F.xxhash64("movie_id"), F.lit(blocks)) == block) if blocks > 1 else vectors
-        found = _knn_block(users, part, excluded, k)
+        found = _knn_block(users, part, excluded, width)
         hits = found if hits is None else hits.unionByName(found)
-    if blocks > 1:
-        # Hits of different blocks meet here, at most k rows per user and block.
-        hits = top_per_user(hits, k, [F.col("score").desc(), F.col("movie_id")])
+    if blocks == 1:
+        return hits
+    # Hits of different blocks meet here, at most k rows per user and block.
     best = Window.partitionBy("user_id").orderBy(F.col("score").desc(), "movie_id")
-    return hits.withColumn("rank", F.row_number().over(best).cast("bigint"))
+    return hits.withColumn("rank", F.row_number().over(best).cast("bigint")).where(F.col("rank") <= k)
 
 
 _KNN_SCHEMA = "user_id bigint, movie_id bigint, score double, rank bigint"
 
 
-def _knn_block(users: DataFrame, vectors: DataFrame, excluded: DataFrame, k: int) -> DataFrame:
+def _knn_block(users: DataFrame, vectors: DataFrame, excluded: DataFrame, width: int) -> DataFrame:
+    """Exclusions are first reduced to the block's movies, so a user's list is no longer than the block."""
     spark = users.sparkSession
-    table = vectors.select(F.col("movie_id").cast("bigint"), F.col("vector").cast("array<double>")).orderBy("movie_id").toArrow()
+    table = vectors.select(F.col("movie_id").cast("bigint"), F.col("vector").cast("array<double>")).toArrow()
     ids = table.column("movie_id").to_numpy()
-    width = len(table.column("vector")[0]) if table.num_rows else 1
-    matrix = np.concatenate([stack_lists(c, width) for c in table.column("vector").chunks] or [np.zeros((0, width))])
+    parts = [stack_lists(c, width) for c in table.column("vector").chunks]
+    matrix = np.concatenate(parts) if parts else np.zeros((0, width))
+    order = np.argsort(ids)
+    ids, matrix = ids[order], matrix[order]
     lengths = np.linalg.norm(matrix, axis=1, keepdims=True)
-    unit = np.where(lengths > 0, matrix / np.where(lengths > 0, lengths, 1.0), 0.0)
-    shared = spark.sparkContext.broadcast((ids, unit))
-    # How many of this block's movies each user excludes decides how deep the hit list must be.
+    shared = spark.sparkContext.broadcast((ids, np.where(lengths > 0, matrix / np.where(lengths > 0, lengths, 1.0), 0.0)))
     within = excluded.join(F.broadcast(vectors.select("movie_id")), "movie_id", "left_semi")
-    counted = within.groupBy("user_id").agg(F.count(F.lit(1)).alias("skip"))
-    asked = users.join(counted, "user_id", "left").select(
-        F.col("user_id").cast("bigint"), "profile", F.coalesce("skip", F.lit(0)).alias("skip")
+    lists = within.groupBy("user_id").agg(F.collect_set(F.col("movie_id").cast("bigint")).alias("out"))
+    asked = users.join(lists, "user_id", "left").select(
+        F.col("user_id").cast("bigint"),
+        "profile",
+        F.col("k").cast("bigint"),
+        F.coalesce("out", F.array().cast("array<bigint>")).alias("out"),
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         movie_ids, items = shared.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                yield _nearest(batch.slice(at, 512), movie_ids, items, k)
+            for at in range(0, batch.num_rows, 256):
+                yield _nearest(batch.slice(at, 256), movie_ids, items)
 
-    deep = asked.mapInArrow(run, "user_id bigint, movie_id bigint, score double")
-    kept = deep.join(within.select("user_id", "movie_id"), ["user_id", "movie_id"], "left_anti")
-    return top_per_user(kept, k, [F.col("score").desc(), F.col("movie_id")])
+    return asked.mapInArrow(run, _KNN_SCHEMA)
 
 
-def _nearest(batch: pa.RecordBatch, ids: np.ndarray, items: np.ndarray, k: int) -> pa.RecordBatch:
+def _nearest(batch: pa.RecordBatch, ids: np.ndarray, items: np.ndarray) -> pa.RecordBatch:
     users = batch.column("user_id").to_numpy()
-    depth = np.minimum(batch.column("skip").to_numpy() + k, len(ids)).astype(np.int64)
-    profiles = np.stack([np.asarray(v, dtype=np.float64) for v in batch.column("profile").to_numpy(zero_copy_only=False)]) if len(users) else np.zeros((0, items.shape[1]))
+    depth = batch.column("k").to_numpy()
+    gone = batch.column("out")
+    profiles = stack_lists(batch.column("profile"), items.shape[1]).astype(np.float64)
     lengths = np.linalg.norm(profiles, axis=1, keepdims=True)
     unit = np.where(lengths > 0, profiles / np.where(lengths > 0, lengths, 1.0), 0.0)
     # Rounded so that equal similarities tie by movie id whatever the summation order.
     scores = np.round(unit @ items.T, 9) + 0.0
-    out_users, out_ids, out_scores = [], [], []
-    for i, n in enumerate(depth):
+    found = [np.zeros((0, 3), dtype=np.int64)]
+    found_scores = [np.zeros(0)]
+    for i, k in enumerate(depth):
         row = scores[i]
-        if n < len(ids):
-            limit = np.partition(row, len(ids) - n)[len(ids) - n]
-            near = np.flatnonzero(row >= limit)
-        else:
-            near = np.arange(len(ids))
-        chosen = near[np.lexsort((ids[near], -row[near]))[:n]]
-        out_users.append(np.full(len(chosen), users[i]))
-        out_ids.append(ids[chosen])
-        out_scores.append(row[chosen])
-    joined = [np.concatenate(x) if x else np.zeros(0) for x in (out_users, out_ids, out_scores)]
+        row[np.searchsorted(ids, gone[i].values.to_numpy(zero_copy_only=False))] = -np.inf
+        near = np.flatnonzero(row > -np.inf)
+        if k < len(near):
+            limit = np.partition(row[near], len(near) - k)[len(near) - k]
+            near = near[row[near] >= limit]
+        chosen = near[np.lexsort((ids[near], -row[near]))[:k]]
+        found.append(np.stack([np.full(len(chosen), users[i]), ids[chosen], np.arange(1, len(chosen) + 1)], axis=1))
+        found_scores.append(row[chosen])
+    rows = np.concatenate(found)
     return pa.RecordBatch.from_pydict(
         {
-            "user_id": pa.array(joined[0].astype(np.int64)),
-            "movie_id": pa.array(joined[1].astype(np.int64)),
-            "score": pa.array(joined[2].astype(np.float64)),
+            "user_id": pa.array(rows[:, 0]),
+            "movie_id": pa.array(rows[:, 1]),
+            "score": pa.array(np.concatenate(found_scores)),
+            "rank": pa.array(rows[:, 2]),
         }
     )
 
 
-def top_per_user(df: DataFrame, k: int, order: list[Column]) -> DataFrame:
-    """Best k rows per user; the limit is applied within each task before the shuffle."""
-    window = Window.partitionBy("user_id").orderBy(*order)
-    return df.withColumn("__rn", F.row_number().over(window)).where(F.col("__rn") <= k).drop("__rn")
-
-
 def similarity_to(df: DataFrame, left: str, right: str) -> DataFrame:
     return df.withColumn("cosine", cosine(F.col(left), F.col(right)))
 
@@ -338,20 +338,30 @@ def candidate_pool(
 ) -> DataFrame:
     """All buckets for all users: with liked genres nearest + popular + random, else nearest + sampled tail."""
     allowed = vectors.join(safe_movies(catalog).select("movie_id"), "movie_id", "left_semi")
-    has_liked = liked.select("user_id").distinct()
-    near = knn(profiles, allowed, excluded, max(sizes.knn, sizes.knn_pool))
-    with_vector = vectors.select("movie_id")
-    indexed = catalog.join(with_vector, "movie_id", "left_semi")
+    fans = liked.select("user_id").distinct().withColumn("has_liked", F.lit(True))
+    pool = max(sizes.knn, sizes.knn_pool)
+    asked = profiles.join(fans, "user_id", "left").withColumn(
+        "k", F.when(F.col("has_liked"), F.lit(sizes.knn)).otherwise(F.lit(pool))
+    )
+    near = knn(asked, allowed, excluded, pool, depth="k")
+    indexed = catalog.join(vectors.select("movie_id"), "movie_id", "left_semi")
     popular = popular_by_genres(liked, indexed, excluded, sizes.popular, sizes.min_votes, sizes.min_average)
     drawn = random_by_genres(liked, indexed, excluded, seeds, sizes.random_genre, sizes.min_votes, sizes.min_average)
-    tail_pool = near.join(has_liked, "user_id", "left_anti").where(F.col("rank") <= sizes.knn_pool)
-    tail = sample_knn_tail(tail_pool, seeds, sizes.random_knn_skip, sizes.random_knn)
     return merge_buckets(
-        [
-            bucket(near.where(F.col("rank") <= sizes.knn), KNN),
-            bucket(popular, POPULAR),
-            bucket(drawn, RANDOM_GENRE),
-            bucket(tail, RANDOM_KNN),
-        ],
+        [near_buckets(near, fans, seeds, sizes), bucket(popular, POPULAR), bucket(drawn, RANDOM_GENRE)],
         sizes.max_candidates,
     )
+
+
+def near_buckets(near: DataFrame, fans: DataFrame, seeds: DataFrame, sizes: RetrievalSizes) -> DataFrame:
+    """Nearest movies and, for users without liked genres, the sampled tail, from one pass over the hits."""
+    flagged = near.join(fans, "user_id", "left").join(seeds, "user_id")
+    in_tail = F.col("has_liked").isNull() & F.col("rank").between(sizes.random_knn_skip + 1, sizes.knn_pool)
+    labels = F.array(F.when(F.col("rank") <= sizes.knn, KNN), F.when(in_tail, RANDOM_KNN))
+    rows = flagged.select("*", F.explode(F.array_compact(labels)).alias("retrieval_source"))
+    sampled = F.col("retrieval_source") == RANDOM_KNN
+    draw = F.when(sampled, random_key(F.col("seed"), F.col("movie_id"))).otherwise(F.col("rank"))
+    order = Window.partitionBy("user_id", "retrieval_source").orderBy(draw, "movie_id")
+    placed = rows.withColumn("rank", F.row_number().over(order).cast("bigint"))
+    kept = placed.where(~sampled | (F.col("rank") <= sizes.random_knn))
+    return kept.select("user_id", "movie_id", "score", "rank", "retrieval_source")
