@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from checks import tables as t
 from checks.function_queries import ISO, UUID_SQL, uuid_from
 from checks.registry import query
-from checks.sql import FEEDBACK, RATINGS, TAGS, with_
+from checks.sql import FEEDBACK, RATINGS, with_
 from tastemill.functions import events as ev
 from tastemill.operators import experiment as ex
 from tastemill.operators import merge as m

@@ -9,7 +9,6 @@ import pyarrow as pa
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tastemill.operators.vectors import stack_lists
