@@ -9,7 +9,7 @@ from checks.registry import query
 from checks.sql import CATALOG, MAPS, RATINGS, SPLIT, with_
 from tastemill.operators import rank
 from tastemill.operators.ranking import movie_coverage
-from tastemill.session import checkpointed
+from tastemill.session import staged
 
 
 def split(spark, sf):
@@ -29,7 +29,7 @@ def mapped(spark, sf):
 
 def mapped_train(spark, sf):
     """Training rows, written once since numbering reads them several times."""
-    return checkpointed(mapped(spark, sf).where(F.col("split") == "train"))
+    return staged(mapped(spark, sf).where(F.col("split") == "train"))
 
 
 @query("temporal_split", with_(SPLIT, select="SELECT id, user_id, movie_id, split FROM split_ratings"))

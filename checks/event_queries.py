@@ -11,7 +11,7 @@ from checks.sql import FEEDBACK, RATINGS, with_
 from tastemill.functions import events as ev
 from tastemill.operators import experiment as ex
 from tastemill.operators import merge as m
-from tastemill.session import checkpointed
+from tastemill.session import staged
 from tastemill.streaming import health
 
 MESSAGES = RATINGS + f""", made AS (SELECT *, {UUID_SQL} AS made_id FROM (SELECT *,
@@ -67,7 +67,7 @@ STORED = """, valid AS (SELECT * FROM messages WHERE error_type IS NULL), stored
 
 def checked_messages(spark, sf):
     """Validated messages, written once since several branches read them."""
-    return checkpointed(ev.validate_events(t.rating_messages(spark, sf), "ratings"))
+    return staged(ev.validate_events(t.rating_messages(spark, sf), "ratings"))
 
 
 @query(

@@ -13,7 +13,7 @@ from tastemill.operators import features as f
 from tastemill.operators import history as h
 from tastemill.operators import ranking as r
 from tastemill.operators.vectors import cosine, drop_bad_vectors, elementwise_product, norm, with_vector
-from tastemill.session import checkpointed
+from tastemill.session import staged
 
 STATS = """stats AS (SELECT coalesce(min("year"), 0)::DOUBLE AS year_min, coalesce(max("year"), 0)::DOUBLE AS year_max,
   coalesce(min(runtime), 0)::DOUBLE AS runtime_min, coalesce(max(runtime), 0)::DOUBLE AS runtime_max,
@@ -161,9 +161,9 @@ FEATURES = MAPPED + ", " + STATS + ", " + CONTENT + ", " + CF + """,
 
 def pit_features(spark, sf, kind="double"):
     """Feature rows of all mapped ratings; removals are no ratings and carry no target."""
-    rows = checkpointed(mapped(spark, sf))
+    rows = staged(mapped(spark, sf))
     history = h.of_users(t.created(spark, sf), h.candidate_users(rows))
-    marked = checkpointed(h.mark_targets(history, rows))
+    marked = staged(h.mark_targets(history, rows))
     bounds = f.stats_values(stats(spark, sf))
     metadata = f.metadata_space(t.catalog(spark, sf), bounds, kind)
     return f.feature_rows(marked, t.content_space(spark, sf), t.cf_space(spark, sf), metadata, kind=kind)

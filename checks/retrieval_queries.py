@@ -11,7 +11,7 @@ from checks.sql import CATALOG, CONTENT, with_
 from tastemill.operators import history as h
 from tastemill.operators import retrieval as ret
 from tastemill.operators.search import search_titles
-from tastemill.session import checkpointed
+from tastemill.session import staged
 
 SIZES = ret.RetrievalSizes()
 
@@ -31,7 +31,7 @@ EXCLUDED = SHOWN_SQL.lstrip(", ")
 
 def history(spark, sf):
     """Active ratings, written once since every bucket reads them."""
-    return checkpointed(active(spark, sf))
+    return staged(active(spark, sf))
 
 
 def profiles(spark, sf, rows):

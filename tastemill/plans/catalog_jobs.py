@@ -13,7 +13,7 @@ from tastemill.models.encoder import Encoder, embed_stale
 from tastemill.operators import merge as m
 from tastemill.operators.documents import movie_documents
 from tastemill.operators.monitor import check_summary
-from tastemill.session import checkpointed
+from tastemill.session import staged
 from tastemill.sources.catalog_csv import read_catalog_csv
 from tastemill.sources.operational import publish_documents
 
@@ -84,7 +84,7 @@ def sync_documents(
 ) -> SyncResult:
     """Publish documents of queued movies, embedding only stale texts; one attempt per movie and run.
 
-    The fresh embeddings are checkpointed once, since they feed both the stored table and
+    The fresh embeddings are staged once, since they feed both the stored table and
     the documents and an encoder may be costly.
     """
     queue = m.mark_all_dirty(dirty, catalog, now) if rebuild else dirty
@@ -95,7 +95,7 @@ def sync_documents(
         F.coalesce("tags", F.array().cast("array<string>")),
     )
     texts = due.withColumn("text", text)
-    fresh = checkpointed(embed_stale(texts.select("movie_id", "text"), embeddings, dim, embedding_version, encoder))
+    fresh = staged(embed_stale(texts.select("movie_id", "text"), embeddings, dim, embedding_version, encoder))
     stored = m.upsert_embeddings(embeddings, fresh, now)
     vectors = stored.select("movie_id", "embedding", F.col("embedding_version").alias("__version"))
     rows = texts.join(vectors, "movie_id", "left")

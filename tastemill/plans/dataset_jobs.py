@@ -11,7 +11,7 @@ from tastemill.operators import history as h
 from tastemill.operators import rank as rk
 from tastemill.operators.ranking import METRICS, ranking_metrics, regression_metrics
 from tastemill.operators.vectors import VectorSpace, drop_bad_vectors
-from tastemill.session import checkpointed
+from tastemill.session import staged
 from tastemill.sources import datasets as ds
 
 TIME_ORDERED = {"ratings_events": ["rating_timestamp", "id"], "tag_events": ["id"]}
@@ -62,8 +62,8 @@ def prepare_training(
     for name, df in maps.items():
         df.write.mode("overwrite").parquet(f"{base}/{name}")
     users, movies = (spark.read.parquet(f"{base}/{name}") for name in maps)
-    # Numbering reads the rows several times, so the joins run once, into a staging copy.
-    mapped = checkpointed(rk.map_to_indexes(split, users, movies))
+    # Numbering reads the rows several times, so the joins run once, into a staging copy by split.
+    mapped = staged(rk.map_to_indexes(split, users, movies), "split")
     for name in ("train", "validation", "test"):
         rows = mapped.where(F.col("split") == name).drop("split")
         if name == "train":
@@ -72,7 +72,10 @@ def prepare_training(
         else:
             parts = rk.number_parts(rows, ["rating_timestamp", "id"], part_rows)
         ds.write_numbered_parts(parts, f"{base}/{name}")
-    drops = {r["split"]: r.asDict() for r in rk.mapping_drops(split, users, movies).collect()}
+    kept = {r["split"]: r["count"] for r in mapped.groupBy("split").count().collect()}
+    total = ratings.count()
+    ends = rk.split_rows(total, train, validation)
+    sizes = {"train": ends[0], "validation": ends[1] - ends[0], "test": total - ends[1]}
     details = {
         "snapshot_id": chosen,
         "cf_dataset_version": version,
@@ -81,7 +84,9 @@ def prepare_training(
         "fractions": {"train": train, "validation": validation, "test": test},
         "shuffle_seed": seed,
         "rating_mode": mode,
-        "splits": {n: drops.get(n, {"total_rows": 0, "mapped_rows": 0, "dropped_rows": 0}) for n in ("train", "validation", "test")},
+        "splits": {
+            n: {"total_rows": size, "mapped_rows": kept.get(n, 0), "dropped_rows": size - kept.get(n, 0)} for n, size in sizes.items()
+        },
     }
     ds.commit_dataset(spark, root, version, details)
     return details
@@ -134,7 +139,7 @@ def create_features(
     stats = ft.stats_values(ft.fit_metadata_stats(targets[0], catalog))
     history = h.of_users(ratings, h.candidate_users(candidates))
     rows = ft.feature_rows(
-        checkpointed(h.mark_targets(history, candidates)),
+        staged(h.mark_targets(history, candidates)),
         VectorSpace("content", content, content_dim),
         VectorSpace("cf", cf, cf_dim),
         ft.metadata_space(catalog, stats),

@@ -19,7 +19,7 @@ from tastemill.operators import retrieval as rt
 from tastemill.operators.features import assemble_matrix, metadata_space
 from tastemill.operators.ranking import merge_model_rankings
 from tastemill.operators.vectors import VectorSpace, small_enough, stack_lists, vector_table, with_vector
-from tastemill.session import checkpointed
+from tastemill.session import staged
 
 
 @dataclass(frozen=True)
@@ -152,17 +152,17 @@ def recommend_batch(
     """Impression rows (one ranked list per eligible user) ready to be appended to the log.
 
     The merged ratings and the user inputs feed several branches, so both are
-    checkpointed instead of being computed per branch.
+    staged instead of being computed per branch.
     """
-    ratings = checkpointed(eligible_ratings(events, catalog, new_ratings))
-    users = checkpointed(user_inputs(ratings, content, main.cf))
+    ratings = staged(eligible_ratings(events, catalog, new_ratings))
+    users = staged(user_inputs(ratings, content, main.cf))
     if shown is None:
         excluded = ratings.select("user_id", "movie_id").distinct()
     else:
         excluded = h.exclude_ids(ratings, shown.join(users.select("user_id"), "user_id", "left_semi"))
     liked = h.liked_genres(ratings, catalog, sizes.liked_genres)
     seeds = users.select("user_id", daily_seed(F.col("user_id"), now, F.lit(token or "")).alias("seed"))
-    pool = checkpointed(rt.candidate_pool(users, content.movies, catalog, liked, excluded, seeds, sizes)).drop("score")
+    pool = staged(rt.candidate_pool(users, content.movies, catalog, liked, excluded, seeds, sizes)).drop("score")
     metadata = metadata_space(catalog, stats, "double")
     challenged = candidate is not None and candidate_fraction > 0
     models = {"main": main}
@@ -210,7 +210,7 @@ def experiment_feedback(
 ) -> FeedbackResult:
     """Append new feedback and move the splits of the experiments it belongs to.
 
-    The folded states feed the experiment table and the report, so they are checkpointed.
+    The folded states feed the experiment table and the report, so they are staged.
     """
-    states = checkpointed(ex.split_states(new, experiments, policy, earlier=log))
+    states = staged(ex.split_states(new, experiments, policy, earlier=log))
     return FeedbackResult(ex.append_log(log, new), ex.apply_split_states(experiments, states, now), states)

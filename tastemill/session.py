@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,13 +40,23 @@ def rows_per_slice(spark: SparkSession) -> int:
     return int(spark.conf.get(ROWS_PER_SLICE_CONF, str(DEFAULT_ROWS_PER_SLICE)))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage through reliable storage: the cluster's shared folder, a local one only where none is named."""
-    spark = df.sparkSession
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The cluster's shared folder; a local one only where none is named (tests)."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tastemill-"))
-    return df.checkpoint(eager=True)
+    return context.getCheckpointDir()
+
+
+def staged(df: DataFrame, *partition_by: str) -> DataFrame:
+    """Write a result that several branches read, as a table in the shared folder, and read it back.
+
+    Lineage ends there, counts come from file footers, and each branch reads only its own
+    columns (and partitions).
+    """
+    path = f"{checkpoint_dir(df.sparkSession)}/staged-{uuid.uuid4()}"
+    df.write.partitionBy(*partition_by).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame) -> DataFrame:
