@@ -1,7 +1,7 @@
 """Ingest health over event-time windows; the same functions serve batch and streaming frames.
 
-Sliding windows assign a row to five minutes, so counts are summed per minute first where
-the measure allows it; percentiles use mergeable sketches.
+A sliding window counts a row in five minutes; all measures, including the percentile
+sketches, are combined within each task before the shuffle.
 """
 
 from __future__ import annotations
