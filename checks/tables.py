@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tastemill.functions.events import event_json, rating_event_id
 from tastemill.operators.vectors import VectorSpace
-from tastemill.session import spread, use_utc
+from tastemill.session import ship_package, spread, use_utc
 
 CONTENT_DIM = 64
 CF_DIM = 64
@@ -15,7 +15,7 @@ NOW = "2024-02-01 00:00:00"
 
 
 def load(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return use_utc(spark).read.parquet(f"{sf}/{name}.parquet")
+    return ship_package(use_utc(spark)).read.parquet(f"{sf}/{name}.parquet")
 
 
 def now() -> Column:

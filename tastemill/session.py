@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,7 +29,7 @@ def build_session(app_name: str = "tastemill", master: str | None = None, **conf
     }
     for key, value in {**defaults, **conf}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return ship_package(builder.getOrCreate())
 
 
 def use_utc(spark: SparkSession) -> SparkSession:
@@ -36,6 +38,27 @@ def use_utc(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def ship_package(spark: SparkSession) -> SparkSession:
+    """Make this package importable in the Python workers, once per application.
+
+    Workers do not share the driver's import path; a cluster with the package installed
+    merely gets the same files again.
+    """
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        package = Path(__file__).resolve().parent
+        archive = Path(tempfile.mkdtemp(prefix="tastemill-package-")) / f"{package.name}.zip"
+        with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+            for source in sorted(package.rglob("*.py")):
+                out.write(source, source.relative_to(package.parent))
+        context.addPyFile(str(archive))
+        _shipped.add(context.applicationId)
+    return spark
+
+
+_shipped: set[str] = set()
+
+
 def rows_per_slice(spark: SparkSession) -> int:
     return int(spark.conf.get(ROWS_PER_SLICE_CONF, str(DEFAULT_ROWS_PER_SLICE)))
 
