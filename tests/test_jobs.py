@@ -308,3 +308,22 @@ def test_csv_readers(spark, tmp_path):
     (tmp_path / "t.csv").write_text('userId,movieId,tag,timestamp\n1,2,"slow, but ""good""",1000\n')
     assert read_ratings_csv(spark, str(tmp_path / "r.csv")).first().rating == 3.5
     assert read_tags_csv(spark, str(tmp_path / "t.csv")).first().tag == 'slow, but "good"'
+
+
+def test_workers_find_the_package_from_any_directory(tmp_path):
+    """A plain session started elsewhere, with the repository only on the driver's import path."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    repo = Path(__file__).resolve().parent.parent
+    script = tmp_path / "run.py"
+    script.write_text(
+        f"import sys; sys.path.insert(0, {str(repo)!r})\n"
+        "from pyspark.sql import SparkSession\n"
+        "spark = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').config('spark.sql.shuffle.partitions', '2').getOrCreate()\n"
+        "from __spark_entry__ import queries\n"
+        "print('rows', queries()['mlp_scores'](spark, '/root/testdata/sf0.001').count())\n"
+    )
+    done = subprocess.run([sys.executable, str(script)], cwd=tmp_path, capture_output=True, text=True, timeout=300, check=False)
+    assert "rows 500" in done.stdout, done.stderr[-2000:]
