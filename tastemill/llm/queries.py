@@ -5,11 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tastemill.llm.frames import table
+from tastemill.llm import mixing
+from tastemill.llm.frames import held_out, table
 from tastemill.llm.near_dedup import NearDedup, near_duplicates
 from tastemill.llm.outliers import robust_outliers
 from tastemill.llm.prefix_bpe import Vocabulary, digests, encode_documents
+from tastemill.llm.toxicity import fit_lexicon, toxicity_scores
 
 
 def op2_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
@@ -25,9 +28,25 @@ def op4_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicates(table(spark, sf, "documents"), NearDedup(words=3, per_cent=85))
 
 
+def scored(rows: DataFrame, threshold: float) -> DataFrame:
+    return rows.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def op6_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return scored(toxicity_scores(docs, fit_lexicon(docs, table(spark, sf, "labels"))), 0.5)
+
+
+def op8_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    documents, _ = mixing.mixed_documents(table(spark, sf, "documents"))
+    return documents.select("doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op3_prefix_bpe": op3_prefix_bpe,
     "op4_near_dedup": op4_near_dedup,
+    "op6_toxicity": op6_toxicity,
+    "op8_mixing": op8_mixing,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op8_mixing": mixing.SQL}
