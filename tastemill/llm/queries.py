@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tastemill.llm import mixing
+from tastemill.llm import licenses, mixing
 from tastemill.llm.frames import held_out, table
 from tastemill.llm.near_dedup import NearDedup, near_duplicates
 from tastemill.llm.outliers import robust_outliers
@@ -37,6 +37,11 @@ def op6_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     return scored(toxicity_scores(docs, fit_lexicon(docs, table(spark, sf, "labels"))), 0.5)
 
 
+def op7_licence_scan(spark: SparkSession, sf: str) -> DataFrame:
+    joined = lambda c: F.array_join(c, " ").alias(c)
+    return licenses.licence_scan(table(spark, sf, "documents")).select("doc_id", "n_sentences", joined("licence_sentences"), joined("licences"))
+
+
 def op8_mixing(spark: SparkSession, sf: str) -> DataFrame:
     documents, _ = mixing.mixed_documents(table(spark, sf, "documents"))
     return documents.select("doc_id", "size", "source_size", "target", "taken")
@@ -47,6 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_prefix_bpe": op3_prefix_bpe,
     "op4_near_dedup": op4_near_dedup,
     "op6_toxicity": op6_toxicity,
+    "op7_licence_scan": op7_licence_scan,
     "op8_mixing": op8_mixing,
 }
-SQL: dict[str, str] = {"op8_mixing": mixing.SQL}
+SQL: dict[str, str] = {"op7_licence_scan": licenses.sql(), "op8_mixing": mixing.SQL}
