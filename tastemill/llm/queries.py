@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tastemill.llm import licenses, mixing
+from tastemill.llm.convnet import fit_quality, quality_scores
 from tastemill.llm.frames import held_out, table
 from tastemill.llm.near_dedup import NearDedup, near_duplicates
 from tastemill.llm.outliers import robust_outliers
@@ -32,6 +33,11 @@ def scored(rows: DataFrame, threshold: float) -> DataFrame:
     return rows.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
+def op5_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return scored(quality_scores(docs, fit_quality(docs, table(spark, sf, "labels"))), 0.3)
+
+
 def op6_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
     return scored(toxicity_scores(docs, fit_lexicon(docs, table(spark, sf, "labels"))), 0.5)
@@ -51,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op3_prefix_bpe": op3_prefix_bpe,
     "op4_near_dedup": op4_near_dedup,
+    "op5_quality_classifier": op5_quality_classifier,
     "op6_toxicity": op6_toxicity,
     "op7_licence_scan": op7_licence_scan,
     "op8_mixing": op8_mixing,
