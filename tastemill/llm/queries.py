@@ -14,6 +14,25 @@ from tastemill.llm.near_dedup import NearDedup, near_duplicates
 from tastemill.llm.outliers import robust_outliers
 from tastemill.llm.prefix_bpe import Vocabulary, digests, encode_documents
 from tastemill.llm.toxicity import fit_lexicon, toxicity_scores
+from tastemill.llm.vafile import exact_top_k
+
+
+def op1_exact_top_k(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "embeddings")
+    return exact_top_k(rows, rows.where(F.col("vec_id") % 100 == 0), k=10)
+
+
+OP1_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 1024)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id),
+r AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
 
 
 def op2_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
@@ -54,6 +73,7 @@ def op8_mixing(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_exact_top_k": op1_exact_top_k,
     "op2_quality_rules": op2_quality_rules,
     "op3_prefix_bpe": op3_prefix_bpe,
     "op4_near_dedup": op4_near_dedup,
@@ -62,4 +82,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_licence_scan": op7_licence_scan,
     "op8_mixing": op8_mixing,
 }
-SQL: dict[str, str] = {"op7_licence_scan": licenses.sql(), "op8_mixing": mixing.SQL}
+SQL: dict[str, str] = {"op1_exact_top_k": OP1_SQL, "op7_licence_scan": licenses.sql(), "op8_mixing": mixing.SQL}
