@@ -36,3 +36,23 @@ def spare_name(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def row_key(*columns: str) -> Column:
+    """A 64-bit value of a row's columns; with the id it tells rows apart that share an id."""
+    return F.xxhash64(*[F.col(c).cast("string") for c in columns])
+
+
+def same_row(left: DataFrame, right: DataFrame) -> Column:
+    """Equal id (null equals null) and equal `row_key`; `right` has them as doc_id_ and row_key_."""
+    return left["doc_id"].eqNullSafe(right["doc_id_"]) & (left["row_key"] == right["row_key_"])
+
+
+def each_once(docs: DataFrame, repeated: DataFrame) -> DataFrame:
+    """`docs` (with row_key) with one row for each pair of `repeated` (doc_id_, row_key_).
+
+    Only rows that are repeated pass a shuffle of their own; the pairs are few or many, the join
+    adapts.
+    """
+    again = docs.join(repeated, same_row(docs, repeated), "left_semi").dropDuplicates(["doc_id", "row_key"])
+    return docs.join(repeated, same_row(docs, repeated), "left_anti").unionByName(again)

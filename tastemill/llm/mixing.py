@@ -12,11 +12,16 @@ shifted by the totals of the ranges before, so that a source with a third of all
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tastemill.llm.frames import each_once, row_key, same_row, spare_name
 from tastemill.session import staged
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -44,9 +49,10 @@ def word_count(text: Column) -> Column:
 
 
 def sized(docs: DataFrame, plan: MixPlan) -> DataFrame:
-    """(doc_id, source, size, key) of every row; `key` gives the shuffled order."""
+    """(doc_id, row_key, source, size, key) of every row; `key` gives the shuffled order."""
     key = F.md5(F.concat(F.lit(plan.seed), F.lit(":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    return docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), key.alias("key"))
+    same = row_key("text", "source").alias("row_key")
+    return docs.select("doc_id", same, F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), key.alias("key"))
 
 
 def source_targets(rows: DataFrame, plan: MixPlan) -> DataFrame:
@@ -154,10 +160,47 @@ def mixed_documents(docs: DataFrame, plan: MixPlan = MixPlan()) -> tuple[DataFra
     taken = pieces.groupBy("sid", "offset").agg(F.sum(F.col("stop") - F.col("start")).alias("taken"))
     full = placed.where("size > 0").join(taken, ["sid", "offset"], "left")
     both = full.unionByName(placed.where("size = 0").withColumn("taken", F.lit(0).cast("long")))
-    out = both.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "sid", "offset")
+    out = both.select("doc_id", "row_key", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "sid", "offset")
     return out, pieces
 
 
+def _first_words(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Cut the last column's text behind as many words as the column before it says; null: whole."""
+    for part in parts:
+        texts = []
+        for count, text in zip(part.column(part.num_columns - 2).to_pylist(), part.column(part.num_columns - 1).to_pylist(), strict=True):
+            if count is not None and text is not None:
+                stops = islice((m.end() for m in re.finditer(WORD, text)), count - 1, count)
+                text = text[: next(stops, len(text))]
+            texts.append(text)
+        yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(texts, pa.string())], names=part.schema.names)
+
+
+def mixed_texts(docs: DataFrame, plan: MixPlan = MixPlan()) -> DataFrame:
+    """The rows of the mix: a document once for each whole pass over it, and its first words where
+    the target ends inside it. Columns as in `docs`; n_chars follows the text.
+
+    Documents that the mix does not take have no row, nor has a text without words.
+    """
+    documents, _ = mixed_documents(docs, plan)
+    pair = [F.col("doc_id").alias("doc_id_"), F.col("row_key").alias("row_key_")]
+    whole, rest = F.expr("taken div size"), F.expr("taken % size")
+    taken = documents.where("taken > 0").groupBy("doc_id", "row_key").agg(F.sum(whole).alias("whole_"), F.sum(rest).alias("rest_"))
+    repeated = documents.groupBy("doc_id", "row_key").count().where("count > 1").select(*pair)
+    key = spare_name(docs, "row_key")
+    named = docs.withColumnRenamed("row_key", key).withColumn("row_key", row_key("text", "source"))
+    once = each_once(named, staged(repeated))
+    taken = staged(taken.select(*pair, "whole_", "rest_"))
+    joined = once.join(taken, same_row(once, taken)).drop("doc_id_", "row_key_", "row_key").withColumnRenamed(key, "row_key")
+    copies = F.concat(F.array_repeat(F.lit(None).cast("long"), F.col("whole_").cast("int")), F.when(F.col("rest_") > 0, F.array(F.col("rest_"))).otherwise(F.array().cast("array<long>")))
+    rows = joined.withColumn("cut_", F.explode(copies)).drop("whole_", "rest_").withColumn("text_", F.col("text"))
+    out = rows.mapInArrow(_first_words, rows.schema)
+    text = out.withColumn("text", F.col("text_"))
+    if "n_chars" in docs.columns:
+        text = text.withColumn("n_chars", F.when(F.col("cut_").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
+    return text.select(*docs.columns)
+
+
 SQL = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,

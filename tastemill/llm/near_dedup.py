@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
 from tastemill.llm.components import component_roots
+from tastemill.llm.frames import each_once, row_key, same_row, spare_name
 from tastemill.llm.words import mixed, windows, word_hashes
 from tastemill.session import ship_package, staged
 
@@ -113,23 +114,23 @@ def _class(shingles: np.ndarray) -> int:
 
 
 def sketches(docs: DataFrame, plan: NearDedup, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, class, bands) of every row; no class and no bands for an empty set."""
+    """(doc_id, row_key, n_shingles, class, bands) of every row; no class and no bands for an empty set."""
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketcher = Sketcher(plan)
         for part in parts:
             counts, names, bands = [], [], []
-            for shingles in shingle_sets(part.column(1).to_pylist(), plan.words):
+            for shingles in shingle_sets(part.column(2).to_pylist(), plan.words):
                 counts.append(len(shingles))
                 names.append(_class(shingles) if len(shingles) else None)
                 bands.append(sketcher.bands(shingles) if len(shingles) else None)
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(counts, pa.int64()), pa.array(names, pa.int64()), pa.array(bands, pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "class", "bands"],
+                [part.column(0), part.column(1), pa.array(counts, pa.int64()), pa.array(names, pa.int64()), pa.array(bands, pa.list_(pa.int64()))],
+                names=["doc_id", "row_key", "n_shingles", "class", "bands"],
             )
 
-    narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    schema = StructType([narrow.schema["doc_id"], StructField("n_shingles", LongType()), StructField("class", LongType()), StructField("bands", ArrayType(LongType()))])
+    narrow = docs.select(F.col(id_col).alias("doc_id"), row_key(text_col).alias("row_key"), F.col(text_col).cast("string").alias("text"))
+    schema = StructType([narrow.schema["doc_id"], narrow.schema["row_key"], StructField("n_shingles", LongType()), StructField("class", LongType()), StructField("bands", ArrayType(LongType()))])
     return narrow.mapInArrow(batches, schema)
 
 
@@ -144,7 +145,7 @@ def class_sets(docs: DataFrame, wanted: DataFrame, plan: NearDedup, id_col: str,
             )
 
     ids = wanted.select(F.col("doc_id").alias("wanted_id"))
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     texts = texts.join(ids, F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi").select("text")
     found = texts.mapInArrow(batches, StructType([StructField("class", LongType()), StructField("shingles", BinaryType())]))
     # Rows that share an id may bring a class twice or one that nobody asked for.
@@ -249,7 +250,8 @@ def _left_over(buckets: DataFrame, roots: DataFrame, classes: DataFrame, sets: D
 
 
 def near_duplicates(docs: DataFrame, plan: NearDedup = NearDedup(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of `docs`: doc_id, n_shingles, component_id (least id reachable), kept.
+    """One row per row of `docs`: doc_id, row_key, n_shingles, component_id (least id reachable),
+    kept and component (a number of the component, null without shingles).
 
     Null and empty texts and texts without words have no shingles: they are linked with nothing and
     are their own component. Rows with equal sets are one class, also when their ids repeat; each
@@ -293,12 +295,32 @@ def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def _labelled(rows: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
-    placed = classes.join(roots.withColumnRenamed("node", "class"), "class", "left").select("class", "doc_id", F.coalesce("root", "class").alias("root"))
-    least = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = placed.join(least, "root").select("class", "component_id")
+    placed = classes.join(roots.withColumnRenamed("node", "class"), "class", "left").select("class", "doc_id", F.coalesce("root", "class").alias("component"))
+    least = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    named = placed.join(least, "component").select("class", "component", "component_id")
     component = F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return (
-        rows.select("doc_id", "n_shingles", "class")
+        rows.select("doc_id", "row_key", "n_shingles", "class")
         .join(named, "class", "left")
-        .select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+        .select("doc_id", "row_key", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "component")
     )
+
+
+def without_near_duplicates(docs: DataFrame, plan: NearDedup = NearDedup()) -> DataFrame:
+    """`docs` with one row of each component: the one of the least id, then of the least row_key.
+
+    Rows without shingles all stay. Of rows that are equal in id and text one stays.
+    """
+    key = spare_name(docs, "row_key")
+    rows = staged(near_duplicates(docs, plan).select("doc_id", "row_key", "component"))
+    linked = rows.where(F.col("component").isNotNull())
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row_key")
+    best = linked.groupBy("component").agg(F.min(order).alias("best"))
+    is_best = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("row_key") == F.col("best.row_key"))
+    judged = staged(linked.join(best, "component").select("doc_id", "row_key", is_best.alias("stays")))
+    pair = [F.col("doc_id").alias("doc_id_"), F.col("row_key").alias("row_key_")]
+    dropped = judged.where("NOT stays").select(*pair)
+    repeated = judged.where("stays").groupBy("doc_id", "row_key").count().where("count > 1").select(*pair)
+    named = docs.withColumnRenamed("row_key", key).withColumn("row_key", row_key("text"))
+    kept = named.join(dropped, same_row(named, dropped), "left_anti")
+    return each_once(kept, repeated).drop("row_key").withColumnRenamed(key, "row_key").select(*docs.columns)

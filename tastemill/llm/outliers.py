@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tastemill.llm.frames import row_key
 from tastemill.llm.words import mixed, windows, word_hashes
 from tastemill.session import ship_package, staged
 
@@ -117,18 +118,18 @@ BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def measured(docs: DataFrame, rule: OutlierRule) -> DataFrame:
-    """doc_id, lang, source, the base counts, base_failed and the statistics x0, x1, … of every row."""
+    """doc_id, lang, source, row_key, the base counts, base_failed and the statistics x0, x1, … of every row."""
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            s = text_statistics(part.column(3).to_pylist())
+            s = text_statistics(part.column(4).to_pylist())
             failed = (s["n_words"] < rule.min_words) | (100 * s["n_repeat_words"] > rule.max_repeat_percent * s["n_words"])
             x = transformed(s)
-            columns = [*part.columns[:3], *(pa.array(s[n]) for n in BASE), pa.array(failed), *(pa.array(x[:, k]) for k in range(P))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "lang", "source", *BASE, "base_failed", *(f"x{k}" for k in range(P))])
+            columns = [*part.columns[:4], *(pa.array(s[n]) for n in BASE), pa.array(failed), *(pa.array(x[:, k]) for k in range(P))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "lang", "source", "row_key", *BASE, "base_failed", *(f"x{k}" for k in range(P))])
 
-    narrow = docs.select("doc_id", F.col("lang").cast("string"), F.col("source").cast("string"), F.col("text").cast("string"))
-    kinds = [f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}", "lang string", "source string"]
+    narrow = docs.select("doc_id", F.col("lang").cast("string"), F.col("source").cast("string"), row_key("text", "lang", "source").alias("row_key"), F.col("text").cast("string"))
+    kinds = [f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}", "lang string", "source string", "row_key long"]
     kinds += [f"{n} long" for n in BASE] + ["base_failed boolean"] + [f"x{k} double" for k in range(P)]
     return narrow.mapInArrow(batches, ", ".join(kinds))
 
@@ -269,7 +270,7 @@ def estimates_of(rows: DataFrame, rule: OutlierRule) -> DataFrame:
 
 
 def robust_outliers(docs: DataFrame, rule: OutlierRule = OutlierRule()) -> DataFrame:
-    """doc_id, the base counts, base_failed, d2 (squared distance) and kept for every row of `docs`.
+    """doc_id, row_key, lang, source, the base counts, base_failed, d2 (squared distance) and kept of every row.
 
     Uses the columns doc_id, text, lang and source; others play no part. A null or empty text has
     no words and fails the base rule. A null language or source is a value of its own. Texts that
@@ -283,7 +284,7 @@ def robust_outliers(docs: DataFrame, rule: OutlierRule = OutlierRule()) -> DataF
     passed = rows.where(~F.col("base_failed"))
     judged = _against(rows, estimates_of(passed, rule).select("part", "mean", "inverse"))
     others = rows.join(_known_parts(passed, rule), "part", "left_anti").withColumn("d2", F.lit(None).cast("double"))
-    columns = ["doc_id", "lang", "source", *BASE, "base_failed"]
+    columns = ["doc_id", "row_key", "lang", "source", *BASE, "base_failed"]
     both = judged.select(*columns, "d2").union(others.select(*columns, "d2"))
     d2 = F.when(~F.col("base_failed"), F.col("d2"))
     kept = ~F.col("base_failed") & (d2.isNull() | (d2 <= F.lit(rule.cut)))

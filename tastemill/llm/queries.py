@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from tastemill.llm import licenses, mixing
 from tastemill.llm.convnet import fit_quality, quality_scores
 from tastemill.llm.frames import held_out, table
+from tastemill.llm.html_layout import extract_text
 from tastemill.llm.near_dedup import NearDedup, near_duplicates
 from tastemill.llm.outliers import robust_outliers
 from tastemill.llm.prefix_bpe import Vocabulary, digests, encode_documents
+from tastemill.llm.token_counts import section_tokens
 from tastemill.llm.toxicity import fit_lexicon, toxicity_scores
 from tastemill.llm.vafile import exact_top_k
 
@@ -36,7 +38,7 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 
 
 def op2_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
-    return robust_outliers(table(spark, sf, "documents")).drop("lang", "source")
+    return robust_outliers(table(spark, sf, "documents")).drop("row_key", "lang", "source")
 
 
 def op3_prefix_bpe(spark: SparkSession, sf: str) -> DataFrame:
@@ -45,7 +47,8 @@ def op3_prefix_bpe(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op4_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    return near_duplicates(table(spark, sf, "documents"), NearDedup(words=3, per_cent=85))
+    found = near_duplicates(table(spark, sf, "documents"), NearDedup(words=3, per_cent=85))
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def scored(rows: DataFrame, threshold: float) -> DataFrame:
@@ -72,6 +75,14 @@ def op8_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return documents.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_html_layout(spark: SparkSession, sf: str) -> DataFrame:
+    return extract_text(table(spark, sf, "pages").select("page_id", "html")).drop("html")
+
+
+def op10_token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return section_tokens(table(spark, sf, "documents"), Vocabulary.public())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_top_k": op1_exact_top_k,
     "op2_quality_rules": op2_quality_rules,
@@ -81,5 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_toxicity": op6_toxicity,
     "op7_licence_scan": op7_licence_scan,
     "op8_mixing": op8_mixing,
+    "op9_html_layout": op9_html_layout,
+    "op10_token_counts": op10_token_counts,
 }
 SQL: dict[str, str] = {"op1_exact_top_k": OP1_SQL, "op7_licence_scan": licenses.sql(), "op8_mixing": mixing.SQL}
