@@ -283,13 +283,12 @@ def robust_outliers(docs: DataFrame, rule: OutlierRule = OutlierRule()) -> DataF
     rows = staged(_with_groups(rows, rule))
     passed = rows.where(~F.col("base_failed"))
     judged = _against(rows, estimates_of(passed, rule).select("part", "mean", "inverse"))
-    others = rows.join(_known_parts(passed, rule), "part", "left_anti").withColumn("d2", F.lit(None).cast("double"))
+    # Own groups and pools of a language have enough texts by their choice; the last pool may lack them.
+    lacking = passed.where(F.col("part") == "rest").count() < rule.min_group
+    others = rows.where((F.col("part") == "rest") & F.lit(lacking)).withColumn("d2", F.lit(None).cast("double"))
     columns = ["doc_id", "row_key", "lang", "source", *BASE, "base_failed"]
     both = judged.select(*columns, "d2").union(others.select(*columns, "d2"))
     d2 = F.when(~F.col("base_failed"), F.col("d2"))
     kept = ~F.col("base_failed") & (d2.isNull() | (d2 <= F.lit(rule.cut)))
     return both.select(*columns, d2.alias("d2"), kept.alias("kept"))
 
-
-def _known_parts(passed: DataFrame, rule: OutlierRule) -> DataFrame:
-    return passed.groupBy("part").agg(F.count("*").alias("n")).where(F.col("n") >= rule.min_group).select("part")
