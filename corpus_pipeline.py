@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tastemill.llm.convnet import fit_quality, quality_scores
-from tastemill.llm.frames import row_key, same_row, small_batches, spare_name, table
+from tastemill.llm.frames import keyed, pairs, same_row, small_batches, spare_name, table
 from tastemill.llm.mixing import mixed_texts
 from tastemill.llm.near_dedup import NearDedup, without_near_duplicates
 from tastemill.llm.outliers import robust_outliers
@@ -32,11 +32,9 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rule and are no outlier of their language and source."""
     small_batches(spark)
-    found = robust_outliers(docs).where(~F.col("kept")).select(F.col("doc_id").alias("doc_id_"), F.col("row_key").alias("row_key_"))
-    rejected = staged(found.distinct())
-    key = spare_name(docs, "row_key")
-    named = docs.withColumnRenamed("row_key", key).withColumn("row_key", row_key("text", "lang", "source"))
-    return named.join(rejected, same_row(named, rejected), "left_anti").drop("row_key").withColumnRenamed(key, "row_key").select(*docs.columns)
+    rejected = staged(pairs(robust_outliers(docs).where(~F.col("kept"))).distinct())
+    rows = keyed(docs, "text", "lang", "source")
+    return rows.join(rejected, same_row(rows, rejected), "left_anti").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -43,16 +43,28 @@ def row_key(*columns: str) -> Column:
     return F.xxhash64(*[F.col(c).cast("string") for c in columns])
 
 
-def same_row(left: DataFrame, right: DataFrame) -> Column:
-    """Equal id (null equals null) and equal `row_key`; `right` has them as doc_id_ and row_key_."""
-    return left["doc_id"].eqNullSafe(right["doc_id_"]) & (left["row_key"] == right["row_key_"])
+# Columns that only live inside an operator; the marks keep them apart from a table's own columns.
+ROW_KEY, PAIR_ID, PAIR_KEY = "__row_key", "__pair_id", "__pair_key"
+
+
+def keyed(docs: DataFrame, *columns: str) -> DataFrame:
+    return docs.withColumn(ROW_KEY, row_key(*columns))
+
+
+def pairs(rows: DataFrame, *more: str) -> DataFrame:
+    """doc_id and row_key of `rows` under the names that `same_row` joins on."""
+    return rows.select(F.col("doc_id").alias(PAIR_ID), F.col("row_key").alias(PAIR_KEY), *more)
+
+
+def same_row(docs: DataFrame, decided: DataFrame) -> Column:
+    """Equal id (null equals null) and equal row key of `keyed` documents and `pairs`."""
+    return docs["doc_id"].eqNullSafe(decided[PAIR_ID]) & (docs[ROW_KEY] == decided[PAIR_KEY])
 
 
 def each_once(docs: DataFrame, repeated: DataFrame) -> DataFrame:
-    """`docs` (with row_key) with one row for each pair of `repeated` (doc_id_, row_key_).
+    """`keyed` documents with one row for each of the `pairs` in `repeated`.
 
-    Only rows that are repeated pass a shuffle of their own; the pairs are few or many, the join
-    adapts.
+    Only rows that are repeated pass a shuffle of their own.
     """
-    again = docs.join(repeated, same_row(docs, repeated), "left_semi").dropDuplicates(["doc_id", "row_key"])
+    again = docs.join(repeated, same_row(docs, repeated), "left_semi").dropDuplicates(["doc_id", ROW_KEY])
     return docs.join(repeated, same_row(docs, repeated), "left_anti").unionByName(again)

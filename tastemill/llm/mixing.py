@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tastemill.llm.frames import each_once, row_key, same_row, spare_name
+from tastemill.llm.frames import each_once, keyed, pairs, row_key, same_row
 from tastemill.session import staged
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -183,22 +183,19 @@ def mixed_texts(docs: DataFrame, plan: MixPlan = MixPlan()) -> DataFrame:
     Documents that the mix does not take have no row, nor has a text without words.
     """
     documents, _ = mixed_documents(docs, plan)
-    pair = [F.col("doc_id").alias("doc_id_"), F.col("row_key").alias("row_key_")]
     whole, rest = F.expr("taken div size"), F.expr("taken % size")
-    taken = documents.where("taken > 0").groupBy("doc_id", "row_key").agg(F.sum(whole).alias("whole_"), F.sum(rest).alias("rest_"))
-    repeated = documents.groupBy("doc_id", "row_key").count().where("count > 1").select(*pair)
-    key = spare_name(docs, "row_key")
-    named = docs.withColumnRenamed("row_key", key).withColumn("row_key", row_key("text", "source"))
-    once = each_once(named, staged(repeated))
-    taken = staged(taken.select(*pair, "whole_", "rest_"))
-    joined = once.join(taken, same_row(once, taken)).drop("doc_id_", "row_key_", "row_key").withColumnRenamed(key, "row_key")
-    copies = F.concat(F.array_repeat(F.lit(None).cast("long"), F.col("whole_").cast("int")), F.when(F.col("rest_") > 0, F.array(F.col("rest_"))).otherwise(F.array().cast("array<long>")))
-    rows = joined.withColumn("cut_", F.explode(copies)).drop("whole_", "rest_").withColumn("text_", F.col("text"))
-    out = rows.mapInArrow(_first_words, rows.schema)
-    text = out.withColumn("text", F.col("text_"))
+    taken = documents.where("taken > 0").groupBy("doc_id", "row_key").agg(F.sum(whole).alias("__whole"), F.sum(rest).alias("__rest"))
+    repeated = staged(pairs(documents.groupBy("doc_id", "row_key").count().where("count > 1")))
+    once = each_once(keyed(docs, "text", "source"), repeated)
+    taken = staged(pairs(taken, "__whole", "__rest"))
+    whole_passes = F.array_repeat(F.lit(None).cast("long"), F.col("__whole").cast("int"))
+    last_pass = F.when(F.col("__rest") > 0, F.array("__rest")).otherwise(F.array().cast("array<long>"))
+    joined = once.join(taken, same_row(once, taken)).select(*docs.columns, F.explode(F.concat(whole_passes, last_pass)).alias("__cut"), F.col("text").alias("__text"))
+    rows = joined.mapInArrow(_first_words, joined.schema).withColumn("text", F.col("__text"))
     if "n_chars" in docs.columns:
-        text = text.withColumn("n_chars", F.when(F.col("cut_").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return text.select(*docs.columns)
+        length = F.when(F.col("__cut").isNull(), F.col("n_chars")).otherwise(F.length("text"))
+        rows = rows.withColumn("n_chars", length.cast(docs.schema["n_chars"].dataType))
+    return rows.select(*docs.columns)
 
 
 SQL = r"""

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
 from tastemill.llm.components import component_roots
-from tastemill.llm.frames import each_once, row_key, same_row, spare_name
+from tastemill.llm.frames import each_once, keyed, pairs, row_key, same_row
 from tastemill.llm.words import mixed, windows, word_hashes
 from tastemill.session import ship_package, staged
 
@@ -311,16 +311,14 @@ def without_near_duplicates(docs: DataFrame, plan: NearDedup = NearDedup()) -> D
 
     Rows without shingles all stay. Of rows that are equal in id and text one stays.
     """
-    key = spare_name(docs, "row_key")
     rows = staged(near_duplicates(docs, plan).select("doc_id", "row_key", "component"))
     linked = rows.where(F.col("component").isNotNull())
     order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row_key")
     best = linked.groupBy("component").agg(F.min(order).alias("best"))
     is_best = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("row_key") == F.col("best.row_key"))
     judged = staged(linked.join(best, "component").select("doc_id", "row_key", is_best.alias("stays")))
-    pair = [F.col("doc_id").alias("doc_id_"), F.col("row_key").alias("row_key_")]
-    dropped = judged.where("NOT stays").select(*pair)
-    repeated = judged.where("stays").groupBy("doc_id", "row_key").count().where("count > 1").select(*pair)
-    named = docs.withColumnRenamed("row_key", key).withColumn("row_key", row_key("text"))
+    dropped = pairs(judged.where("NOT stays"))
+    repeated = pairs(judged.where("stays").groupBy("doc_id", "row_key").count().where("count > 1"))
+    named = keyed(docs, "text")
     kept = named.join(dropped, same_row(named, dropped), "left_anti")
-    return each_once(kept, repeated).drop("row_key").withColumnRenamed(key, "row_key").select(*docs.columns)
+    return each_once(kept, repeated).select(*docs.columns)

@@ -68,13 +68,11 @@ def folded_words(text: str | None) -> list[str]:
 
 
 def _spelled(raw: str) -> str:
-    core = raw.strip(_EDGE)
-    if core.isalpha():
-        return core
-    if any(c.isalpha() for c in raw):
-        inner = raw.rstrip(".,;:!?\"')#*%&").lstrip("\"'(#*%&")
-        return "".join(c for c in inner.translate(_SIGNS) if c.isalpha())
-    return ""
+    """A word with marks around it or signs in it; marks behind it are never letters."""
+    core = raw.rstrip(_EDGE).lstrip(_EDGE.replace("$", ""))
+    if not core.isalpha() and any(c.isalpha() for c in core):
+        core = "".join(c for c in core.translate(_SIGNS) if c.isalpha())
+    return core if core.isalpha() else ""
 
 
 @dataclass(frozen=True)
