@@ -79,11 +79,16 @@ def temporal_split(
     """Add `split` by global time order.
 
     Only the two boundary rows are searched for; the label is then a comparison, so the
-    table itself is neither sorted nor shuffled and time filters still reach the scan.
+    table itself is neither sorted nor shuffled and time filters still reach the scan. A null in
+    a key raises: such a row has no place in time.
     """
     order = list(keys)
-    ends = split_rows(ratings.count(), train_fraction, validation_fraction)
-    found = keys_at_ranks(ratings, order, list(ends))
+    nulls = [F.count(F.when(F.col(k).isNull(), 1)) for k in order]
+    total, *missing = ratings.agg(F.count(F.lit(1)), *nulls).first()
+    if any(missing):
+        raise ValueError(f"rows with a null in {', '.join(k for k, n in zip(order, missing, strict=True) if n)} cannot be split by time")
+    ends = split_rows(total, train_fraction, validation_fraction)
+    found = keys_at_ranks(ratings, order, list(ends), total=total)
 
     def up_to(end: int) -> Column:
         if end < 1:

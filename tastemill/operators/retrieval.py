@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tastemill.functions.posters import poster_is_safe
 from tastemill.operators.vectors import cosine, stack_lists
-from tastemill.session import BROADCAST_LIMIT_BYTES, broadcast_if_small
+from tastemill.session import BROADCAST_LIMIT_BYTES, broadcast_if_small, staged
 
 # Bucket labels in merge order.
 KNN, POPULAR, RANDOM_GENRE, RANDOM_KNN = "knn", "popular", "random_genre", "random_knn"
@@ -52,6 +52,11 @@ def genre_quality_filter(catalog: DataFrame, genres: Column, min_votes: int = 10
 # ---------------------------------------------------------------- nearest movies
 
 
+# Users and bytes of movie vectors that meet in one task.
+USERS_PER_BLOCK = 2_048
+VECTOR_BLOCK_BYTES = 16 * 1024 * 1024
+
+
 def knn(
     profiles: DataFrame,
     vectors: DataFrame,
@@ -60,95 +65,83 @@ def knn(
     *,
     profile: str = "content_profile",
     depth: str | None = None,
-    block_bytes: int = BROADCAST_LIMIT_BYTES,
+    block_bytes: int = VECTOR_BLOCK_BYTES,
+    users_per_block: int = USERS_PER_BLOCK,
 ) -> DataFrame:
     """Exact top-k movies by cosine per user, without the excluded pairs.
 
-    Item vectors are handled in blocks of a fixed byte size; each task multiplies a batch
-    of users with one block and emits at most k hits per user, so the pairs themselves
-    never exist as rows. `vectors` has (movie_id, vector) of the movies allowed in results.
-    A user without a direction scores 0 everywhere. `depth` may name a profile column with a
-    smaller k of that user.
+    Users and movies are dealt into blocks by a hash of their id; every pair of blocks is one task
+    that multiplies the two and emits at most k hits per user, so the pairs themselves never exist
+    as rows and nothing passes the driver. A partial top-k joins the hits of all blocks. `vectors`
+    has (movie_id, vector) of the movies allowed in results. A user without a direction scores 0
+    everywhere. `depth` may name a profile column with a smaller k of that user.
     """
-    rows, width = vectors.agg(F.count(F.lit(1)), F.max(F.size("vector"))).first()
+    items = staged(vectors.select(F.col("movie_id").cast("bigint"), F.col("vector").cast("array<double>")))
+    limit = F.col(depth) if depth else F.lit(k)
+    users = staged(profiles.select(F.col("user_id").cast("bigint"), F.col(profile).alias("profile"), limit.cast("bigint").alias("k")))
+    rows, width = items.agg(F.count(F.lit(1)), F.max(F.size("vector"))).first()
     if not rows:
         return profiles.sparkSession.createDataFrame([], _KNN_SCHEMA)
-    blocks = max(1, -(-rows * (width * 8 + 8) // block_bytes))
-    users = profiles.select("user_id", F.col(profile).alias("profile"), (F.col(depth) if depth else F.lit(k)).alias("k"))
-    hits: DataFrame | None = None
-    for block in range(blocks):
-        part = vectors.where(F.pmod(F.xxhash64("movie_id"), F.lit(blocks)) == block) if blocks > 1 else vectors
-        found = _knn_block(users, part, excluded, width)
-        hits = found if hits is None else hits.unionByName(found)
-    if blocks == 1:
-        return hits
-    # Hits of different blocks meet here, at most k rows per user and block.
+    item_blocks = max(1, -(-rows * (width * 8 + 8) // block_bytes))
+    user_blocks = max(1, -(-users.count() // users_per_block))
+    item_block = F.pmod(F.xxhash64("movie_id"), F.lit(item_blocks)).cast("int").alias("item_block")
+    user_block = F.pmod(F.xxhash64("user_id"), F.lit(user_blocks)).cast("int").alias("user_block")
+    each = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    pairs = excluded.select(F.col("user_id").cast("bigint"), F.col("movie_id").cast("bigint")).select("user_id", "movie_id", item_block)
+    # A user's list within one block is no longer than the block.
+    lists = pairs.groupBy("user_id", "item_block").agg(F.collect_set("movie_id").alias("out"))
+    asked = users.select("*", user_block, each(item_blocks).alias("item_block")).join(lists, ["user_id", "item_block"], "left")
+    offered = items.select("*", item_block, each(user_blocks).alias("user_block"))
+    keys = ["user_block", "item_block"]
+
+    def nearest(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return pa.table({n: pa.array([], t) for n, t in _KNN_COLUMNS.items()})
+        ids = right.column("movie_id").to_numpy()
+        order = np.argsort(ids)
+        matrix = stack_lists(right.column("vector").combine_chunks(), width)[order]
+        lengths = np.linalg.norm(matrix, axis=1, keepdims=True)
+        unit = np.where(lengths > 0, matrix / np.where(lengths > 0, lengths, 1.0), 0.0)
+        batches = left.combine_chunks().to_batches(max_chunksize=256)
+        return pa.Table.from_batches([_nearest(batch, ids[order], unit) for batch in batches])
+
+    hits = asked.groupBy(*keys).cogroup(offered.groupBy(*keys)).applyInArrow(nearest, _KNN_SCHEMA + ", k bigint")
     best = Window.partitionBy("user_id").orderBy(F.col("score").desc(), "movie_id")
-    return hits.withColumn("rank", F.row_number().over(best).cast("bigint")).where(F.col("rank") <= k)
+    ranked = hits.withColumn("rank", F.row_number().over(best).cast("bigint")).where(F.col("rank") <= k)
+    return ranked.where(F.col("rank") <= F.col("k")).drop("k")
 
 
 _KNN_SCHEMA = "user_id bigint, movie_id bigint, score double, rank bigint"
-
-
-def _knn_block(users: DataFrame, vectors: DataFrame, excluded: DataFrame, width: int) -> DataFrame:
-    """Exclusions are first reduced to the block's movies, so a user's list is no longer than the block."""
-    spark = users.sparkSession
-    table = vectors.select(F.col("movie_id").cast("bigint"), F.col("vector").cast("array<double>")).toArrow()
-    ids = table.column("movie_id").to_numpy()
-    parts = [stack_lists(c, width) for c in table.column("vector").chunks]
-    matrix = np.concatenate(parts) if parts else np.zeros((0, width))
-    order = np.argsort(ids)
-    ids, matrix = ids[order], matrix[order]
-    lengths = np.linalg.norm(matrix, axis=1, keepdims=True)
-    shared = spark.sparkContext.broadcast((ids, np.where(lengths > 0, matrix / np.where(lengths > 0, lengths, 1.0), 0.0)))
-    within = excluded.join(F.broadcast(vectors.select("movie_id")), "movie_id", "left_semi")
-    lists = within.groupBy("user_id").agg(F.collect_set(F.col("movie_id").cast("bigint")).alias("out"))
-    asked = users.join(lists, "user_id", "left").select(
-        F.col("user_id").cast("bigint"),
-        "profile",
-        F.col("k").cast("bigint"),
-        F.coalesce("out", F.array().cast("array<bigint>")).alias("out"),
-    )
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        movie_ids, items = shared.value
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                yield _nearest(batch.slice(at, 256), movie_ids, items)
-
-    return asked.mapInArrow(run, _KNN_SCHEMA)
+_KNN_COLUMNS = {"user_id": pa.int64(), "movie_id": pa.int64(), "score": pa.float64(), "rank": pa.int64(), "k": pa.int64()}
 
 
 def _nearest(batch: pa.RecordBatch, ids: np.ndarray, items: np.ndarray) -> pa.RecordBatch:
     users = batch.column("user_id").to_numpy()
     depth = batch.column("k").to_numpy()
-    gone = batch.column("out")
+    gone = batch.column("out").to_pylist()
     profiles = stack_lists(batch.column("profile"), items.shape[1]).astype(np.float64)
     lengths = np.linalg.norm(profiles, axis=1, keepdims=True)
     unit = np.where(lengths > 0, profiles / np.where(lengths > 0, lengths, 1.0), 0.0)
     # Rounded so that equal similarities tie by movie id whatever the summation order.
     scores = np.round(unit @ items.T, 9) + 0.0
-    found = [np.zeros((0, 3), dtype=np.int64)]
-    found_scores = [np.zeros(0)]
+    found, found_scores = [np.zeros((0, 4), dtype=np.int64)], [np.zeros(0)]
     for i, k in enumerate(depth):
         row = scores[i]
-        row[np.searchsorted(ids, gone[i].values.to_numpy(zero_copy_only=False))] = -np.inf
+        if gone[i]:
+            out = np.array(gone[i])
+            at = np.minimum(np.searchsorted(ids, out), len(ids) - 1)
+            row[at[ids[at] == out]] = -np.inf
         near = np.flatnonzero(row > -np.inf)
         if k < len(near):
             limit = np.partition(row[near], len(near) - k)[len(near) - k]
             near = near[row[near] >= limit]
         chosen = near[np.lexsort((ids[near], -row[near]))[:k]]
-        found.append(np.stack([np.full(len(chosen), users[i]), ids[chosen], np.arange(1, len(chosen) + 1)], axis=1))
+        count = len(chosen)
+        found.append(np.stack([np.full(count, users[i]), ids[chosen], np.arange(1, count + 1), np.full(count, k)], axis=1))
         found_scores.append(row[chosen])
     rows = np.concatenate(found)
-    return pa.RecordBatch.from_pydict(
-        {
-            "user_id": pa.array(rows[:, 0]),
-            "movie_id": pa.array(rows[:, 1]),
-            "score": pa.array(np.concatenate(found_scores)),
-            "rank": pa.array(rows[:, 2]),
-        }
-    )
+    columns = [rows[:, 0], rows[:, 1], np.concatenate(found_scores), rows[:, 2], rows[:, 3]]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _KNN_COLUMNS.values(), strict=True)], names=list(_KNN_COLUMNS))
 
 
 def similarity_to(df: DataFrame, left: str, right: str) -> DataFrame:

@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 from tastemill.session import rows_per_slice as session_rows_per_slice
 
 SLICE = "__slice"
+# Most slices of a plan unless the caller names another limit; more rows make larger slices.
 MAX_SLICES = 16_384
 SAMPLES_PER_SLICE = 20
 MIN_ROWS_PER_SLICE = 4_096
@@ -179,31 +180,55 @@ def carried(partial: DataFrame, key: str, columns: list[str]) -> DataFrame:
     )
 
 
-def keys_at_ranks(df: DataFrame, keys: list[str], ranks: list[int]) -> dict[int, tuple]:
+def keys_at_ranks(df: DataFrame, keys: list[str], ranks: list[int], total: int | None = None) -> dict[int, tuple]:
     """Exact sort keys at the given 1-based ranks, without sorting the table.
 
-    One pass counts rows per slice; then only the slice holding a rank is read again, and
-    split further until it is small enough for a bounded top-k.
+    One pass counts rows per slice; then only the slice holding a rank is read again, cut anew and
+    narrowed until it is small enough for one bounded sort. Bounds are keys of real rows and are
+    counted apart, so every pass narrows the range, also with equal keys and on one core. Null
+    keys have no rank and raise.
     """
-    wanted = sorted({r for r in ranks if r >= 1})
-    if not wanted:
-        return {}
-    total = df.count()
-    if total <= SELECT_LIMIT:
-        return _select_small(df, keys, [r for r in wanted if r <= total])
-    plan = plan_slices(df, keys, total=total)
-    offsets = running_offsets(slice_counts(with_slice(df, plan), plan))
-    result: dict[int, tuple] = {}
-    for rank in (r for r in wanted if r <= total):
-        at = max(i for i, start in enumerate(offsets) if start < rank)
-        part = df
+    empty = F.lit(False)
+    for key in keys:
+        empty = empty | F.col(key).isNull()
+    count, nulls = df.agg(F.count(F.lit(1)), F.count(F.when(empty, 1))).first() if total is None else (total, 0)
+    if nulls:
+        raise ValueError(f"{nulls} rows have a null in {', '.join(keys)}")
+    return {rank: _key_at_rank(df, keys, rank, count) for rank in sorted({r for r in ranks if 1 <= r <= count})}
+
+
+def _key_at_rank(df: DataFrame, keys: list[str], rank: int, total: int) -> tuple:
+    part = df
+    while total > SELECT_LIMIT:
+        plan = plan_slices(part, keys, total=total, rows_per_slice=max(1, min(SELECT_LIMIT, total // 8)))
+        bounds = plan.bounds or (_least_key(part, keys),)
+        plan = SlicePlan(plan.keys, plan.sort_columns, plan.ddl, bounds)
+        names = {f"k{i}": c for i, c in enumerate(plan.sort_columns)}
+        at_bound = F.lit(False)
+        if bounds:
+            marks = constant_array([{f"k{i}": v for i, v in enumerate(b)} for b in bounds], plan.ddl)
+            key = F.struct(*[c.alias(n) for n, c in names.items()])
+            at_bound = F.try_element_at(marks, F.col(SLICE)) == key
+        counted = with_slice(part, plan).groupBy(SLICE).agg(F.count(F.lit(1)).alias("n"), F.count(F.when((F.col(SLICE) > 0) & at_bound, 1)).alias("equal"))
+        found = {r[SLICE]: (r["n"], r["equal"]) for r in counted.collect()}
+        at = 0
+        while rank > found.get(at, (0, 0))[0]:
+            rank -= found.get(at, (0, 0))[0]
+            at += 1
+        total, equal = found[at]
+        if rank <= equal:
+            return bounds[at - 1]
+        rank, total = rank - equal, total - equal
         if at > 0:
-            part = part.where(~key_before(df, keys, plan.bounds[at - 1], inclusive=False))
-        if at < len(plan.bounds):
-            part = part.where(key_before(df, keys, plan.bounds[at], inclusive=False))
-        inner = rank - offsets[at]
-        result[rank] = keys_at_ranks(part, keys, [inner])[inner]
-    return result
+            part = part.where(~key_before(df, keys, bounds[at - 1], inclusive=True))
+        if at < len(bounds):
+            part = part.where(key_before(df, keys, bounds[at], inclusive=False))
+    return _select_small(part, keys, [rank])[rank]
+
+
+def _least_key(df: DataFrame, keys: list[str]) -> tuple:
+    key = F.struct(*[sortable(df, k).alias(f"k{i}") for i, k in enumerate(keys)])
+    return tuple(df.agg(F.min(key).alias("least")).first()["least"])
 
 
 def _select_small(df: DataFrame, keys: list[str], ranks: list[int]) -> dict[int, tuple]:

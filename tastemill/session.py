@@ -63,11 +63,19 @@ def rows_per_slice(spark: SparkSession) -> int:
     return int(spark.conf.get(ROWS_PER_SLICE_CONF, str(DEFAULT_ROWS_PER_SLICE)))
 
 
+def is_local(master: str) -> bool:
+    """True where driver and executors are one process."""
+    return master == "local" or master.startswith("local[")
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a local one only where none is named (tests)."""
+    """The cluster's shared folder. Only a local master may do without: it gets a temporary one."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tastemill-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not is_local(context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tastemill-"))
     return context.getCheckpointDir()
 
 

@@ -40,14 +40,35 @@ def brute(vectors, profiles, excluded, k):
     return result
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 28, 600])
-def test_knn_is_exact_also_in_blocks(world, block_bytes):
-    vectors, profiles, excluded, frames = world
-    rows = rt.knn(*frames, 10, block_bytes=block_bytes).collect()
+@pytest.mark.parametrize(("block_bytes", "users_per_block"), [(1 << 28, 2048), (600, 3)])
+@pytest.mark.parametrize("depth", [None, "depth"])
+def test_knn_is_exact_also_in_blocks(world, block_bytes, users_per_block, depth):
+    vectors, profiles, excluded, (asked, *others) = world
+    asked = asked.withColumn("depth", F.col("user_id") % 3 + 1)
+    rows = rt.knn(asked, *others, 10, depth=depth, block_bytes=block_bytes, users_per_block=users_per_block).collect()
     found = {}
     for r in sorted(rows, key=lambda r: (r.user_id, r["rank"])):
         found.setdefault(r.user_id, []).append(r.movie_id)
-    assert found == brute(vectors, profiles, excluded, 10)
+    plain = brute(vectors, profiles, excluded, 10)
+    assert found == {u: movies[: u % 3 + 1] if depth else movies for u, movies in plain.items()}
+
+
+def test_knn_brings_no_vectors_to_the_driver(world, monkeypatch):
+    def refuse(*_):
+        raise AssertionError("a table was brought to the driver")
+
+    frame, collected = type(world[3][0]), []
+    plain = frame.collect
+
+    def counted(self):
+        rows = plain(self)
+        collected.append(len(rows))
+        return rows
+
+    monkeypatch.setattr(frame, "toArrow", refuse)
+    monkeypatch.setattr(frame, "collect", counted)
+    assert rt.knn(*world[3], 10, block_bytes=600).count() > 0
+    assert max(collected) == 1
 
 
 def test_tail_sample(spark):

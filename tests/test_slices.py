@@ -104,3 +104,19 @@ def test_shuffle_order_is_repeatable_and_seeded(rows):
     assert once == again
     assert once != other
     assert sorted(once.values()) == list(range(1, 5001))
+
+
+@pytest.mark.parametrize("ties", [1, 400, 10**9])
+def test_ranks_are_found_on_one_core_and_with_ties(spark, monkeypatch, ties):
+    monkeypatch.setattr(sl, "SELECT_LIMIT", 50)
+    monkeypatch.setattr(type(spark.sparkContext), "defaultParallelism", property(lambda _: 1))
+    rows = spark.range(3000).select((F.col("id") / ties).cast("bigint").alias("t"), (F.col("id") % 1).alias("id"))
+    keys = sorted((int(i // ties), 0) for i in range(3000))
+    ranks = [1, 2, 399, 400, 401, 1500, 2999, 3000, 9999]
+    assert sl.keys_at_ranks(rows, ["t", "id"], ranks) == {r: keys[r - 1] for r in ranks[:-1]}
+
+
+def test_null_keys_have_no_rank(spark):
+    rows = spark.createDataFrame([(1, 2), (None, 3)], "t bigint, id bigint")
+    with pytest.raises(ValueError, match="null"):
+        sl.keys_at_ranks(rows, ["t", "id"], [1])
