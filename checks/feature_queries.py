@@ -211,11 +211,16 @@ def feature_vector_tail(spark, sf):
     with_(FEATURES, select="""SELECT count(*) AS rows, count(*) FILTER (a.n = 0) AS cold_start_rows,
       round(count(*) FILTER (a.n = 0) / count(*)::DOUBLE, 9) AS cold_start_fraction,
       count(*) FILTER (a.missing) AS missing_content_rows, count(*) FILTER (b.missing) AS missing_cf_rows,
-      count(DISTINCT h.user_id) AS users
+      count(DISTINCT h.user_id) AS users,
+      ceil(count(*) FILTER (h.target_split = 'train') / 1000.0)::BIGINT AS train_parts,
+      ceil(count(*) FILTER (h.target_split = 'validation') / 1000.0)::BIGINT AS validation_parts,
+      ceil(count(*) FILTER (h.target_split = 'test') / 1000.0)::BIGINT AS test_parts,
+      (SELECT count(*) FROM mapped WHERE id NOT IN (SELECT id FROM slots)) AS join_dropped_candidates
       FROM slots a JOIN slots b ON a.id = b.id AND a.space = 'content' AND b.space = 'cf' JOIN hist h ON h.id = a.id"""),
 )
 def feature_quality(spark, sf):
-    return f.feature_quality(pit_features(spark, sf)).withColumn(
+    rows = staged(pit_features(spark, sf).select("id", "user_id", "split", "cold_start", "missing_content", "missing_cf"))
+    return f.feature_quality(rows, candidates=mapped(spark, sf), part_rows=1000).withColumn(
         "cold_start_fraction", F.round("cold_start_fraction", 9)
     )
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 
 import numpy as np
 import pyarrow as pa
@@ -212,9 +211,19 @@ def feature_rows(
     )
 
 
-def feature_quality(features: DataFrame, expected_rows: int | None = None) -> DataFrame:
-    """One row of counts over the emitted feature rows; users are counted exactly."""
+def feature_quality(
+    features: DataFrame, expected_rows: int | None = None, candidates: DataFrame | None = None, part_rows: int | None = None
+) -> DataFrame:
+    """One row of counts over the emitted feature rows; users are counted exactly.
+
+    `candidates` (id) adds the candidates that have no feature row, `part_rows` the numbered parts
+    of each split.
+    """
     rows = F.count(F.lit(1))
+    parts = []
+    if part_rows is not None:
+        in_split = lambda name: F.count_if(F.col("split") == name)
+        parts = [F.ceil(in_split(n) / F.lit(part_rows)).cast("bigint").alias(f"{n}_parts") for n in ("train", "validation", "test")]
     measured = features.agg(
         rows.alias("rows"),
         F.count_if("cold_start").alias("cold_start_rows"),
@@ -222,11 +231,12 @@ def feature_quality(features: DataFrame, expected_rows: int | None = None) -> Da
         F.count_if("missing_content").alias("missing_content_rows"),
         F.count_if("missing_cf").alias("missing_cf_rows"),
         F.count_distinct("user_id").alias("users"),
+        *parts,
     )
+    if candidates is not None:
+        dropped = candidates.join(features.select("id"), "id", "left_anti").agg(rows.alias("join_dropped_candidates"))
+        # Both sides have exactly one row.
+        measured = measured.withColumn("one", F.lit(1)).join(dropped.withColumn("one", F.lit(1)), "one").drop("one")
     if expected_rows is None:
         return measured
     return measured.withColumn("row_count_delta", F.abs(F.col("rows") - F.lit(expected_rows)))
-
-
-def part_count(rows: int, part_rows: int) -> int:
-    return math.ceil(rows / part_rows)

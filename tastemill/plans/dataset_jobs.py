@@ -147,7 +147,7 @@ def create_features(
     base = f"{root}/version={version}"
     ds.write_feature_parts(rows, f"{base}/features", part_rows)
     written = spark.read.parquet(f"{base}/features")
-    quality = ft.feature_quality(written, candidates.count()).first().asDict()
+    quality = ft.feature_quality(written, candidates.count(), candidates, part_rows).first().asDict()
     details = {
         "snapshot_id": chosen,
         "cf_dataset_version": dataset_version,
@@ -172,14 +172,24 @@ def evaluate(
     dataset_version: str | None = None,
     split: str = "test",
     input_dim: int | None = None,
+    model: dict | None = None,
 ) -> dict:
-    """Score a held-out split once, then error and ranking metrics."""
-    dataset_version = ds.latest_complete(spark, features_root, dataset_version)
+    """Score a held-out split once, then error and ranking metrics.
+
+    `model` is the lineage that the model was trained with: dataset_version, cf_version,
+    feature_schema_version and input_dim. Without a `dataset_version` its dataset is taken; a
+    field that disagrees with the dataset raises.
+    """
+    model = model or {}
+    dataset_version = ds.latest_complete(spark, features_root, dataset_version or model.get("dataset_version"))
     manifest = ds.load_manifest(spark, features_root, dataset_version)
     width = layers[0][0].shape[0] if input_dim is None else input_dim
     ds.require_lineage(
         {"feature_schema_version": ft.FEATURE_SCHEMA_VERSION, "input_dim": width}, ("features", manifest)
     )
+    fields = ("cf_version", "feature_schema_version", "input_dim")
+    trained_on = {"dataset_version": dataset_version, **{f: manifest[f] for f in fields if f in manifest}}
+    ds.require_lineage(trained_on, ("model", {"status": ds.COMPLETE, **model}))
     held_out = spark.read.parquet(f"{features_root}/version={dataset_version}/features").where(F.col("split") == split)
     base = f"{root}/version={version}"
     scored = score_layers(held_out.select("id", "user_id", "movie_id", "rating", "features"), layers)
@@ -189,6 +199,7 @@ def evaluate(
     ranks = ranking_metrics(predictions, score="prediction").first().asDict()
     details = {
         "dataset_version": dataset_version,
+        **({"model": model} if model else {}),
         "test_rmse": errors["rmse"],
         "test_mae": errors["mae"],
         "num_test_rows": errors["rows"],

@@ -145,6 +145,20 @@ def test_rank_and_evaluate(spark, pipeline):
         dj.evaluate(spark, paths["features"], fixed_layers(10, 2), paths["models"], "m2")
 
 
+@pytest.mark.parametrize("field", ["dataset_version", "cf_version", "feature_schema_version", "input_dim", None])
+def test_evaluate_checks_what_the_model_was_trained_on(spark, pipeline, field):
+    paths = pipeline[0]
+    manifest = ds.load_manifest(spark, paths["features"], "x1")
+    model = {"dataset_version": "x1", **{f: manifest[f] for f in ("cf_version", "feature_schema_version", "input_dim")}}
+    layers = ra.fit_linear(spark.read.parquet(f"{paths['features']}/version=x1/features").where("split = 'train'"))
+    if field is None:
+        report = dj.evaluate(spark, paths["features"], layers, paths["models"], "m4", model=model)
+        assert report["model"] == model and report["dataset_version"] == "x1"
+        return
+    with pytest.raises(ValueError, match=field if field != "dataset_version" else "version"):
+        dj.evaluate(spark, paths["features"], layers, paths["models"], "m5", dataset_version="x1", model={**model, field: "other"})
+
+
 def test_lineage_guards_features(spark, pipeline):
     paths, *_ = pipeline
     dj.write_movie_factors(

@@ -104,6 +104,19 @@ def test_csv_rows_become_stored_events(spark, tmp_path):
     assert replay.first_rows(spark, str(folder / "a.csv"), "ratings", 1).count() == 1
 
 
+def test_rows_of_a_growing_file_are_published_once(spark, tmp_path):
+    path = tmp_path / "ratings.csv"
+    publish = lambda: replay.publish_new_rows(spark, str(path), "ratings", str(tmp_path / "topic"), str(tmp_path / "progress"))
+    path.write_text("userId,movieId,rating,timestamp\n1,2,3.5,1000\n")
+    assert publish() == 1
+    assert publish() == 0
+    path.write_text(path.read_text() + "1,3,4.0,1001\n2,2,1.5,1002\n")
+    assert publish() == 2
+    assert publish() == 0
+    messages = spark.read.json(str(tmp_path / "topic")).select(F.unbase64("value").cast("string").alias("v"))
+    assert messages.count() == messages.distinct().count() == 3
+
+
 def test_windows_work_on_streams(spark, sf, tmp_path):
     events = spark.read.parquet(f"{sf}/events.parquet").select(
         F.col("ts").cast("timestamp").alias("handled_at"), F.col("event_type").alias("worker"), F.lit("success").alias("status")
