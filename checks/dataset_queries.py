@@ -19,7 +19,7 @@ def split(spark, sf):
 def maps(spark, sf):
     parts = split(spark, sf)
     users = rank.dense_index(parts.where(F.col("split") == "train"), "user_id", "user_idx")
-    movies = rank.dense_index(t.catalog(spark, sf), "movie_id", "movie_idx")
+    movies = rank.dense_index(t.catalog_with_gaps(spark, sf), "movie_id", "movie_idx")
     return parts, users, movies
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from checks import tables as t
 from checks.dataset_queries import MAPPED, mapped, split
 from checks.registry import query
-from checks.sql import CATALOG, CF, CONTENT, PREDICTIONS, SPLIT, with_
+from checks.sql import CATALOG, CATALOG_GAPS, CF, CF_GAPS, CONTENT, CONTENT_GAPS, PREDICTIONS, SPLIT, with_
 from tastemill.functions.numeric import log1p_or_zero, min_max_norm
 from tastemill.operators import features as f
 from tastemill.operators import history as h
@@ -43,9 +43,9 @@ NORMS = {
 }
 
 
-def stats(spark, sf):
+def stats(spark, sf, catalog=t.catalog):
     train = split(spark, sf).where(F.col("split") == "train")
-    return f.fit_metadata_stats(train, t.catalog(spark, sf))
+    return f.fit_metadata_stats(train, catalog(spark, sf))
 
 
 STAT_NAMES = [f"{n}_{side}" for n in f.STAT_FIELDS for side in ("min", "max")]
@@ -127,18 +127,18 @@ def good_vectors(spark, sf):
 
 @query(
     "vector_lookup",
-    with_(CATALOG, CONTENT, select="""SELECT movie_id, vector IS NULL AS missing_content,
+    with_(CATALOG_GAPS, CONTENT_GAPS, select="""SELECT movie_id, vector IS NULL AS missing_content,
       round(CASE WHEN vector IS NULL THEN 0 ELSE list_sum(vector::DOUBLE[]) END, 6) AS total
       FROM catalog LEFT JOIN content USING (movie_id)"""),
 )
 def vector_lookup(spark, sf):
-    found = with_vector(t.catalog(spark, sf).select("movie_id"), t.content_space(spark, sf))
+    found = with_vector(t.catalog_with_gaps(spark, sf).select("movie_id"), t.content_space(spark, sf))
     total = F.aggregate("content_vector", F.lit(0.0), lambda acc, x: acc + x.cast("double"))
     return found.select("movie_id", "missing_content", F.round(total, 6).alias("total"))
 
 
 # Slot sums of the point-in-time feature vector, computed long in SQL.
-FEATURES = MAPPED + ", " + STATS + ", " + CONTENT + ", " + CF + """,
+FEATURES = MAPPED + ", " + STATS + ", " + CONTENT_GAPS + ", " + CF_GAPS + """,
   hist AS (SELECT r.*, m.split IS NOT NULL AS is_target, m.split AS target_split FROM ratings r
     LEFT JOIN mapped m USING (id) WHERE r.rating IS NOT NULL AND r.user_id IN (SELECT user_id FROM mapped)),
   dims AS (SELECT unnest(range(1, 65)) AS pos),
@@ -164,8 +164,8 @@ def pit_features(spark, sf, kind="double"):
     rows = staged(mapped(spark, sf))
     history = h.of_users(t.created(spark, sf), h.candidate_users(rows))
     marked = staged(h.mark_targets(history, rows))
-    bounds = f.stats_values(stats(spark, sf))
-    metadata = f.metadata_space(t.catalog(spark, sf), bounds, kind)
+    bounds = f.stats_values(stats(spark, sf, t.catalog_with_gaps))
+    metadata = f.metadata_space(t.catalog_with_gaps(spark, sf), bounds, kind)
     return f.feature_rows(marked, t.content_space(spark, sf), t.cf_space(spark, sf), metadata, kind=kind)
 
 

@@ -197,13 +197,12 @@ def movie_payload(spark, sf):
 
 @query(
     "us_certification",
-    """SELECT p_partkey AS movie_id, CASE p_partkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 'PG-13' WHEN 2 THEN 'R' ELSE 'G' END AS certification_us
-       FROM part WHERE p_partkey % 9 <> 0""",
+    """SELECT p_partkey AS movie_id, CASE WHEN p_partkey % 9 = 0 OR p_partkey % 4 = 0 THEN NULL WHEN p_partkey % 4 = 1 THEN 'PG-13' WHEN p_partkey % 4 = 2 THEN 'R' ELSE 'G' END AS certification_us
+       FROM part""",
 )
 def us_certification(spark, sf):
     doc = F.from_json("payload", tx.MOVIE_PAYLOAD)
-    rows = payloads(spark, sf).where(F.pmod("movie_id", F.lit(9)) != 0)
-    return rows.select("movie_id", tx.us_certification(doc["release_dates"]).alias("certification_us"))
+    return payloads(spark, sf).select("movie_id", tx.us_certification(doc["release_dates"]).alias("certification_us"))
 
 
 # ---------------------------------------------------------------- posters
@@ -323,7 +322,7 @@ def stale_embeddings(spark, sf):
         "movie_id", F.when(F.pmod("movie_id", F.lit(4)) == 0, F.lit("old")).otherwise(tx.text_hash(F.col("text"))).alias("stored_hash")
     )
     vector = F.when(F.pmod("movie_id", F.lit(7)) == 0, F.slice("vector", 1, 10)).otherwise(F.col("vector"))
-    stored = t.content_vectors(spark, sf).withColumn("stored", vector).join(hashes, "movie_id")
+    stored = t.content_space(spark, sf).movies.withColumn("stored", vector).join(hashes, "movie_id")
     joined = rows.join(stored.select("movie_id", "stored", "stored_hash"), "movie_id", "left")
     stale = tx.embedding_is_stale(F.col("stored_hash"), F.col("stored"), F.col("text"), 64)
     return joined.select("movie_id", stale.alias("stale"))
@@ -365,7 +364,7 @@ def enrichable(spark, sf):
       CASE WHEN adult THEN false WHEN poster_path IS NULL THEN false
            WHEN NOT poster_checked AND certification_us IN ('R', 'NC-17') THEN false ELSE poster_safe END AS show_poster,
       len(vector)::BIGINT AS width, 22::BIGINT AS fields
-      FROM texts JOIN (SELECT vec_id AS movie_id, embedding AS vector FROM embeddings WHERE vec_id % 10 <> 9) USING (movie_id)"""),
+      FROM texts JOIN (SELECT vec_id AS movie_id, embedding AS vector FROM embeddings) USING (movie_id)"""),
 )
 def movie_documents(spark, sf):
     from tastemill.operators.documents import movie_documents as build

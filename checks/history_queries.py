@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from checks import tables as t
 from checks.registry import query
-from checks.sql import ACTIVE, CATALOG, CF, CONTENT, CREATED, RATINGS, SPLIT, with_
+from checks.sql import ACTIVE, CATALOG, CATALOG_GAPS, CF_GAPS, CONTENT_GAPS, CREATED, RATINGS, SPLIT, with_
 from tastemill.operators import history as h
 
 
@@ -46,11 +46,11 @@ def ratings_with_catalog(spark, sf):
 
 @query(
     "known_and_unknown_movies",
-    with_(RATINGS, CATALOG, select="""SELECT movie_id IN (SELECT movie_id FROM catalog) AS known, count(*) AS rows,
+    with_(RATINGS, CATALOG_GAPS, select="""SELECT movie_id IN (SELECT movie_id FROM catalog) AS known, count(*) AS rows,
       sum(id)::BIGINT AS id_sum FROM ratings GROUP BY 1"""),
 )
 def known_and_unknown_movies(spark, sf):
-    rows, movies = t.ratings(spark, sf), t.catalog(spark, sf)
+    rows, movies = t.ratings(spark, sf), t.catalog_with_gaps(spark, sf)
     known = h.known_movies(rows, movies).select(F.lit(True).alias("known"), "id")
     unknown = h.unknown_movies(rows, movies).select(F.lit(False).alias("known"), "id")
     return known.unionByName(unknown).groupBy("known").agg(
@@ -59,7 +59,7 @@ def known_and_unknown_movies(spark, sf):
 
 
 TARGETS = SPLIT + """, targets AS (SELECT id, split, user_id FROM split_ratings
-  WHERE split <> 'train' AND movie_id < 50)"""
+  WHERE split <> 'train')"""
 
 
 @query(
@@ -70,7 +70,7 @@ TARGETS = SPLIT + """, targets AS (SELECT id, split, user_id FROM split_ratings
 def marked_targets(spark, sf):
     from checks.dataset_queries import split
 
-    targets = split(spark, sf).where((F.col("split") != "train") & (F.col("movie_id") < 50))
+    targets = split(spark, sf).where(F.col("split") != "train")
     rows = h.of_users(t.ratings(spark, sf), h.candidate_users(targets))
     return h.mark_targets(rows, targets).select("id", "user_id", "split")
 
@@ -79,7 +79,7 @@ def marked_targets(spark, sf):
 def candidate_users(spark, sf):
     from checks.dataset_queries import split
 
-    return h.candidate_users(split(spark, sf).where((F.col("split") != "train") & (F.col("movie_id") < 50)))
+    return h.candidate_users(split(spark, sf).where(F.col("split") != "train"))
 
 
 BEHAVIOR = """count(rating) AS num_user_ratings, round(coalesce(avg(rating), 0), 6) AS user_avg_rating,
@@ -113,7 +113,7 @@ def pit_behavior(spark, sf):
 
 @query(
     "pit_profile",
-    with_(CREATED, CONTENT, CF, select="""
+    with_(CREATED, CONTENT_GAPS, CF_GAPS, select="""
       , long AS (SELECT 'content' AS space, c.id, c.user_id, c.rating_timestamp, c.rating, p.pos,
           coalesce(v.vector[p.pos], 0)::DOUBLE * c.rating AS part
         FROM created c CROSS JOIN (SELECT unnest(range(1, 65)) AS pos) p LEFT JOIN content v USING (movie_id)
@@ -138,7 +138,7 @@ def pit_profile(spark, sf):
 
 @query(
     "weighted_profile",
-    with_(ACTIVE, CONTENT, select="""
+    with_(ACTIVE, CONTENT_GAPS, select="""
       , long AS (SELECT a.user_id, p.pos, sum(a.rating) AS weight, count(*) AS rating_count,
           sum(coalesce(v.vector[p.pos], 0)::DOUBLE * a.rating) AS total
         FROM active a CROSS JOIN (SELECT unnest(range(1, 65)) AS pos) p LEFT JOIN content v USING (movie_id)

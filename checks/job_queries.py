@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -10,13 +12,15 @@ from checks.feature_queries import NORMS, STATS, stats
 from checks.history_queries import LIKED
 from checks.registry import query
 from checks.retrieval_queries import GOOD, POOL
-from checks.sql import CATALOG, CF, CONTENT, CREATED, FEEDBACK, LATEST, SPLIT, with_
+from checks.sql import CATALOG, CATALOG_GAPS, CF, CF_GAPS, CONTENT, CONTENT_GAPS, CREATED, FEEDBACK, LATEST, RATINGS, SPLIT, with_
 from tastemill.models import encoder as en
 from tastemill.models import factors as fa
 from tastemill.models import ranker as ra
 from tastemill.operators import features as ft
 from tastemill.operators.vectors import norm
 from tastemill.plans import recommend_jobs as rj
+from tastemill.session import checkpoint_dir
+from tastemill.sources import datasets as ds
 
 
 def fixed_layers(width: int, hidden: int) -> ra.Layers:
@@ -53,13 +57,35 @@ def cf_scores(spark, sf):
     return scored.select("id", F.round("prediction", 6).alias("prediction"))
 
 
+@query(
+    "snapshot_tables",
+    with_(RATINGS, CATALOG, select="""SELECT 'ratings_events' AS name, count(*) AS rows, sum(id)::BIGINT AS ids, round(sum(rating), 6) AS total, count(DISTINCT user_id) AS keys FROM ratings
+      UNION ALL SELECT 'catalog_movies', count(*), sum(movie_id)::BIGINT, round(sum(tmdb_popularity), 6), count(DISTINCT title) FROM catalog"""),
+)
+def snapshot_tables(spark, sf):
+    """A snapshot is written, published and read back by its name."""
+    from tastemill.plans.dataset_jobs import snapshot
+
+    root, tables = f"{checkpoint_dir(spark)}/snapshots-{uuid.uuid4()}", {"ratings_events": t.ratings(spark, sf), "catalog_movies": t.catalog(spark, sf)}
+    snapshot(spark, tables, root, "s1", part_rows=5_000)
+    stored = {name: ds.read_snapshot(spark, root, ds.latest_complete(spark, root), name) for name in tables}
+
+    def summary(name: str, key: str, number: str, distinct: str):
+        return stored[name].agg(
+            F.lit(name).alias("name"), F.count(F.lit(1)).alias("rows"), F.sum(key).alias("ids"), F.round(F.sum(number), 6).alias("total"),
+            F.count_distinct(distinct).alias("keys"),
+        ).select("name", "rows", "ids", "total", "keys")
+
+    return summary("ratings_events", "id", "rating", "user_id").union(summary("catalog_movies", "movie_id", "tmdb_popularity", "title"))
+
+
 @query("cf_fit_quality")
 def cf_fit_quality(spark, sf):
     """Fit on the training split and report the error on the validation split (no SQL: iterative)."""
     from checks.dataset_queries import mapped
 
     rows = mapped(spark, sf).where(F.col("rating").isNotNull())
-    model = fa.fit_factors(rows.where(F.col("split") == "train"), rank=8, iterations=3)
+    model = fa.fit_factors(rows.where(F.col("split") == "train"))
     scored = fa.score_model(model, rows.where(F.col("split") == "validation"))
     return fa.regression_metrics(scored).select(
         (F.col("rmse") > 0).alias("has_error"), (F.col("rmse") < 3).alias("useful"), "rows"
@@ -146,7 +172,7 @@ DRAWS = f"""keyed AS (SELECT *, (m * ((m * 16807 + 12345) % 2147483647)) % 21474
     "recommendations",
     with_(
         SPLIT, LATEST, "active AS (SELECT * FROM latest WHERE event_type = 'rating_created' AND rating IS NOT NULL)",
-        CATALOG, STATS, CONTENT, CF, RECOMMENDED, LIKED_READY, POOL_SQL, GOOD, DRAWS, recursive=True,
+        CATALOG_GAPS, STATS, CONTENT_GAPS, CF_GAPS, RECOMMENDED, LIKED_READY, POOL_SQL, GOOD, DRAWS, recursive=True,
         select="""SELECT user_id, movie_id, rank_position, model_role, retrieval_source, round(predicted_score, 6) AS predicted_score FROM (
           SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY predicted_score DESC, model_role DESC, rank, movie_id) AS rank_position FROM single)
           WHERE rank_position <= 20""",
@@ -157,7 +183,8 @@ def recommendations(spark, sf):
     main = model(spark, sf, "m1", 0)
     other = rj.RankingModel("c1", fixed_layers(ft.feature_dim(t.CONTENT_DIM, t.CF_DIM), 7), main.cf)
     listed = rj.recommend_batch(
-        t.ratings(spark, sf), t.catalog(spark, sf), t.content_space(spark, sf), ft.stats_values(stats(spark, sf)), main, t.now(),
+        t.ratings(spark, sf), t.catalog_with_gaps(spark, sf), t.content_space(spark, sf),
+        ft.stats_values(stats(spark, sf, t.catalog_with_gaps)), main, t.now(),
         candidate=other, candidate_fraction=0.3, experiment_id="exp-1",
     )
     return listed.select("user_id", "movie_id", "rank_position", "model_role", "retrieval_source", F.round("predicted_score", 6).alias("predicted_score"))

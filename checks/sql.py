@@ -38,10 +38,15 @@ CATALOG = """catalog AS (
          'movielens' AS source,
          TIMESTAMP '2024-01-01' AS created_at,
          TIMESTAMP '2024-01-01' + to_days(CAST(p_partkey % 20 AS INTEGER)) AS updated_at
-  FROM part WHERE p_partkey NOT BETWEEN 95 AND 99)"""
+  FROM part)"""
+# The same without five movies, for the queries about movies that are not known.
+CATALOG_GAPS = CATALOG[:-1] + " WHERE p_partkey NOT BETWEEN 95 AND 99)"
 
-CONTENT = """content AS (SELECT vec_id AS movie_id, embedding AS vector FROM embeddings WHERE vec_id % 10 <> 9)"""
-CF = """cf AS (SELECT vec_id - 100 AS movie_id, embedding AS vector FROM embeddings WHERE vec_id >= 100)"""
+CONTENT = """content AS (SELECT vec_id AS movie_id, embedding AS vector FROM embeddings)"""
+CF = """cf AS (SELECT vec_id - 100 AS movie_id, embedding AS vector FROM embeddings)"""
+# The same with missing vectors, for the queries about them.
+CONTENT_GAPS = CONTENT[:-1] + " WHERE vec_id % 10 <> 9)"
+CF_GAPS = CF[:-1] + " WHERE vec_id >= 100)"
 
 TAGS = """tags AS (
   SELECT (event_id // 1000) * 1000 + ((event_id % 1000) * 379) % 1000 AS id, user_id,
@@ -77,7 +82,7 @@ SPLIT = RATINGS + ", " + NUMBERED + """, split_ratings AS (
   SELECT *, CASE WHEN rn <= CAST(floor(total * 0.8) AS BIGINT) THEN 'train'
                  WHEN rn <= CAST(floor(total * 0.9) AS BIGINT) THEN 'validation' ELSE 'test' END AS split
   FROM numbered)"""
-MAPS = SPLIT + ", " + CATALOG + """, user_map AS (
+MAPS = SPLIT + ", " + CATALOG_GAPS + """, user_map AS (
   SELECT user_id, row_number() OVER (ORDER BY user_id) - 1 AS user_idx
   FROM (SELECT DISTINCT user_id FROM split_ratings WHERE split = 'train')),
 movie_map AS (SELECT movie_id, row_number() OVER (ORDER BY movie_id) - 1 AS movie_idx FROM catalog)"""

@@ -52,7 +52,7 @@ def created(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def catalog(spark: SparkSession, sf: str) -> DataFrame:
-    part = load(spark, sf, "part").where(~F.col("p_partkey").between(95, 99))
+    part = load(spark, sf, "part")
     key = F.col("p_partkey")
     cert = F.element_at(F.array(*[F.lit(c) for c in ("G", "PG", "PG-13", "R", "NC-17")]), (F.pmod(key, F.lit(5)) + 1).cast("int"))
     status = F.element_at(
@@ -89,22 +89,29 @@ def catalog(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def catalog_with_gaps(spark: SparkSession, sf: str) -> DataFrame:
+    """Five movies are missing, for the queries about movies that are not known."""
+    return catalog(spark, sf).where(~F.col("movie_id").between(95, 99))
+
+
 def content_vectors(spark: SparkSession, sf: str) -> DataFrame:
-    rows = load(spark, sf, "embeddings").where(F.pmod("vec_id", F.lit(10)) != 9)
+    rows = load(spark, sf, "embeddings")
     return rows.select(F.col("vec_id").alias("movie_id"), F.col("embedding").alias("vector"))
 
 
 def cf_vectors(spark: SparkSession, sf: str) -> DataFrame:
-    rows = load(spark, sf, "embeddings").where(F.col("vec_id") >= 100)
+    rows = load(spark, sf, "embeddings")
     return rows.select((F.col("vec_id") - 100).alias("movie_id"), F.col("embedding").alias("vector"))
 
 
 def content_space(spark: SparkSession, sf: str) -> VectorSpace:
-    return VectorSpace("content", content_vectors(spark, sf), CONTENT_DIM)
+    """A tenth of the vectors is missing, for the queries about missing vectors."""
+    return VectorSpace("content", content_vectors(spark, sf).where(F.pmod("movie_id", F.lit(10)) != 9), CONTENT_DIM)
 
 
 def cf_space(spark: SparkSession, sf: str) -> VectorSpace:
-    return VectorSpace("cf", cf_vectors(spark, sf), CF_DIM)
+    """The first vectors are missing, for the queries about missing vectors."""
+    return VectorSpace("cf", cf_vectors(spark, sf).where(F.col("movie_id") >= 0), CF_DIM)
 
 
 def tags(spark: SparkSession, sf: str) -> DataFrame:

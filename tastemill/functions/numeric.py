@@ -52,10 +52,8 @@ def rating_in_range(rating: Column, low: float = 0.5, high: float = 5.0) -> Colu
 def adler32(text: Column) -> Column:
     """Adler-32 checksum of the UTF-8 bytes as bigint."""
     modulus = F.lit(65521).cast("bigint")
-    codes = F.transform(
-        F.sequence(F.lit(1), F.octet_length(text)),
-        lambda i: F.conv(F.hex(F.substring(F.encode(text, "UTF-8"), i, F.lit(1))), 16, 10).cast("bigint"),
-    )
+    pairs = F.regexp_extract_all(F.hex(F.encode(text, "UTF-8")), F.lit(".."), F.lit(0))
+    codes = F.transform(pairs, lambda pair: F.conv(pair, 16, 10).cast("bigint"))
     start = F.struct(F.lit(1).cast("bigint").alias("a"), F.lit(0).cast("bigint").alias("b"))
 
     def step(acc: Column, code: Column) -> Column:

@@ -47,12 +47,9 @@ _TOTALS = ("h_count", "h_sum", "h_sum_sq", "h_high", "h_low")
 
 
 def latest_per_key(events: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Newest row per key; partial aggregation keeps one row per key and task before the shuffle."""
-    rest = [c for c in events.columns if c not in keys]
-    newest = events.groupBy(*keys).agg(
-        F.max_by(F.struct(*rest), F.struct(*[F.col(c) for c in order])).alias("__newest")
-    )
-    return newest.select(*keys, *[F.col(f"__newest.{c}").alias(c) for c in rest]).select(*events.columns)
+    """Newest row per key; the rank limit keeps one row per key and task before the shuffle."""
+    newest_first = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in order])
+    return events.withColumn("__turn", F.row_number().over(newest_first)).where(F.col("__turn") == 1).select(*events.columns)
 
 
 def latest_ratings(events: DataFrame) -> DataFrame:

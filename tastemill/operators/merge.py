@@ -7,7 +7,7 @@ join on the key; commit the result as a new version (see `tastemill.sources.data
 from __future__ import annotations
 
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -62,12 +62,9 @@ def _change(*names: str) -> dict[str, Column]:
 
 def new_events(events: DataFrame, stored: DataFrame, order: list[str]) -> DataFrame:
     """Events not stored yet; of copies inside the batch the first in `order` stays."""
-    rest = [c for c in events.columns if c != "event_id"]
-    firsts = events.groupBy("event_id").agg(
-        F.min_by(F.struct(*rest), F.struct(*[F.col(c) for c in order])).alias("__first")
-    )
-    flat = firsts.select("event_id", *[F.col(f"__first.{c}").alias(c) for c in rest]).select(*events.columns)
-    return flat.join(stored.select("event_id"), "event_id", "left_anti")
+    first = F.row_number().over(Window.partitionBy("event_id").orderBy(*order))
+    firsts = events.withColumn("__turn", first).where(F.col("__turn") == 1).select(*events.columns)
+    return firsts.join(stored.select("event_id"), "event_id", "left_anti")
 
 
 def upsert_seed(catalog: DataFrame, seed: DataFrame, now: Column, source: str = "movielens") -> DataFrame:

@@ -221,3 +221,17 @@ def test_wrong_width_raises(spark):
 def test_cosine_of_zero_vector(spark):
     row = spark.range(1).select(vc.cosine(F.array(F.lit(0.0)), F.array(F.lit(1.0))).alias("c")).first()
     assert row.c == 0.0 and not math.isnan(row.c)
+
+
+def test_newest_rows_are_limited_before_the_shuffle_without_sort_aggregates(spark):
+    rows = spark.range(100).select(
+        (F.col("id") % 5).alias("user_id"), (F.col("id") % 3).alias("movie_id"), F.lit(3.0).alias("rating"), F.lit("rating_created").alias("event_type"),
+        F.timestamp_seconds(F.col("id") % 7).alias("rating_timestamp"), "id",
+    )
+    newest = h.latest_ratings(rows)
+    plan = newest._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and plan.count("WindowGroupLimit") == 2
+    expected = {}
+    for r in sorted(rows.collect(), key=lambda r: (r.rating_timestamp, r.id)):
+        expected[r.user_id, r.movie_id] = r.id
+    assert {(r.user_id, r.movie_id): r.id for r in newest.collect()} == expected
