@@ -2,22 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tastemill.session import spread
+from tastemill.session import spread, staged
 
 # BM25 parameters and the token pattern.
 K1 = 1.2
 B = 0.75
 TOKEN_BREAK = r"[^\p{L}\p{N}]+"
-QUERIES_PER_PASS = 256
-TERMS_PER_PASS = 20_000
+# Queries and titles that meet in one task.
+QUERIES_PER_BLOCK = 512
+TITLES_PER_BLOCK = 4_096
 
 
 def tokens(text: Column) -> Column:
@@ -28,110 +26,86 @@ def _idf(total: int, frequency: Column) -> Column:
     return F.log(1.0 + (F.lit(float(total)) - frequency + 0.5) / (frequency + 0.5))
 
 
-def search_titles(queries: DataFrame, movies: DataFrame, k: int = 20) -> DataFrame:
+def search_titles(
+    queries: DataFrame,
+    movies: DataFrame,
+    k: int = 20,
+    *,
+    queries_per_block: int = QUERIES_PER_BLOCK,
+    titles_per_block: int = TITLES_PER_BLOCK,
+) -> DataFrame:
     """(query_id, movie_id, score, rank): best k movies per query by the better of both fields.
 
-    `queries` has (query_id, query), `movies` (movie_id, title) already limited to what may
-    be shown. Titles are scanned in batches against a bounded group of queries and every
-    task keeps only k rows per query, so a word found in every title adds no rows.
+    `queries` has (query_id, query), `movies` (movie_id, title) already limited to what may be
+    shown. Titles are tokenised once into a table of the tokens that some query has. Blocks of
+    queries and blocks of titles meet in tasks, which keep k movies per query, so a word found in
+    every title adds no rows and the number of jobs does not depend on the number of queries.
     """
-    shown = spread(movies.select(F.col("movie_id").cast("bigint"), "title"))
-    titles = shown.select("*", tokens(F.col("title")).alias("tokens"))
-    asked = queries.where(F.trim("query") != "").select(F.col("query_id").cast("bigint"), F.trim("query").alias("query"))
-    total, words = titles.agg(F.count_if(F.size("tokens") > 0), F.sum(F.size("tokens"))).first()
+    titles = staged(movies.select(F.col("movie_id").cast("bigint"), "title"))
+    asked = staged(queries.where(F.trim("query") != "").select(F.col("query_id").cast("bigint"), F.trim("query").alias("query")))
+    count, shown = max(1, asked.count()), max(1, titles.count())
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    query_blocks, title_blocks = -(-count // queries_per_block), -(-shown // titles_per_block)
+    terms = asked.select("query_id", block("query_id", query_blocks).alias("query_block"), F.explode(tokens(F.col("query"))).alias("token"))
+    terms = staged(terms.groupBy("query_id", "query_block", "token").agg(F.count(F.lit(1)).alias("times")))
+    words = spread(titles).select("movie_id", tokens(F.col("title")).alias("tokens"))
+    lengths = staged(words.select("movie_id", F.size("tokens").alias("length"), "tokens"))
+    total, all_words = lengths.agg(F.count_if(F.col("length") > 0), F.sum("length")).first()
     if not total:
         return queries.sparkSession.createDataFrame([], "query_id bigint, movie_id bigint, score double, rank bigint")
-    count, terms = asked.agg(F.count(F.lit(1)), F.sum(F.size(F.array_distinct(tokens(F.col("query")))))).first()
-    groups = max(1, -(-count // QUERIES_PER_PASS), -(-(terms or 0) // TERMS_PER_PASS))
-    hits: DataFrame | None = None
-    for group in range(groups):
-        part = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(groups)) == group) if groups > 1 else asked
-        found = _search_group(part, titles, total, words / total, k)
-        hits = found if hits is None else hits.unionByName(found)
-    return hits
-
-
-def _search_group(asked: DataFrame, titles: DataFrame, total: int, average: float, k: int) -> DataFrame:
-    spark = asked.sparkSession
-    terms = asked.select("query_id", F.explode(tokens(F.col("query"))).alias("token")).groupBy("query_id", "token").agg(
-        F.count(F.lit(1)).alias("times")
-    )
-    vocabulary = F.broadcast(terms.select("token").distinct())
-    frequency = (
-        titles.select(F.explode(F.array_distinct("tokens")).alias("token"))
-        .join(vocabulary, "token", "left_semi")
-        .groupBy("token")
-        .agg(F.count(F.lit(1)).alias("found"))
-    )
-    weights = terms.join(frequency, "token").select(
-        "query_id", "token", (F.col("times") * _idf(total, F.col("found"))).alias("weight")
-    ).collect()
-    exact = (
-        titles.join(F.broadcast(asked.select(F.col("query").alias("title")).distinct()), "title", "left_semi")
-        .groupBy("title")
-        .agg(F.count(F.lit(1)).alias("found"))
-    )
-    exact_scores = asked.join(exact, asked["query"] == exact["title"]).select(
-        "query_id", "query", (_idf(total, F.col("found")) / (1.0 + K1)).alias("score")
-    ).collect()
-    words = sorted({r["token"] for r in weights})
-    ids = sorted({r["query_id"] for r in weights})
-    at_word, at_query = {w: i for i, w in enumerate(words)}, {q: i for i, q in enumerate(ids)}
-    table = np.zeros((len(words), len(ids)))
-    for r in weights:
-        table[at_word[r["token"]], at_query[r["query_id"]]] = r["weight"]
-    by_title: dict[str, list[tuple[int, float]]] = {}
-    for r in exact_scores:
-        if r["query_id"] in at_query:
-            by_title.setdefault(r["query"], []).append((at_query[r["query_id"]], r["score"]))
-    shared = spark.sparkContext.broadcast((words, np.array(ids, dtype=np.int64), table, by_title))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _score_batches(batches, *shared.value, average, k)
-
-    near = titles.mapInArrow(run, "query_id bigint, movie_id bigint, score double")
+    found = lengths.select("movie_id", "length", F.explode("tokens").alias("token")).join(terms.select("token").distinct(), "token", "left_semi")
+    title_block = block("movie_id", title_blocks).alias("title_block")
+    postings = staged(found.groupBy("movie_id", "length", "token").agg(F.count(F.lit(1)).alias("times")).select("*", title_block))
+    frequency = postings.groupBy("token").agg(F.count(F.lit(1)).alias("found"))
+    weights = terms.join(frequency, "token").select("query_id", "query_block", "token", (F.col("times") * _idf(total, F.col("found"))).alias("weight"))
+    # A posting goes to the query blocks that ask for its token.
+    wanted = terms.select("token", F.col("query_block").alias("query_block")).distinct()
+    keys = ["query_block", "title_block"]
+    # New names for the columns that both sides of the cogroup inherit from one table.
+    cells = postings.join(wanted, "token").select("movie_id", "length", "token", "times", *[F.col(c).alias(c) for c in keys])
+    weights = weights.withColumn("title_block", F.explode(F.sequence(F.lit(0), F.lit(title_blocks - 1))))
+    scored = weights.groupBy(*keys).cogroup(cells.groupBy(*keys)).applyInPandas(_block_scores(all_words / total, k), _HITS)
+    hits = scored.unionByName(_exact_titles(asked, titles, total, k)).groupBy("query_id", "movie_id").agg(F.round(F.max("score"), 9).alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "movie_id")
-    return near.withColumn("rank", F.row_number().over(best).cast("bigint")).where(F.col("rank") <= k)
-
-
-def _score_batches(batches, words, ids, table, by_title, average: float, k: int) -> Iterator[pa.RecordBatch]:
-    vocabulary = pa.array(words, type=pa.string())
-    kept_scores = [np.zeros(0) for _ in ids]
-    kept_movies = [np.zeros(0, dtype=np.int64) for _ in ids]
-    for whole in batches:
-        for at in range(0, whole.num_rows, 256):
-            batch = whole.slice(at, 256)
-            scores = _bm25(batch, vocabulary, table, average)
-            for i, title in enumerate(batch.column("title").to_pylist()):
-                for query, score in by_title.get(title, ()):
-                    scores[i, query] = max(scores[i, query], score)
-            scores = np.round(scores, 9)
-            movies = batch.column("movie_id").to_numpy()
-            for q in np.flatnonzero((scores > 0).any(axis=0)):
-                hit = np.flatnonzero(scores[:, q] > 0)
-                all_scores = np.r_[kept_scores[q], scores[hit, q]]
-                all_movies = np.r_[kept_movies[q], movies[hit]]
-                order = np.lexsort((all_movies, -all_scores))[:k]
-                kept_scores[q], kept_movies[q] = all_scores[order], all_movies[order]
-    for q, query_id in enumerate(ids):
-        if len(kept_movies[q]):
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "query_id": pa.array(np.full(len(kept_movies[q]), query_id)),
-                    "movie_id": pa.array(kept_movies[q]),
-                    "score": pa.array(kept_scores[q]),
-                }
-            )
-
-
-def _bm25(batch: pa.RecordBatch, vocabulary: pa.Array, table: np.ndarray, average: float) -> np.ndarray:
-    lists = batch.column("tokens")
-    lengths = pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-    owner = np.repeat(np.arange(batch.num_rows), lengths)
-    word = pc.index_in(lists.flatten(), value_set=vocabulary).fill_null(-1).to_numpy(zero_copy_only=False)
-    known = word >= 0
-    cells = owner[known] * table.shape[0] + word[known]
-    size = batch.num_rows * table.shape[0]
-    times = np.bincount(cells, minlength=size).astype(np.float64).reshape(batch.num_rows, table.shape[0])
-    damp = K1 * (1.0 - B + B * lengths / average)
-    return (times / (times + damp[:, None] + (times == 0))) @ table
+    return hits.where("score > 0").withColumn("rank", F.row_number().over(best).cast("bigint")).where(F.col("rank") <= k)
+
+
+_HITS = "query_id bigint, movie_id bigint, score double"
+
+
+def _exact_titles(asked: DataFrame, titles: DataFrame, total: int, k: int) -> DataFrame:
+    """Queries that are a whole title; of equal titles the k least ids can be in a result."""
+    same = titles.join(asked.select(F.col("query").alias("title")).distinct(), "title", "left_semi")
+    least = F.row_number().over(Window.partitionBy("title").orderBy("movie_id"))
+    first = same.withColumn("turn", least).where(F.col("turn") <= k).drop("turn")
+    counts = same.groupBy("title").agg(F.count(F.lit(1)).alias("found"))
+    score = (_idf(total, F.col("found")) / (1.0 + K1)).alias("score")
+    matched = asked.withColumnRenamed("query", "title").join(counts, "title")
+    return matched.join(first, "title").select("query_id", "movie_id", score)
+
+
+def _block_scores(average: float, k: int):
+    """BM25 of one block of titles for one block of queries; k rows per query at most."""
+
+    def scores(weights: pd.DataFrame, postings: pd.DataFrame) -> pd.DataFrame:
+        if weights.empty or postings.empty:
+            return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "movie_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+        queries, asked = np.unique(weights["query_id"], return_inverse=True)
+        movies, shown = np.unique(postings["movie_id"], return_inverse=True)
+        damp = K1 * (1.0 - B + B * postings["length"].to_numpy() / average)
+        times = postings["times"].to_numpy(float)
+        share, weight = times / (times + damp), weights["weight"].to_numpy()
+        table = np.zeros((len(movies), len(queries)))
+        by_token = postings.groupby("token", sort=False).indices
+        for token, columns in weights.groupby("token", sort=False).indices.items():
+            if (rows := by_token.get(token)) is not None:
+                table[np.ix_(shown[rows], asked[columns])] += np.outer(share[rows], weight[columns])
+        table = np.round(table, 9)
+        found = []
+        for at, query in enumerate(queries):
+            hit = np.flatnonzero(table[:, at] > 0)
+            hit = hit[np.lexsort((movies[hit], -table[hit, at]))[:k]]
+            found.append(pd.DataFrame({"query_id": query, "movie_id": movies[hit], "score": table[hit, at]}))
+        return pd.concat(found)
+
+    return scores

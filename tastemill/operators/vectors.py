@@ -73,7 +73,8 @@ def with_vector(df: DataFrame, space: VectorSpace, *, hint_small: bool = True) -
 
 
 def small_enough(space: VectorSpace, limit_bytes: int = BROADCAST_LIMIT_BYTES) -> bool:
-    return space.movies.count() * (space.dim * 8 + 8) <= limit_bytes
+    width = 4 if space.kind == "float" else 8
+    return space.movies.count() * (space.dim * width + 8) <= limit_bytes
 
 
 class VectorTable:

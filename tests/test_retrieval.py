@@ -138,12 +138,13 @@ def test_no_cartesian_product_in_knn(world):
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
-def test_title_search_equals_plain_bm25(spark):
+@pytest.mark.parametrize("blocks", [{}, {"queries_per_block": 2, "titles_per_block": 40}])
+def test_title_search_equals_plain_bm25(spark, blocks):
     titles = ["the heat", "heat", "the the road", "road to heat city", "city of god", "Heat", "the"] * 30
     movies = spark.createDataFrame([(i, t) for i, t in enumerate(titles)], "movie_id bigint, title string").repartition(3)
     queries = {1: "heat", 2: "the city", 3: "nothing here", 4: "the the", 5: "   "}
     asked = spark.createDataFrame(list(queries.items()), "query_id bigint, query string")
-    rows = search_titles(asked, movies, 7).collect()
+    rows = search_titles(asked, movies, 7, **blocks).collect()
     docs = [t.lower().split() for t in titles]
     average = sum(map(len, docs)) / len(docs)
 
