@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from tastemill.llm.frames import held_out, spare_name
+from tastemill.llm.frames import label_sample, spare_name
 from tastemill.session import ship_package
 
 CHUNK, STEP = 512, 448
@@ -179,15 +179,11 @@ def fit_quality(docs: DataFrame, labels: DataFrame, plan: NetPlan = NetPlan()) -
     not used. Without texts of both labels the classifier gives the share of label 1, one half
     without any.
     """
-    chosen = labels.where(~held_out() & F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", (F.col("quality") != 0).cast("int").alias("label"))
-    counts = {r["label"]: r["count"] for r in chosen.groupBy("label").count().collect()}
+    sample, counts = label_sample(labels, "quality", plan.max_texts, plan.seed)
     good, bad = counts.get(1, 0), counts.get(0, 0)
     shift = math.log((good + 0.5) / (bad + 0.5)) if good or bad else 0.0
     if not good or not bad:
         return Classifier(plan, None, shift)
-    turn = F.md5(F.concat(F.lit(f"{plan.seed}:"), F.col("doc_id").cast("string")).cast("binary"))
-    part = lambda label: chosen.where(F.col("label") == label).orderBy(turn, "doc_id").limit(plan.max_texts)
-    sample = F.broadcast(part(0).union(part(1)))  # at most 2 * max_texts rows
     most = plan.max_chunks
 
     def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -30,6 +30,20 @@ def held_out(doc_id: str | Column = "doc_id") -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
+def label_sample(labels: DataFrame, column: str, most: int, seed: int) -> tuple[DataFrame, dict[int, int]]:
+    """(doc_id, label) of at most `most` rows of each label outside the held-out fold, and all rows per label.
+
+    Rows are taken in the order of a hash of their id, so reruns agree; rows with a null id or
+    label are left out. The sample has at most twice `most` rows and is marked for broadcast.
+    """
+    known = ~held_out() & F.col(column).isNotNull() & F.col("doc_id").isNotNull()
+    chosen = labels.where(known).select("doc_id", (F.col(column) != 0).cast("int").alias("label"))
+    counts = {r["label"]: r["count"] for r in chosen.groupBy("label").count().collect()}
+    turn = F.md5(F.concat(F.lit(f"{seed}:"), F.col("doc_id").cast("string")).cast("binary"))
+    part = lambda label: chosen.where(F.col("label") == label).orderBy(turn, "doc_id").limit(most)
+    return F.broadcast(part(0).union(part(1))), counts
+
+
 def spare_name(df: DataFrame, name: str) -> str:
     """`name`, with underscores until no column of `df` has it (column names ignore case)."""
     taken = {c.lower() for c in df.columns}

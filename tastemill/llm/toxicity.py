@@ -5,11 +5,11 @@ that stand for letters, and leaves words parted by single spaces. The lexicon ho
 and word beginnings with a weight each; a longer exception phrase that covers an entry takes its
 weight away. The score is a logistic function of the weight found and of that weight per word.
 
-The lexicon's weights are learned by counting, over all labelled rows of the training fold, in how
-many toxic and other texts each folded word and word beginning occurs. Counting is a grouped
-aggregation; only entries whose evidence is beyond chance reach the driver, at most
-`LexiconPlan.max_entries` of them. The two logistic terms are fitted on a histogram of bounded
-size over all training rows.
+The lexicon's weights are learned by counting, over a bounded sample of the labelled rows of the
+training fold, in how many toxic and other texts each folded word and word beginning occurs.
+Counting is a grouped aggregation; only entries whose evidence is beyond chance reach the driver,
+at most `LexiconPlan.max_entries` of them. The two logistic terms are fitted on a histogram of
+bounded size over the same rows, weighted to the labels' true shares.
 """
 
 from __future__ import annotations
@@ -26,8 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from tastemill.llm.frames import held_out, spare_name
-from tastemill.session import ship_package, staged
+from tastemill.llm.frames import label_sample, spare_name
+from tastemill.session import ship_package
 
 # Letters of other scripts that look like Latin ones, and signs read as letters.
 HOMOGLYPHS = {
@@ -78,14 +78,16 @@ def _spelled(raw: str) -> str:
 @dataclass(frozen=True)
 class LexiconPlan:
     """`prefixes`: lengths of word beginnings that may become entries. An entry needs `min_texts`
-    toxic texts and a log-likelihood ratio above `evidence`. `phrases`: exception phrases, read
-    with their words folded."""
+    toxic texts and a log-likelihood ratio above `evidence`. `max_texts`: labelled texts per label
+    that training may use (the first ones by a hash of their id); scoring has no such bound.
+    `phrases`: exception phrases, read with their words folded."""
 
     prefixes: tuple[int, ...] = (4, 5, 6)
     min_texts: int = 3
     evidence: float = 16.0
     max_entries: int = 2000
-    bins: int = 64
+    max_texts: int = 12_000
+    seed: int = 11
     phrases: tuple[str, ...] = ("clown fish", "trash can", "trash bin", "loser bracket", "fool proof")
 
 
@@ -159,11 +161,12 @@ def fit_lexicon(docs: DataFrame, labels: DataFrame, plan: LexiconPlan = LexiconP
     Without toxic or without other texts the lexicon is empty and every score is the share of
     toxic rows (one half without any rows).
     """
-    chosen = labels.where(~held_out() & F.col("toxic").isNotNull()).select("doc_id", (F.col("toxic") != 0).cast("int").alias("toxic"))
-    train = staged(docs.select("doc_id", F.col("text").cast("string").alias("text")).join(chosen, "doc_id"))
-    rows, toxic = train.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
-    prior = (toxic + 0.5) / (rows + 1) if rows else 0.5
+    sample, totals = label_sample(labels, "toxic", plan.max_texts, plan.seed)
+    all_rows = sum(totals.values())
+    prior = (totals.get(1, 0) + 0.5) / (all_rows + 1) if all_rows else 0.5
     empty = Lexicon({}, math.log(prior / (1 - prior)), 0.0, 0.0, plan.phrases)
+    train = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(sample.withColumnRenamed("label", "toxic"), "doc_id")
+    rows, toxic = train.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not toxic or toxic == rows:
         return empty
 
@@ -184,19 +187,24 @@ def fit_lexicon(docs: DataFrame, labels: DataFrame, plan: LexiconPlan = LexiconP
         .orderBy(F.desc("evidence"), "entry").limit(plan.max_entries).collect()
     )
     weights = {r["entry"]: round(float(r["weight"]), 6) for r in best}
-    return _calibrated(train, weights, plan, empty)
+    scales = (totals[0] / (rows - toxic), totals[1] / toxic)
+    return _calibrated(train, weights, plan, empty, scales)
 
 
-def _calibrated(train: DataFrame, weights: dict[str, float], plan: LexiconPlan, empty: Lexicon) -> Lexicon:
-    """Fit the logistic terms on counts per cell of the two measures; all rows count."""
+def _calibrated(train: DataFrame, weights: dict[str, float], plan: LexiconPlan, empty: Lexicon, scales: tuple[float, float]) -> Lexicon:
+    """Fit the logistic terms on counts per cell of the two measures; `scales` weigh other and toxic rows.
+
+    Both measures are logarithms cut into steps, so the cells are a few thousand at most.
+    """
     if not weights:
         return empty
     measured = _measured(train, weights, plan.phrases, "text").select(
         F.round(F.log1p("found") * 8).alias("x"), F.round(F.log1p(100 * F.col("found") / (F.col("words") + 5)) * 8).alias("y"), "toxic"
     )
-    cells = measured.groupBy("x", "y").agg(F.sum("toxic").alias("a"), F.count("*").alias("n")).limit(plan.bins**2 * 4).toPandas()
+    cells = measured.groupBy("x", "y").agg(F.sum("toxic").alias("a"), F.count("*").alias("n")).toPandas()
     x = np.column_stack([np.ones(len(cells)), cells["x"] / 8, cells["y"] / 8])
-    a, n = cells["a"].to_numpy(float), cells["n"].to_numpy(float)
+    a = cells["a"].to_numpy(float) * scales[1]
+    n = (cells["n"] - cells["a"]).to_numpy(float) * scales[0] + a
     beta = np.zeros(3)
     ridge = np.diag([1e-3, 0.1, 0.1])
     for _ in range(50):
