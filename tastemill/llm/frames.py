@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from tastemill.session import ship_package, use_utc
 
-# Documents vary from a few bytes to hundreds of kilobytes: few rows a batch bound a worker's memory.
-ROWS_PER_BATCH = 256
+# Texts vary from a few bytes to megabytes: both limits together bound a worker's memory.
+BATCH_LIMITS = {"spark.sql.execution.arrow.maxRecordsPerBatch": "256", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -18,9 +18,10 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> SparkSession:
-    """Bound the rows that reach a Python worker at once; the setting belongs to the session."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) != ROWS_PER_BATCH:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
+    """Bound the rows and bytes that reach a Python worker at once; the settings belong to the session."""
+    for name, limit in BATCH_LIMITS.items():
+        if spark.conf.get(name, None) != limit:
+            spark.conf.set(name, limit)
     return ship_package(spark)
 
 

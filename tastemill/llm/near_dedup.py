@@ -314,7 +314,8 @@ def without_near_duplicates(docs: DataFrame, plan: NearDedup = NearDedup()) -> D
     rows = staged(near_duplicates(docs, plan).select("doc_id", "row_key", "component"))
     linked = rows.where(F.col("component").isNotNull())
     order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row_key")
-    best = linked.groupBy("component").agg(F.min(order).alias("best"))
+    # Written first, so that the join may split a large component over many tasks.
+    best = staged(linked.groupBy("component").agg(F.min(order).alias("best")))
     is_best = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("row_key") == F.col("best.row_key"))
     judged = staged(linked.join(best, "component").select("doc_id", "row_key", is_best.alias("stays")))
     dropped = pairs(judged.where("NOT stays"))
