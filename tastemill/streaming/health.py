@@ -33,6 +33,10 @@ def dead_letter_counts(df: DataFrame) -> DataFrame:
 
 
 def latency_percentiles(df: DataFrame, accuracy: int = 10_000) -> DataFrame:
+    """Percentiles whose rank is off by at most 1 / accuracy of a window's events.
+
+    Windows with no more events than `accuracy` are exact; the check against SQL asks for more.
+    """
     rows = watermarked(df)
     percentiles = F.percentile_approx("latency_ms", F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)), F.lit(accuracy))
     found = rows.groupBy(F.window("handled_at", FIVE_MINUTES, STEP), "worker").agg(

@@ -18,10 +18,10 @@ STATE = "main double, candidate double, challenged boolean, rows bigint, ratings
 
 
 def split_stream(feedback: DataFrame, policy: SplitPolicy = SplitPolicy()) -> DataFrame:
-    """Updated experiment states of each micro-batch.
+    """An approximation of `split_states`: late rows are applied on arrival, not in their place.
 
-    Rows of a micro-batch are folded in (rated_at, id) order; a row arriving in a later
-    batch is applied on arrival. Limit the batch size at the source, since an experiment's
+    Gives the updated experiment states of each micro-batch, whose rows are folded in (rated_at,
+    id) order; the end state therefore depends on where batches end. Limit the batch size at the source, since an experiment's
     rows of one batch are sorted together.
     """
 
