@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tastemill.llm import licenses, mixing
+from tastemill.llm import licenses, mixing, repeats, resampling, whitening
 from tastemill.llm.convnet import fit_quality, quality_scores
 from tastemill.llm.frames import held_out, table
 from tastemill.llm.html_layout import extract_text
@@ -83,6 +83,20 @@ def op10_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return section_tokens(table(spark, sf, "documents"), Vocabulary.public())
 
 
+def op11_repeats(spark: SparkSession, sf: str) -> DataFrame:
+    return repeats.repeated_words(table(spark, sf, "documents")).drop("row_key")
+
+
+def op12_importance_resampling(spark: SparkSession, sf: str) -> DataFrame:
+    return resampling.importance_resampled(table(spark, sf, "documents"), table(spark, sf, "benchmark")).drop("row_key")
+
+
+def op13_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    rows = whitening.whitened_vectors(table(spark, sf, "embeddings"))
+    # A deviation that no long can hold is null.
+    return rows.withColumn("deviation", F.expr("try_cast(deviation AS BIGINT)"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_top_k": op1_exact_top_k,
     "op2_quality_rules": op2_quality_rules,
@@ -94,5 +108,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_html_layout": op9_html_layout,
     "op10_token_counts": op10_token_counts,
+    "op11_repeats": op11_repeats,
+    "op12_importance_resampling": op12_importance_resampling,
+    "op13_whitening": op13_whitening,
+}
+SQL: dict[str, str] = {
+    "op1_exact_top_k": OP1_SQL,
+    "op7_licence_scan": licenses.sql(),
+    "op8_mixing": mixing.SQL,
+    "op11_repeats": repeats.SQL,
+    "op12_importance_resampling": resampling.SQL,
 }
-SQL: dict[str, str] = {"op1_exact_top_k": OP1_SQL, "op7_licence_scan": licenses.sql(), "op8_mixing": mixing.SQL}

@@ -6,6 +6,7 @@ depends on its bytes only, so it is the same in every task, batch and run.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterable
 
 import numpy as np
@@ -16,6 +17,8 @@ MIX_1 = np.uint64(0xBF58476D1CE4E5B9)
 MIX_2 = np.uint64(0x94D049BB133111EB)
 # Bytes handled at once; longer texts are cut between words, which leaves every word whole.
 SEGMENT_BYTES = 1 << 20
+# Bytes beyond which a word's value is a cryptographic digest.
+LONG_WORD = 256
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -49,13 +52,19 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     lengths = ends - starts
     if not len(lengths):
         return np.zeros(0, np.uint64)
+    # A polynomial modulo a power of two tells long periodic words apart badly: those get a digest of their bytes.
+    long = lengths > LONG_WORD
+    lengths = np.where(long, 1, lengths)
     longest = int(lengths.max())
     powers = _POWERS if longest <= len(_POWERS) else _powers(longest)
     offsets = np.cumsum(lengths) - lengths
     within = np.arange(int(lengths.sum())) - np.repeat(offsets, lengths)
     bytes_in = data[within + np.repeat(starts, lengths)]
     sums = np.add.reduceat((bytes_in.astype(np.uint64) + np.uint64(1)) * powers[within], offsets)
-    return mixed(sums + lengths.astype(np.uint64) * MIX_1)
+    values = mixed(sums + lengths.astype(np.uint64) * MIX_1)
+    for i in np.flatnonzero(long):
+        values[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return values
 
 
 def _segments(texts: Iterable[str | None]):
@@ -64,6 +73,9 @@ def _segments(texts: Iterable[str | None]):
     for number, text in enumerate(texts):
         raw = (text or "").encode("utf-8", "replace")
         if len(raw) > SEGMENT_BYTES:
+            if held:  # words come in the order of the texts
+                yield held, numbers
+                held, numbers, size = [], [], 0
             start = 0
             view = np.frombuffer(raw, np.uint8)
             while start < len(raw):
