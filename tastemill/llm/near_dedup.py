@@ -182,43 +182,74 @@ def _verified(pairs: DataFrame, sets: DataFrame, plan: NearDedup) -> DataFrame:
     return rows.mapInArrow(batches, "a long, b long")
 
 
+class _Members:
+    """The members of two blocks of a bucket: their sets, and which are in one component by now."""
+
+    def __init__(self, sets: list[np.ndarray], components: np.ndarray, per_cent: int):
+        self.sets, self.sizes = sets, np.array([len(s) for s in sets])
+        _, self.component = np.unique(components, return_inverse=True)
+        self.of = dict(enumerate(np.split(np.argsort(self.component, kind="stable"), np.cumsum(np.bincount(self.component))[:-1])))
+        self.largest = self.component == np.bincount(self.component).argmax()
+        self.prefixes(per_cent)
+
+    def prefixes(self, per_cent: int) -> None:
+        """Postings of the rarest shingles of each set: similar sets share one of so many."""
+        owner = np.repeat(np.arange(len(self.sets)), self.sizes)
+        _, code, counts = np.unique(np.concatenate(self.sets), return_inverse=True, return_counts=True)
+        order = np.lexsort((code, counts[code], owner))
+        owner, code = owner[order], code[order]
+        place = np.arange(len(owner)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
+        inside = place < (self.sizes - -(-self.sizes * per_cent // 100) + 1)[owner]
+        owner, code = owner[inside], code[inside]
+        self.prefix = np.split(code, np.cumsum(np.bincount(owner, minlength=len(self.sets)))[:-1])
+        order = np.argsort(code, kind="stable")
+        self.posted = owner[order]
+        self.ends = np.concatenate([[0], np.cumsum(np.bincount(code, minlength=len(counts)))])
+
+    def candidates(self, i: int) -> np.ndarray:
+        """Members of other components that share a rare shingle with `i`; each pair is met from one side."""
+        lists = [self.posted[self.ends[c] : self.ends[c + 1]] for c in self.prefix[i]]
+        found = np.concatenate(lists)
+        found = found[(self.component[found] != self.component[i]) & (self.largest[found] | (found > i))]
+        return np.unique(found) if len(lists) > 1 else found
+
+    def join(self, i: int, j: int) -> None:
+        """Make the components of `i` and `j` one, at the cost of the smaller."""
+        one, other = int(self.component[i]), int(self.component[j])
+        if one != other:
+            if len(self.of[one]) < len(self.of[other]):
+                one, other = other, one
+            moved = self.of.pop(other)
+            self.component[moved] = one
+            self.of[one] = np.concatenate([self.of[one], moved])
+
+
 def _block_links(per_cent: int):
-    """Links between members of two blocks of a bucket that are not yet in one component."""
+    """Links between members of two blocks of a bucket that are not yet in one component.
+
+    Work starts from the members outside the largest component and goes through the postings of
+    rare shingles only, so a bucket whose members are joined already costs next to nothing.
+    """
 
     def links(group: pd.DataFrame) -> pd.DataFrame:
-        parent: dict[int, int] = {}
-
-        def root(x: int) -> int:
-            while (up := parent.setdefault(x, x)) != x:
-                parent[x] = parent[up] if up in parent else up
-                x = parent[x]
-            return x
-
-        group = group.sort_values(["n", "class"], kind="stable")
-        first, second = group["low"].iloc[0], group["high"].iloc[0]
-        block = group["block"].to_numpy()
-        sets = [np.frombuffer(s, np.uint64) for s in group["shingles"]]
-        sizes = group["n"].to_numpy()
-        names, comps = group["class"].to_numpy(), [int(c) for c in group["component"]]
+        within = group["low"].iloc[0] == group["high"].iloc[0]
+        block, names = group["block"].to_numpy(), group["class"].to_numpy()
+        members = _Members([np.frombuffer(s, np.uint64) for s in group["shingles"]], group["component"].to_numpy(), per_cent)
         found = []
-        for i, own in enumerate(sets):
-            mine = root(comps[i])
-            last = np.searchsorted(sizes, 100 * sizes[i] // per_cent, side="right")
-            others = [
-                j for j in range(i + 1, last)
-                if (first == second or block[i] != block[j]) and root(comps[j]) != mine
-            ]
-            if not others:
+        for i in np.flatnonzero(~members.largest):
+            own, others = members.sets[i], members.candidates(i)
+            sizes = members.sizes[others]
+            possible = 100 * np.minimum(sizes, len(own)) >= per_cent * np.maximum(sizes, len(own))
+            others = others[possible if within else possible & (block[others] != block[i])]
+            if not len(others):
                 continue
-            joined = np.concatenate([sets[j] for j in others])
+            joined = np.concatenate([members.sets[j] for j in others])
             at = np.minimum(np.searchsorted(own, joined), len(own) - 1)
-            starts = np.cumsum([0] + [len(sets[j]) for j in others[:-1]])
+            starts = np.cumsum(members.sizes[others]) - members.sizes[others]
             common = np.add.reduceat((own[at] == joined).astype(np.int64), starts)
-            for j, shared in zip(others, common, strict=True):
-                if _similar(len(own), len(sets[j]), int(shared), per_cent):
-                    found.append((int(names[i]), int(names[j])))
-                    if (theirs := root(comps[j])) != mine:
-                        parent[theirs] = mine
+            for j in others[_similar(len(own), members.sizes[others], common, per_cent)]:
+                found.append((int(names[i]), int(names[j])))
+                members.join(i, j)
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     return links

@@ -1,8 +1,10 @@
 """Near-dedup against brute force over all pairs."""
 
 import random
+import time
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from tastemill.llm.components import component_roots
@@ -122,3 +124,53 @@ def test_components_of_paths_and_stars(spark):
     roots = {r["node"]: r["root"] for r in component_roots(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert roots == {**{i: 0 for i in range(1, 41)}, **{i: 100 for i in range(101, 160)}}
     assert component_roots(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def bucket(sets, components, blocks=None):
+    blocks = np.zeros(len(sets), int) if blocks is None else blocks
+    return pd.DataFrame({
+        "class": np.arange(len(sets)) + 7, "component": components, "n": [len(s) for s in sets], "block": blocks,
+        "low": blocks.min(), "high": blocks.max(), "shingles": [np.sort(s).tobytes() for s in sets],
+    })
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_search_of_a_bucket_joins_what_all_pairs_join(seed):
+    rng = np.random.default_rng(seed)
+    base = rng.integers(0, 1 << 60, 40).astype(np.uint64)
+    sets = [np.unique(np.concatenate([rng.choice(base, rng.integers(1, 40), False), rng.integers(0, 1 << 60, rng.integers(0, 4)).astype(np.uint64)])) for _ in range(120)]
+    sets += [np.unique(np.concatenate([s[1:], s[:1] + np.uint64(1)])) for s in sets[:60] if len(s) > 1]
+    components = rng.integers(0, 50, len(sets)) if seed % 2 else np.arange(len(sets))
+    blocks = rng.integers(0, 2, len(sets)) if seed > 3 else np.zeros(len(sets), int)
+    links = list(near_dedup._block_links(80)(bucket(sets, components, blocks)).itertuples(index=False))
+    parents = {int(c): int(c) for c in components}
+
+    def root(x):
+        while parents[x] != x:
+            x = parents[x]
+        return x
+
+    def joined(pairs):
+        for c in parents:
+            parents[c] = c
+        for i, j in pairs:
+            parents[root(int(components[i]))] = root(int(components[j]))
+        return [root(int(c)) for c in components]
+
+    similar = lambda a, b: 100 * len(np.intersect1d(a, b)) >= 80 * len(np.union1d(a, b))
+    across = seed > 3
+    want = joined([(i, j) for i in range(len(sets)) for j in range(i) if (not across or blocks[i] != blocks[j]) and similar(sets[i], sets[j])])
+    got = joined([(a - 7, b - 7) for a, b in links])
+    assert len({*zip(want, got, strict=True)}) == len({*want}) == len({*got})
+    assert all(similar(sets[a - 7], sets[b - 7]) for a, b in links)
+
+
+@pytest.mark.parametrize("one_component", [True, False])
+def test_a_bucket_of_many_short_texts_takes_seconds(one_component):
+    rng = np.random.default_rng(1)
+    base = rng.integers(0, 1 << 60, 9).astype(np.uint64)
+    sets = [np.concatenate([base[: 9 if one_component else 6], rng.integers(0, 1 << 60, 3).astype(np.uint64)]) for _ in range(80_000)]
+    components = np.zeros(len(sets), int) if one_component else np.arange(len(sets))
+    components[5] = 1 if one_component else 5
+    group, began = bucket(sets, components), time.monotonic()
+    assert near_dedup._block_links(80)(group).empty and time.monotonic() - began < 20
