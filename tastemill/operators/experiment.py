@@ -4,7 +4,13 @@ The split reacts to feedback in time order, so it is a sequential fold per exper
 experiment may hold a large share of all feedback, therefore the fold runs over slices of
 (experiment, time, id). A slice whose starting split is unknown is folded from both extreme
 splits at once: the update never swaps two splits, so when both runs end equal, every
-start ends there. The few slices where they do not are run again once their start is known.
+start ends there. Each run of slices where they do not is walked once more, in one go, from the end
+of the slice before it, which is known. So there are two passes whatever the feedback, and the runs
+are walked beside each other.
+
+Whether a rating may promote is known for all rows before (counts and sums do not depend on the
+split), so a row is one of ten symbols, and splits are nodes of a graph that grows while it is
+walked: a row costs one step along an edge, and rows that change nothing are left out beforehand.
 """
 
 from __future__ import annotations
@@ -12,6 +18,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -70,12 +77,15 @@ def next_split(policy: SplitPolicy, now: Split, role: str, rating: float) -> Spl
     return Split(main / total, candidate / total, now.challenged)
 
 
+def rolled_out(policy: SplitPolicy, now: Split) -> bool:
+    return now.challenged and now.candidate >= policy.max_fraction - 1e-9
+
+
 def promotes(policy: SplitPolicy, now: Split, role: str, ratings: int, total: float) -> bool:
     """True when the challenger has full rollout, enough feedback and a good enough average."""
     return (
         role in ("main", "candidate")
-        and now.challenged
-        and now.candidate >= policy.max_fraction - 1e-9
+        and rolled_out(policy, now)
         and ratings >= policy.promotion_ratings
         and total / ratings >= policy.promotion_average
     )
@@ -84,69 +94,120 @@ def promotes(policy: SplitPolicy, now: Split, role: str, ratings: int, total: fl
 PROMOTED = Split(1.0, 0.0, False)
 
 
-class Feedback:
-    """Running fold of one experiment over one slice."""
+# Nodes after which a graph is begun anew; renormalised fractions have no end of different values.
+MOST_NODES = 100_000
+# Symbols: 1 to 4 are main up, main down, candidate up, candidate down; 5 more where the row may promote.
+NEUTRAL, GATED = 5, 5
 
-    def __init__(self, policy: SplitPolicy, start: Split, ratings: int, total: float, *, start_known: bool):
+
+class SplitGraph:
+    """Splits as nodes and symbols as edges. A node is a list: [challenged, successors 1 to 10, split]."""
+
+    def __init__(self, policy: SplitPolicy):
         self.policy = policy
-        self.ratings, self.total = ratings, total
-        self.rows = 0
-        self.promoted_id: int | None = None
-        self.exact = start
-        # Extreme starts: with a challenger (lowest and highest share) and without one.
-        self.start_known = start_known
-        self.low, self.high = Split(1.0, 0.0), Split(0.0, 1.0)
-        self.low_after, self.high_after = Split(1.0, 0.0, False), Split(0.0, 1.0, False)
-        self.parted = False
-        self.pair_promoted_id: int | None = None
-
-    def add(self, row_id: int, role: str, rating: float) -> None:
-        self.rows += 1
-        if role == "candidate":
-            self.ratings += 1
-            self.total += rating
-        if self.start_known:
-            self.exact, promoted = self._advance(self.exact, role, rating)
-            if promoted:
-                self.promoted_id = row_id
+        self.nodes: dict[Split, list] = {}
+
+    def node(self, split: Split) -> list:
+        found = self.nodes.get(split)
+        if found is None:
+            if len(self.nodes) >= MOST_NODES:
+                self.nodes.clear()  # nodes in use keep their edges
+            found = self.nodes[split] = [split.challenged, *[None] * 10, split]
+        return found
+
+    def grow(self, node: list, symbol: int) -> list:
+        policy, after = self.policy, node[-1]
+        move = (symbol - 1) % GATED + 1
+        if move != NEUTRAL:
+            after = next_split(policy, after, "main" if move < 3 else "candidate", policy.high_rating if move % 2 else policy.low_rating)
+        if symbol > GATED and rolled_out(policy, after):
+            after = PROMOTED
+        node[symbol] = self.node(after)
+        return node[symbol]
+
+    def walk(self, node: list, symbols: bytes) -> list:
+        for s in symbols:
+            node = node[s] or self.grow(node, s)
+        return node
+
+    def promotion(self, node: list, symbols: bytes) -> int | None:
+        """Place of the symbol that ends the challenge, which only a promotion does."""
+        for place, s in enumerate(symbols):
+            before, node = node, node[s] or self.grow(node, s)
+            if before[0] and not node[0]:
+                return place
+        return None
+
+
+class Fold:
+    """Fold of one experiment's rows, block by block, from one start or from a pair of extreme ones."""
+
+    def __init__(self, graph: SplitGraph, *starts: Split):
+        self.graph, self.parted, self.promoted_id = graph, False, None
+        self.nodes = [graph.node(s) for s in starts]
+
+    def add(self, symbols: bytes, ids: np.ndarray) -> None:
+        if self.parted or not len(symbols):
             return
-        self.low, low_promoted = self._advance(self.low, role, rating)
-        self.high, high_promoted = self._advance(self.high, role, rating)
-        if low_promoted != high_promoted:
-            self.parted = True
-        elif low_promoted:
-            self.pair_promoted_id = row_id
-        self.low_after, _ = self._advance(self.low_after, role, rating)
-        self.high_after, _ = self._advance(self.high_after, role, rating)
-
-    def _advance(self, now: Split, role: str, rating: float) -> tuple[Split, bool]:
-        now = next_split(self.policy, now, role, rating)
-        if promotes(self.policy, now, role, self.ratings, self.total):
-            return PROMOTED, True
-        return now, False
-
-    def summary(self, slice_id: int, experiment: str) -> tuple:
-        with_challenger = not self.parted and self.low == self.high
-        without = self.low_after == self.high_after
-        return (
-            experiment,
-            slice_id,
-            self.start_known,
-            self.rows,
-            self.ratings,
-            self.total,
-            *_flat(self.exact if self.start_known else None),
-            self.promoted_id,
-            *_flat(self.low if with_challenger and not self.start_known else None),
-            self.pair_promoted_id,
-            *_flat(self.low_after if without and not self.start_known else None),
-        )
+        first, at, low, high = self.nodes[0], 0, self.nodes[0], self.nodes[-1]
+        grow = self.graph.grow
+        while low is not high and at < len(symbols):
+            s = symbols[at]
+            low, high, at = low[s] or grow(low, s), high[s] or grow(high, s), at + 1
+            if low[0] is not high[0]:  # one of them promotes and the other does not
+                self.parted = True
+                return
+        if low is high:
+            low = high = self.graph.walk(low, symbols[at:])
+        if first[0] and not low[0]:
+            self.promoted_id = int(ids[self.graph.promotion(first, symbols)])
+        self.nodes = [low, high]
+
+    @property
+    def end(self) -> Split | None:
+        """The split that every start ends in, if there is one."""
+        return self.nodes[0][-1] if not self.parted and self.nodes[0] is self.nodes[-1] else None
+
+
+def symbols_of(policy: SplitPolicy, roles: np.ndarray, ratings: np.ndarray, count: int, total: float) -> tuple[np.ndarray, int, float]:
+    """(symbol of each row, 0 where it changes nothing; candidate ratings and their sum after the rows)."""
+    main, candidate = roles == "main", roles == "candidate"
+    counts = count + np.cumsum(candidate)
+    totals = np.cumsum(np.concatenate([[total], np.where(candidate, ratings, 0.0)]))[1:]
+    gate = (counts >= max(policy.promotion_ratings, 1)) & (totals / np.maximum(counts, 1) >= policy.promotion_average)
+    move = np.where(ratings >= policy.high_rating, 1, np.where(ratings <= policy.low_rating, 2, NEUTRAL))
+    move = np.where(candidate & (move != NEUTRAL), move + 2, move)
+    symbols = np.where(main | candidate, move + GATED * gate, 0).astype(np.uint8)
+    symbols[symbols == NEUTRAL] = 0
+    return symbols, (int(counts[-1]) if len(counts) else count), (float(totals[-1]) if len(totals) else total)
+
+
+class Feedback:
+    """All folds of one experiment over one slice or run of slices, and its counts."""
+
+    def __init__(self, graph: SplitGraph, ratings: int, total: float, *folds: Fold | None):
+        self.graph, self.ratings, self.total, self.rows, self.folds = graph, ratings, total, 0, folds
+
+    def add(self, ids: np.ndarray, roles: np.ndarray, ratings: np.ndarray) -> None:
+        symbols, self.ratings, self.total = symbols_of(self.graph.policy, roles, ratings, self.ratings, self.total)
+        self.rows += len(ids)
+        moving = symbols != 0
+        packed, ids = symbols[moving].tobytes(), ids[moving]
+        for fold in self.folds:
+            if fold is not None:
+                fold.add(packed, ids)
+
+    def summary(self, experiment: str, slice_id: int, start_known: bool) -> tuple:
+        ends = [x for fold in self.folds for x in (*_flat(fold and fold.end), fold and fold.promoted_id)]
+        return (experiment, slice_id, start_known, self.rows, self.ratings, self.total, *ends)
 
 
 def _flat(split: Split | None) -> tuple:
     return (None, None, None) if split is None else (split.main, split.candidate, split.challenged)
 
 
+# `main` to `promoted_id`: the end from the known start or from any start with a challenger; `after_`: from
+# any start without one. Null where the start decides.
 _SUMMARY = [
     ("experiment_id", "string"),
     (SLICE, "int"),
@@ -158,13 +219,10 @@ _SUMMARY = [
     ("candidate", "double"),
     ("challenged", "boolean"),
     ("promoted_id", "bigint"),
-    ("pair_main", "double"),
-    ("pair_candidate", "double"),
-    ("pair_challenged", "boolean"),
-    ("pair_promoted_id", "bigint"),
     ("after_main", "double"),
     ("after_candidate", "double"),
     ("after_challenged", "boolean"),
+    ("after_promoted_id", "bigint"),
 ]
 _ARROW = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}
 
@@ -236,30 +294,48 @@ def _plain_start(rows: DataFrame) -> DataFrame:
 def _walk(rows: DataFrame, plan: SlicePlan, policy: SplitPolicy) -> DataFrame:
     """One summary row per (slice, experiment); rows arrive sorted, only one fold is open."""
     laid_out = rows.repartitionById(plan.count, F.col(SLICE)).sortWithinPartitions(*FEEDBACK_ORDER)
-    columns = [
-        "experiment_id", SLICE, "id", "model_role", "rating", "s_main", "s_candidate", "s_challenged",
-        "start_known", "c_ratings", "c_total",
-    ]
+
+    def begin(graph: SplitGraph, main, candidate, challenged, known, ratings, total) -> Feedback:
+        if known:
+            return Feedback(graph, ratings, total, Fold(graph, Split(main, candidate, challenged)), None)
+        extremes = [Fold(graph, Split(1.0, 0.0, c), Split(0.0, 1.0, c)) for c in (True, False)]
+        return Feedback(graph, ratings, total, *extremes)
+
+    return _folded(laid_out, [SLICE], ["s_main", "s_candidate", "s_challenged", "start_known", "c_ratings", "c_total"], begin, policy)
+
+
+def _folded(rows: DataFrame, place: list[str], starts: list[str], begin, policy: SplitPolicy) -> DataFrame:
+    """Fold sorted rows of each (experiment, place); `begin` makes its folds from the `starts` of its first row."""
+    values = ["id", "model_role", "rating"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done, key, fold = [], None, None
+        graph, done, key, feedback, known = SplitGraph(policy), [], None, None, True
         for batch in batches:
-            for row in zip(*[batch.column(c).to_pylist() for c in columns], strict=True):
-                if key != row[:2]:
-                    if fold is not None:
-                        done.append(fold.summary(key[1], key[0]))
-                    key = row[:2]
-                    fold = Feedback(policy, Split(*row[5:8]), row[9], row[10], start_known=row[8])
-                fold.add(*row[2:5])
+            at = batch.column(0).dictionary_encode().indices.to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
+            ids = batch.column(2).to_numpy(zero_copy_only=False)
+            roles = batch.column(3).to_numpy(zero_copy_only=False).astype(object)
+            ratings = batch.column(4).to_numpy(zero_copy_only=False)
+            borders = [0, *(np.flatnonzero((np.diff(at[0]) != 0) | (np.diff(at[1]) != 0)) + 1), batch.num_rows]
+            for low, high in zip(borders, borders[1:], strict=False):
+                if low == high:
+                    continue
+                own = (batch.column(0)[low].as_py(), batch.column(1)[low].as_py())
+                if own != key:
+                    if feedback is not None:
+                        done.append(feedback.summary(*key, known))
+                    first = [batch.column(i)[low].as_py() for i in range(5, 5 + len(starts))]
+                    key, feedback = own, begin(graph, *first)
+                    known = feedback.folds[1] is None
+                feedback.add(ids[low:high], roles[low:high], ratings[low:high])
             if len(done) >= 1000:
                 yield _summary_batch(done)
                 done = []
-        if fold is not None:
-            done.append(fold.summary(key[1], key[0]))
+        if feedback is not None:
+            done.append(feedback.summary(*key, known))
         if done:
             yield _summary_batch(done)
 
-    return laid_out.select(*columns).mapInArrow(run, _ddl(_SUMMARY))
+    return rows.select("experiment_id", *place, *values, *starts).mapInArrow(run, _ddl(_SUMMARY))
 
 
 def _summary_batch(rows: Iterable[tuple]) -> pa.RecordBatch:
@@ -283,50 +359,70 @@ def _resolve(rows: DataFrame, plan: SlicePlan, policy: SplitPolicy) -> list[tupl
         (F.coalesce("c_ratings", F.lit(0)) + F.col("p_ratings")).cast("bigint").alias("c_ratings"),
         (F.coalesce("c_total", F.lit(0.0)) + F.col("p_total")).alias("c_total"),
     )
-    found = {(r["experiment_id"], r[SLICE]): r.asDict() for r in _walk(asked, plan, policy).collect()}
-    chains: dict[str, list[int]] = {}
-    for experiment, slice_id in sorted(found):
-        chains.setdefault(experiment, []).append(slice_id)
-    while True:
-        finals, open_starts = [], []
-        for experiment, slices in chains.items():
-            state, promoted, rows_seen = None, None, 0
-            for slice_id in slices:
-                part = found[(experiment, slice_id)]
-                end, end_id = _end_of(part, state)
-                if end is None:
-                    open_starts.append((experiment, slice_id, *_flat(state)))
-                    break
-                state, promoted = end, promoted if promoted is not None else end_id
-                rows_seen += part["rows"]
-            else:
-                last = found[(experiment, slices[-1])]
-                finals.append((experiment, 0, True, rows_seen, last["ratings"], last["total"], *_flat(state), promoted, *[None] * 7))
-        if not open_starts:
-            return finals
-        # Slices whose end depends on the start: run them again from the now known state.
-        starts = rows.sparkSession.createDataFrame(
-            open_starts, f"experiment_id string, {SLICE} int, k_main double, k_candidate double, k_challenged boolean"
+    found: dict[str, list[dict]] = {}
+    for r in sorted(_walk(asked, plan, policy).collect(), key=lambda r: (r["experiment_id"], r[SLICE])):
+        found.setdefault(r["experiment_id"], []).append(r.asDict())
+    runs = _open_runs(found)
+    ends = {}
+    if runs:
+        # Each run is one ordered stream with little memory; runs are walked beside each other.
+        members = rows.sparkSession.createDataFrame(
+            [(e, s, number, *_flat(a), *_flat(b)) for number, (e, slices, a, b) in enumerate(runs) for s in slices],
+            f"experiment_id string, {SLICE} int, __run int, a_main double, a_candidate double, a_challenged boolean, b_main double, b_candidate double, b_challenged boolean",
         )
-        again = asked.join(F.broadcast(starts), [SLICE, "experiment_id"]).select(
-            *[c for c in asked.columns if c not in ("s_main", "s_candidate", "s_challenged", "start_known")],
-            F.col("k_main").alias("s_main"),
-            F.col("k_candidate").alias("s_candidate"),
-            F.col("k_challenged").alias("s_challenged"),
-            F.lit(True).alias("start_known"),
-        )
-        for r in _walk(again, plan, policy).collect():
-            found[(r["experiment_id"], r[SLICE])] = r.asDict()
-
-
-def _end_of(part: dict, start: Split | None) -> tuple[Split | None, int | None]:
-    if part["start_known"]:
-        return Split(part["main"], part["candidate"], part["challenged"]), part["promoted_id"]
-    kind = "pair" if start.challenged else "after"
-    if part[f"{kind}_main"] is None:
-        return None, None
-    end = Split(part[f"{kind}_main"], part[f"{kind}_candidate"], part[f"{kind}_challenged"])
-    return end, part["pair_promoted_id"] if kind == "pair" else None
+
+        def begin(graph: SplitGraph, *v) -> Feedback:
+            folds = [Fold(graph, Split(*s)) if s[0] is not None else None for s in (v[:3], v[3:6])]
+            return Feedback(graph, v[6], v[7], *folds)
+
+        starts = [*members.columns[3:], "c_ratings", "c_total"]
+        again = asked.join(F.broadcast(members), ["experiment_id", SLICE])
+        streams = again.repartition(len(runs), "__run").sortWithinPartitions("__run", *FEEDBACK_ORDER)
+        for r in _folded(streams, ["__run"], starts, begin, policy).collect():
+            experiment, slices, *_ = runs[r[SLICE]]
+            ends[experiment, slices[0]] = r.asDict()
+    return [_chained(experiment, parts, ends) for experiment, parts in found.items()]
+
+
+def _split(part: dict, prefix: str = "") -> Split | None:
+    return None if part[f"{prefix}main"] is None else Split(part[f"{prefix}main"], part[f"{prefix}candidate"], part[f"{prefix}challenged"])
+
+
+def _closed(part: dict) -> bool:
+    """True where the end is known for every start that can come."""
+    return part["start_known"] or (_split(part) is not None and _split(part, "after_") is not None)
+
+
+def _open_runs(found: dict[str, list[dict]]) -> list[tuple[str, list[int], Split, Split | None]]:
+    """(experiment, slices, start with a challenger before, start without) of neighbouring slices that are not closed."""
+    runs = []
+    for experiment, parts in found.items():
+        before = None
+        for part in parts:
+            if _closed(part):
+                before = part
+            elif before is not None:
+                runs.append((experiment, [part[SLICE]], _split(before), _split(before, "after_")))
+                before = None
+            else:
+                runs[-1][1].append(part[SLICE])
+    return runs
+
+
+def _chained(experiment: str, parts: list[dict], ends: dict[tuple[str, int], dict]) -> tuple:
+    """Final summary of an experiment from its slices and, by first slice, the ends of its open runs."""
+    state, promoted, prefix = None, None, ""
+    for part in parts:
+        if _closed(part):
+            prefix = "" if part["start_known"] or state.challenged else "after_"
+        elif (experiment, part[SLICE]) in ends:
+            part = ends[experiment, part[SLICE]]
+        else:
+            continue  # inside a run
+        state = _split(part, prefix)
+        promoted = promoted if promoted is not None else part[f"{prefix}promoted_id"]
+    last = parts[-1]
+    return (experiment, 0, True, sum(p["rows"] for p in parts), last["ratings"], last["total"], *_flat(state), promoted, *[None] * 4)
 
 
 def _report(summaries: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tastemill.operators.experiment import Feedback, Split, SplitPolicy
+from tastemill.operators.experiment import Feedback, Fold, Split, SplitGraph, SplitPolicy
 
 OUTPUT = (
     "experiment_id string, rows bigint, candidate_ratings bigint, candidate_avg double, "
@@ -31,13 +31,14 @@ def split_stream(feedback: DataFrame, policy: SplitPolicy = SplitPolicy()) -> Da
         else:
             main, candidate, challenged = policy.initial_main, policy.initial_candidate, True
             rows, ratings, total, promoted = 0, 0, 0.0, False
-        fold = Feedback(policy, Split(main, candidate, challenged), ratings, total, start_known=True)
+        graph = SplitGraph(policy)
+        walk = Fold(graph, Split(main, candidate, challenged))
+        fold = Feedback(graph, ratings, total, walk)
         batch = pd.concat(list(frames)).sort_values(["rated_at", "id"])
-        for row in batch[["id", "model_role", "rating"]].itertuples(index=False):
-            fold.add(int(row.id), row.model_role, float(row.rating))
-        promoted = bool(promoted or fold.promoted_id is not None)
+        fold.add(batch["id"].to_numpy(), batch["model_role"].to_numpy(object), batch["rating"].to_numpy(float))
+        promoted = bool(promoted or walk.promoted_id is not None)
         rows += fold.rows
-        end = fold.exact
+        end = walk.end
         state.update((end.main, end.candidate, end.challenged, rows, fold.ratings, fold.total, promoted))
         average = fold.total / fold.ratings if fold.ratings else 0.0
         yield pd.DataFrame(

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -61,6 +62,48 @@ def test_fold_equals_sequential_walk(spark, logs, rows_per_slice):
     assert found["good"].promoted
 
 
+SHAPES = {
+    "neutral": lambda i: ("main" if i % 2 else "candidate", 3.5),
+    "balanced": lambda i: ("candidate", 5.0 if (i // 5) % 2 else 1.0),
+    "high": lambda i: ("candidate", 5.0),
+    "promoted while balanced": lambda i: ("candidate", 1.0 if i % 37 == 0 else 4.5) if i < 700 else ("main", 5.0 if i % 2 else 1.0),
+    "low shares": lambda i: ("candidate" if i % 3 else "main", (5.0, 1.0, 1.0, 3.5, 2.0)[i % 5]),
+    "just below": lambda i: ("candidate", (5.0, 3.5, 3.5)[i % 3]),
+}
+
+
+@pytest.mark.parametrize("shape", sorted(SHAPES))
+def test_two_passes_whatever_the_feedback(spark, monkeypatch, shape):
+    """One experiment in 30 slices: the rows are folded twice at most, and not rating by rating."""
+    passes, steps = [], []
+    folded, step = ex._folded, ex.next_split
+    monkeypatch.setattr(ex, "_folded", lambda *a: passes.append(1) or folded(*a))
+    log = [(i, *SHAPES[shape](i)) for i in range(3000)]
+    got = ex.split_states(feedback_frame(spark, {"one": log}), rows_per_slice=100).collect()
+    state, promoted, ratings = plain_fold(log)
+    assert [(r.main_fraction, r.candidate_fraction, r.promoted_id, r.candidate_ratings, r.rows) for r in got] == [(state.main, state.candidate, promoted, ratings, 3000)]
+    assert len(passes) <= 3  # experiments within a slice, slices of the others, open runs
+    monkeypatch.setattr(ex, "next_split", lambda *a: steps.append(1) or step(*a))
+    fold = ex.Fold(graph := ex.SplitGraph(POLICY), ex.Split(0.7, 0.3))
+    ids, roles, ratings = (list(c) for c in zip(*log, strict=True))
+    ex.Feedback(graph, 0, 0.0, fold).add(np.array(ids), np.array(roles, object), np.array(ratings))
+    assert fold.end == state and fold.promoted_id == promoted and len(steps) < 500
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_random_folds_over_many_slices(spark, seed):
+    rng = random.Random(seed)
+    logs = {f"e{n}": random_log(seed * 100 + n, rng.choice([5, 300, 900]), 100_000 * n, rng.random()) for n in range(5)}
+    policy = ex.SplitPolicy(freeze_without_candidate=seed % 2 == 1, step=rng.choice([0.02, 0.013, 0.1]), promotion_average=rng.choice([3.0, 4.0]))
+    starts = {e: (rng.random(), rng.random()) for e in logs}
+    table = experiments(spark, [(e, "m", "c" if rng.random() < 0.7 else None, *starts[e], "active") for e in logs])
+    challenged = {r.experiment_id: r.candidate_model_version is not None for r in table.collect()}
+    got = {r.experiment_id: r for r in ex.split_states(feedback_frame(spark, logs), table, policy, rows_per_slice=40).collect()}
+    for e, log in logs.items():
+        state, promoted, ratings = plain_fold(log, policy, ex.Split(*starts[e], challenged[e]))
+        assert (got[e].main_fraction, got[e].candidate_fraction, got[e].promoted_id, got[e].candidate_ratings) == (state.main, state.candidate, promoted, ratings), e
+
+
 def test_single_steps():
     start = ex.Split(0.7, 0.3)
     assert ex.next_split(POLICY, start, "candidate", 4.0).candidate == pytest.approx(0.32)
