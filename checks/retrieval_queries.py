@@ -78,8 +78,14 @@ GOOD = """good AS (SELECT movie_id, genres, tmdb_popularity FROM catalog
     WHERE NOT EXISTS (SELECT 1 FROM excluded e WHERE e.user_id = l.user_id AND e.movie_id = g.movie_id)),
   popular AS (SELECT * FROM (SELECT user_id, movie_id, tmdb_popularity AS score,
       row_number() OVER (PARTITION BY user_id ORDER BY tmdb_popularity DESC, movie_id) AS rank FROM fresh) WHERE rank <= 50),
-  drawn AS (SELECT * FROM (SELECT user_id, movie_id, row_number() OVER (PARTITION BY user_id ORDER BY (m * ((m * 16807 + 12345) % 2147483647)) % 2147483647, movie_id) AS rank
-      FROM (SELECT *, ((user_id * 7 + 11) * 48271 + movie_id * 69621) % 2147483647 AS m FROM fresh)) WHERE rank <= 75)"""
+  rings AS (SELECT genre, movie_id, row_number() OVER (PARTITION BY genre ORDER BY md5(genre || ':' || movie_id), movie_id) - 1 AS place,
+      count(*) OVER (PARTITION BY genre) AS size FROM by_genre),
+  begun AS (SELECT user_id, genre, ((m * ((m * 16807 + 12345) % 2147483647)) % 2147483647) % size AS start
+    FROM (SELECT user_id, genre, size, ((user_id * 7 + 11) * 48271 + size * 69621) % 2147483647 AS m
+      FROM liked JOIN (SELECT DISTINCT genre, size FROM rings) USING (genre))),
+  drawn AS (SELECT * FROM (SELECT user_id, movie_id, row_number() OVER (PARTITION BY user_id ORDER BY distance, movie_id) AS rank
+      FROM (SELECT user_id, movie_id, min((place - start + size) % size) AS distance FROM begun JOIN rings USING (genre) JOIN fresh USING (user_id, movie_id)
+        GROUP BY user_id, movie_id)) WHERE rank <= 75)"""
 
 
 @query("popular_by_genre", with_(*BASE, EXCLUDED, GOOD, select="SELECT user_id, movie_id, score, rank FROM popular"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -12,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tastemill.functions.posters import poster_is_safe
 from tastemill.operators.vectors import cosine, stack_lists
-from tastemill.session import BROADCAST_LIMIT_BYTES, broadcast_if_small, staged
+from tastemill.session import broadcast_if_small, staged
 
 # Bucket labels in merge order.
 KNN, POPULAR, RANDOM_GENRE, RANDOM_KNN = "knn", "popular", "random_genre", "random_knn"
@@ -151,6 +150,43 @@ def similarity_to(df: DataFrame, left: str, right: str) -> DataFrame:
 # ---------------------------------------------------------------- genre buckets
 
 
+# Neighbouring places of a genre's list that are joined together.
+BAND = 64
+
+
+def _genre_lists(movies: DataFrame, order: list[Column]) -> DataFrame:
+    """(genre, band, place, size, movie_id, tmdb_popularity): each genre's movies in `order`, cut into bands."""
+    by_genre = movies.select("movie_id", "tmdb_popularity", F.explode(F.array_distinct("genres")).alias("genre"))
+    genre = Window.partitionBy("genre")
+    place = F.row_number().over(genre.orderBy(*order)).cast("bigint") - 1
+    placed = by_genre.select("*", place.alias("place"), F.count(F.lit(1)).over(genre).alias("size"))
+    return placed.withColumn("band", F.floor(F.col("place") / BAND))
+
+
+def _read_lists(liked: DataFrame, lists: DataFrame, excluded: DataFrame, n: int, start: Column | None = None) -> DataFrame:
+    """What each user reads of the lists of liked genres: `n` movies and as many as are excluded there.
+
+    A list is a ring that is read from the user's `start` (0: its head; may use `size`). Users and
+    lists meet by (genre, band), in as many bands as the user needs, so one who has seen most of a
+    genre reads further without anybody else doing so. Returns liked's columns and movie_id,
+    tmdb_popularity and offset, without the excluded pairs.
+    """
+    gone = excluded.select("user_id", "movie_id")
+    skips = gone.join(broadcast_if_small(lists.select("movie_id", "genre"), 64), "movie_id").groupBy("user_id", "genre").agg(F.count(F.lit(1)).alias("skip"))
+    sizes = lists.groupBy("genre").agg(F.max("size").alias("size"))
+    asked = liked.join(sizes, "genre").join(skips, ["user_id", "genre"], "left")
+    asked = asked.withColumn("start", F.lit(0).cast("bigint") if start is None else start.cast("bigint"))
+    asked = asked.withColumn("depth", F.least("size", F.lit(n) + F.coalesce("skip", F.lit(0))))
+    bands = lambda low, high: F.sequence(F.floor(low / BAND), F.floor((high - 1) / BAND))
+    end = F.col("start") + F.col("depth")
+    beyond = F.when(end > F.col("size"), bands(F.lit(0), end - F.col("size"))).otherwise(F.array().cast("array<bigint>"))
+    needed = F.array_distinct(F.concat(bands(F.col("start"), F.least(end, F.col("size"))), beyond))
+    asked = asked.where("depth > 0").withColumn("band", F.explode(needed)).drop("size", "skip")
+    offset = F.pmod(F.col("place") - F.col("start"), F.col("size"))
+    read = asked.join(broadcast_if_small(lists, 80), ["genre", "band"]).withColumn("offset", offset).where(F.col("offset") < F.col("depth"))
+    return read.select(*liked.columns, "movie_id", "tmdb_popularity", "offset").join(gone, ["user_id", "movie_id"], "left_anti")
+
+
 def popular_by_genres(
     liked: DataFrame, catalog: DataFrame, excluded: DataFrame, n: int = 50, min_votes: int = 100, min_average: float = 6.0
 ) -> DataFrame:
@@ -160,32 +196,12 @@ def popular_by_genres(
     n + (own exclusions there) of them at most, which bounds the rows made per user and
     still gives the exact result.
     """
-    return _genre_bucket(
-        liked, catalog, excluded, n, min_votes, min_average, [F.col("tmdb_popularity").desc_nulls_last(), F.col("movie_id")]
-    )
-
-
-def _genre_bucket(liked, catalog, excluded, n, min_votes, min_average, order) -> DataFrame:
-    movies = quality_movies(catalog, min_votes, min_average)
-    by_genre = movies.select("movie_id", "tmdb_popularity", F.explode(F.array_distinct("genres")).alias("genre"))
-    reach = (
-        excluded.join(broadcast_if_small(by_genre.select("movie_id", "genre"), 64), "movie_id")
-        .groupBy("user_id", "genre")
-        .agg(F.count(F.lit(1)).alias("skip"))
-    )
-    deepest = n + (reach.agg(F.max("skip")).first()[0] or 0)
-    ranked = by_genre.withColumn(
-        "genre_place", F.row_number().over(Window.partitionBy("genre").orderBy(*order))
-    ).where(F.col("genre_place") <= deepest)
-    wanted = liked.select("user_id", "genre").join(reach, ["user_id", "genre"], "left")
-    near = wanted.join(broadcast_if_small(ranked, 80), "genre").where(
-        F.col("genre_place") <= F.lit(n) + F.coalesce("skip", F.lit(0))
-    )
-    fresh = near.select("user_id", "movie_id", "tmdb_popularity").distinct()
-    fresh = fresh.join(excluded.select("user_id", "movie_id"), ["user_id", "movie_id"], "left_anti")
+    order = [F.col("tmdb_popularity").desc_nulls_last(), F.col("movie_id")]
+    lists = staged(_genre_lists(quality_movies(catalog, min_votes, min_average), order))
+    read = _read_lists(liked.select("user_id", "genre"), lists, excluded, n).select("user_id", "movie_id", "tmdb_popularity").distinct()
     best = Window.partitionBy("user_id").orderBy(*order)
     return (
-        fresh.withColumn("rank", F.row_number().over(best).cast("bigint"))
+        read.withColumn("rank", F.row_number().over(best).cast("bigint"))
         .where(F.col("rank") <= n)
         .select("user_id", "movie_id", F.col("tmdb_popularity").alias("score"), "rank")
     )
@@ -203,12 +219,6 @@ def random_key(seed: Column, movie: Column) -> Column:
     return F.pmod(mixed * F.pmod(mixed * MIX_FACTOR + MIX_OFFSET, prime), prime)
 
 
-def random_keys(seed: int, movies: np.ndarray) -> np.ndarray:
-    """The same keys for many movies at once."""
-    mixed = (seed * SEED_FACTOR + movies * MOVIE_FACTOR) % PRIME
-    return mixed * ((mixed * MIX_FACTOR + MIX_OFFSET) % PRIME) % PRIME
-
-
 def random_by_genres(
     liked: DataFrame,
     catalog: DataFrame,
@@ -217,69 +227,25 @@ def random_by_genres(
     n: int = 75,
     min_votes: int = 100,
     min_average: float = 6.0,
-    limit_bytes: int = BROADCAST_LIMIT_BYTES,
 ) -> DataFrame:
     """Seeded random good movies sharing a liked genre, per user; `seeds` has (user_id, seed).
 
-    The order differs per user, so no shared ranking can cut the list. With a genre table
-    small enough to send along, each user's draw happens inside one task row by row and
-    only n rows per user come out; otherwise the pairs are joined and cut per task.
+    Each genre has one fixed shuffled ring of its movies (by a digest of genre and id), which the
+    user reads from a place that the seed gives: no user sees a whole genre. A movie counts by the
+    least distance from the user's places; equal distances go by id.
     """
-    movies = quality_movies(catalog, min_votes, min_average)
-    by_genre = movies.select("movie_id", F.explode(F.array_distinct("genres")).alias("genre"))
-    wanted = liked.select("user_id", "genre").join(seeds, "user_id")
-    if by_genre.count() * 64 <= limit_bytes:
-        return _draw_in_tasks(wanted, by_genre, excluded, n)
-    keyed = wanted.join(by_genre, "genre").select(
-        "user_id", "movie_id", random_key(F.col("seed"), F.col("movie_id")).alias("draw")
-    )
-    fresh = keyed.distinct().join(excluded.select("user_id", "movie_id"), ["user_id", "movie_id"], "left_anti")
-    best = Window.partitionBy("user_id").orderBy("draw", "movie_id")
+    lists = staged(_genre_lists(quality_movies(catalog, min_votes, min_average), [F.md5(F.concat_ws(":", "genre", F.col("movie_id").cast("string"))), F.col("movie_id")]))
+    wanted = liked.select("user_id", "genre").join(seeds.select("user_id", "seed"), "user_id")
+    start = F.pmod(random_key(F.col("seed"), F.col("size")), F.col("size"))
+    nearest = _read_lists(wanted, lists, excluded, n, start).groupBy("user_id", "movie_id").agg(F.min("offset").alias("offset"))
+    best = Window.partitionBy("user_id").orderBy("offset", "movie_id")
     return (
-        fresh.withColumn("rank", F.row_number().over(best).cast("bigint"))
+        nearest.withColumn("rank", F.row_number().over(best).cast("bigint"))
         .where(F.col("rank") <= n)
         .select("user_id", "movie_id", F.lit(None).cast("double").alias("score"), "rank")
     )
 
 
-def _draw_in_tasks(wanted: DataFrame, by_genre: DataFrame, excluded: DataFrame, n: int) -> DataFrame:
-    """Exclusions are first reduced to good movies, so a user's list is no longer than the sent table."""
-    lists = {r["genre"]: np.array(sorted(r["ids"]), dtype=np.int64) for r in by_genre.groupBy("genre").agg(F.collect_set("movie_id").alias("ids")).collect()}
-    shared = wanted.sparkSession.sparkContext.broadcast(lists)
-    known = F.broadcast(by_genre.select("movie_id").distinct())
-    out = excluded.join(known, "movie_id", "left_semi").groupBy("user_id").agg(F.collect_set("movie_id").alias("out"))
-    asked = wanted.groupBy("user_id").agg(F.collect_list("genre").alias("liked"), F.first("seed").alias("seed"))
-    users = asked.join(out, "user_id", "left").select(
-        F.col("user_id").cast("bigint"), "liked", F.col("seed").cast("bigint"), F.coalesce("out", F.array().cast("array<bigint>")).alias("out")
-    )
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        genres = shared.value
-        for batch in batches:
-            found = [np.zeros((0, 3), dtype=np.int64)]
-            columns = [batch.column(c).to_pylist() for c in ("user_id", "liked", "seed")]
-            gone = batch.column("out")
-            for i, (user, liked, seed) in enumerate(zip(*columns, strict=True)):
-                pools = [genres[g] for g in liked if g in genres]
-                if not pools:
-                    continue
-                skipped = gone[i].values.to_numpy(zero_copy_only=False)
-                pool = np.setdiff1d(np.concatenate(pools), skipped)
-                drawn = pool[np.lexsort((pool, random_keys(seed, pool)))[:n]]
-                found.append(np.stack([np.full(len(drawn), user), drawn, np.arange(1, len(drawn) + 1)], axis=1))
-            rows = np.concatenate(found)
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "user_id": pa.array(rows[:, 0]),
-                    "movie_id": pa.array(rows[:, 1]),
-                    "score": pa.nulls(len(rows), pa.float64()),
-                    "rank": pa.array(rows[:, 2]),
-                }
-            )
-
-    return users.mapInArrow(run, "user_id bigint, movie_id bigint, score double, rank bigint")
-
-
 def sample_knn_tail(pool: DataFrame, seeds: DataFrame, skip: int = 150, n: int = 75) -> DataFrame:
     """Seeded sample without replacement from the nearest movies after the first `skip`."""
     tail = pool.where(F.col("rank") > skip).join(seeds, "user_id")

@@ -1,5 +1,6 @@
 """Candidate buckets against brute force, title search, list merging and metrics."""
 
+import hashlib
 import math
 from collections import Counter
 
@@ -102,20 +103,51 @@ def test_popular_reaches_past_a_users_exclusions(spark):
     assert sorted(r.movie_id for r in rows if r.user_id == 2) == [0, 1, 2, 3, 4]
 
 
-def test_random_draw_is_the_same_in_tasks_and_by_join(spark):
-    catalog = spark.range(300).select(
+def genre_catalog(spark, count):
+    return spark.range(count).select(
         F.col("id").alias("movie_id"), F.array(F.when(F.col("id") % 2 == 0, "Drama").otherwise("War"), F.lit("Any")).alias("genres"),
-        F.lit(1.0).alias("tmdb_popularity"), F.lit(500).alias("tmdb_vote_count"), F.lit(7.0).alias("tmdb_vote_average"), F.lit(True).alias("poster_safe"),
+        F.pmod(F.col("id") * 7, F.lit(31)).cast("double").alias("tmdb_popularity"), F.lit(500).alias("tmdb_vote_count"), F.lit(7.0).alias("tmdb_vote_average"), F.lit(True).alias("poster_safe"),
     )
-    liked = spark.createDataFrame([(1, "Drama"), (1, "War"), (2, "Drama"), (3, "None")], "user_id bigint, genre string")
-    excluded = spark.range(200).select(F.lit(1).cast("bigint").alias("user_id"), F.col("id").alias("movie_id"))
-    seeds = spark.createDataFrame([(1, 5), (2, 2**31 - 1), (3, 1)], "user_id bigint, seed bigint")
-    here, joined = (
-        {(r.user_id, r.movie_id, r["rank"]) for r in rt.random_by_genres(liked, catalog, excluded, seeds, 20, limit_bytes=limit).collect()}
-        for limit in (1 << 20, 0)
-    )
-    assert here == joined and len(here) == 40
-    assert all(m >= 200 for u, m, _ in here if u == 1) and all(m % 2 == 0 for u, m, _ in here if u == 2)
+
+
+def plain_random(liked, excluded, seeds, count, n):
+    genres = {g: sorted((m for m in range(count) if g == "Any" or (g == "Drama") == (m % 2 == 0)), key=lambda m: (hashlib.md5(f"{g}:{m}".encode()).hexdigest(), m)) for g in ("Any", "Drama", "War")}
+    found = {}
+    for user, genre in liked:
+        ring = genres.get(genre, [])
+        mixed = (seeds[user] * 48_271 + len(ring) * 69_621) % (2**31 - 1)
+        start = mixed * ((mixed * 16_807 + 12_345) % (2**31 - 1)) % (2**31 - 1) % max(len(ring), 1)
+        for place, movie in enumerate(ring):
+            if (user, movie) not in excluded:
+                own = found.setdefault(user, {})
+                own[movie] = min(own.get(movie, count), (place - start) % len(ring))
+    return {(u, m, i + 1) for u, own in found.items() for i, (_, m) in enumerate(sorted((d, m) for m, d in own.items())[:n])}
+
+
+@pytest.mark.parametrize("band", [64, 1, 7])
+def test_random_draw_reads_rings_from_a_users_place(spark, monkeypatch, band):
+    monkeypatch.setattr(rt, "BAND", band)
+    liked = [(1, "Drama"), (1, "War"), (2, "Drama"), (3, "None"), (4, "Any"), (4, "Drama"), (5, "War"), (6, "Any")]
+    seeds = {1: 5, 2: 2**31 - 1, 3: 1, 4: 77, 5: 123_456, 6: 9}
+    excluded = {(1, m) for m in range(200)} | {(5, m) for m in range(300)} | {(4, m) for m in range(0, 300, 3)}
+    rows = rt.random_by_genres(
+        spark.createDataFrame(liked, "user_id bigint, genre string"), genre_catalog(spark, 300),
+        spark.createDataFrame(sorted(excluded), "user_id bigint, movie_id bigint"), spark.createDataFrame(list(seeds.items()), "user_id bigint, seed bigint"), 20,
+    ).collect()
+    assert {(r.user_id, r.movie_id, r["rank"]) for r in rows} == plain_random(liked, excluded, seeds, 300, 20)
+
+
+def test_one_users_exclusions_deepen_nobody_elses_reading(spark):
+    lists = rt._genre_lists(genre_catalog(spark, 2000), [F.col("tmdb_popularity").desc(), F.col("movie_id")])
+    liked = spark.createDataFrame([(u, "Any") for u in range(20)], "user_id bigint, genre string")
+    nothing = spark.createDataFrame([], "user_id bigint, movie_id bigint")
+    most = spark.range(1900).select(F.lit(0).cast("bigint").alias("user_id"), F.col("id").alias("movie_id"))
+    read = lambda gone: dict(Counter(r.user_id for r in rt._read_lists(liked, lists, gone, 5).collect()))
+    assert read(nothing) == {u: 5 for u in range(20)}
+    deep = read(most)
+    assert 5 <= deep.pop(0) <= 100 and deep == {u: 5 for u in range(1, 20)}
+    plan = rt._read_lists(liked, lists, most, 5)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
 def test_ranks_inside_a_huge_group(spark):
