@@ -2,6 +2,7 @@
 
 import collections
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -25,7 +26,7 @@ def plain_top_k(rows, asked, k):
     import math
 
     whole = lambda v: [math.floor(1024 * x) for x in v]
-    sound = [(i, whole(v)) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
+    sound = [(i, whole(v)) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = set()
     for q in asked:
         if own := [v for i, v in sound if i == q]:
@@ -50,6 +51,28 @@ def test_search_with_ties_bad_vectors_and_many_copies(spark, monkeypatch, blocks
     assert {tuple(r) for r in got.collect()} == plain_top_k(rows, asked, 4)
 
 
+def test_far_vectors_do_not_widen_the_cells(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    vectors = rng.normal(size=(3000, 16))
+    seen = []
+    exact = vafile._exact
+    monkeypatch.setattr(vafile, "_exact", lambda found, *a: seen.append(found.count()) or exact(found, *a))
+
+    def candidates(rows):
+        seen.clear()
+        frame = spark.createDataFrame([(i, v, "") for i, v in enumerate(rows.tolist())], VECTORS)
+        got = {tuple(r) for r in exact_top_k(frame, frame.where("vec_id < 30"), k=10).collect()}
+        whole = np.floor(1024 * rows.astype(np.float32).astype(float))
+        scores = whole[:30] @ whole.T
+        scores[np.arange(30), np.arange(30)] = -np.inf
+        order = np.lexsort((np.broadcast_to(np.arange(len(rows)), scores.shape), -scores), axis=1)[:, :10]
+        assert got == {(q, r + 1, int(v), int(scores[q, v])) for q in range(30) for r, v in enumerate(order[q])}
+        return sum(seen)
+
+    plain = candidates(vectors)
+    assert candidates(np.vstack([vectors, np.full((1, 16), 1e4), np.full((1, 16), -1e4)])) < 2 * plain < 3000
+
+
 def test_search_with_few_or_no_rows_and_large_components(spark):
     frame = spark.createDataFrame([(1, [30000.0, -20000.0], ""), (2, [40000.0, 1.0], ""), (3, [-3e5, 1e5], "")], VECTORS)
     got = {tuple(r) for r in exact_top_k(frame, frame, k=10).collect()}
