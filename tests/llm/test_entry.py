@@ -4,6 +4,8 @@ import subprocess
 import sys
 from pathlib import Path
 
+import pytest
+
 from __spark_entry__ import oracle_sql, queries
 from tastemill.llm.queries import QUERIES, SQL
 
@@ -31,6 +33,13 @@ def test_the_rest_imports_without_the_optional_part():
     subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True)
 
 
+@pytest.mark.parametrize("module", ["ahocorasick", "zstandard"])
+def test_a_missing_library_takes_the_optional_part_only(module):
+    code = f"import sys; sys.modules[{module!r}] = None; import __spark_entry__ as e; assert len(e.queries()) > 100 and 'pipeline' not in e.queries()"
+    found = subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True, capture_output=True, text=True)
+    assert "training-data queries are left out" in found.stderr and module in found.stderr
+
+
 def test_nothing_else_imports_the_optional_part():
     for source in [*(ROOT / "tastemill").rglob("*.py"), *(ROOT / "checks").rglob("*.py"), ROOT / "bench.py"]:
         if "llm" not in source.parts:
