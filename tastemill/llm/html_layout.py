@@ -3,12 +3,17 @@
 A tree builder supplies the tags that HTML lets authors leave out; visibility rules drop what a
 browser does not show; a renderer keeps the spacing of blocks, marks and indents list items and
 aligns the cells of tables in columns. Neither step recurses, so nesting has no limit.
+
+Layout never multiplies a page: cell lines above `WIDEST` characters are not aligned with, a row
+whose aligned form would be mostly space is laid out as blocks, and lists and tables more than
+`MOST_NESTED` deep are blocks too. None of these rules drops text.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
+from bisect import bisect_left, bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -39,7 +44,12 @@ P_BORDERS = frozenset("table td th caption button object body html".split())
 HEAD_ONLY = frozenset("base link meta script style title template noscript".split())
 # An end tag reaches no element outside these.
 CLOSED_IN = frozenset({"td", "th", "table", "caption"})
-HIDDEN_STYLE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\s*(?:!important\s*)?(?:;|$)", re.IGNORECASE)
+# Widest line that a column is aligned with, most rows of a spanning cell, and depth of lists and tables that are laid out.
+WIDEST, MOST_ROWS, MOST_NESTED = 40, 64, 16
+# A row is aligned while it takes at most so many characters for each one of ink, and so many more for each cell.
+SPACE_FOR_INK, SPACE_FOR_CELL = 8, 64
+# The simple selectors of a style sheet that count: a tag, a class, an id, or a tag with one of these.
+SELECTOR = re.compile(r"([a-z][a-z0-9]*)?([.#][\w-]+)?", re.IGNORECASE)
 SPACES = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -57,18 +67,18 @@ class TreeBuilder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("#root", {})
         self.open = [self.root]
-        self.counts: Counter[str] = Counter()
+        self.places: defaultdict[str, list[int]] = defaultdict(list)  # depths of the open elements of a tag
 
     def handle_starttag(self, tag: str, attrs) -> None:
         if tag in ENDS:
             closes, borders = ENDS[tag]
             self._end_above(closes, borders)
-        if tag in ("td", "th") and self.counts["table"] and self.open[-1].tag not in ("tr", "#root"):
+        if tag in ("td", "th") and self.places["table"] and self.open[-1].tag not in ("tr", "#root"):
             if self.open[-1].tag in ("table", "thead", "tbody", "tfoot"):
                 self._push("tr", {})
-        if tag in BLOCKS and self.counts["p"]:
+        if tag in BLOCKS and self.places["p"]:
             self._end_above({"p"}, P_BORDERS)
-        if self.counts["head"] and tag not in HEAD_ONLY and tag != "head":
+        if self.places["head"] and tag not in HEAD_ONLY and tag != "head":
             self._end_above({"head"}, {"html"})
         self._push(tag, dict(attrs))
         if tag in VOID:
@@ -82,54 +92,107 @@ class TreeBuilder(HTMLParser):
             if tag == "br":
                 self.handle_starttag("br", [])
             return
-        if tag == "p" and not self.counts["p"]:
+        if tag == "p" and not self.places["p"]:
             self._push("p", {})
-        if not self.counts[tag]:
+        if not self.places[tag]:
+            return
+        depth = self.places[tag][-1]
+        if tag not in ("table", "tr", "tbody", "thead", "tfoot") and self._nearest(CLOSED_IN) > depth:
             return
-        for depth in range(len(self.open) - 1, 0, -1):
-            name = self.open[depth].tag
-            if name == tag:
-                while len(self.open) > depth:
-                    self._pop()
-                return
-            if name in CLOSED_IN and tag not in ("table", "tr", "tbody", "thead", "tfoot"):
-                return
+        while len(self.open) > depth:
+            self._pop()
+
+    def _nearest(self, tags) -> int:
+        """Depth of the innermost open element of `tags`, 0 without one."""
+        return max(self.places[t][-1] if self.places[t] else 0 for t in tags)
 
     def handle_data(self, data: str) -> None:
-        if self.counts["head"] and self.open[-1].tag == "head" and data.strip():
+        if self.places["head"] and self.open[-1].tag == "head" and data.strip():
             self._end_above({"head"}, {"html"})
         self.open[-1].children.append(data)
 
     def _push(self, tag: str, attrs: dict) -> None:
         node = Node(tag, attrs)
         self.open[-1].children.append(node)
+        self.places[tag].append(len(self.open))
         self.open.append(node)
-        self.counts[tag] += 1
 
     def _pop(self) -> None:
-        self.counts[self.open.pop().tag] -= 1
+        self.places[self.open.pop().tag].pop()
 
     def _end_above(self, closes, borders) -> None:
         """End everything above and with the outermost of `closes` inside the nearest border."""
-        if not any(self.counts[c] for c in closes):
-            return
-        last = 0
-        for depth in range(len(self.open) - 1, 0, -1):
-            if self.open[depth].tag in borders:
-                break
-            if self.open[depth].tag in closes:
-                last = depth
-        while last and len(self.open) > last:
+        border = self._nearest(borders)
+        inside = [p[at] for c in closes if (p := self.places[c]) and (at := bisect_right(p, border)) < len(p)]
+        while inside and len(self.open) > min(inside):
             self._pop()
 
 
-def visible(node: Node) -> bool:
+def _declared(style: str) -> dict[str, str]:
+    """Declarations of a style; of equal properties the last, of important ones the last of these."""
+    found: dict[str, str] = {}
+    important: dict[str, str] = {}
+    for part in style.split(";"):
+        name, colon, value = part.partition(":")
+        if colon:
+            value, mark, _ = value.strip().lower().partition("!")
+            (important if mark else found)[name.strip().lower()] = value.strip()
+    return {**found, **important}
+
+
+class Rules:
+    """What the page's own style sheets say of display and visibility, by simple selector."""
+
+    def __init__(self, root: Node):
+        self.by: dict[str, dict[str, str]] = {}
+        stack = [root]
+        while stack:
+            node = stack.pop()
+            if node.tag == "style":
+                self._read("".join(c for c in node.children if isinstance(c, str)))
+            stack += [c for c in reversed(node.children) if isinstance(c, Node)]
+
+    def _read(self, sheet: str) -> None:
+        pieces = sheet.split("/*")
+        sheet = pieces[0] + "".join(p.partition("*/")[2] for p in pieces[1:])
+        inside = 0  # of blocks of at-rules, which hold for other media or states
+        for piece in sheet.split("}"):
+            opened = piece.count("{")
+            if not inside and opened == 1:
+                selectors, _, body = piece.partition("{")
+                for selector in selectors.rpartition(";")[2].split(","):
+                    if (name := selector.strip()) and (simple := SELECTOR.fullmatch(name)):
+                        own = {k: v for k, v in _declared(body).items() if k in ("display", "visibility")}
+                        self.by.setdefault((simple[1] or "").lower() + (simple[2] or ""), {}).update(own)
+            inside = max(0, inside + opened - 1)
+
+    def of(self, node: Node) -> dict[str, str]:
+        """Declarations for an element: by tag, class, id, then its own style."""
+        found: dict[str, str] = {}
+        if self.by:
+            marks = ["", *("." + c for c in dict.fromkeys((node.attrs.get("class") or "").split())), "#" + (node.attrs.get("id") or " ").strip()]
+            for mark in marks:
+                for name in ((node.tag,) if not mark else (mark, node.tag + mark)):
+                    found.update(self.by.get(name, {}))
+        if style := node.attrs.get("style"):
+            found.update(_declared(style))
+        return found
+
+
+def displayed(node: Node, styles: dict[str, str]) -> bool:
     attrs = node.attrs
     if node.tag in UNSEEN or "hidden" in attrs or (node.tag == "input" and (attrs.get("type") or "").lower() == "hidden"):
         return False
     if node.tag == "dialog" and "open" not in attrs:
         return False
-    return not (attrs.get("style") and HIDDEN_STYLE.search(attrs["style"]))
+    return styles.get("display") != "none"
+
+
+def shown_children(node: Node) -> list:
+    """All children; of a closed `details` its summary only."""
+    if node.tag == "details" and "open" not in node.attrs:
+        return next(([c] for c in node.children if isinstance(c, Node) and c.tag == "summary"), [])
+    return node.children
 
 
 class Flow:
@@ -199,34 +262,63 @@ class Flow:
 
 class Table:
     def __init__(self):
-        self.rows: list[list[tuple[list[str], int]]] = []
+        self.rows: list[list[tuple[int, int, list[str]]]] = []  # cells: first column, columns, lines
         self.caption: list[str] = []
+        self.below: list[list[int]] = []  # first column, end and rows to come of cells that reach down
+        self.begun: list[list[int]] = []  # the same of the row under construction
+        self.column = self.at = 0
+
+    def begin_row(self) -> None:
+        self.below = sorted([[low, end, rows - 1] for low, end, rows in self.below if rows > 1] + self.begun)
+        self.rows.append([])
+        self.column, self.at, self.begun = 0, 0, []
+
+    def add(self, cell: list[str], columns: int, rows: int) -> None:
+        if not self.rows:
+            self.begin_row()
+        while self.at < len(self.below) and self.below[self.at][0] < self.column + columns:
+            self.column = max(self.column, self.below[self.at][1])
+            self.at += 1
+        self.rows[-1].append((self.column, columns, cell))
+        if rows > 1:
+            self.begun.append([self.column, self.column + columns, rows - 1])
+        self.column += columns
 
     def lines(self) -> list[str]:
-        """Rows of cells in aligned columns; a cell over several columns counts in its first one."""
-        rows = [r for r in self.rows if any(cell for cell, _ in r)]
+        """Rows of cells in aligned columns; a cell over several columns or rows counts in its first one."""
+        rows = [r for r in self.rows if any(cell for *_, cell in r)]
         widths: dict[int, int] = {}
         for row in rows:
-            column = 0
-            for cell, span in row:
-                if span == 1:
-                    widths[column] = max([widths.get(column, 0), *map(len, cell)])
-                column += span
+            for column, columns, cell in row:
+                if columns == 1:
+                    widths[column] = max([widths.get(column, 0), *(len(x) for x in cell if len(x) <= WIDEST)])
+        known = sorted(widths)
+        upto = [0]
+        for column in known:
+            upto.append(upto[-1] + widths[column])
+        left = lambda column: upto[bisect_left(known, column)] + 2 * column
         out = list(self.caption)
         for row in rows:
-            for k in range(max(len(cell) for cell, _ in row)):
-                column, parts = 0, []
-                for cell, span in row:
-                    width = sum(widths.get(c, 0) for c in range(column, column + span)) + 2 * (span - 1)
-                    parts.append((cell[k] if k < len(cell) else "").ljust(width))
-                    column += span
-                out.append("  ".join(parts).rstrip())
+            height = max(len(cell) for *_, cell in row)
+            ink = sum(len(x) - x.count(" ") for *_, cell in row for x in cell)
+            ends = [left(c) + max([0, *map(len, cell)]) for c, _, cell in row if cell]
+            if height * max(ends) > SPACE_FOR_INK * ink + SPACE_FOR_CELL * len(row):
+                out += [x for *_, cell in row for x in cell]
+                continue
+            for k in range(height):
+                line = ""
+                for column, _, cell in row:
+                    if k < len(cell) and cell[k]:
+                        # A line that is wider than its column moves what stands to its right.
+                        line = line.ljust(left(column)) if len(line) < left(column) else line + "  " * bool(line)
+                        line += cell[k]
+                out.append(line.rstrip())
         return out
 
 
-def _span(node: Node) -> int:
-    value = (node.attrs.get("colspan") or "1").strip()
-    return min(max(int(value), 1), 1000) if value.isascii() and value.isdigit() and len(value) < 6 else 1
+def _span(node: Node, name: str, most: int) -> int:
+    value = (node.attrs.get(name) or "1").strip()
+    return min(max(int(value), 1), most) if value.isascii() and value.isdigit() and len(value) < 6 else 1
 
 
 def _number(value: str | None, default: int) -> int:
@@ -241,12 +333,19 @@ def rendered(html: str | None) -> str:
     builder = TreeBuilder()
     builder.feed(html.replace("\x00", ""))
     builder.close()
-    flows, tables, lists = [Flow()], [], []
-    pre = 0
-    stack: list[tuple[str, object]] = [("enter", builder.root)]
+    rules = Rules(builder.root)
+    flows, lists, pre = [Flow()], [], 0
+    tables: list[Table | None] = []
+    stack: list[tuple[str, object, bool]] = [("enter", builder.root, True)]
     while stack:
-        action, node = stack.pop()
+        action, node, seen = stack.pop()
         flow = flows[-1]
+        if action == "flat":  # the end of what is too deep for a layout of its own
+            flow.block()
+            if node.tag == "table":
+                tables.pop()
+            continue
+        table = tables[-1] if tables else None
         if action == "leave":
             tag = node.tag
             if tag == "li":
@@ -261,13 +360,11 @@ def rendered(html: str | None) -> str:
             elif tag in ("ul", "ol", "menu"):
                 lists.pop()
                 flow.block(spaced=not lists)
-            elif tag in ("td", "th") and tables:
+            elif tag in ("td", "th") and table:
                 cell = flows.pop().finished()
-                if not tables[-1].rows:
-                    tables[-1].rows.append([])
-                tables[-1].rows[-1].append((cell, _span(node)))
-            elif tag == "caption" and tables:
-                tables[-1].caption += flows.pop().finished()
+                table.add(cell, _span(node, "colspan", 1000), _span(node, "rowspan", MOST_ROWS))
+            elif tag == "caption" and table:
+                table.caption += flows.pop().finished()
             elif tag == "table":
                 outside = flows.pop().finished()  # text in a table but in no cell comes before it
                 lines = tables.pop().lines()
@@ -282,20 +379,34 @@ def rendered(html: str | None) -> str:
                     flow.block(tag in SPACED)
             continue
         if isinstance(node, str):
+            if not seen:
+                continue
             if pre:
                 flow.preformatted(node)
             else:
                 flow.text(node)
             continue
-        if not visible(node):
+        styles = rules.of(node)
+        if not displayed(node, styles):
             continue
         tag = node.tag
+        if (look := styles.get("visibility")) in ("visible", "hidden", "collapse"):
+            seen = look == "visible"
         if tag == "br":
             flow.line_break()
             continue
         if tag == "hr":
             flow.block(True)
             continue
+        children = [("enter", child, seen) for child in reversed(shown_children(node))]
+        if len(flows) > MOST_NESTED and tag in ("li", "dd", "table"):
+            flow.block()
+            if tag == "li" and seen:
+                flow.text("- ")
+            if tag == "table":
+                tables.append(None)  # its rows and cells are blocks
+            stack += [("flat", node, seen), *children]
+            continue
         if tag == "li":
             flow.block()
             flows.append(Flow())
@@ -308,16 +419,15 @@ def rendered(html: str | None) -> str:
         elif tag == "table":
             tables.append(Table())
             flows.append(Flow())
-        elif tag == "tr" and tables:
-            tables[-1].rows.append([])
-        elif tag in ("td", "th", "caption") and tables:
+        elif tag == "tr" and table:
+            table.begin_row()
+        elif tag in ("td", "th", "caption") and table:
             flows.append(Flow())
         elif tag in BLOCKS:
             flow.block(tag in SPACED)
         if tag in ("pre", "textarea"):
             pre += 1
-        stack.append(("leave", node))
-        stack += [("enter", child) for child in reversed(node.children)]
+        stack += [("leave", node, seen), *children]
     return "\n".join(flows[0].finished())
 
 
