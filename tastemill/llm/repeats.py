@@ -14,8 +14,8 @@ a document with a smaller id. Windows are never sent one by one:
    shard's stretches are streamed through it; each occurrence is grown to both sides as far as the
    words agree, which confirms, word for word, the windows that it stands for and who has them first;
 4. anchors with very many different stretches (a short phrase in all kinds of text, or the border of
-   a passage that very many documents share) would fill a task. Their windows are counted apart, by
-   a digest of their bytes, with partial sums: the exact way for the rest;
+   a passage that very many documents share) would fill a task. They are counted apart, in runs of
+   windows by digests of their bytes, with partial sums: the exact way for the rest;
 5. each document's stretches take what was found for them, which gives its spans of repeated words.
 
 No step needs two documents in one place: a passage in a third of all documents has one stretch.
@@ -75,7 +75,7 @@ def _least_at(grams: np.ndarray, width: int) -> np.ndarray:
 
 
 def stretches(values: np.ndarray, bounds: np.ndarray, plan: RepeatPlan) -> Iterator[tuple[np.ndarray, ...]]:
-    """(text, start, windows, anchor, digest) arrays of the stretches of texts as `word_hashes` gives them."""
+    """(text, start, windows, words before the anchor, anchor, digest) arrays of the stretches of texts as `word_hashes` gives them."""
     total = len(values) - plan.window + 1
     for begin in range(0, max(total, 0), STARTS_AT_ONCE):
         part = values[begin : begin + STARTS_AT_ONCE + plan.window - 1]
@@ -96,24 +96,24 @@ def stretches(values: np.ndarray, bounds: np.ndarray, plan: RepeatPlan) -> Itera
         stop = start + count + plan.window - 1
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(part * _powers(BASE, len(part)), dtype=np.uint64)])
         digest = mixed((sums[stop] - sums[start]) * _powers(INVERSE, len(part))[start] + (stop - start).astype(np.uint64) * MIX_1)
-        yield text[first], start + begin - bounds[text[first]], count, grams[place].view(np.int64), digest.view(np.int64)
+        yield text[first], start + begin - bounds[text[first]], count, place - start, grams[place].view(np.int64), digest.view(np.int64)
 
 
 def occurrences(docs: DataFrame, plan: RepeatPlan) -> DataFrame:
-    """(doc_id, row_key, start, n, anchor, digest): the stretches of all documents with an id."""
+    """(doc_id, row_key, start, n, lead, anchor, digest): the stretches of all documents with an id."""
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            for text, start, count, anchor, digest in stretches(*word_hashes(part.column(2).to_pylist()), plan):
+            for text, start, count, lead, anchor, digest in stretches(*word_hashes(part.column(2).to_pylist()), plan):
                 rows = pa.array(text)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(rows), part.column(1).take(rows), pa.array(start, pa.int32()), pa.array(count, pa.int32()), pa.array(anchor), pa.array(digest)],
-                    names=["doc_id", "row_key", "start", "n", "anchor", "digest"],
+                    [part.column(0).take(rows), part.column(1).take(rows), *(pa.array(a, pa.int32()) for a in (start, count, lead)), pa.array(anchor), pa.array(digest)],
+                    names=["doc_id", "row_key", "start", "n", "lead", "anchor", "digest"],
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     named = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "row_key", "text")
-    return named.mapInArrow(batches, f"doc_id {kind}, row_key long, start int, n int, anchor long, digest long")
+    return named.mapInArrow(batches, f"doc_id {kind}, row_key long, start int, n int, lead int, anchor long, digest long")
 
 
 def _packed(docs: DataFrame) -> DataFrame:
@@ -134,12 +134,12 @@ def _words(packed: bytes | None, press: zstandard.ZstdDecompressor) -> list[byte
 
 
 def _cut(docs: DataFrame, wanted: DataFrame, plan: RepeatPlan) -> DataFrame:
-    """(anchor, digest, first, hot, words) of the stretches in `wanted`, cut out of the texts that hold them first."""
+    """(anchor, digest, first, lead, n, hot, words) of the stretches in `wanted`, cut out of the texts that hold them first."""
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdDecompressor()
-        names = ["anchor", "digest", "first", "hot", "words"]
-        kinds = [pa.int64(), pa.int64(), None, pa.bool_(), pa.binary()]
+        names = ["anchor", "digest", "first", "lead", "n", "hot", "words"]
+        kinds = [pa.int64(), pa.int64(), None, pa.int32(), pa.int32(), pa.bool_(), pa.binary()]
         for part in parts:
             kinds[2] = part.schema.field(0).type
             found = []
@@ -147,14 +147,14 @@ def _cut(docs: DataFrame, wanted: DataFrame, plan: RepeatPlan) -> DataFrame:
                 words = _words(packed, press)
                 for s in list_of:
                     piece = words[s["start"] : s["start"] + s["n"] + plan.window - 1]
-                    found.append((s["anchor"], s["digest"], doc_id, s["hot"], b" ".join(piece)))
-            columns = zip(*found, strict=True) if found else [[]] * 5
+                    found.append((s["anchor"], s["digest"], doc_id, s["lead"], s["n"], s["hot"], b" ".join(piece)))
+            columns = zip(*found, strict=True) if found else [[]] * 7
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    by_text = wanted.groupBy("first", "first_key").agg(F.collect_list(F.struct("anchor", "digest", "start", "n", "hot")).alias("stretches"))
+    by_text = wanted.groupBy("first", "first_key").agg(F.collect_list(F.struct("anchor", "digest", "start", "n", "lead", "hot")).alias("stretches"))
     joined = _packed(docs).join(by_text, (F.col("doc_id") == F.col("first")) & (F.col("row_key") == F.col("first_key")))
-    return joined.select("doc_id", "packed", "stretches").mapInArrow(batches, f"anchor long, digest long, first {kind}, hot boolean, words binary")
+    return joined.select("doc_id", "packed", "stretches").mapInArrow(batches, f"anchor long, digest long, first {kind}, lead int, n int, hot boolean, words binary")
 
 
 class Shard:
@@ -211,6 +211,10 @@ class Shard:
                     low = j
 
 
+def _name(words: list[bytes]) -> bytes:
+    return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
+
+
 FIRSTS = ["anchor", "digest", "low", "high", "first"]
 
 
@@ -240,37 +244,79 @@ def _by_automata(cut: DataFrame, plan: RepeatPlan, kind: str) -> DataFrame:
     return rows.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(batches, f"anchor long, digest long, low int, high int, first {kind}")
 
 
+def _name(words: list[bytes]) -> bytes:
+    return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
+
+
 def _by_digests(cut: DataFrame, plan: RepeatPlan, kind: str) -> DataFrame:
-    """The same for anchors with very many stretches: each window by 128 bits of a digest of its bytes."""
+    """The same for anchors with very many stretches, by 128 bits of digests, with partial sums only.
 
-    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    A stretch is cut into runs of at most `GROUP` windows by their distance from the anchor; all
+    windows of a run share the words of its core. Equal runs are one. Only where different runs
+    have one core are windows looked at one by one.
+    """
+    size = plan.window
+
+    def runs(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            row, found = [], []
+            for i, (lead, words) in enumerate(zip(part.column(3).to_pylist(), part.column(4).to_pylist(), strict=True)):
+                own, low = words.split(b" "), 0
+                while low <= len(own) - size:
+                    nearest = (lead - low) // GROUP * GROUP  # least distance of the run's windows from the anchor
+                    high = min(lead - nearest, len(own) - size)
+                    piece = own[low : high + size]
+                    row.append(i)
+                    found.append((low, high, _name(own[lead - nearest : lead - nearest + size - GROUP + 1]), _name(piece), b" ".join(piece)))
+                    low = high + 1
+            columns = list(zip(*found, strict=True)) if found else [[]] * 5
+            kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+            at = pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [*(part.column(i).take(at) for i in range(3)), *(pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True))],
+                names=["anchor", "digest", "first", "low", "high", "core", "run", "words"],
+            )
+
+    def windows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             row, place, names = [], [], []
             for i, words in enumerate(part.column(3).to_pylist()):
                 own = words.split(b" ")
-                for j in range(len(own) - plan.window + 1):
+                for j in range(len(own) - size + 1):
                     row.append(i)
                     place.append(j)
-                    names.append(hashlib.blake2b(b" ".join(own[j : j + plan.window]), digest_size=16).digest())
+                    names.append(_name(own[j : j + size]))
             at = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [*(part.column(i).take(at) for i in range(3)), pa.array(place, pa.int32()), pa.array(names, pa.binary())], names=["anchor", "digest", "first", "place", "window"]
-            )
-
-    rows = cut.where("hot").select("anchor", "digest", "first", "words")
-    windows = rows.mapInArrow(batches, f"anchor long, digest long, first {kind}, place int, window binary")
-    least = windows.groupBy("window").agg(F.min("first").alias("first"))
-    return windows.drop("first").join(least, "window").select("anchor", "digest", F.col("place").alias("low"), F.col("place").alias("high"), "first")
+            columns = [*(part.column(i).take(at) for i in range(3)), pa.array(place, pa.int32()), pa.array(names, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["core", "run", "least", "place", "window"])
+
+    rows = cut.where("hot")
+    all_runs = staged(rows.select("anchor", "digest", "first", "lead", "words").mapInArrow(runs, f"anchor long, digest long, first {kind}, low int, high int, core binary, run binary, words binary"))
+    distinct = staged(all_runs.groupBy("core", "run").agg(F.min("first").alias("least"), F.any_value("words").alias("words")))
+    several = staged(distinct.groupBy("core").count().where(F.col("count") > 1).select("core"))
+    singles = staged(distinct.join(several, "core", "left_semi").select("core", "run", "least", "words").mapInArrow(windows, f"core binary, run binary, least {kind}, place int, window binary"))
+    earlier = singles.groupBy("window").agg(F.min("least").alias("earlier"))
+    better = singles.join(earlier, "window").where(F.col("earlier") < F.col("least")).select("core", "run", "place", F.col("earlier").alias("least"))
+    placed = all_runs.select("anchor", "digest", "first", "low", "high", "core", "run")
+    low, place = F.col("low"), F.col("low") + F.col("place")
+    whole = placed.join(distinct.select("core", "run", "least"), ["core", "run"]).where(F.col("least") < F.col("first"))
+    part = placed.join(better, ["core", "run"]).where(F.col("least") < F.col("first"))
+    return (
+        rows.select("anchor", "digest", F.lit(0).alias("low"), (F.col("n") - 1).alias("high"), "first")
+        .unionByName(whole.select("anchor", "digest", low.alias("low"), "high", F.col("least").alias("first")))
+        .unionByName(part.select("anchor", "digest", place.alias("low"), place.alias("high"), F.col("least").alias("first")))
+    )
 
 
 def repeated_spans(docs: DataFrame, plan: RepeatPlan) -> DataFrame:
     """(doc_id, row_key, spans): for documents with repeated words the word ranges, from and up to, in no order."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = staged(occurrences(docs, plan))
-    recurring = rows.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor")
+    # Written first, so that the join may split an anchor of very many documents over many tasks.
+    recurring = staged(rows.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor"))
     held = staged(rows.join(recurring, "anchor", "left_semi"))
-    source = F.min(F.struct("doc_id", "row_key", "start", "n")).alias("source")
-    distinct = staged(held.groupBy("anchor", "digest").agg(source).select("anchor", "digest", F.col("source.doc_id").alias("first"), F.col("source.row_key").alias("first_key"), "source.start", "source.n"))
+    source = F.min(F.struct("doc_id", "row_key", "start", "n", "lead")).alias("source")
+    distinct = staged(held.groupBy("anchor", "digest").agg(source).select("anchor", "digest", F.col("source.doc_id").alias("first"), F.col("source.row_key").alias("first_key"), "source.start", "source.n", "source.lead"))
     hot = distinct.groupBy("anchor").count().where(F.col("count") > MOST_STRETCHES).select("anchor", F.lit(True).alias("hot"))
     wanted = distinct.join(hot, "anchor", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
     cut = staged(_cut(docs, wanted, plan))

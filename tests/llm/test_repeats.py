@@ -93,7 +93,7 @@ def test_equal_windows_have_equal_anchors():
     values[200:300] = values[50:150]
     bounds = np.array([0, 180, 400])
     found = {}
-    for text, start, count, anchor, digest in zip(*(np.concatenate(c) for c in zip(*stretches(values, bounds, RepeatPlan()), strict=True)), strict=True):
+    for text, start, count, _, anchor, digest in zip(*(np.concatenate(c) for c in zip(*stretches(values, bounds, RepeatPlan()), strict=True)), strict=True):
         for j in range(count):
             found[bounds[text] + start + j] = (anchor, digest)
     assert set(found) == {*range(0, 131), *range(180, 351)}
