@@ -180,13 +180,30 @@ def carried(partial: DataFrame, key: str, columns: list[str]) -> DataFrame:
     )
 
 
+@dataclass(frozen=True)
+class KeyRange:
+    """Rows with a key above `low` and below `high` (None: no limit), and how many there are."""
+
+    low: tuple | None
+    high: tuple | None
+    rows: int
+
+    def holds(self, df: DataFrame, keys: list[str]) -> Column:
+        inside = F.lit(True)
+        if self.low is not None:
+            inside = inside & ~key_before(df, keys, self.low, inclusive=True)
+        if self.high is not None:
+            inside = inside & key_before(df, keys, self.high, inclusive=False)
+        return inside
+
+
 def keys_at_ranks(df: DataFrame, keys: list[str], ranks: list[int], total: int | None = None) -> dict[int, tuple]:
     """Exact sort keys at the given 1-based ranks, without sorting the table.
 
-    One pass counts rows per slice; then only the slice holding a rank is read again, cut anew and
-    narrowed until it is small enough for one bounded sort. Bounds are keys of real rows and are
-    counted apart, so every pass narrows the range, also with equal keys and on one core. Null
-    keys have no rank and raise.
+    One pass counts rows per slice; then only the slices that hold a rank are read again, cut anew and
+    narrowed until each is small enough for one bounded sort. All ranks share every pass. Bounds are
+    keys of real rows and are counted apart, so every pass narrows each range, also with equal keys
+    and on one core. Null keys have no rank and raise.
     """
     empty = F.lit(False)
     for key in keys:
@@ -194,45 +211,78 @@ def keys_at_ranks(df: DataFrame, keys: list[str], ranks: list[int], total: int |
     count, nulls = df.agg(F.count(F.lit(1)), F.count(F.when(empty, 1))).first() if total is None else (total, 0)
     if nulls:
         raise ValueError(f"{nulls} rows have a null in {', '.join(keys)}")
-    return {rank: _key_at_rank(df, keys, rank, count) for rank in sorted({r for r in ranks if 1 <= r <= count})}
-
-
-def _key_at_rank(df: DataFrame, keys: list[str], rank: int, total: int) -> tuple:
-    part = df
-    while total > SELECT_LIMIT:
-        plan = plan_slices(part, keys, total=total, rows_per_slice=max(1, min(SELECT_LIMIT, total // 8)))
-        bounds = plan.bounds or (_least_key(part, keys),)
-        plan = SlicePlan(plan.keys, plan.sort_columns, plan.ddl, bounds)
-        names = {f"k{i}": c for i, c in enumerate(plan.sort_columns)}
-        at_bound = F.lit(False)
-        if bounds:
-            marks = constant_array([{f"k{i}": v for i, v in enumerate(b)} for b in bounds], plan.ddl)
-            key = F.struct(*[c.alias(n) for n, c in names.items()])
-            at_bound = F.try_element_at(marks, F.col(SLICE)) == key
-        counted = with_slice(part, plan).groupBy(SLICE).agg(F.count(F.lit(1)).alias("n"), F.count(F.when((F.col(SLICE) > 0) & at_bound, 1)).alias("equal"))
-        found = {r[SLICE]: (r["n"], r["equal"]) for r in counted.collect()}
-        at = 0
-        while rank > found.get(at, (0, 0))[0]:
-            rank -= found.get(at, (0, 0))[0]
-            at += 1
-        total, equal = found[at]
-        if rank <= equal:
-            return bounds[at - 1]
-        rank, total = rank - equal, total - equal
-        if at > 0:
-            part = part.where(~key_before(df, keys, bounds[at - 1], inclusive=True))
-        if at < len(bounds):
-            part = part.where(key_before(df, keys, bounds[at], inclusive=False))
-    return _select_small(part, keys, [rank])[rank]
-
-
-def _least_key(df: DataFrame, keys: list[str]) -> tuple:
-    key = F.struct(*[sortable(df, k).alias(f"k{i}") for i, k in enumerate(keys)])
-    return tuple(df.agg(F.min(key).alias("least")).first()["least"])
+    found: dict[int, tuple] = {}
+    # Where each rank is searched, and its rank there.
+    places = {rank: (KeyRange(None, None, count), rank) for rank in ranks if 1 <= rank <= count}
+    while large := {place for place, _ in places.values() if place.rows > SELECT_LIMIT}:
+        plan, counts = _count_ranges(df, keys, large)
+        for rank, (place, within) in list(places.items()):
+            if place in large:
+                answer = _narrow(plan.bounds, counts, place, within)
+                if isinstance(answer[0], KeyRange):
+                    places[rank] = answer
+                else:
+                    found[rank] = answer
+                    del places[rank]
+    return found | (_select_small(df, keys, places) if places else {})
+
+
+def _count_ranges(df: DataFrame, keys: list[str], ranges: set[KeyRange]) -> tuple[SlicePlan, dict[int, tuple[int, int]]]:
+    """One plan over all ranges, and per slice its rows and those that equal its lower bound."""
+    ordered = list(ranges)
+    part = df.where(_any_of(r.holds(df, keys) for r in ordered))
+    size = max(1, min(SELECT_LIMIT, min(r.rows for r in ordered) // 8))
+    plan = plan_slices(part, keys, total=sum(r.rows for r in ordered), rows_per_slice=size)
+    bounds = set(plan.bounds)
+    uncut = [r for r in ordered if not any((r.low is None or b > r.low) and (r.high is None or b < r.high) for b in bounds)]
+    bounds |= set(_least_keys(part, keys, uncut)) | {b for r in ordered for b in (r.low, r.high) if b is not None}
+    plan = SlicePlan(plan.keys, plan.sort_columns, plan.ddl, tuple(sorted(bounds)))
+    key = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(plan.sort_columns)])
+    marks = constant_array([{f"k{i}": v for i, v in enumerate(b)} for b in plan.bounds], plan.ddl)
+    at_bound = (F.col(SLICE) > 0) & (F.try_element_at(marks, F.col(SLICE)) == key)
+    counted = with_slice(part, plan).groupBy(SLICE).agg(F.count(F.lit(1)).alias("n"), F.count(F.when(at_bound, 1)).alias("equal"))
+    return plan, {r[SLICE]: (r["n"], r["equal"]) for r in counted.collect()}
+
+
+def _any_of(conditions) -> Column:
+    result = F.lit(False)
+    for condition in conditions:
+        result = result | condition
+    return result
 
 
-def _select_small(df: DataFrame, keys: list[str], ranks: list[int]) -> dict[int, tuple]:
-    """Ranks within at most SELECT_LIMIT rows: one bounded sort of the keys alone."""
-    keyed = df.select(*[sortable(df, k).alias(f"k{i}") for i, k in enumerate(keys)])
-    numbered = keyed.withColumn("rn", F.row_number().over(Window.orderBy(*keyed.columns)))
-    return {r["rn"]: tuple(r)[:-1] for r in numbered.where(F.col("rn").isin(*ranks)).collect()}
+def _narrow(bounds: tuple[tuple, ...], counts: dict[int, tuple[int, int]], place: KeyRange, rank: int) -> tuple:
+    """The key at a rank of a range where that is a bound, else the slice that holds it and the rank there."""
+    at = 0 if place.low is None else bounds.index(place.low) + 1
+    while rank > counts.get(at, (0, 0))[0]:
+        rank -= counts.get(at, (0, 0))[0]
+        at += 1
+    rows, equal = counts[at]
+    if rank <= equal:
+        return bounds[at - 1]
+    low = bounds[at - 1] if at > 0 else None
+    high = bounds[at] if at < len(bounds) else None
+    return KeyRange(low, high, rows - equal), rank - equal
+
+
+def _least_keys(df: DataFrame, keys: list[str], ranges: list[KeyRange]) -> list[tuple]:
+    """The least key of each range, in one pass."""
+    if not ranges:
+        return []
+    key = F.struct(*[sortable(df, k).alias(f"k{i}") for i, k in enumerate(keys)])
+    least = df.agg(*[F.min(F.when(r.holds(df, keys), key)).alias(f"r{i}") for i, r in enumerate(ranges)]).first()
+    return [tuple(k) for k in least]
+
+
+def _select_small(df: DataFrame, keys: list[str], places: dict[int, tuple[KeyRange, int]]) -> dict[int, tuple]:
+    """Ranks within ranges of at most SELECT_LIMIT rows each: a bounded sort of the keys alone per range."""
+    ranges = list({place for place, _ in places.values()})
+    number = F.coalesce(*[F.when(r.holds(df, keys), i) for i, r in enumerate(ranges)])
+    names = [f"k{i}" for i in range(len(keys))]
+    keyed = df.select(*[sortable(df, k).alias(n) for k, n in zip(keys, names, strict=True)], number.alias("range"))
+    asked = df.sparkSession.createDataFrame(
+        [(rank, ranges.index(place), within) for rank, (place, within) in places.items()], "rank bigint, range int, rn int"
+    )
+    inside = keyed.where(F.col("range").isNotNull())
+    numbered = inside.withColumn("rn", F.row_number().over(Window.partitionBy("range").orderBy(*names)))
+    return {r["rank"]: tuple(r[n] for n in names) for r in numbered.join(F.broadcast(asked), ["range", "rn"]).collect()}

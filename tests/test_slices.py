@@ -53,6 +53,18 @@ def test_selection_narrows_down_to_exact_keys(rows, monkeypatch):
     assert {rank: ranks[key[1]] for rank, key in keys.items()} == {1: 1, 2500: 2500, 5000: 5000}
 
 
+@pytest.mark.parametrize("ranks", [[2500], list(range(1, 5001, 25))])
+def test_all_ranks_share_the_passes(rows, monkeypatch, ranks):
+    monkeypatch.setattr(sl, "SELECT_LIMIT", 300)
+    monkeypatch.setattr(sl, "MIN_ROWS_PER_SLICE", 100)
+    passes, plain = [], sl.plan_slices
+    monkeypatch.setattr(sl, "plan_slices", lambda *a, **k: (passes.append(1), plain(*a, **k))[1])
+    keys = sl.keys_at_ranks(rows, ["rating_timestamp", "id"], ranks)
+    expected = expected_ranks(rows)
+    assert {rank: expected[key[1]] for rank, key in keys.items()} == {r: r for r in ranks}
+    assert len(passes) <= 2
+
+
 def test_temporal_split_matches_row_numbers(rows):
     split = rk.temporal_split(rows, 0.8, 0.1)
     ranks = expected_ranks(rows)
