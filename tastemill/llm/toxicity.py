@@ -8,7 +8,7 @@ weight away. The score is a logistic function of the weight found and of that we
 The lexicon's weights are learned by counting, over a bounded sample of the labelled rows of the
 training fold, in how many toxic and other texts each folded word and word beginning occurs.
 Counting is a grouped aggregation; only entries whose evidence is beyond chance reach the driver,
-at most `LexiconPlan.max_entries` of them. The two logistic terms are fitted on a histogram of
+every one that passes its tests. The two logistic terms are fitted on a histogram of
 bounded size over the same rows, weighted to the labels' true shares.
 """
 
@@ -78,14 +78,13 @@ def _spelled(raw: str) -> str:
 @dataclass(frozen=True)
 class LexiconPlan:
     """`prefixes`: lengths of word beginnings that may become entries. An entry needs `min_texts`
-    toxic texts and a log-likelihood ratio above `evidence`. `max_texts`: labelled texts per label
+    toxic texts and a log-likelihood ratio above `evidence`; as the sample is bounded, so are they. `max_texts`: labelled texts per label
     that training may use (the first ones by a hash of their id); scoring has no such bound.
     `phrases`: exception phrases, read with their words folded."""
 
     prefixes: tuple[int, ...] = (4, 5, 6)
     min_texts: int = 3
     evidence: float = 16.0
-    max_entries: int = 2000
     max_texts: int = 12_000
     seed: int = 11
     phrases: tuple[str, ...] = ("clown fish", "trash can", "trash bin", "loser bracket", "fool proof")
@@ -184,7 +183,7 @@ def fit_lexicon(docs: DataFrame, labels: DataFrame, plan: LexiconPlan = LexiconP
     best = (
         counted.withColumn("evidence", evidence).withColumn("weight", weight)
         .where((F.col("a") >= plan.min_texts) & (F.col("evidence") >= plan.evidence) & (F.col("weight") > 2.0))
-        .orderBy(F.desc("evidence"), "entry").limit(plan.max_entries).collect()
+        .orderBy(F.desc("evidence"), "entry").collect()
     )
     weights = {r["entry"]: round(float(r["weight"]), 6) for r in best}
     scales = (totals[0] / (rows - toxic), totals[1] / toxic)

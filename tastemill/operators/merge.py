@@ -170,6 +170,11 @@ def tag_counts(tags: DataFrame) -> DataFrame:
     return tags.groupBy("movie_id", "tag").agg(F.count(F.lit(1)).alias("count"))
 
 
+def sum_tag_counts(changes: DataFrame) -> DataFrame:
+    """Counts of a base and of changes to it, added up per movie and tag."""
+    return changes.groupBy("movie_id", "tag").agg(F.sum("count").alias("count"), F.max("updated_at").alias("updated_at"))
+
+
 def add_tag_counts(counts: DataFrame, fresh: DataFrame, now: Column) -> DataFrame:
     """Add the events of `fresh` (already without duplicates) to the stored counts."""
     added = tag_counts(fresh)

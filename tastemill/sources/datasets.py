@@ -24,6 +24,13 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(target)
 
 
+def child_names(spark: SparkSession, path: str, prefix: str = "") -> list[str]:
+    """Names under a folder that start with `prefix`; none where there is no folder."""
+    fs, target = _file_system(spark, path)
+    names = [f.getPath().getName() for f in fs.listStatus(target)] if fs.exists(target) else []
+    return sorted(n for n in names if n.startswith(prefix))
+
+
 def write_text(spark: SparkSession, path: str, text: str) -> None:
     """Write a small file under a temporary name and rename it, so readers never see half of it."""
     fs, target = _file_system(spark, path)
@@ -116,19 +123,24 @@ def require_lineage(expected: dict[str, str], *manifest_rows: tuple[str, dict])
 # ---------------------------------------------------------------- current tables
 
 
-def write_version(df: DataFrame, root: str, version: str) -> None:
+def write_version(df: DataFrame, root: str, version: str, **options: str) -> None:
     """Write the next version of a maintained table and publish it."""
     spark = df.sparkSession
-    df.write.mode("overwrite").parquet(f"{root}/version={version}/data")
+    df.write.mode("overwrite").options(**options).parquet(f"{root}/version={version}/data")
     commit_dataset(spark, root, version, {})
 
 
-def read_current(spark: SparkSession, root: str, schema: str, before: str | None = None) -> DataFrame:
-    """Newest published version (older than `before`, if given), or an empty table."""
+def newest_version(spark: SparkSession, root: str, before: str | None = None) -> str | None:
+    """Name of the newest published version (older than `before`, if given)."""
     complete = manifests(spark, root).where(F.col("status") == COMPLETE)
     if before is not None:
         complete = complete.where(F.col("version") < before)
-    found = complete.agg(F.max("version")).first()[0]
+    return complete.agg(F.max("version")).first()[0]
+
+
+def read_current(spark: SparkSession, root: str, schema: str, before: str | None = None) -> DataFrame:
+    """Newest published version (older than `before`, if given), or an empty table."""
+    found = newest_version(spark, root, before)
     if found is None:
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).parquet(f"{root}/version={found}/data")

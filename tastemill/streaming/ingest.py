@@ -1,8 +1,10 @@
 """Rating and tag streams: validate, insert once, keep dead letters, apply tag side effects.
 
-Each micro-batch is matched against the stored event ids, so a replay adds nothing. Tables
+Each micro-batch is matched against the stored event ids through an index of their hashes (see
+`tastemill.streaming.seen`), so a replay adds nothing and new ids open no stored event. Tables
 are append-only Parquet folders partitioned by micro-batch: a batch that is run again
-overwrites only its own folder.
+overwrites only its own folder. Tag counts are a published base and the changes of the batches
+since, added up by readers.
 """
 
 from __future__ import annotations
@@ -12,9 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tastemill.functions.events import dead_letters, valid_events, validate_events
-from tastemill.operators.merge import add_tag_counts, mark_dirty, new_events
-from tastemill.session import broadcast_if_small
-from tastemill.sources.datasets import path_exists, read_current, write_version
+from tastemill.operators.merge import mark_dirty, new_events, sum_tag_counts, tag_counts
+from tastemill.sources.datasets import child_names, newest_version, path_exists, read_current, write_version
+from tastemill.streaming.seen import index_batch, known_among, prepare_index
 
 WORKERS = {"ratings": "ratings-consumer", "tags": "tags-consumer"}
 MESSAGE_SCHEMA = "value binary, topic string, partition int, offset bigint"
@@ -64,46 +66,40 @@ def message_status(validated: DataFrame, stored: DataFrame) -> DataFrame:
     return judged.select(columns).unionByName(bad.select(columns))
 
 
-def _stored(spark: SparkSession, path: str, like: DataFrame, batch_id: int) -> DataFrame:
-    """Rows of earlier batches; the current batch's own folder is left out when it is run again."""
-    if not path_exists(spark, path):
-        return like.limit(0)
-    return spark.read.parquet(path).where(F.col("batch_id") != batch_id)
-
-
-def known_among(batch: DataFrame, stored: DataFrame) -> DataFrame:
-    """Event ids of the batch that are stored already.
-
-    Only the id column of the big table is read; it is filtered by the batch's ids where it
-    lies, so it is not shuffled while the batch is small enough to be sent along.
-    """
-    asked = batch.select("event_id").distinct()
-    return stored.select("event_id").join(broadcast_if_small(asked, 64), "event_id", "left_semi")
-
-
 def _write_batch(df: DataFrame, path: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
 
+def _append_new(rows: DataFrame, keys: list[str], order: list[str], path: str, batch_id: int) -> None:
+    """Store the rows whose key no other batch has stored; of equal keys the first in `order` (any, without one)."""
+    index = f"{path}_index"
+    prepare_index(rows.sparkSession, path, keys, index)
+    known = known_among(rows, path, keys, index, batch_id)
+    if order:
+        fresh = new_events(rows, known, order)
+    else:
+        fresh = rows.dropDuplicates(keys).join(known, keys, "left_anti").select(*rows.columns)
+    fresh = fresh.persist()
+    try:
+        index_batch(fresh, keys, index, batch_id)
+        _write_batch(fresh, path, batch_id)
+    finally:
+        fresh.unpersist()
+
+
 def ingest_batch(batch: DataFrame, batch_id: int, topic: str, root: str, catalog: DataFrame | None = None) -> None:
-    """Write one micro-batch: new events, dead letters and, for tags, counts and dirty marks."""
+    """Write one micro-batch: new events, dead letters and, for tags, counts and dirty marks.
+
+    Batch numbers continue where tables exist already; a number that is used again replaces that batch.
+    """
     spark = batch.sparkSession
     checked = validate_events(batch, topic).persist()
     try:
         letters = dead_letters(checked, WORKERS[topic])
-        letter_path = f"{root}/dead_letter_events"
-        seen = _stored(spark, letter_path, letters, batch_id)
-        position = ["source_topic", "kafka_partition", "kafka_offset"]
-        fresh_letters = letters.dropDuplicates(position)
-        kept = seen.select(*position).join(broadcast_if_small(fresh_letters.select(*position), 64), position, "left_semi")
-        fresh_letters = fresh_letters.join(kept, position, "left_anti")
-        _write_batch(fresh_letters, letter_path, batch_id)
-
+        _append_new(letters, ["source_topic", "kafka_partition", "kafka_offset"], [], f"{root}/dead_letter_events", batch_id)
         rows = valid_events(checked).select("event.*", "partition", "offset")
         event_path = f"{root}/{topic}_events"
-        stored = _stored(spark, event_path, rows, batch_id)
-        fresh = new_events(rows, known_among(rows, stored), ["partition", "offset"])
-        _write_batch(fresh, event_path, batch_id)
+        _append_new(rows, ["event_id"], ["partition", "offset"], event_path, batch_id)
         if topic == "tags":
             written = spark.read.parquet(f"{event_path}/batch_id={batch_id}")
             apply_tag_effects(written, root, batch_id, catalog)
@@ -111,17 +107,57 @@ def ingest_batch(batch: DataFrame, batch_id: int, topic: str, root: str, catalog
         checked.unpersist()
 
 
+TAG_COUNTS = "movie_id bigint, tag string, count bigint, updated_at timestamp"
+FOLD_COUNTS_EVERY = 32
+
+
+def _count_changes(spark: SparkSession, path: str, after: int) -> DataFrame:
+    """Changes of the batches that the base of this number does not hold."""
+    if not path_exists(spark, f"{path}/changes"):
+        return spark.createDataFrame([], f"{TAG_COUNTS}, batch_id bigint")
+    return spark.read.schema(f"{TAG_COUNTS}, batch_id bigint").parquet(f"{path}/changes").where(F.col("batch_id") > after)
+
+
+def current_tag_counts(spark: SparkSession, root: str) -> DataFrame:
+    """Tag counts of all batches: the newest base and the changes since."""
+    path = f"{root}/movie_tag_counts"
+    base = read_current(spark, path, TAG_COUNTS)
+    changes = _count_changes(spark, path, int(newest_version(spark, path) or -1))
+    return sum_tag_counts(base.unionByName(changes.drop("batch_id")))
+
+
+def add_count_changes(fresh: DataFrame, root: str, batch_id: int, fold_every: int = FOLD_COUNTS_EVERY) -> None:
+    """Write a batch's own counts; after `fold_every` batches earlier ones become the next base.
+
+    A base is named by the last batch in it. A batch that is run again replaces its own changes, and
+    is left alone once a base holds it.
+    """
+    spark, path = fresh.sparkSession, f"{root}/movie_tag_counts"
+    base = int(newest_version(spark, path) or -1)
+    numbers = [int(name.split("=")[1]) for name in child_names(spark, f"{path}/changes", "batch_id=")]
+    if batch_id <= base:
+        if batch_id not in numbers:
+            raise ValueError(f"batch {batch_id} comes after {base}: batch numbers must continue")
+        return
+    waiting = [n for n in numbers if base < n < batch_id]
+    if len(waiting) >= fold_every:
+        earlier = _count_changes(spark, path, base).where(F.col("batch_id") < batch_id).drop("batch_id")
+        whole = sum_tag_counts(read_current(spark, path, TAG_COUNTS).unionByName(earlier))
+        write_version(whole, path, f"{max(waiting):012d}")
+    change = tag_counts(fresh).withColumn("updated_at", F.current_timestamp())
+    _write_batch(change, f"{path}/changes", batch_id)
+
+
 def apply_tag_effects(fresh: DataFrame, root: str, batch_id: int, catalog: DataFrame | None) -> None:
-    """Next versions of the tag counts and the dirty queue from the batch's new tag events.
+    """Tag counts and the next version of the dirty queue from the batch's new tag events.
 
-    The version is the batch id. A batch that is run again starts from the version before
-    it, so its counts are not added twice.
+    The queue's version is the batch id. A batch that is run again starts from the version before
+    it, so nothing is added twice.
     """
     spark = fresh.sparkSession
     version = f"{batch_id:012d}"
     now = F.current_timestamp()
-    counts = read_current(spark, f"{root}/movie_tag_counts", "movie_id bigint, tag string, count bigint, updated_at timestamp", version)
-    write_version(add_tag_counts(counts, fresh, now), f"{root}/movie_tag_counts", version)
+    add_count_changes(fresh, root, batch_id)
     if catalog is not None:
         dirty = read_current(
             spark,

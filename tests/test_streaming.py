@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from checks import tables as t
 from tastemill.functions import events as ev
-from tastemill.streaming import health, ingest, replay
+from tastemill.sources.datasets import read_current
+from tastemill.streaming import health, ingest, replay, seen
 
 
 def run(spark, source, topic, root, checkpoint, catalog=None, files=1):
@@ -67,9 +68,7 @@ def test_tags_stream_counts_and_dirty_marks(spark, tmp_path):
     ingest.write_messages(tag_messages(spark, [(1, 10, "slow"), (2, 10, "slow"), (1, 10, "slow")]).coalesce(1), source)
     ingest.write_messages(tag_messages(spark, [(2, 10, "slow"), (3, 77, "fun")], 10).coalesce(1), source)
     run(spark, source, "tags", root, str(tmp_path / "cp"), catalog)
-    from tastemill.sources.datasets import read_current
-
-    counts = read_current(spark, f"{root}/movie_tag_counts", "movie_id bigint, tag string, count bigint")
+    counts = ingest.current_tag_counts(spark, root)
     assert {(r.movie_id, r.tag): r["count"] for r in counts.collect()} == {(10, "slow"): 2, (77, "fun"): 1}
     dirty = read_current(spark, f"{root}/catalog_dirty_movies", "movie_id bigint, attempt_count bigint")
     assert [r.movie_id for r in dirty.collect()] == [10]
@@ -78,10 +77,74 @@ def test_tags_stream_counts_and_dirty_marks(spark, tmp_path):
     ingest.ingest_batch(batch, 50, "tags", root, catalog)
     ingest.ingest_batch(tag_messages(spark, [(4, 10, "slow")]), 51, "tags", root, catalog)
     ingest.ingest_batch(tag_messages(spark, [(4, 10, "slow")]), 51, "tags", root, catalog)
-    counts = read_current(spark, f"{root}/movie_tag_counts", "movie_id bigint, tag string, count bigint")
+    counts = ingest.current_tag_counts(spark, root)
     assert {(r.movie_id, r.tag): r["count"] for r in counts.collect()} == {(10, "slow"): 3, (77, "fun"): 1}
 
 
+def numbered(spark, keys):
+    return spark.createDataFrame([(f"id-{k}", k) for k in keys], "event_id string, offset bigint")
+
+
+def store(spark, keys, batch_id, path):
+    ingest._append_new(numbered(spark, keys), ["event_id"], ["offset"], path, batch_id)
+
+
+def test_new_ids_open_no_more_files_in_late_batches(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "events")
+    reads = []
+    plain = type(spark.read).parquet
+    monkeypatch.setattr(type(spark.read), "parquet", lambda self, *paths, **kw: (reads.extend(paths), plain(self, *paths, **kw))[1])
+    opened = {}
+    for batch in range(26):
+        reads.clear()
+        store(spark, range(batch * 10, batch * 10 + 10), batch, path)
+        opened[batch] = len(seen.seen_hashes(spark, f"{path}_index").inputFiles())
+        # New ids: only the index is read, no stored event.
+        assert batch == 0 or all(p.startswith(f"{path}_index") for p in reads)
+    assert max(opened[b] for b in range(17, 26)) <= max(opened[b] for b in range(1, 10))
+    reads.clear()
+    store(spark, [*range(35, 45), 1000, 1000], 26, path)
+    assert sorted(p for p in reads if not p.startswith(f"{path}_index")) == [f"{path}/batch_id={b}" for b in (3, 4)]
+    monkeypatch.undo()
+    ids = [r.event_id for r in spark.read.parquet(path).collect()]
+    assert len(ids) == len(set(ids)) == 261
+
+
+def test_index_of_an_old_table_and_a_batch_that_failed(spark, tmp_path):
+    path = str(tmp_path / "events")
+    numbered(spark, range(5)).write.parquet(f"{path}/batch_id=0")
+    store(spark, range(3, 8), 1, path)
+    # Indexed but not stored: the ids are still new, also for another batch.
+    seen.index_batch(numbered(spark, [20, 21]), ["event_id"], f"{path}_index", 2)
+    store(spark, [7, 20, 21], 3, path)
+    store(spark, [7, 20, 21], 3, path)
+    store(spark, range(5), 0, path)
+    kept = spark.read.parquet(path).groupBy("batch_id").agg(F.sort_array(F.collect_list("offset")).alias("k")).collect()
+    assert {r.batch_id: r.k for r in kept} == {0: [0, 1, 2, 3, 4], 1: [5, 6, 7], 3: [20, 21]}
+    before = spark.read.parquet(path).count()
+    store(spark, [], 4, path)
+    assert spark.read.parquet(path).count() == before
+
+
+def test_tag_counts_are_written_per_batch(spark, tmp_path):
+    root = str(tmp_path)
+    rows = lambda *pairs: spark.createDataFrame(pairs, "movie_id bigint, tag string")
+    counts = lambda: {(r.movie_id, r.tag): r["count"] for r in ingest.current_tag_counts(spark, root).collect()}
+    assert counts() == {}
+    ingest.add_count_changes(rows(*[(m, "old") for m in range(500)]), root, 0, fold_every=2)
+    for batch in (1, 2, 3, 3, 4):
+        ingest.add_count_changes(rows((7, "old"), (7, "new")), root, batch, fold_every=2)
+        # One row per key of the batch, not of the table.
+        assert spark.read.parquet(f"{root}/movie_tag_counts/changes/batch_id={batch}").count() == 2
+    assert counts()[(7, "old")] == 5 and counts()[(7, "new")] == 4 and len(counts()) == 501
+    ingest.add_count_changes(rows((7, "old"), (7, "new")), root, 1, fold_every=2)  # a base holds it
+    assert counts()[(7, "old")] == 5
+    ingest.add_count_changes(rows((7, "new")), root, 9, fold_every=2)
+    assert counts()[(7, "new")] == 5
+    with pytest.raises(ValueError, match="continue"):
+        ingest.add_count_changes(rows((7, "new")), root, -1, fold_every=2)
+
+
 def test_csv_rows_become_stored_events(spark, tmp_path):
     folder = tmp_path / "csv"
     folder.mkdir()
