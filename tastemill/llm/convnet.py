@@ -30,11 +30,11 @@ CHUNKS_AT_ONCE = 256
 @dataclass(frozen=True)
 class NetPlan:
     """`max_texts`: labelled texts per label that training may use (the first ones by a hash of
-    their id); `max_chunks`: chunks of one text, evenly spread, that training may use. Scoring has
-    no such bounds."""
+    their id); scoring has no such bound. `turn_chunks`: chunks of one text in one epoch, more where
+    the epochs could not see them all; other ones in each epoch, so training sees whole texts."""
 
     max_texts: int = 1200
-    max_chunks: int = 24
+    turn_chunks: int = 24
     vector: int = 6
     width: int = 8
     stride: int = 4
@@ -54,6 +54,13 @@ def chunks_of(raw: bytes) -> np.ndarray:
     return np.lib.stride_tricks.as_strided(padded, (count, CHUNK), (STEP, 1)).copy()
 
 
+def turn_of(count: int, epoch: int, plan: NetPlan) -> np.ndarray:
+    """Chunks of a text that an epoch trains on: one of each of equal stretches, the next one in the next epoch."""
+    share = min(count, max(plan.turn_chunks, -(-count // plan.epochs)))
+    first = np.arange(share) * count // share
+    return first + epoch % np.diff(np.append(first, count))
+
+
 class Net:
     def __init__(self, plan: NetPlan, weights: dict[str, np.ndarray] | None = None):
         self.plan = plan
@@ -130,12 +137,13 @@ class Net:
         first = {k: np.zeros_like(v) for k, v in self.w.items()}
         second = {k: np.zeros_like(v) for k, v in self.w.items()}
         step, total = 0, plan.epochs * -(-len(texts) // plan.texts_per_step)
-        for _ in range(plan.epochs):
+        for epoch in range(plan.epochs):
             order = rng.permutation(len(texts))
             for at in range(0, len(order), plan.texts_per_step):
                 batch = order[at : at + plan.texts_per_step]
-                counts = np.array([len(texts[i]) for i in batch])
-                grads = self.gradients(np.concatenate([texts[i] for i in batch]), np.cumsum(counts) - counts, labels[batch])
+                parts = [texts[i][turn_of(len(texts[i]), epoch, plan)] for i in batch]
+                counts = np.array([len(p) for p in parts])
+                grads = self.gradients(np.concatenate(parts), np.cumsum(counts) - counts, labels[batch])
                 step += 1
                 rate = plan.rate * (1 - step / (total + 1))
                 for k, g in grads.items():
@@ -184,23 +192,14 @@ def fit_quality(docs: DataFrame, labels: DataFrame, plan: NetPlan = NetPlan()) -
     shift = math.log((good + 0.5) / (bad + 0.5)) if good or bad else 0.0
     if not good or not bad:
         return Classifier(plan, None, shift)
-    most = plan.max_chunks
-
-    def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            kept = []
-            for text in part.column("text").to_pylist():
-                chunks = chunks_of((text or "").encode("utf-8", "replace"))
-                kept.append(chunks[np.linspace(0, len(chunks) - 1, min(most, len(chunks))).astype(int)].tobytes())
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), pa.array(kept, pa.binary())], names=["doc_id", "label", "chunks"])
-
-    ship_package(docs.sparkSession)
     joined = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(sample, "doc_id")
-    rows = joined.mapInArrow(cut, f"doc_id {joined.schema['doc_id'].dataType.simpleString()}, label int, chunks binary").limit(4 * plan.max_texts).collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["label"], bytes(r["chunks"])))
+    # Rows of repeated ids are taken in the order of hashes too, so that the model does not depend on tasks.
+    turn = [F.md5(F.concat(F.lit(f"{plan.seed}:"), F.col(c).cast("string")).cast("binary")) for c in ("doc_id", "text")]
+    rows = joined.orderBy(*turn, "label").limit(4 * plan.max_texts).collect()
+    rows.sort(key=lambda r: (r["doc_id"], r["label"], r["text"] or ""))
     if len({r["label"] for r in rows}) < 2:
         return Classifier(plan, None, shift)
-    texts = [np.frombuffer(bytes(r["chunks"]), np.uint8).reshape(-1, CHUNK) for r in rows]
+    texts = [chunks_of((r["text"] or "").encode("utf-8", "replace")) for r in rows]
     targets = np.array([r["label"] for r in rows], np.float32)
     net = Net(plan)
     net.train(texts, targets)

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from tastemill.llm.convnet import CHUNK, Classifier, Net, NetPlan, chunks_of, fit_quality, quality_scores
+from tastemill.llm.convnet import CHUNK, Classifier, Net, NetPlan, chunks_of, fit_quality, quality_scores, turn_of
 from tastemill.llm.frames import held_out, table
 from tastemill.llm.queries import op5_quality_classifier, op6_toxicity
 from tastemill.llm.toxicity import Lexicon, Matcher, fit_lexicon, folded_words, toxicity_scores
@@ -74,6 +74,30 @@ def test_chunks_cover_the_whole_text():
         assert seen[:size] == raw and not any(seen[size:])
 
 
+@pytest.mark.parametrize("count", [1, 23, 24, 25, 47, 300, 336, 337, 5000])
+def test_training_sees_every_chunk(count):
+    plan = NetPlan()
+    turns = [turn_of(count, epoch, plan) for epoch in range(plan.epochs)]
+    assert {int(c) for t in turns for c in t} == set(range(count))
+    assert all(len(t) <= max(24, -(-count // plan.epochs)) and len(set(t)) == len(t) for t in turns)
+
+
+def test_features_equal_a_plain_convolution():
+    plan = NetPlan(filters=3, features=4, vector=2)
+    net, rng = Net(plan), np.random.default_rng(4)
+    chunks = rng.integers(0, 256, (3, CHUNK)).astype(np.uint8)
+    plain = []
+    for chunk in chunks:
+        best = [-np.inf] * plan.filters
+        for at in range(0, CHUNK - plan.width + 1, plan.stride):
+            window = [x for byte in chunk[at : at + plan.width] for x in net.w["vectors"][byte]]
+            for f in range(plan.filters):
+                best[f] = max(best[f], sum(x * w for x, w in zip(window, net.w["filters"][:, f], strict=True)) + net.w["filter_bias"][f])
+        bent = np.tanh(best)
+        plain.append([max(0.0, bent @ net.w["dense"][:, k] + net.w["dense_bias"][k]) for k in range(plan.features)])
+    np.testing.assert_allclose(net.features(chunks), plain, atol=1e-4)
+
+
 def test_gradients_equal_differences():
     plan = NetPlan(filters=3, features=4, vector=2)
     net, rng = Net(plan), np.random.default_rng(0)
