@@ -44,7 +44,7 @@ def seen_hashes(spark: SparkSession, root: str) -> DataFrame:
     return found
 
 
-def prepare_index(spark: SparkSession, table: str, keys: list[str], root: str, fold_every: int = FOLD_EVERY) -> None:
+def prepare_index(spark: SparkSession, table: str, keys: list[str], root: str) -> None:
     """Build the index of a stored table that has none, or fold its recent batches into the next base.
 
     The folders of recent batches are named after the base that they follow: a fold that was
@@ -56,7 +56,7 @@ def prepare_index(spark: SparkSession, table: str, keys: list[str], root: str, f
         if not path_exists(spark, table):
             return
         rows = spark.read.parquet(table).select(_key_hash(keys), F.col(BATCH).cast("bigint").alias(BATCH))
-    elif len(child_names(spark, recent, "batch_id=")) >= fold_every:
+    elif len(child_names(spark, recent, "batch_id=")) >= FOLD_EVERY:
         rows = seen_hashes(spark, root).distinct()
     else:
         return

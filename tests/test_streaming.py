@@ -94,20 +94,21 @@ def test_new_ids_open_no_more_files_in_late_batches(spark, tmp_path, monkeypatch
     reads = []
     plain = type(spark.read).parquet
     monkeypatch.setattr(type(spark.read), "parquet", lambda self, *paths, **kw: (reads.extend(paths), plain(self, *paths, **kw))[1])
+    monkeypatch.setattr(seen, "FOLD_EVERY", 3)
     opened = {}
-    for batch in range(26):
+    for batch in range(13):
         reads.clear()
         store(spark, range(batch * 10, batch * 10 + 10), batch, path)
         opened[batch] = len(seen.seen_hashes(spark, f"{path}_index").inputFiles())
         # New ids: only the index is read, no stored event.
         assert batch == 0 or all(p.startswith(f"{path}_index") for p in reads)
-    assert max(opened[b] for b in range(17, 26)) <= max(opened[b] for b in range(1, 10))
+    assert max(opened[b] for b in range(7, 13)) <= max(opened[b] for b in range(1, 7))
     reads.clear()
-    store(spark, [*range(35, 45), 1000, 1000], 26, path)
+    store(spark, [*range(35, 45), 1000, 1000], 13, path)
     assert sorted(p for p in reads if not p.startswith(f"{path}_index")) == [f"{path}/batch_id={b}" for b in (3, 4)]
     monkeypatch.undo()
     ids = [r.event_id for r in spark.read.parquet(path).collect()]
-    assert len(ids) == len(set(ids)) == 261
+    assert len(ids) == len(set(ids)) == 131
 
 
 def test_index_of_an_old_table_and_a_batch_that_failed(spark, tmp_path):
