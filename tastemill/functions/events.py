@@ -37,6 +37,8 @@ INT_PATTERN = r"^[+-]?\d+(\.0+)?$"
 FLOAT_PATTERN = r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"
 TIME_PATTERN = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?(Z|[+-]\d{2}:?\d{2})?)?$"
 TYPE_SUFFIX = r"[dDfF]\s*$"
+# Texts that a number, truth value, object or list gives as well, when it is read as a text.
+DOUBTFUL_TEXT = r"^([-+0-9{\[]|(true|false|NaN|Infinity|INF)$)"
 EPOCH_MILLIS_FROM = 2e10
 
 _SPARK_TYPE = {"uuid": "string", "text": "string", "int": "bigint", "float": "double", "time": "timestamp"}
@@ -176,13 +178,68 @@ def bind(value: Column, build: Callable[[Column], Column]) -> Column:
 def validate_events(messages: DataFrame, topic: str, value: str = "value") -> DataFrame:
     """Add `event` (typed struct), `error_type`, `error_message` and `raw_event_id` to raw messages.
 
-    Every field is read as a JSON value of its own, so one bad field does not hide the
-    others; exactly one of `event` and `error_type` is set.
+    Exactly one of `event` and `error_type` is set. Well-formed messages are read once by a strict
+    typed schema; a message that leaves any doubt there is judged field by field, so one bad
+    field does not hide the others.
     """
     kinds = TOPIC_EVENTS[topic]
     fields: dict[str, str] = {}
     for kind in kinds:
         fields.update(EVENT_FIELDS[kind])
+
+    def either(read: Column) -> Column:
+        event, certain = _strict_event(read["doc"], fields, kinds)
+        sure = certain & F.ltrim(read["text"]).startswith("{")
+        none = F.lit(None).cast("string")
+        plain = F.struct(event.alias("event"), none.alias("error_type"), none.alias("error_message"), read["doc"]["event_id"].alias("raw_event_id"))
+        return F.when(sure, plain).otherwise(_judged(read["text"], fields, kinds))
+
+    text = F.col(value).cast("string")
+    options = {"columnNameOfCorruptRecord": "_corrupt", "mode": "PERMISSIVE"}
+    read = F.struct(text.alias("text"), F.from_json(text, _strict_schema(fields), options).alias("doc"))
+    return messages.withColumn("__checked", bind(read, either)).select(*messages.columns, "__checked.*")
+
+
+def _strict_schema(fields: dict[str, str]) -> str:
+    kinds = {"int": "bigint", "float": "double"}
+    return ", ".join(f"{name} {kinds.get(spec.rstrip('?'), 'string')}" for name, spec in fields.items()) + ", _corrupt string"
+
+
+def _strict_event(doc: Column, fields: dict[str, str], kinds: tuple[str, ...]) -> tuple[Column, Column]:
+    """(typed event, is certain) of a message read by the strict schema.
+
+    Certain are messages whose fields all have the JSON type and form that producers write: whole
+    numbers, finite numbers, UUIDs with hyphens, ISO times, and texts that no number, truth
+    value, object or list could have been read as.
+    """
+    event_type = doc["event_type"]
+    sure, values = [doc.isNotNull() & doc["_corrupt"].isNull() & event_type.isin(*kinds)], []
+    for name, spec in fields.items():
+        raw, wanted = doc[name], spec.rstrip("?")
+        if wanted == "int":
+            value, good = raw, raw.isNotNull()
+        elif wanted == "float":
+            # Zero has one sign.
+            value, good = raw + F.lit(0.0), ~F.isnan(raw) & (F.abs(raw) < float("inf"))
+        elif wanted == "uuid":
+            value, good = F.lower(raw), (F.length(raw) == 36) & raw.rlike(UUID_PATTERN)
+        elif wanted == "text":
+            value, good = raw, ~raw.rlike(DOUBTFUL_TEXT)
+        else:
+            value = F.when(raw.rlike(TIME_PATTERN), raw.try_cast("timestamp"))
+            good = value.isNotNull()
+        applies = event_type.isin(*[k for k in kinds if name in EVENT_FIELDS[k]])
+        fine = F.coalesce(good, F.lit(False)) | raw.isNull() if spec.endswith("?") else F.coalesce(good, F.lit(False))
+        sure.append(fine | ~applies)
+        values.append(F.when(applies, value.cast(_SPARK_TYPE[wanted])).alias(name))
+    certain = sure[0]
+    for one in sure[1:]:
+        certain = certain & one
+    return F.struct(*values), F.coalesce(certain, F.lit(False))
+
+
+def _judged(message: Column, fields: dict[str, str], kinds: tuple[str, ...]) -> Column:
+    """struct(event, error_type, error_message, raw_event_id); every field is a JSON value of its own."""
     ddl = ", ".join(f"{name} variant" for name in fields) + ", _corrupt string"
 
     def parsed_text(text: Column) -> Column:
@@ -248,10 +305,9 @@ def validate_events(messages: DataFrame, topic: str, value: str = "value") -> Da
         )
 
     # The chain reads the message once, so filters on its outcome stay small when pushed down.
-    checked = F.col(value).cast("string")
     for step in (parsed_text, raw_fields, typed_fields, verdict, outcome):
-        checked = bind(checked, step)
-    return messages.withColumn("__checked", checked).select(*messages.columns, "__checked.*")
+        message = bind(message, step)
+    return message
 
 
 def blank_null(text: Column) -> Column:

@@ -190,6 +190,35 @@ def test_invalid_values_are_reported(spark, change, message):
     assert (found.error_type, found.error_message, found.event) == (ev.VALIDATION_ERROR, message, None)
 
 
+def test_strict_reading_agrees_with_reading_by_field(spark, monkeypatch):
+    """All pairs of odd values, through both readings and through the field-wise one alone."""
+    import itertools
+    import json
+
+    odd = [
+        {"user_id": v} for v in (0, -5, "7", " 7 ", 1.0, 1e3, 1.5, True, None, [], 2**63, -(2**63), "x")
+    ] + [{"rating": v} for v in (0, -0.0, 4, "3.5", "3.5d", "NaN", "Infinity", "-Infinity", float("nan"), float("inf"), 1e400, 1e-7, True, None, {})
+    ] + [{"source": v} for v in ("", " ", "true", "true story", "null", "5", "5 stars", "-", "{", "[1]", "NaN", "INF", 5, 5.5, True, None, {"a": 1}, [1], "é€😀", "a\nb")
+    ] + [{"request_id": v} for v in ("", "r", "1", 5, False, None, {})
+    ] + [{"event_type": v} for v in ("rating_deleted", "tag_created", "", 5, None, "true")
+    ] + [{"occurred_at": v} for v in ("2021-01-01", "2021-01-01 10:00", "2021-02-30T00:00:00Z", "20210101", "1609459200", 1609459200, 1609459200.25, "x", "", None, True)
+    ] + [{"event_id": v} for v in (GOOD["event_id"].upper(), GOOD["event_id"].replace("-", ""), 5, None, "")]
+    payloads = [{**GOOD, **a} for a in odd] + [{**GOOD, **a, **b} for a, b in itertools.islice(itertools.combinations(odd, 2), 0, None, 7)]
+    payloads += [{k: v for k, v in GOOD.items() if k != gone} for gone in GOOD]
+    good = json.dumps(GOOD)
+    texts = [json.dumps(p) for p in payloads]
+    texts += [good, " " + good, f"[{good}]", good + " x", good[:-1], good[:-1] + ', "user_id": "x"}', good[:-1] + ', "user_id": null}', "", "{}", "null", "5", None]
+    rows = spark.createDataFrame([(i, None if x is None else bytearray(x.encode())) for i, x in enumerate(texts)], "i int, value binary")
+    both = ev.validate_events(rows, "ratings").orderBy("i").collect()
+    strict = ev._strict_event
+    monkeypatch.setattr(ev, "_strict_event", lambda *a: (strict(*a)[0], F.lit(False)))
+    alone = ev.validate_events(rows, "ratings").orderBy("i").collect()
+    parts = ("event", "error_type", "error_message", "raw_event_id")
+    differ = [(r.value, n, repr(r[n]), repr(o[n])) for r, o in zip(both, alone, strict=True) for n in parts if repr(r[n]) != repr(o[n])]
+    assert not differ
+    assert sum(r.error_type is None for r in both) > 50 and sum(r.error_type is not None for r in both) > 50
+
+
 def test_missing_and_several_problems(spark):
     bad = {k: v for k, v in GOOD.items() if k != "movie_id"} | {"rating": "x"}
     found = judge(spark, bad)
