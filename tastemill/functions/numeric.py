@@ -50,19 +50,20 @@ def rating_in_range(rating: Column, low: float = 0.5, high: float = 5.0) -> Colu
 
 
 def adler32(text: Column) -> Column:
-    """Adler-32 checksum of the UTF-8 bytes as bigint."""
-    modulus = F.lit(65521).cast("bigint")
-    pairs = F.regexp_extract_all(F.hex(F.encode(text, "UTF-8")), F.lit(".."), F.lit(0))
-    codes = F.transform(pairs, lambda pair: F.conv(pair, 16, 10).cast("bigint"))
-    start = F.struct(F.lit(1).cast("bigint").alias("a"), F.lit(0).cast("bigint").alias("b"))
-
-    def step(acc: Column, code: Column) -> Column:
-        a = F.pmod(acc["a"] + code, modulus)
-        return F.struct(a.alias("a"), F.pmod(acc["b"] + a, modulus).alias("b"))
+    """Adler-32 checksum of the UTF-8 bytes as bigint.
 
-    return F.when(F.octet_length(text) == 0, F.lit(1).cast("bigint")).otherwise(
-        F.aggregate(codes, start, step, lambda acc: acc["b"] * 65536 + acc["a"])
-    )
+    Both halves are sums: of the bytes, and of the bytes times their distance from the end. Texts
+    up to 100 million bytes stay below the range of a bigint.
+    """
+    modulus = F.lit(65521).cast("bigint")
+    size = F.octet_length(text).cast("bigint")
+    # One character per byte; its code is the byte.
+    letters = F.split(F.decode(F.encode(text, "UTF-8"), "ISO-8859-1"), "")
+    weighted = F.transform(letters, lambda c, i: F.struct(F.ascii(c).cast("bigint").alias("code"), (size - i).alias("times")))
+    start = F.struct(F.lit(0).cast("bigint").alias("a"), F.lit(0).cast("bigint").alias("b"))
+    add = lambda acc, x: F.struct((acc["a"] + x["code"]).alias("a"), (acc["b"] + x["code"] * x["times"]).alias("b"))
+    total = lambda acc: F.pmod(acc["b"] + size, modulus) * 65536 + F.pmod(acc["a"] + 1, modulus)
+    return F.when(size == 0, F.lit(1).cast("bigint")).otherwise(F.aggregate(weighted, start, add, total))
 
 
 def daily_seed(user_id: Column, day: Column, token: Column | None = None) -> Column:
