@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from checks import tables as t
+from checks.dataset_queries import MAPPED, mapped
 from checks.feature_queries import NORMS, STATS, stats
 from checks.history_queries import LIKED
 from checks.registry import query
@@ -19,7 +20,7 @@ from tastemill.models import ranker as ra
 from tastemill.operators import features as ft
 from tastemill.operators.vectors import norm
 from tastemill.plans import recommend_jobs as rj
-from tastemill.session import checkpoint_dir
+from tastemill.session import checkpoint_dir, staged
 from tastemill.sources import datasets as ds
 
 
@@ -79,17 +80,17 @@ def snapshot_tables(spark, sf):
     return summary("ratings_events", "id", "rating", "user_id").union(summary("catalog_movies", "movie_id", "tmdb_popularity", "title"))
 
 
-@query("cf_fit_quality")
+@query(
+    "cf_fit_quality",
+    with_(MAPPED, select="""SELECT user_idx, count(*) AS ratings, true AS solved FROM mapped
+      WHERE split = 'train' AND rating IS NOT NULL GROUP BY user_idx"""),
+)
 def cf_fit_quality(spark, sf):
-    """Fit on the training split and report the error on the validation split (no SQL: iterative)."""
-    from checks.dataset_queries import mapped
-
-    rows = mapped(spark, sf).where(F.col("rating").isNotNull())
-    model = fa.fit_factors(rows.where(F.col("split") == "train"))
-    scored = fa.score_model(model, rows.where(F.col("split") == "validation"))
-    return fa.regression_metrics(scored).select(
-        (F.col("rmse") > 0).alias("has_error"), (F.col("rmse") < 3).alias("useful"), "rows"
-    )
+    """Fit on the training split: every user's factors must solve their normal equations."""
+    train = staged(mapped(spark, sf).where(F.col("rating").isNotNull() & (F.col("split") == "train")))
+    found = fa.user_gradients(fa.fit_factors(train), train)
+    solved = F.col("gradient") <= 1e-3 * (F.col("scale") + 1e-3)
+    return found.select(F.col("user_idx").cast("bigint"), "ratings", solved.alias("solved"))
 
 
 @query(

@@ -13,9 +13,10 @@ from tastemill.operators.vectors import dot, zeros
 from tastemill.session import broadcast_if_small
 
 RANK = 64
+REGULARISATION = 0.05
 
 
-def fit_factors(train: DataFrame, rank: int = RANK, iterations: int = 10, reg: float = 0.05, seed: int = 42, **params) -> ALSModel:
+def fit_factors(train: DataFrame, rank: int = RANK, iterations: int = 10, reg: float = REGULARISATION, seed: int = 42, **params) -> ALSModel:
     """Dot-product factorisation of (user_idx, movie_idx, rating) by squared error."""
     als = ALS(
         rank=rank, maxIter=iterations, regParam=reg, seed=seed, userCol="user_idx", itemCol="movie_idx",
@@ -47,6 +48,29 @@ def score_model(model: ALSModel, pairs: DataFrame) -> DataFrame:
     return score_factors(pairs, users, movies)
 
 
+def user_gradients(model: ALSModel, train: DataFrame, reg: float = REGULARISATION) -> DataFrame:
+    """(user_idx, ratings, gradient, scale): how far each user's factors are from the least-squares optimum.
+
+    A fit ends with the step that solves the users' normal equations for the final movie factors,
+    so the gradient of a user's squared error, with `reg` times the number of ratings as weight of
+    the squared factors, is zero there. `gradient` is its largest component, `scale` the largest
+    sum of absolute terms of one component. Sums are partial before the shuffle.
+    """
+    users = model.userFactors.select(F.col("id").alias("user_idx"), F.col("features").alias("user_factors"))
+    movies = model.itemFactors.select(F.col("id").alias("movie_idx"), F.col("features").alias("movie_factors"))
+    rows = train.select(F.col("user_idx").cast("int"), F.col("movie_idx").cast("int"), F.col("rating").cast("float").cast("double"))
+    joined = rows.join(users, "user_idx").join(broadcast_if_small(movies, 8 * RANK + 16), "movie_idx")
+    error = dot(F.col("user_factors"), F.col("movie_factors")) - F.col("rating")
+    terms = joined.withColumn("error", error).select("user_idx", "error", F.posexplode(F.arrays_zip("user_factors", "movie_factors")).alias("place", "pair"))
+    own, other = F.col("pair.user_factors").cast("double"), F.col("pair.movie_factors").cast("double")
+    sums = terms.groupBy("user_idx", "place").agg(
+        F.count(F.lit(1)).alias("ratings"), F.sum(other * F.col("error") + reg * own).alias("gradient"), F.sum(F.abs(other * F.col("error"))).alias("scale")
+    )
+    return sums.groupBy("user_idx").agg(
+        F.max("ratings").alias("ratings"), F.max(F.abs("gradient")).alias("gradient"), F.max("scale").alias("scale")
+    )
+
+
 def select_best(
     settings: Iterable[dict],
     fit: Callable[[dict], object],

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+from collections.abc import Iterator
 from datetime import UTC, datetime
 
+import pyarrow as pa
+from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -170,7 +174,35 @@ def write_feature_parts(df: DataFrame, path: str, part_rows: int = 100_000) -> N
     writer.option("maxRecordsPerFile", part_rows).partitionBy("split").parquet(path)
 
 
-def part_inventory(spark: SparkSession, path: str) -> DataFrame:
+DIGEST_CHUNK = 8 * 1024 * 1024
+
+
+def file_digests(files: DataFrame, chunk_bytes: int = DIGEST_CHUNK) -> DataFrame:
+    """(path, sha256) of whole files, listed with their length.
+
+    Files are dealt to tasks and read there chunk by chunk, so a task holds one chunk whatever a
+    file's size. Paths are opened by pyarrow's file systems.
+    """
+
+    def digests(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            paths, out = part.column("path").to_pylist(), []
+            for path, length in zip(paths, part.column("length").to_pylist(), strict=True):
+                system, name = FileSystem.from_uri(path)
+                digest, read = hashlib.sha256(), 0
+                with system.open_input_stream(name) as source:
+                    while chunk := source.read(chunk_bytes):
+                        digest.update(chunk)
+                        read += len(chunk)
+                if read != length:
+                    raise OSError(f"{path}: {read} bytes read, {length} listed")
+                out.append(digest.hexdigest())
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(out, pa.string())], names=["path", "sha256"])
+
+    return files.select("path", "length").mapInArrow(digests, "path string, sha256 string")
+
+
+def part_inventory(spark: SparkSession, path: str, chunk_bytes: int = DIGEST_CHUNK) -> DataFrame:
     """(object_key, row_count, sha256) of every Parquet file below `path`."""
     rows = (
         spark.read.option("recursiveFileLookup", True)
@@ -178,8 +210,8 @@ def part_inventory(spark: SparkSession, path: str) -> DataFrame:
         .groupBy(F.col("_metadata.file_path").alias("object_key"))
         .agg(F.count(F.lit(1)).alias("row_count"))
     )
-    content = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet")
-    digests = content.load(path).select(F.col("path"), F.sha2("content", 256).alias("sha256"))
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet")
+    digests = file_digests(listed.load(path).select("path", "length"), chunk_bytes)
     # Both sides name files with different scheme slashes; compare the bare path.
     bare = lambda c: F.regexp_replace(c, "^[a-z0-9]+:/+", "/")
     found = digests.withColumn("bare", bare(F.col("path")))

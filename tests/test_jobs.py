@@ -48,6 +48,74 @@ def test_lineage_mismatch_is_named():
         ds.require_lineage({}, ("dataset", {"status": "running"}))
 
 
+def test_digest_of_files_larger_than_a_chunk(spark, tmp_path):
+    import hashlib
+
+    contents = {f"{n}.bin": bytes((i * 7 + n) % 251 for i in range(n)) for n in (0, 1, 999, 1_000, 1_001, 70_003)}
+    for name, content in contents.items():
+        (tmp_path / name).write_bytes(content)
+    listed = spark.read.format("binaryFile").load(str(tmp_path)).select("path", "length")
+    found = {r.path.rsplit("/", 1)[1]: r.sha256 for r in ds.file_digests(listed, chunk_bytes=1_000).collect()}
+    assert found == {name: hashlib.sha256(content).hexdigest() for name, content in contents.items()}
+    assert "content" not in listed._jdf.queryExecution().executedPlan().toString().split("ReadSchema")[-1]
+
+
+def test_user_gradients_against_numpy(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    rows = [(int(u), int(m), float(np.float32(rng.uniform(0.5, 5)))) for u in range(12) for m in rng.choice(20, 1 + u, replace=False)] + [(3, 4, 2.0)] * 3
+    train = spark.createDataFrame(rows, "user_idx int, movie_idx int, rating double")
+    model = fa.fit_factors(train, rank=4, iterations=3)
+    found = {r.user_idx: r for r in fa.user_gradients(model, train).collect()}
+    movies = {r.id: np.array(r.features, float) for r in model.itemFactors.collect()}
+    for user in range(12):
+        own = [(movies[m], r) for u, m, r in rows if u == user]
+        v, r = np.array([x for x, _ in own]), np.array([y for _, y in own])
+        best = np.linalg.solve(v.T @ v + fa.REGULARISATION * len(r) * np.eye(4), v.T @ r)
+        fitted = next(np.array(x.features, float) for x in model.userFactors.collect() if x.id == user)
+        assert np.allclose(best, fitted, atol=1e-4)
+        assert found[user].ratings == len(r) and found[user].gradient <= 1e-3 * (found[user].scale + 1e-3)
+    wrong = fa.user_gradients(model, train.withColumn("rating", F.col("rating") + 1))
+    assert wrong.where(F.col("gradient") > 0.01 * F.col("scale")).count() == 12
+
+
+def murmur3(data: bytes, seed: int = 42) -> int:
+    """The 32-bit hash of the hashing encoder, as a signed integer."""
+    mask, h = 0xFFFFFFFF, seed
+    turn = lambda x, r: (x << r | x >> (32 - r)) & mask
+    whole = len(data) // 4 * 4
+    blocks = [int.from_bytes(data[i : i + 4], "little") for i in range(0, whole, 4)]
+    mixed = lambda k: turn(k * 0xCC9E2D51 & mask, 15) * 0x1B873593 & mask
+    for k in blocks:
+        h = (turn(h ^ mixed(k), 13) * 5 + 0xE6546B64) & mask
+    if tail := data[whole:]:
+        h ^= mixed(int.from_bytes(tail, "little"))
+    h ^= len(data)
+    h = (h ^ h >> 16) * 0x85EBCA6B & mask
+    h = (h ^ h >> 13) * 0xC2B2AE35 & mask
+    h ^= h >> 16
+    return h - (1 << 32) if h >> 31 else h
+
+
+def test_values_of_the_hashing_encoder(spark, sf):
+    import numpy as np
+
+    from tastemill.models.encoder import embed_stale
+    from tastemill.operators.search import tokens
+
+    texts = t.load(spark, sf, "documents").select(F.col("doc_id").alias("movie_id"), "text")
+    stored = spark.createDataFrame([], "movie_id bigint, embedding array<float>, embedding_text_hash string")
+    fresh = {r.movie_id: r.embedding for r in embed_stale(texts, stored, 32, "v1").collect()}
+    rows = texts.select("movie_id", tokens(F.col("text")).alias("words")).collect()
+    assert len(fresh) == len(rows)
+    for row in rows:
+        counts = np.zeros(32)
+        for word in row.words:
+            counts[murmur3(word.encode()) % 32] += 1
+        assert np.allclose(fresh[row.movie_id], counts / max(np.linalg.norm(counts), 1e-12), atol=1e-6)
+
+
 def test_ordered_export_and_inventory(spark, sf, tmp_path):
     import hashlib
     from pathlib import Path
