@@ -122,7 +122,7 @@ def merge_model_rankings(ranked: DataFrame, slots: DataFrame, top_k: int = 20) -
 
 
 def vector_quality(vectors: DataFrame, norms_below: float = 0.05) -> DataFrame:
-    """Embedding health: NaN rows, near-zero rows, mean and population deviation of the norms."""
+    """Embedding health: NaN rows, near-zero rows, mean and population deviation of the other rows' norms."""
     length = F.sqrt(
         F.aggregate("vector", F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double"))
     )
@@ -131,8 +131,8 @@ def vector_quality(vectors: DataFrame, norms_below: float = 0.05) -> DataFrame:
         F.count(F.lit(1)).alias("rows"),
         F.count_if("has_nan").alias("nan_rows"),
         F.count_if(F.col("length") < norms_below).alias("default_rows"),
-        F.avg("length").alias("norm_mean"),
-        F.stddev_pop("length").alias("norm_std"),
+        F.avg(F.when(~F.col("has_nan"), F.col("length"))).alias("norm_mean"),
+        F.stddev_pop(F.when(~F.col("has_nan"), F.col("length"))).alias("norm_std"),
     )
 
 
