@@ -8,15 +8,17 @@ weight away. The score is a logistic function of the weight found and of that we
 The lexicon's weights are learned by counting, over a bounded sample of the labelled rows of the
 training fold, in how many toxic and other texts each folded word and word beginning occurs.
 Counting is a grouped aggregation; only entries whose evidence is beyond chance reach the driver,
-every one that passes its tests. The two logistic terms are fitted on a histogram of
-bounded size over the same rows, weighted to the labels' true shares.
+every one that passes its tests. Exception phrases are learned in the same way: two neighbouring
+words of which one has an entry, found beyond chance in texts that are not toxic. The two
+logistic terms are fitted on a histogram of bounded size over the same rows, weighted to the
+labels' true shares.
 """
 
 from __future__ import annotations
 
 import math
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import ahocorasick
@@ -80,7 +82,7 @@ class LexiconPlan:
     """`prefixes`: lengths of word beginnings that may become entries. An entry needs `min_texts`
     toxic texts and a log-likelihood ratio above `evidence`; as the sample is bounded, so are they. `max_texts`: labelled texts per label
     that training may use (the first ones by a hash of their id); scoring has no such bound.
-    `phrases`: exception phrases, read with their words folded."""
+    `phrases`: exception phrases beside the learned ones, read with their words folded."""
 
     prefixes: tuple[int, ...] = (4, 5, 6)
     min_texts: int = 3
@@ -129,8 +131,22 @@ class Matcher:
 
     def found(self, words: list[str]) -> float:
         """The weight in a text; of the entries that start at one word the heaviest counts."""
+        return sum(self.starts(words).values())
+
+    def neighbours(self, words: list[str]) -> set[str]:
+        """The distinct pairs of neighbouring words of which one has weight, parted by a space."""
+        starts = self.starts(words)
+        places, at = set(), 0
+        for place, word in enumerate(words):
+            if at in starts:
+                places.add(place)
+            at += len(word) + 1
+        return {f"{words[p]} {words[p + 1]}" for i in places for p in (i - 1, i) if 0 <= p < len(words) - 1}
+
+    def starts(self, words: list[str]) -> dict[int, float]:
+        """Weight by the place, in ' word word ', of the space before each word with an entry."""
         if self.empty or not words:
-            return 0.0
+            return {}
         best: dict[int, float] = {}
         exempt: list[tuple[int, int]] = []
         for end, (size, weight) in self.automaton.iter(f" {' '.join(words)} "):
@@ -142,7 +158,7 @@ class Matcher:
         for low, high in exempt:
             for start in [s for s in best if low <= s < high]:
                 del best[start]
-        return sum(best.values())
+        return best
 
 
 def _entries(words: list[str], prefixes: tuple[int, ...]) -> set[str]:
@@ -169,9 +185,37 @@ def fit_lexicon(docs: DataFrame, labels: DataFrame, plan: LexiconPlan = LexiconP
     if not toxic or toxic == rows:
         return empty
 
+    counted = _evidence(train, lambda words: _entries(words, plan.prefixes), rows, toxic)
+    strong = F.col("evidence") >= plan.evidence
+    best = counted.where((F.col("a") >= plan.min_texts) & strong & (F.col("weight") > 2.0)).orderBy(F.desc("evidence"), "entry").collect()
+    weights = {r["entry"]: round(float(r["weight"]), 6) for r in best}
+    phrases = plan.phrases
+    if weights:
+        around = _evidence(train, _Neighbours(weights, phrases), rows, toxic)
+        harmless = around.where((F.col("n") - F.col("a") >= plan.min_texts) & strong & (F.col("weight") < 0)).orderBy(F.desc("evidence"), "entry")
+        phrases += tuple(r["entry"] for r in harmless.collect())
+    scales = (totals[0] / (rows - toxic), totals[1] / toxic)
+    return _calibrated(train, weights, phrases, empty, scales)
+
+
+class _Neighbours:
+    """`Matcher.neighbours` with its automaton built once in each worker."""
+
+    def __init__(self, weights: dict[str, float], phrases: tuple[str, ...]):
+        self.weights, self.phrases, self.matcher = weights, phrases, None
+
+    def __call__(self, words: list[str]) -> set[str]:
+        self.matcher = self.matcher or Matcher(self.weights, self.phrases)
+        return self.matcher.neighbours(words)
+
+
+def _evidence(train: DataFrame, features: Callable[[list[str]], set[str]], rows: int, toxic: int) -> DataFrame:
+    """(entry, a, n, evidence, weight) of each feature of the texts: toxic and all texts with it, the
+    log-likelihood ratio against the share of toxic texts, and the log ratio of its shares in both."""
+
     def spread(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            texts = [_entries(folded_words(t), plan.prefixes) for t in part.column("text").to_pylist()]
+            texts = [features(folded_words(t)) for t in part.column("text").to_pylist()]
             marks = [m for m, t in zip(part.column("toxic").to_pylist(), texts, strict=True) for _ in t]
             yield pa.RecordBatch.from_arrays([pa.array([e for t in texts for e in t], pa.string()), pa.array(marks, pa.int32())], names=["entry", "toxic"])
 
@@ -180,24 +224,17 @@ def fit_lexicon(docs: DataFrame, labels: DataFrame, plan: LexiconPlan = LexiconP
     part = lambda k, m: F.when(k > 0, k * F.log(k / m)).otherwise(0.0)
     evidence = 2 * (part(a, n * F.lit(toxic / rows)) + part(n - a, n * F.lit(1 - toxic / rows)))
     weight = F.log((a + 0.2) / F.lit(toxic + 0.4)) - F.log((n - a + 0.2) / F.lit(rows - toxic + 0.4))
-    best = (
-        counted.withColumn("evidence", evidence).withColumn("weight", weight)
-        .where((F.col("a") >= plan.min_texts) & (F.col("evidence") >= plan.evidence) & (F.col("weight") > 2.0))
-        .orderBy(F.desc("evidence"), "entry").collect()
-    )
-    weights = {r["entry"]: round(float(r["weight"]), 6) for r in best}
-    scales = (totals[0] / (rows - toxic), totals[1] / toxic)
-    return _calibrated(train, weights, plan, empty, scales)
+    return counted.withColumn("evidence", evidence).withColumn("weight", weight)
 
 
-def _calibrated(train: DataFrame, weights: dict[str, float], plan: LexiconPlan, empty: Lexicon, scales: tuple[float, float]) -> Lexicon:
+def _calibrated(train: DataFrame, weights: dict[str, float], phrases: tuple[str, ...], empty: Lexicon, scales: tuple[float, float]) -> Lexicon:
     """Fit the logistic terms on counts per cell of the two measures; `scales` weigh other and toxic rows.
 
     Both measures are logarithms cut into steps, so the cells are a few thousand at most.
     """
     if not weights:
         return empty
-    measured = _measured(train, weights, plan.phrases, "text").select(
+    measured = _measured(train, weights, phrases, "text").select(
         F.round(F.log1p("found") * 8).alias("x"), F.round(F.log1p(100 * F.col("found") / (F.col("words") + 5)) * 8).alias("y"), "toxic"
     )
     cells = measured.groupBy("x", "y").agg(F.sum("toxic").alias("a"), F.count("*").alias("n")).toPandas()
@@ -210,7 +247,7 @@ def _calibrated(train: DataFrame, weights: dict[str, float], plan: LexiconPlan,
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
         step = np.linalg.solve((x * (n * p * (1 - p))[:, None]).T @ x + ridge, x.T @ (a - n * p) - ridge @ beta)
         beta = beta + np.clip(step, -2, 2)
-    return Lexicon(weights, *(float(b) for b in beta), plan.phrases)
+    return Lexicon(weights, *(float(b) for b in beta), phrases)
 
 
 def _measured(docs: DataFrame, weights: dict[str, float], phrases: tuple[str, ...], text_col: str, found: str = "found", words: str = "words") -> DataFrame:

@@ -27,6 +27,27 @@ def test_whole_query_and_held_out_accuracy(spark, query, label, threshold, least
     assert len(right) > 50 and np.mean(right) >= least
 
 
+def test_learned_exception_phrases_change_held_out_scores(spark, make_docs):
+    """'rotten' alone marks toxic texts, 'rotten apples' is only said in others."""
+    kinds = {True: "you rotten person number {} go", False: "we threw rotten apples number {} out"}
+    texts = [(i, (kinds[i % 2 == 0] if i % 4 < 3 else "plain words number {} here").format(f"w{i}")) for i in range(600)]
+    labels = spark.createDataFrame([(i, int(i % 2 == 0)) for i in range(600)], "doc_id long, toxic int")
+    # Toxic texts say it alone; the phrase is rare enough among the others for 'rotten' to stay an entry.
+    rare = [(i, t if i % 2 == 0 or i % 20 == 1 else f"plain words number w{i} here") for i, t in texts]
+    lexicon = fit_lexicon(make_docs(*rare), labels)
+    assert "=rotten" in lexicon.weights and any("rotten apples" in p for p in lexicon.phrases)
+    unlearned = Lexicon(lexicon.weights, lexicon.bias, lexicon.per_found, lexicon.per_share)
+    probe = make_docs((1_001, "many rotten apples lay there"), (1_002, "you rotten person there now"))
+    scores = [{r["doc_id"]: r["score_"] for r in toxicity_scores(probe, model).collect()} for model in (lexicon, unlearned)]
+    assert scores[0][1_001] < 0.5 <= scores[1][1_001] and scores[0][1_002] >= 0.5
+
+
+def test_neighbours_against_plain_search():
+    matcher = Matcher({"=bad": 2.0, "^wors": 3.0}, ("not bad",))
+    cases = {"a bad day": {"a bad", "bad day"}, "bad": set(), "not bad day": set(), "worse bad": {"worse bad"}, "badly done": set(), "x worst": {"x worst"}, "": set()}
+    assert {text: matcher.neighbours(text.split()) for text in cases} == cases
+
+
 @pytest.mark.parametrize("learn", ["quality", "toxic"])
 def test_held_out_labels_change_nothing(spark, make_docs, learn):
     docs = make_docs(*[(i, f"clean words number {i} here" if i % 2 else f"vile scum number {i} here") for i in range(120)])
