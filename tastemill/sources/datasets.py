@@ -181,7 +181,7 @@ def file_digests(files: DataFrame, chunk_bytes: int = DIGEST_CHUNK) -> DataFrame
     """(path, sha256) of whole files, listed with their length.
 
     Files are dealt to tasks and read there chunk by chunk, so a task holds one chunk whatever a
-    file's size. Paths are opened by pyarrow's file systems.
+    file's size. Paths are opened by pyarrow's file systems. Spark's listing skips empty files.
     """
 
     def digests(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
