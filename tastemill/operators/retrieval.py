@@ -163,28 +163,22 @@ def _genre_lists(movies: DataFrame, order: list[Column]) -> DataFrame:
     return placed.withColumn("band", F.floor(F.col("place") / BAND))
 
 
-def _read_lists(liked: DataFrame, lists: DataFrame, excluded: DataFrame, n: int, start: Column | None = None) -> DataFrame:
-    """What each user reads of the lists of liked genres: `n` movies and as many as are excluded there.
+def _read_lists(liked: DataFrame, lists: DataFrame, excluded: DataFrame, n: int) -> DataFrame:
+    """What each user reads of the lists of liked genres: the first `n` movies and as many as are excluded there.
 
-    A list is a ring that is read from the user's `start` (0: its head; may use `size`). Users and
-    lists meet by (genre, band), in as many bands as the user needs, so one who has seen most of a
-    genre reads further without anybody else doing so. Returns liked's columns and movie_id,
-    tmdb_popularity and offset, without the excluded pairs.
+    Users and lists meet by (genre, band), in as many bands as the user needs, so one who has seen
+    most of a genre reads further without anybody else doing so. Returns liked's columns and
+    movie_id and tmdb_popularity, without the excluded pairs.
     """
     gone = excluded.select("user_id", "movie_id")
     skips = gone.join(broadcast_if_small(lists.select("movie_id", "genre"), 64), "movie_id").groupBy("user_id", "genre").agg(F.count(F.lit(1)).alias("skip"))
     sizes = lists.groupBy("genre").agg(F.max("size").alias("size"))
     asked = liked.join(sizes, "genre").join(skips, ["user_id", "genre"], "left")
-    asked = asked.withColumn("start", F.lit(0).cast("bigint") if start is None else start.cast("bigint"))
     asked = asked.withColumn("depth", F.least("size", F.lit(n) + F.coalesce("skip", F.lit(0))))
-    bands = lambda low, high: F.sequence(F.floor(low / BAND), F.floor((high - 1) / BAND))
-    end = F.col("start") + F.col("depth")
-    beyond = F.when(end > F.col("size"), bands(F.lit(0), end - F.col("size"))).otherwise(F.array().cast("array<bigint>"))
-    needed = F.array_distinct(F.concat(bands(F.col("start"), F.least(end, F.col("size"))), beyond))
+    needed = F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("depth") - 1) / BAND))
     asked = asked.where("depth > 0").withColumn("band", F.explode(needed)).drop("size", "skip")
-    offset = F.pmod(F.col("place") - F.col("start"), F.col("size"))
-    read = asked.join(broadcast_if_small(lists, 80), ["genre", "band"]).withColumn("offset", offset).where(F.col("offset") < F.col("depth"))
-    return read.select(*liked.columns, "movie_id", "tmdb_popularity", "offset").join(gone, ["user_id", "movie_id"], "left_anti")
+    read = asked.join(broadcast_if_small(lists, 80), ["genre", "band"]).where(F.col("place") < F.col("depth"))
+    return read.select(*liked.columns, "movie_id", "tmdb_popularity").join(gone, ["user_id", "movie_id"], "left_anti")
 
 
 def popular_by_genres(
@@ -219,6 +213,16 @@ def random_key(seed: Column, movie: Column) -> Column:
     return F.pmod(mixed * F.pmod(mixed * MIX_FACTOR + MIX_OFFSET, prime), prime)
 
 
+def random_keys(seed: np.ndarray, movies: np.ndarray) -> np.ndarray:
+    """The same keys for many users (a column of seeds) and movies at once."""
+    mixed = (seed * SEED_FACTOR + movies * MOVIE_FACTOR) % PRIME
+    return mixed * ((mixed * MIX_FACTOR + MIX_OFFSET) % PRIME) % PRIME
+
+
+# Users, and movies of one genre, that meet in one task.
+DRAW_USERS, DRAW_MOVIES = 8_192, 65_536
+
+
 def random_by_genres(
     liked: DataFrame,
     catalog: DataFrame,
@@ -227,25 +231,72 @@ def random_by_genres(
     n: int = 75,
     min_votes: int = 100,
     min_average: float = 6.0,
+    *,
+    users_per_block: int = DRAW_USERS,
+    movies_per_block: int = DRAW_MOVIES,
 ) -> DataFrame:
     """Seeded random good movies sharing a liked genre, per user; `seeds` has (user_id, seed).
 
-    Each genre has one fixed shuffled ring of its movies (by a digest of genre and id), which the
-    user reads from a place that the seed gives: no user sees a whole genre. A movie counts by the
-    least distance from the user's places; equal distances go by id.
+    Every good movie of a user's genres gets its own key under that user's seed, so no shared order
+    can cut the list. Users and the movies of a genre meet in blocks: a task draws the n lowest keys
+    per user, genre and block, without the excluded movies, and a last rank joins them. The pairs
+    themselves never exist as rows.
     """
-    lists = staged(_genre_lists(quality_movies(catalog, min_votes, min_average), [F.md5(F.concat_ws(":", "genre", F.col("movie_id").cast("string"))), F.col("movie_id")]))
-    wanted = liked.select("user_id", "genre").join(seeds.select("user_id", "seed"), "user_id")
-    start = F.pmod(random_key(F.col("seed"), F.col("size")), F.col("size"))
-    nearest = _read_lists(wanted, lists, excluded, n, start).groupBy("user_id", "movie_id").agg(F.min("offset").alias("offset"))
-    best = Window.partitionBy("user_id").orderBy("offset", "movie_id")
+    movies = quality_movies(catalog, min_votes, min_average)
+    by_genre = staged(movies.select(F.col("movie_id").cast("bigint"), F.explode(F.array_distinct("genres")).alias("genre")).dropna().distinct())
+    wanted = staged(liked.select("user_id", "genre").distinct().join(seeds.select("user_id", "seed"), "user_id").select(
+        F.col("user_id").cast("bigint"), "genre", F.pmod(F.col("seed").cast("bigint"), F.lit(PRIME).cast("bigint")).alias("seed")
+    ))
+    user_blocks = max(1, -(-wanted.count() // users_per_block))
+    movie_blocks = max(1, -(-by_genre.count() // movies_per_block))
+    user_block = F.pmod(F.xxhash64("user_id"), F.lit(user_blocks)).cast("int").alias("user_block")
+    movie_block = F.pmod(F.xxhash64("movie_id"), F.lit(movie_blocks)).cast("int").alias("movie_block")
+    each = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    gone = excluded.select(F.col("user_id").cast("bigint"), F.col("movie_id").cast("bigint"))
+    lists = (
+        gone.join(wanted.select("user_id", "genre"), "user_id")
+        .join(by_genre, ["movie_id", "genre"], "left_semi")
+        .groupBy("user_id", "genre", movie_block)
+        .agg(F.collect_set("movie_id").alias("out"))
+    )
+    asked = wanted.select("*", user_block, each(movie_blocks).alias("movie_block")).join(lists, ["user_id", "genre", "movie_block"], "left")
+    offered = by_genre.select("*", movie_block, each(user_blocks).alias("user_block"))
+    keys = ["genre", "user_block", "movie_block"]
+
+    def draw(left: pa.Table, right: pa.Table) -> pa.Table:
+        found = [np.zeros((0, 3), dtype=np.int64)]
+        if left.num_rows and right.num_rows:
+            ids = np.sort(right.column("movie_id").to_numpy())
+            users, own = left.column("user_id").to_numpy(), left.column("seed").to_numpy()
+            gone = left.column("out").to_pylist()
+            rows = max(1, DRAW_CELLS // len(ids))
+            for at in range(0, len(users), rows):
+                draws = random_keys(own[at : at + rows, None], ids[None])
+                for i, skipped in enumerate(gone[at : at + rows]):
+                    if skipped:
+                        draws[i, np.searchsorted(ids, np.array(skipped))] = PRIME
+                if n < len(ids):
+                    limit = np.partition(draws, n - 1, axis=1)[:, n - 1, None]
+                    user, movie = np.nonzero((draws <= limit) & (draws < PRIME))
+                else:
+                    user, movie = np.nonzero(draws < PRIME)
+                found.append(np.stack([users[at + user], ids[movie], draws[user, movie]], axis=1))
+        return pa.table(dict(zip(("user_id", "movie_id", "draw"), map(pa.array, np.concatenate(found).T), strict=True)))
+
+    drawn = asked.groupBy(*keys).cogroup(offered.groupBy(*keys)).applyInArrow(draw, "user_id bigint, movie_id bigint, draw bigint")
+    best = Window.partitionBy("user_id").orderBy("draw", "movie_id")
     return (
-        nearest.withColumn("rank", F.row_number().over(best).cast("bigint"))
+        drawn.distinct()
+        .withColumn("rank", F.row_number().over(best).cast("bigint"))
         .where(F.col("rank") <= n)
         .select("user_id", "movie_id", F.lit(None).cast("double").alias("score"), "rank")
     )
 
 
+# Keys that one step of a task holds.
+DRAW_CELLS = 1 << 20
+
+
 def sample_knn_tail(pool: DataFrame, seeds: DataFrame, skip: int = 150, n: int = 75) -> DataFrame:
     """Seeded sample without replacement from the nearest movies after the first `skip`."""
     tail = pool.where(F.col("rank") > skip).join(seeds, "user_id")

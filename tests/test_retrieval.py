@@ -1,6 +1,5 @@
 """Candidate buckets against brute force, title search, list merging and metrics."""
 
-import hashlib
 import math
 from collections import Counter
 
@@ -111,28 +110,24 @@ def genre_catalog(spark, count):
 
 
 def plain_random(liked, excluded, seeds, count, n):
-    genres = {g: sorted((m for m in range(count) if g == "Any" or (g == "Drama") == (m % 2 == 0)), key=lambda m: (hashlib.md5(f"{g}:{m}".encode()).hexdigest(), m)) for g in ("Any", "Drama", "War")}
-    found = {}
+    prime, found = 2**31 - 1, {}
     for user, genre in liked:
-        ring = genres.get(genre, [])
-        mixed = (seeds[user] * 48_271 + len(ring) * 69_621) % (2**31 - 1)
-        start = mixed * ((mixed * 16_807 + 12_345) % (2**31 - 1)) % (2**31 - 1) % max(len(ring), 1)
-        for place, movie in enumerate(ring):
-            if (user, movie) not in excluded:
-                own = found.setdefault(user, {})
-                own[movie] = min(own.get(movie, count), (place - start) % len(ring))
+        for movie in range(count):
+            if genre == "Any" or genre == ("War" if movie % 2 else "Drama"):
+                mixed = (seeds[user] * 48_271 + movie * 69_621) % prime
+                if (user, movie) not in excluded:
+                    found.setdefault(user, {})[movie] = mixed * ((mixed * 16_807 + 12_345) % prime) % prime
     return {(u, m, i + 1) for u, own in found.items() for i, (_, m) in enumerate(sorted((d, m) for m, d in own.items())[:n])}
 
 
-@pytest.mark.parametrize("band", [64, 1, 7])
-def test_random_draw_reads_rings_from_a_users_place(spark, monkeypatch, band):
-    monkeypatch.setattr(rt, "BAND", band)
+@pytest.mark.parametrize("blocks", [{}, {"users_per_block": 2, "movies_per_block": 70}])
+def test_random_draw_orders_all_movies_of_a_users_genres(spark, blocks):
     liked = [(1, "Drama"), (1, "War"), (2, "Drama"), (3, "None"), (4, "Any"), (4, "Drama"), (5, "War"), (6, "Any")]
     seeds = {1: 5, 2: 2**31 - 1, 3: 1, 4: 77, 5: 123_456, 6: 9}
     excluded = {(1, m) for m in range(200)} | {(5, m) for m in range(300)} | {(4, m) for m in range(0, 300, 3)}
     rows = rt.random_by_genres(
         spark.createDataFrame(liked, "user_id bigint, genre string"), genre_catalog(spark, 300),
-        spark.createDataFrame(sorted(excluded), "user_id bigint, movie_id bigint"), spark.createDataFrame(list(seeds.items()), "user_id bigint, seed bigint"), 20,
+        spark.createDataFrame(sorted(excluded), "user_id bigint, movie_id bigint"), spark.createDataFrame(list(seeds.items()), "user_id bigint, seed bigint"), 20, **blocks,
     ).collect()
     assert {(r.user_id, r.movie_id, r["rank"]) for r in rows} == plain_random(liked, excluded, seeds, 300, 20)
 
