@@ -132,6 +132,22 @@ def test_random_draw_orders_all_movies_of_a_users_genres(spark, blocks):
     assert {(r.user_id, r.movie_id, r["rank"]) for r in rows} == plain_random(liked, excluded, seeds, 300, 20)
 
 
+def test_merged_pool_draws_from_all_movies_of_a_users_genres(spark):
+    rng = np.random.default_rng(5)
+    catalog, seeds = genre_catalog(spark, 90), {1: 18, 2: 25}
+    vectors = spark.createDataFrame([(m, [float(x) for x in rng.normal(size=4)]) for m in range(90)], "movie_id bigint, vector array<float>")
+    profiles = spark.createDataFrame([(u, [1.0, 0.5, 0.0, -1.0]) for u in seeds], "user_id bigint, content_profile array<double>")
+    liked, excluded = [(1, "Drama"), (2, "Any"), (2, "War")], {(1, m) for m in range(30)}
+    pool = rt.candidate_pool(
+        profiles, vectors, catalog, spark.createDataFrame(liked, "user_id bigint, genre string"),
+        spark.createDataFrame(sorted(excluded), "user_id bigint, movie_id bigint"), spark.createDataFrame(list(seeds.items()), "user_id bigint, seed bigint"),
+        rt.RetrievalSizes(knn=3, popular=2, random_genre=9, random_knn=2, knn_pool=4, random_knn_skip=1, max_candidates=50),
+    ).collect()
+    earlier = {(r.user_id, r.movie_id) for r in pool if r.retrieval_source != "random_genre"}
+    drawn = {(u, m) for u, m, _ in plain_random(liked, excluded, seeds, 90, 9)}
+    assert {(r.user_id, r.movie_id) for r in pool if r.retrieval_source == "random_genre"} == drawn - earlier
+
+
 def test_one_users_exclusions_deepen_nobody_elses_reading(spark):
     lists = rt._genre_lists(genre_catalog(spark, 2000), [F.col("tmdb_popularity").desc(), F.col("movie_id")])
     liked = spark.createDataFrame([(u, "Any") for u in range(20)], "user_id bigint, genre string")
