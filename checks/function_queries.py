@@ -12,6 +12,7 @@ from tastemill.functions import posters as po
 from tastemill.functions import text as tx
 from tastemill.functions.numeric import adler32, clamp, daily_seed, normalize_fractions, rating_in_range
 from tastemill.operators import merge as m
+from tastemill.session import spread
 
 
 @query(
@@ -182,7 +183,7 @@ def payloads(spark, sf):
         F.struct(results.alias("results")).alias("release_dates"),
     )
     text = F.when(F.pmod(key, F.lit(9)) == 0, F.lit('{"overview": ')).otherwise(F.to_json(doc))
-    return t.load(spark, sf, "part").select(key.alias("movie_id"), text.alias("payload"))
+    return spread(t.load(spark, sf, "part")).select(key.alias("movie_id"), text.alias("payload"))
 
 
 @query("movie_payload", PAYLOAD_SQL)

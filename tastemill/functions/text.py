@@ -64,8 +64,16 @@ def us_certification(release_dates: Column) -> Column:
 
 
 def parse_movie_payload(payload: Column) -> Column:
-    """struct of catalog columns from a movie JSON document; NULL when it is not a JSON object."""
-    doc = F.from_json(payload, MOVIE_PAYLOAD, {"columnNameOfCorruptRecord": "_corrupt"})
+    """struct of catalog columns from a movie JSON document; NULL when it is not a JSON object.
+
+    The document is parsed once: as the only element of an array it has a name that all columns use.
+    """
+    parsed = F.from_json(payload, MOVIE_PAYLOAD, {"columnNameOfCorruptRecord": "_corrupt"})
+    read = F.struct(payload.alias("text"), parsed.alias("doc"))
+    return F.get(F.transform(F.array(read), lambda r: _movie_details(r["text"], r["doc"])), 0)
+
+
+def _movie_details(payload: Column, doc: Column) -> Column:
     names = F.transform(F.coalesce(doc["keywords"]["keywords"], F.array().cast("array<struct<name:string>>")), lambda k: k["name"])
     details = F.struct(
         blank_to_null(doc["overview"]).alias("overview"),
