@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from checks import tables as t
 from checks.registry import query
 from checks.sql import ACTIVE, CATALOG, CATALOG_GAPS, CF_GAPS, CONTENT_GAPS, CREATED, RATINGS, SPLIT, with_
+from tastemill.functions.numeric import rounded
 from tastemill.operators import history as h
 
 
@@ -132,7 +133,7 @@ def pit_profile(spark, sf):
     )
     spread = walked.select("id", "prior_count", F.explode(packed).alias("space", "profile"))
     return spread.select("space", "id", "prior_count", F.posexplode("profile").alias("pos", "value")).select(
-        "space", "id", "prior_count", F.col("pos").cast("bigint").alias("pos"), F.round("value", 6).alias("value")
+        "space", "id", "prior_count", F.col("pos").cast("bigint").alias("pos"), rounded(F.col("value")).alias("value")
     )
 
 
@@ -150,7 +151,7 @@ def weighted_profile(spark, sf):
     return profiles.select(
         "user_id", "rating_count", "total_weight", F.posexplode("content_profile").alias("pos", "value")
     ).select(
-        "user_id", "rating_count", "total_weight", F.col("pos").cast("bigint").alias("pos"), F.round("value", 6).alias("value")
+        "user_id", "rating_count", "total_weight", F.col("pos").cast("bigint").alias("pos"), rounded(F.col("value")).alias("value")
     )
 
 

@@ -73,3 +73,11 @@ def daily_seed(user_id: Column, day: Column, token: Column | None = None) -> Col
         cleaned = F.trim(F.coalesce(token, F.lit("")))
         base = F.when(cleaned == "", base).otherwise(F.concat_ws(":", base, cleaned))
     return F.pmod(adler32(base), F.lit(2**31).cast("bigint"))
+
+
+def rounded(value: Column, digits: int = 6) -> Column:
+    """A double rounded half away from zero by plain arithmetic, without a decimal per row."""
+    scale = 10.0**digits
+    steps = F.floor(F.abs(value) * scale + 0.5)
+    # Values too large for whole steps, infinities and NaN take the general way.
+    return F.when(F.abs(value) < 1e12 / scale, F.when(value < 0, -steps).otherwise(steps) / scale).otherwise(F.round(value, digits))
