@@ -8,7 +8,7 @@ as many of those as slices.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +24,7 @@ from tastemill.operators.vectors import (
     vector_table,
     with_vector,
 )
+from tastemill.session import staged
 
 # Rating thresholds of the feature schema.
 HIGH_RATING = 4.0
@@ -320,12 +321,13 @@ def walk_history(
 ) -> DataFrame:
     """Run `build(WalkBatch) -> RecordBatch` over every user's ratings in time order.
 
-    Narrow rows are shuffled once, to their slice; small vector tables go to the tasks as
-    a size-checked broadcast, larger ones are joined on before the shuffle.
+    Narrow rows are shuffled once, to their slice; the vectors of the rated movies go to the
+    tasks where they are few, else they are joined on before the shuffle.
     """
     spark = ratings.sparkSession
     plan = plan_slices(ratings, USER_ORDER, rows_per_slice=rows_per_slice)
     sliced = with_slice(ratings, plan).withColumn("wanted", F.lit(True) if wanted is None else wanted)
+    spaces = _rated(ratings, spaces)
     profiled = [s for s in spaces if s.profiled]
     sliced, tables = _attach_vectors(sliced, spaces)
     rows = sliced.withColumn("carry", F.lit(False))
@@ -348,6 +350,12 @@ def walk_history(
     return laid_out.mapInArrow(run, schema)
 
 
+def _rated(ratings: DataFrame, spaces: list[VectorSpace]) -> list[VectorSpace]:
+    """The spaces with the vectors of rated movies only; others are never looked up."""
+    rated = staged(ratings.select("movie_id").distinct())
+    return [replace(s, movies=staged(s.movies.join(rated, "movie_id", "left_semi"))) for s in spaces]
+
+
 def _attach_vectors(rows: DataFrame, spaces: list[VectorSpace]) -> tuple[DataFrame, dict[str, VectorTable]]:
     """Small vector tables as arrays for the tasks; larger ones joined on as columns."""
     tables: dict[str, VectorTable] = {}
@@ -355,7 +363,9 @@ def _attach_vectors(rows: DataFrame, spaces: list[VectorSpace]) -> tuple[DataFra
         if small_enough(space):
             tables[space.name] = vector_table(space)
         else:
-            rows = with_vector(rows, space, hint_small=False)
+            # One row per movie, as in a table: a repeated vector must not repeat ratings.
+            once = replace(space, movies=space.movies.dropDuplicates(["movie_id"]))
+            rows = with_vector(rows, once, hint_small=False)
     return rows, tables
 
 
@@ -428,7 +438,7 @@ def weighted_profiles(ratings: DataFrame, spaces: list[VectorSpace], *, rows_per
     """
     narrow = ratings.select(F.col("user_id").cast("bigint"), F.col("movie_id").cast("bigint"), "rating")
     plan = plan_slices(narrow, ["user_id", "movie_id"], rows_per_slice=rows_per_slice)
-    sliced, tables = _attach_vectors(with_slice(narrow, plan), spaces)
+    sliced, tables = _attach_vectors(with_slice(narrow, plan), _rated(narrow, spaces))
     dims = {s.name: s.dim for s in spaces}
     shared = ratings.sparkSession.sparkContext.broadcast(tables)
 

@@ -8,7 +8,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tastemill.session import BROADCAST_LIMIT_BYTES
+# A table up to this size is sent to every task; every Python worker has its own copy.
+TASK_TABLE_BYTES = 256 * 1024
 
 
 @dataclass(frozen=True)
@@ -72,7 +73,7 @@ def with_vector(df: DataFrame, space: VectorSpace, *, hint_small: bool = True) -
     )
 
 
-def small_enough(space: VectorSpace, limit_bytes: int = BROADCAST_LIMIT_BYTES) -> bool:
+def small_enough(space: VectorSpace, limit_bytes: int = TASK_TABLE_BYTES) -> bool:
     width = 4 if space.kind == "float" else 8
     return space.movies.count() * (space.dim * width + 8) <= limit_bytes
 

@@ -82,6 +82,35 @@ def test_large_vector_tables_take_the_join_path(skewed, spaces, monkeypatch):
         np.testing.assert_allclose(value, joined[key], atol=1e-9)
 
 
+def test_only_vectors_of_rated_movies_reach_the_tasks(spark, skewed, spaces, monkeypatch):
+    df, rows = skewed
+    vectors = spaces[0][0].movies
+    unrated = spark.range(10_000, 12_000).select(F.col("id").alias("movie_id"), F.array_repeat(F.lit(1.0).cast("float"), 4).alias("vector"))
+    space = vc.VectorSpace("content", vectors.select("movie_id", "vector").unionByName(unrated), 4)
+    sent, plain = [], h.vector_table
+    monkeypatch.setattr(h, "vector_table", lambda s: sent.append(plain(s)) or sent[-1])
+    found = h.weighted_profiles(df, [space]).count(), h.pit_profiles(df, [space]).count()
+    assert found == (len({r[0] for r in rows}), len(rows))
+    assert sent and all(set(t.ids.tolist()) <= {r[1] for r in rows} for t in sent)
+
+
+def test_tables_sent_to_every_python_worker_are_small(spark):
+    movies = spark.range(20_000).select(F.col("id").alias("movie_id"), F.array_repeat(F.lit(1.0).cast("float"), 64).alias("vector"))
+    assert not vc.small_enough(vc.VectorSpace("content", movies, 64))
+
+
+def test_a_repeated_vector_repeats_no_rating(skewed, spaces, monkeypatch):
+    df, rows = skewed
+    space = spaces[0][0]
+    twice = vc.VectorSpace("content", space.movies.unionByName(space.movies), 4)
+    monkeypatch.setattr(h, "small_enough", lambda space: False)
+    once = {r.id: r.content_profile for r in h.pit_profiles(df, [space]).collect()}
+    found = h.pit_profiles(df, [twice]).collect()
+    assert len(found) == len(rows)
+    for r in found:
+        np.testing.assert_allclose(r.content_profile, once[r.id], atol=1e-9)
+
+
 @pytest.mark.parametrize("rows_per_slice", [100_000, 150])
 def test_pit_behavior_equals_prefix_recomputation(skewed, rows_per_slice):
     df, rows = skewed
