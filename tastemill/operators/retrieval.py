@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -51,9 +52,10 @@ def genre_quality_filter(catalog: DataFrame, genres: Column, min_votes: int = 10
 # ---------------------------------------------------------------- nearest movies
 
 
-# Users and bytes of movie vectors that meet in one task.
-USERS_PER_BLOCK = 2_048
-VECTOR_BLOCK_BYTES = 16 * 1024 * 1024
+# Users of one task, users scored at a time, and bytes of movie vectors scored at a time.
+USERS_PER_BLOCK = 4_096
+USERS_PER_STEP = 256
+VECTOR_BLOCK_BYTES = 4 * 1024 * 1024
 
 
 def knn(
@@ -69,78 +71,166 @@ def knn(
 ) -> DataFrame:
     """Exact top-k movies by cosine per user, without the excluded pairs.
 
-    Users and movies are dealt into blocks by a hash of their id; every pair of blocks is one task
-    that multiplies the two and emits at most k hits per user, so the pairs themselves never exist
-    as rows and nothing passes the driver. A partial top-k joins the hits of all blocks. `vectors`
-    has (movie_id, vector) of the movies allowed in results. A user without a direction scores 0
-    everywhere. `depth` may name a profile column with a smaller k of that user.
+    Users are dealt into blocks by a hash of their id. A block is one task: it holds its users and
+    their best k so far, and the movies stream past in order of their id. So the pairs never exist
+    as rows, a task's memory depends on neither table's size, only the final lists leave it, and
+    nothing passes the driver. `vectors` has (movie_id, vector) of the movies allowed in results. A
+    user without a direction scores 0 everywhere. `depth` may name a profile column with a smaller
+    k of that user.
     """
-    items = staged(vectors.select(F.col("movie_id").cast("bigint"), F.col("vector").cast("array<double>")))
+    spark = profiles.sparkSession
+    floats = vectors.schema["vector"].dataType.simpleString() == "array<float>"
+    items = staged(vectors.select(F.col("movie_id").cast("bigint"), F.col("vector").cast("array<float>" if floats else "array<double>")))
     limit = F.col(depth) if depth else F.lit(k)
-    users = staged(profiles.select(F.col("user_id").cast("bigint"), F.col(profile).alias("profile"), limit.cast("bigint").alias("k")))
+    users = staged(profiles.select(F.col("user_id").cast("bigint"), F.col(profile).cast("array<double>").alias("profile"), limit.cast("bigint").alias("k")))
     rows, width = items.agg(F.count(F.lit(1)), F.max(F.size("vector"))).first()
     if not rows:
-        return profiles.sparkSession.createDataFrame([], _KNN_SCHEMA)
-    item_blocks = max(1, -(-rows * (width * 8 + 8) // block_bytes))
-    user_blocks = max(1, -(-users.count() // users_per_block))
-    item_block = F.pmod(F.xxhash64("movie_id"), F.lit(item_blocks)).cast("int").alias("item_block")
-    user_block = F.pmod(F.xxhash64("user_id"), F.lit(user_blocks)).cast("int").alias("user_block")
-    each = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    pairs = excluded.select(F.col("user_id").cast("bigint"), F.col("movie_id").cast("bigint")).select("user_id", "movie_id", item_block)
-    # A user's list within one block is no longer than the block.
-    lists = pairs.groupBy("user_id", "item_block").agg(F.collect_set("movie_id").alias("out"))
-    asked = users.select("*", user_block, each(item_blocks).alias("item_block")).join(lists, ["user_id", "item_block"], "left")
-    offered = items.select("*", item_block, each(user_blocks).alias("user_block"))
-    keys = ["user_block", "item_block"]
-
-    def nearest(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return pa.table({n: pa.array([], t) for n, t in _KNN_COLUMNS.items()})
-        ids = right.column("movie_id").to_numpy()
-        order = np.argsort(ids)
-        matrix = stack_lists(right.column("vector").combine_chunks(), width)[order]
-        lengths = np.linalg.norm(matrix, axis=1, keepdims=True)
-        unit = np.where(lengths > 0, matrix / np.where(lengths > 0, lengths, 1.0), 0.0)
-        batches = left.combine_chunks().to_batches(max_chunksize=256)
-        return pa.Table.from_batches([_nearest(batch, ids[order], unit) for batch in batches])
-
-    hits = asked.groupBy(*keys).cogroup(offered.groupBy(*keys)).applyInArrow(nearest, _KNN_SCHEMA + ", k bigint")
-    best = Window.partitionBy("user_id").orderBy(F.col("score").desc(), "movie_id")
-    ranked = hits.withColumn("rank", F.row_number().over(best).cast("bigint")).where(F.col("rank") <= k)
-    return ranked.where(F.col("rank") <= F.col("k")).drop("k")
+        return spark.createDataFrame([], _KNN_SCHEMA)
+    asked = users.count()
+    blocks = max(1, -(-asked // users_per_block), min(spark.sparkContext.defaultParallelism, -(-asked // USERS_PER_STEP)))
+    block = F.pmod(F.xxhash64("user_id"), F.lit(blocks)).cast("int").alias("block")
+    pairs = excluded.select(F.col("user_id").cast("bigint"), F.col("movie_id").cast("bigint"))
+    offered = items.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(2).alias("kind"), "movie_id", "vector")
+    # Of a block, first the users come, then their exclusions, then all movies.
+    told = users.select(block, F.lit(0).alias("kind"), "user_id", "profile", "k").unionByName(
+        pairs.join(users.select("user_id"), "user_id", "left_semi").join(items.select("movie_id"), "movie_id", "left_semi").select(
+            block, F.lit(1).alias("kind"), "user_id", "movie_id"), allowMissingColumns=True
+    ).unionByName(offered, allowMissingColumns=True)
+    laid_out = told.repartitionById(blocks, F.col("block")).sortWithinPartitions("block", "kind", "movie_id", "user_id")
+    step = max(1, block_bytes // (width * 8 + 8))
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, held = None, None
+        for batch in batches:
+            place = batch.column("block").to_numpy() * 3 + batch.column("kind").to_numpy()
+            for value in np.unique(place):
+                part = batch.slice(int(np.searchsorted(place, value)), int((place == value).sum()))
+                if current != value // 3:
+                    if held:
+                        yield from held.lists()
+                    current, held = value // 3, _BlockSearch(width)
+                if value % 3 == 0:
+                    held.ask(part)
+                elif value % 3 == 1:
+                    held.exclude(part)
+                else:
+                    for at in range(0, part.num_rows, step):
+                        held.offer(part.slice(at, step))
+        if held:
+            yield from held.lists()
+
+    return laid_out.mapInArrow(nearest, _KNN_SCHEMA)
 
 
 _KNN_SCHEMA = "user_id bigint, movie_id bigint, score double, rank bigint"
-_KNN_COLUMNS = {"user_id": pa.int64(), "movie_id": pa.int64(), "score": pa.float64(), "rank": pa.int64(), "k": pa.int64()}
-
-
-def _nearest(batch: pa.RecordBatch, ids: np.ndarray, items: np.ndarray) -> pa.RecordBatch:
-    users = batch.column("user_id").to_numpy()
-    depth = batch.column("k").to_numpy()
-    gone = batch.column("out").to_pylist()
-    profiles = stack_lists(batch.column("profile"), items.shape[1]).astype(np.float64)
-    lengths = np.linalg.norm(profiles, axis=1, keepdims=True)
-    unit = np.where(lengths > 0, profiles / np.where(lengths > 0, lengths, 1.0), 0.0)
-    # Rounded so that equal similarities tie by movie id whatever the summation order.
-    scores = np.round(unit @ items.T, 9) + 0.0
-    found, found_scores = [np.zeros((0, 4), dtype=np.int64)], [np.zeros(0)]
-    for i, k in enumerate(depth):
-        row = scores[i]
-        if gone[i]:
-            out = np.array(gone[i])
-            at = np.minimum(np.searchsorted(ids, out), len(ids) - 1)
-            row[at[ids[at] == out]] = -np.inf
-        near = np.flatnonzero(row > -np.inf)
-        if k < len(near):
-            limit = np.partition(row[near], len(near) - k)[len(near) - k]
-            near = near[row[near] >= limit]
-        chosen = near[np.lexsort((ids[near], -row[near]))[:k]]
-        count = len(chosen)
-        found.append(np.stack([np.full(count, users[i]), ids[chosen], np.arange(1, count + 1), np.full(count, k)], axis=1))
-        found_scores.append(row[chosen])
-    rows = np.concatenate(found)
-    columns = [rows[:, 0], rows[:, 1], np.concatenate(found_scores), rows[:, 2], rows[:, 3]]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _KNN_COLUMNS.values(), strict=True)], names=list(_KNN_COLUMNS))
+
+
+def _directions(vectors: np.ndarray) -> np.ndarray:
+    """Rows of length 1; zeros stay."""
+    lengths = np.linalg.norm(vectors, axis=1, keepdims=True)
+    return np.where(lengths > 0, vectors / np.where(lengths > 0, lengths, 1.0), 0.0)
+
+
+class _BlockSearch:
+    """The best movies so far of one block of users, while the movies stream past."""
+
+    def __init__(self, width: int):
+        self.width = width
+        # A float32 product of two directions is nearer than this to the exact one.
+        self.margin = (width + 8) * 2.0**-22
+        self.asked, self.gone, self.steps, self.seen = [], [], None, None
+
+    def ask(self, rows: pa.RecordBatch) -> None:
+        unit = _directions(stack_lists(rows.column("profile"), self.width).astype(np.float64))
+        self.asked.append((rows.column("user_id").to_numpy(), rows.column("k").to_numpy(), unit))
+
+    def exclude(self, rows: pa.RecordBatch) -> None:
+        self.gone.append((rows.column("user_id").to_numpy(), rows.column("movie_id").to_numpy()))
+
+    def _begin(self) -> None:
+        empty = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, self.width)))
+        self.users, self.depth, self.unit = (np.concatenate(x) for x in zip(empty, *self.asked, strict=True))
+        order = np.argsort(self.users, kind="stable")
+        self.users, self.depth, self.unit = self.users[order], self.depth[order], self.unit[order]
+        gone = [np.concatenate(x) for x in zip((np.zeros(0, np.int64),) * 2, *self.gone, strict=True)]
+        # Exclusions came in order of movie, as the movies will.
+        self.gone_row, self.gone_movie = np.searchsorted(self.users, gone[0]), gone[1]
+        self.asked, self.gone = [], []
+        self.steps = [_Best(slice(at, at + USERS_PER_STEP), self.depth[at : at + USERS_PER_STEP]) for at in range(0, len(self.users), USERS_PER_STEP)]
+
+    def offer(self, rows: pa.RecordBatch) -> None:
+        if self.steps is None:
+            self._begin()
+        ids = rows.column("movie_id").to_numpy()
+        unit = _directions(stack_lists(rows.column("vector"), self.width).astype(np.float64))
+        near = unit.T.astype(np.float32)
+        low = 0 if self.seen is None else np.searchsorted(self.gone_movie, self.seen, side="right")
+        high = np.searchsorted(self.gone_movie, ids[-1], side="right")
+        gone_row, gone_movie = self.gone_row[low:high], self.gone_movie[low:high]
+        at = np.minimum(np.searchsorted(ids, gone_movie), len(ids) - 1)
+        known = ids[at] == gone_movie
+        gone_row, at = gone_row[known], at[known]
+        order = np.argsort(gone_row, kind="stable")
+        gone_row, at = gone_row[order], at[order]
+        self.seen = ids[-1]
+        for best in self.steps:
+            own = self.unit[best.rows]
+            scores = own.astype(np.float32) @ near
+            lo, hi = np.searchsorted(gone_row, [best.rows.start, best.rows.stop])
+            scores[gone_row[lo:hi] - best.rows.start, at[lo:hi]] = -np.inf
+            user, movie = np.divmod(np.flatnonzero(scores >= best.floors(scores, self.margin)), len(ids))
+            for cut in range(0, len(user), 65_536):
+                u, m = user[cut : cut + 65_536], movie[cut : cut + 65_536]
+                # Rounded so that equal similarities tie by movie id whatever the summation order.
+                best.add(u.astype(np.int32), ids[m], np.round(np.einsum("ij,ij->i", own[u], unit[m]), 9) + 0.0)
+
+    def lists(self) -> Iterator[pa.RecordBatch]:
+        for best in self.steps or []:
+            rank = best.settle()
+            columns = [self.users[best.rows][best.user], best.movie, best.score, rank]
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names=["user_id", "movie_id", "score", "rank"])
+
+
+class _Best:
+    """The lists of a few users; new hits wait until there are as many as the lists hold."""
+
+    def __init__(self, rows: slice, depth: np.ndarray):
+        self.rows, self.depth = rows, depth
+        self.user, self.movie, self.score = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0)
+        self.least = np.where(depth > 0, -2.0, np.inf)
+        self.waiting, self.count = [], 0
+
+    def floors(self, scores: np.ndarray, margin: float) -> np.ndarray:
+        """What a float32 score must reach to enter the user's list, as a column."""
+        floors = self.least - margin
+        most = int(self.depth.max(initial=0))
+        if 0 < most < scores.shape[1]:
+            open_rows = np.flatnonzero((scores >= floors[:, None]).sum(axis=1) > 2 * most)
+            if len(open_rows):
+                kth = np.partition(scores[open_rows], scores.shape[1] - most, axis=1)[:, scores.shape[1] - most]
+                floors[open_rows] = np.maximum(floors[open_rows], kth - 2 * margin)
+        # An excluded movie is at minus infinity, below every floor.
+        return np.maximum(floors, -3.0)[:, None]
+
+    def add(self, user: np.ndarray, movie: np.ndarray, score: np.ndarray) -> None:
+        self.waiting.append((user, movie, score))
+        self.count += len(user)
+        if self.count > max(len(self.user), 16_384):
+            self.settle()
+
+    def settle(self) -> np.ndarray:
+        """Takes the waiting hits in; returns the ranks, from 1."""
+        user, movie, score = (np.concatenate(x) for x in zip((self.user, self.movie, self.score), *self.waiting, strict=True))
+        self.waiting, self.count = [], 0
+        order = np.lexsort((movie, -score, user))
+        user, movie, score = user[order], movie[order], score[order]
+        starts = np.searchsorted(user, np.arange(len(self.depth)))
+        rank = np.arange(1, len(user) + 1) - starts[user]
+        kept = rank <= self.depth[user]
+        self.user, self.movie, self.score, rank = user[kept], movie[kept], score[kept], rank[kept]
+        last = rank == self.depth[self.user]
+        self.least[self.user[last]] = self.score[last]
+        return rank
 
 
 def similarity_to(df: DataFrame, left: str, right: str) -> DataFrame:
@@ -247,8 +337,10 @@ def random_by_genres(
     wanted = staged(liked.select("user_id", "genre").distinct().join(seeds.select("user_id", "seed"), "user_id").select(
         F.col("user_id").cast("bigint"), "genre", F.pmod(F.col("seed").cast("bigint"), F.lit(PRIME).cast("bigint")).alias("seed")
     ))
-    user_blocks = max(1, -(-wanted.count() // users_per_block))
-    movie_blocks = max(1, -(-by_genre.count() // movies_per_block))
+    # Blocks by the largest genre, so that small ones are no more tasks than they need.
+    largest = lambda rows: rows.groupBy("genre").count().agg(F.max("count")).first()[0] or 0
+    user_blocks = max(1, -(-largest(wanted) // users_per_block))
+    movie_blocks = max(1, -(-largest(by_genre) // movies_per_block))
     user_block = F.pmod(F.xxhash64("user_id"), F.lit(user_blocks)).cast("int").alias("user_block")
     movie_block = F.pmod(F.xxhash64("movie_id"), F.lit(movie_blocks)).cast("int").alias("movie_block")
     each = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))

@@ -71,6 +71,29 @@ def test_knn_brings_no_vectors_to_the_driver(world, monkeypatch):
     assert max(collected) == 1
 
 
+def test_knn_over_many_steps_with_equal_scores(spark, monkeypatch):
+    monkeypatch.setattr(rt, "USERS_PER_STEP", 7)
+    rng = np.random.default_rng(8)
+    kinds = rng.normal(size=(40, 6))
+    vectors = {m: kinds[m % 40] for m in range(700)}
+    profiles = {u: rng.normal(size=6) for u in range(30)}
+    excluded = {(u, int(m)) for u in profiles for m in rng.integers(0, 700, 50)} | {(3, m) for m in range(695)}
+    rows = rt.knn(
+        spark.createDataFrame([(u, [float(x) for x in p]) for u, p in profiles.items()], "user_id bigint, content_profile array<double>"),
+        spark.createDataFrame([(m, [float(x) for x in v]) for m, v in vectors.items()], "movie_id bigint, vector array<float>"),
+        spark.createDataFrame(sorted(excluded), "user_id bigint, movie_id bigint"), 33, block_bytes=5_000, users_per_block=16,
+    ).orderBy("user_id", "rank").collect()
+    found = {}
+    for r in rows:
+        found.setdefault(r.user_id, []).append(r.movie_id)
+    assert found == brute(vectors, profiles, excluded, 33)
+
+
+def test_knn_lists_leave_one_task_whole(world):
+    plan = rt.knn(*world[3], 10)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "CoGroup" not in plan
+
+
 def test_tail_sample(spark):
     pool = spark.range(200).select(
         F.lit(1).cast("bigint").alias("user_id"), F.col("id").alias("movie_id"), F.lit(0.5).alias("score"), (F.col("id") + 1).alias("rank")
