@@ -194,12 +194,27 @@ def sentences(text: Column) -> Column:
     return F.filter(F.split(laid_out, SENTENCE_END), lambda s: s.rlike("[A-Za-z]"))
 
 
-def _tokens(ids: Column) -> Column:
-    """The sequence as one string: known identifiers as ' <id>', unknown sentences as ' .'."""
-    return F.array_join(F.transform(ids, lambda i: F.when(i == "", F.lit(" .")).otherwise(F.concat(F.lit(" <"), i, F.lit(">")))), "")
+def _letters(rules: tuple[LicenceRule, ...]) -> dict[str, str]:
+    """One private character for each identifier; unknown sentences are full stops."""
+    named = {*known_sentences().values(), *(i for r in rules for i in (*r.sentences, *r.between))}
+    return {name: chr(0xE000 + at) for at, name in enumerate(sorted(named))}
+
+
+def _tokens(ids: Column, letters: dict[str, str]) -> Column:
+    """The sequence as one string, a character for each sentence."""
+    letter = F.create_map(*[F.lit(x) for pair in letters.items() for x in pair])
+    return F.array_join(F.transform(ids, lambda i: F.coalesce(letter[i], F.lit("."))), "")
+
+
+def _letter_pattern(rule: LicenceRule, letters: dict[str, str]) -> str:
+    """What may stand between is one class of characters: Java's regexes walk it in a loop, but a
+    repeated group by recursion, which overflows a task's stack in texts of many sentences."""
+    between = "[." + "".join(letters[b] for b in rule.between) + "]*"
+    return between.join(letters[s] for s in rule.sentences)
 
 
 def _pattern(rule: LicenceRule) -> str:
+    """The same on sequences with known identifiers as ' <id>' and unknown sentences as ' .', for the SQL."""
     between = "(?: \\." + "".join(f"| <{b}>" for b in rule.between) + ")*"
     return between.join(f" <{s}>" for s in rule.sentences).replace("-", "[-]")
 
@@ -218,11 +233,12 @@ def licence_scan(docs: DataFrame, text_col: str = "text", rules: tuple[LicenceRu
     looked_up = F.transform(parts, lambda s: F.coalesce(_known()[normalised(s)], F.lit("")))
     rows = rows.withColumn(ids_name, F.when(text.rlike(HINT), looked_up).otherwise(F.array().cast("array<string>")))
     known = F.filter(ids_name, lambda i: i != "")
-    rows = rows.withColumn(tokens, F.when(F.size(known) > 0, _tokens(F.col(ids_name))).otherwise(F.lit("")))
+    letters = _letters(rules)
+    rows = rows.withColumn(tokens, F.when(F.size(known) > 0, _tokens(F.col(ids_name), letters)).otherwise(F.lit("")))
     # Each match is replaced by the rule's number, so a sentence serves the first rule only.
     text = F.col(tokens)
     for number, rule in enumerate(rules):
-        text = F.regexp_replace(text, _pattern(rule), f" [{number}]")
+        text = F.regexp_replace(text, _letter_pattern(rule, letters), f"[{number}]")
     numbers = F.when(F.col(tokens) != "", F.regexp_extract_all(text, F.lit(r"\[(\d+)\]"), F.lit(1))).otherwise(F.array().cast("array<string>"))
     names = F.array(*[F.lit(r.licence) for r in rules])
     out = rows.withColumn(licences, F.array_distinct(F.transform(numbers, lambda n: F.get(names, n.cast("int")))))

@@ -113,6 +113,20 @@ def test_several_licences_and_their_order(spark, make_docs):
     assert row["licence_sentences"][:6] == ["all-rights", "bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse", "bsd-warranty"]
 
 
+def test_thousands_of_sentences_between_two_of_a_licence(spark, make_docs):
+    apart = "A sentence of another matter stands here. " * 20_000
+    texts = [apart.join(p + "\n\n" for p in BSD_3[:-1]), apart.join(p + "\n\n" for p in gpl(GPL, "3")), f"{wrapped(BSD_2[:3])}\n\n{apart}"]
+    rows = licence_scan(make_docs(*enumerate(texts))).orderBy("doc_id").collect()
+    assert [r["licences"] for r in rows] == [["BSD-3-Clause"], ["GPL-3.0-or-later"], []]
+    assert rows[2]["n_sentences"] > 20_000 and rows[2]["licence_sentences"] == ["all-rights", "bsd-grant", "bsd-source"]
+
+
+def test_rules_of_ones_own_may_let_their_own_sentences_stand_between(spark, make_docs):
+    rules = (licenses.LicenceRule("own", ("bsd-grant", "all-rights"), ("all-rights", "never met")), licenses.LicenceRule("rest", ("all-rights",)))
+    text = "All rights reserved.\n\n" + BSD_2[1] + "\n\nWords.\n\nAll rights reserved.\n\nMore words.\n\nAll rights reserved."
+    assert licence_scan(make_docs((1, text)), rules=rules).first()["licences"] == ["rest", "own"]
+
+
 def test_plan_has_no_python(spark, make_docs):
     plan = licence_scan(make_docs((1, "a")))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
