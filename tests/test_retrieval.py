@@ -1,12 +1,18 @@
 """Candidate buckets against brute force, title search, list merging and metrics."""
 
+import datetime
 import math
 from collections import Counter
 
+import duckdb
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from checks import retrieval_queries
+from checks.registry import SQL
 from tastemill.operators import ranking as rk
 from tastemill.operators import retrieval as rt
 from tastemill.operators.search import search_titles
@@ -171,6 +177,39 @@ def test_merged_pool_draws_from_all_movies_of_a_users_genres(spark):
     assert {(r.user_id, r.movie_id) for r in pool if r.retrieval_source == "random_genre"} == drawn - earlier
 
 
+def write_rated_tables(folder, users, movies):
+    """Users who like the movies of one colour: the even ones red (even ids), the others blue."""
+    rng, at = np.random.default_rng(11), datetime.datetime(2024, 1, 5)
+    rated = [(u, 2 * int(m) + u % 2) for u in users for m in rng.choice(movies // 2, 6, replace=False)]
+    events = [{"event_id": i, "ts": at, "user_id": u, "event_type": "click", "value": 95.0, "props": f'{{"k": {m}}}'} for i, (u, m) in enumerate(rated)]
+    part = [{"p_partkey": m, "p_name": "blue" if m % 2 else "red", "p_brand": "b", "p_type": "t", "p_size": 1, "p_retailprice": 10.0 + m * 7 % 311} for m in range(movies)]
+    vectors = pa.array(rng.normal(size=(movies, 64)).tolist(), pa.list_(pa.float32()))
+    tables = {"events": pa.Table.from_pylist(events), "part": pa.Table.from_pylist(part), "embeddings": pa.table({"vec_id": range(movies), "embedding": vectors})}
+    for name, table in tables.items():
+        pq.write_table(table, f"{folder}/{name}.parquet")
+    return set(rated)
+
+
+def test_merged_pool_and_its_sql_draw_from_the_whole_catalog(spark, tmp_path):
+    users, movies = range(1, 7), 1800
+    excluded = write_rated_tables(tmp_path, users, movies)
+    for u in users:
+        excluded |= {(u, m) for m in list(dict.fromkeys((u * 3 + i * i) % 200 for i in range(90)))[:60]}
+    good = [m for m in range(movies) if m * 37 % 1000 >= 100 and m % 101 >= 60 and m % 13]
+    spark_rows = [tuple(r) for r in retrieval_queries.merged_pool(spark, str(tmp_path)).collect()]
+    con = duckdb.connect()
+    for name in ("events", "part", "embeddings"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet')")
+    for rows in (spark_rows, con.execute(SQL["merged_pool"]).fetchall()):
+        for u in users:
+            own = sorted((rank, movie, source) for user, movie, source, rank in rows if user == u)
+            earlier = {movie for _, movie, source in own if source != "random_genre"}
+            fresh = [m for m in good if m % 2 == u % 2 and (u, m) not in excluded]
+            drawn = sorted(fresh, key=lambda m: (int(rt.random_keys(np.int64(u * 7 + 11), np.int64(m))), m))[:75]
+            left = [m for m in drawn if m not in earlier][: 300 - len(earlier)]
+            assert left and [movie for _, movie, source in own if source == "random_genre"] == left
+
+
 def test_one_users_exclusions_deepen_nobody_elses_reading(spark):
     lists = rt._genre_lists(genre_catalog(spark, 2000), [F.col("tmdb_popularity").desc(), F.col("movie_id")])
     liked = spark.createDataFrame([(u, "Any") for u in range(20)], "user_id bigint, genre string")
