@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tastemill.functions.posters import poster_is_safe
-from tastemill.operators.vectors import cosine, stack_lists
+from tastemill.operators.vectors import cosine, stack_lists, without_null_lists
 from tastemill.session import broadcast_if_small, staged
 
 # Bucket labels in merge order.
@@ -53,7 +53,7 @@ def genre_quality_filter(catalog: DataFrame, genres: Column, min_votes: int = 10
 
 
 # Users of one task, users scored at a time, and bytes of movie vectors scored at a time.
-USERS_PER_BLOCK = 4_096
+USERS_PER_BLOCK = 16_384
 USERS_PER_STEP = 256
 VECTOR_BLOCK_BYTES = 4 * 1024 * 1024
 
@@ -96,7 +96,7 @@ def knn(
         pairs.join(users.select("user_id"), "user_id", "left_semi").join(items.select("movie_id"), "movie_id", "left_semi").select(
             block, F.lit(1).alias("kind"), "user_id", "movie_id"), allowMissingColumns=True
     ).unionByName(offered, allowMissingColumns=True)
-    laid_out = told.repartitionById(blocks, F.col("block")).sortWithinPartitions("block", "kind", "movie_id", "user_id")
+    laid_out = without_null_lists(told).repartitionById(blocks, F.col("block")).sortWithinPartitions("block", "kind", "movie_id", "user_id")
     step = max(1, block_bytes // (width * 8 + 8))
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,15 +260,19 @@ def _read_lists(liked: DataFrame, lists: DataFrame, excluded: DataFrame, n: int)
     most of a genre reads further without anybody else doing so. Returns liked's columns and
     movie_id and tmdb_popularity, without the excluded pairs.
     """
-    gone = excluded.select("user_id", "movie_id")
-    skips = gone.join(broadcast_if_small(lists.select("movie_id", "genre"), 64), "movie_id").groupBy("user_id", "genre").agg(F.count(F.lit(1)).alias("skip"))
+    gone, known = excluded.select("user_id", "movie_id"), broadcast_if_small(lists.select("movie_id", "genre", "band"), 72)
+    outs = gone.join(known, "movie_id").groupBy("user_id", "genre", "band").agg(F.collect_set("movie_id").alias("out"), F.count(F.lit(1)).alias("skip"))
+    skips = outs.groupBy("user_id", "genre").agg(F.sum("skip").alias("skip"))
     sizes = lists.groupBy("genre").agg(F.max("size").alias("size"))
     asked = liked.join(sizes, "genre").join(skips, ["user_id", "genre"], "left")
     asked = asked.withColumn("depth", F.least("size", F.lit(n) + F.coalesce("skip", F.lit(0))))
     needed = F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("depth") - 1) / BAND))
     asked = asked.where("depth > 0").withColumn("band", F.explode(needed)).drop("size", "skip")
+    # Dealt by user before the lists make many rows of it: what a user reads stays in one task.
+    asked = asked.join(outs.drop("skip"), ["user_id", "genre", "band"], "left").repartition("user_id")
     read = asked.join(broadcast_if_small(lists, 80), ["genre", "band"]).where(F.col("place") < F.col("depth"))
-    return read.select(*liked.columns, "movie_id", "tmdb_popularity").join(gone, ["user_id", "movie_id"], "left_anti")
+    seen = F.coalesce(F.array_contains("out", F.col("movie_id")), F.lit(False))
+    return read.where(~seen).select(*liked.columns, "movie_id", "tmdb_popularity")
 
 
 def popular_by_genres(
@@ -309,8 +313,8 @@ def random_keys(seed: np.ndarray, movies: np.ndarray) -> np.ndarray:
     return mixed * ((mixed * MIX_FACTOR + MIX_OFFSET) % PRIME) % PRIME
 
 
-# Users, and movies of one genre, that meet in one task.
-DRAW_USERS, DRAW_MOVIES = 8_192, 65_536
+# Users and movies that meet in one task.
+DRAW_USERS, DRAW_MOVIES = 8_192, 262_144
 
 
 def random_by_genres(
@@ -328,8 +332,8 @@ def random_by_genres(
     """Seeded random good movies sharing a liked genre, per user; `seeds` has (user_id, seed).
 
     Every good movie of a user's genres gets its own key under that user's seed, so no shared order
-    can cut the list. Users and the movies of a genre meet in blocks: a task draws the n lowest keys
-    per user, genre and block, without the excluded movies, and a last rank joins them. The pairs
+    can cut the list. Users and movies meet in blocks: a task draws, genre by genre, the n lowest keys
+    per user of its block, without the excluded movies, and a last rank joins the blocks. The pairs
     themselves never exist as rows.
     """
     movies = quality_movies(catalog, min_votes, min_average)
@@ -337,10 +341,10 @@ def random_by_genres(
     wanted = staged(liked.select("user_id", "genre").distinct().join(seeds.select("user_id", "seed"), "user_id").select(
         F.col("user_id").cast("bigint"), "genre", F.pmod(F.col("seed").cast("bigint"), F.lit(PRIME).cast("bigint")).alias("seed")
     ))
-    # Blocks by the largest genre, so that small ones are no more tasks than they need.
-    largest = lambda rows: rows.groupBy("genre").count().agg(F.max("count")).first()[0] or 0
-    user_blocks = max(1, -(-largest(wanted) // users_per_block))
-    movie_blocks = max(1, -(-largest(by_genre) // movies_per_block))
+    distinct = lambda rows, key: rows.select(key).distinct().count()
+    asking = distinct(wanted, "user_id")
+    user_blocks = max(1, -(-asking // users_per_block), min(movies.sparkSession.sparkContext.defaultParallelism, -(-asking // USERS_PER_STEP)))
+    movie_blocks = max(1, -(-distinct(by_genre, "movie_id") // movies_per_block))
     user_block = F.pmod(F.xxhash64("user_id"), F.lit(user_blocks)).cast("int").alias("user_block")
     movie_block = F.pmod(F.xxhash64("movie_id"), F.lit(movie_blocks)).cast("int").alias("movie_block")
     each = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
@@ -353,38 +357,64 @@ def random_by_genres(
     )
     asked = wanted.select("*", user_block, each(movie_blocks).alias("movie_block")).join(lists, ["user_id", "genre", "movie_block"], "left")
     offered = by_genre.select("*", movie_block, each(user_blocks).alias("user_block"))
-    keys = ["genre", "user_block", "movie_block"]
+    keys = ["user_block", "movie_block"]
 
     def draw(left: pa.Table, right: pa.Table) -> pa.Table:
         found = [np.zeros((0, 3), dtype=np.int64)]
-        if left.num_rows and right.num_rows:
-            ids = np.sort(right.column("movie_id").to_numpy())
-            users, own = left.column("user_id").to_numpy(), left.column("seed").to_numpy()
-            gone = left.column("out").to_pylist()
-            rows = max(1, DRAW_CELLS // len(ids))
-            for at in range(0, len(users), rows):
-                draws = random_keys(own[at : at + rows, None], ids[None])
-                for i, skipped in enumerate(gone[at : at + rows]):
-                    if skipped:
-                        draws[i, np.searchsorted(ids, np.array(skipped))] = PRIME
-                if n < len(ids):
-                    limit = np.partition(draws, n - 1, axis=1)[:, n - 1, None]
-                    user, movie = np.nonzero((draws <= limit) & (draws < PRIME))
-                else:
-                    user, movie = np.nonzero(draws < PRIME)
-                found.append(np.stack([users[at + user], ids[movie], draws[user, movie]], axis=1))
-        return pa.table(dict(zip(("user_id", "movie_id", "draw"), map(pa.array, np.concatenate(found).T), strict=True)))
+        liking, listing = _rows_by_genre(left), _rows_by_genre(right)
+        for genre, places in liking.items():
+            if genre in listing:
+                ids = np.sort(right.column("movie_id").to_numpy()[listing[genre]])
+                found.extend(_draws(left.take(pa.array(places)), ids, n))
+        return pa.table(dict(zip(("user_id", "movie_id", "draw"), map(pa.array, _lowest(np.concatenate(found), n).T), strict=True)))
 
     drawn = asked.groupBy(*keys).cogroup(offered.groupBy(*keys)).applyInArrow(draw, "user_id bigint, movie_id bigint, draw bigint")
     best = Window.partitionBy("user_id").orderBy("draw", "movie_id")
     return (
-        drawn.distinct()
-        .withColumn("rank", F.row_number().over(best).cast("bigint"))
+        drawn.withColumn("rank", F.row_number().over(best).cast("bigint"))
         .where(F.col("rank") <= n)
         .select("user_id", "movie_id", F.lit(None).cast("double").alias("score"), "rank")
     )
 
 
+def _rows_by_genre(table: pa.Table) -> dict[str, np.ndarray]:
+    """Places of the rows of each genre."""
+    if not table.num_rows:
+        return {}
+    coded = table.column("genre").combine_chunks().dictionary_encode()
+    codes = coded.indices.to_numpy()
+    order = np.argsort(codes, kind="stable")
+    ends = np.cumsum(np.bincount(codes, minlength=len(coded.dictionary)))
+    return dict(zip(coded.dictionary.to_pylist(), np.split(order, ends[:-1]), strict=True))
+
+
+def _draws(users: pa.Table, ids: np.ndarray, n: int) -> Iterator[np.ndarray]:
+    """(user, movie, key) of each user's n lowest keys among the movies of one genre, in steps."""
+    user_ids, own = users.column("user_id").to_numpy(), users.column("seed").to_numpy()
+    gone = users.column("out").to_pylist()
+    rows = max(1, DRAW_CELLS // len(ids))
+    for at in range(0, len(user_ids), rows):
+        draws = random_keys(own[at : at + rows, None], ids[None])
+        for i, skipped in enumerate(gone[at : at + rows]):
+            if skipped:
+                draws[i, np.searchsorted(ids, np.array(skipped))] = PRIME
+        if n < len(ids):
+            limit = np.partition(draws, n - 1, axis=1)[:, n - 1, None]
+            user, movie = np.nonzero((draws <= limit) & (draws < PRIME))
+        else:
+            user, movie = np.nonzero(draws < PRIME)
+        yield np.stack([user_ids[at + user], ids[movie], draws[user, movie]], axis=1)
+
+
+def _lowest(found: np.ndarray, n: int) -> np.ndarray:
+    """Each user's n rows of lowest key; a movie met in several genres counts once."""
+    found = found[np.lexsort((found[:, 1], found[:, 2], found[:, 0]))]
+    found = found[np.r_[True, (found[1:] != found[:-1]).any(axis=1)]] if len(found) else found
+    starts = np.flatnonzero(np.r_[True, found[1:, 0] != found[:-1, 0]]) if len(found) else np.zeros(0, np.int64)
+    counts = np.diff(np.r_[starts, len(found)])
+    return found[np.arange(len(found)) - np.repeat(starts, counts) < n]
+
+
 # Keys that one step of a task holds.
 DRAW_CELLS = 1 << 20
 

@@ -114,3 +114,9 @@ def stack_lists(array, dim: int) -> np.ndarray:
     """An Arrow list array of equal lengths as a 2-d numpy array."""
     flat = array.flatten().to_numpy(zero_copy_only=False)
     return flat.reshape(len(array), dim)
+
+
+def without_null_lists(df: DataFrame) -> DataFrame:
+    """Empty lists instead of null ones: per row, Spark's Arrow writer walks back over all nulls before it."""
+    lists = {f.name: f.dataType.simpleString() for f in df.schema if f.dataType.typeName() == "array"}
+    return df.withColumns({c: F.coalesce(c, F.array().cast(kind)) for c, kind in lists.items()})

@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +16,7 @@ from pyspark.sql import functions as F
 BROADCAST_LIMIT_BYTES = 256 * 1024 * 1024
 ROWS_PER_SLICE_CONF = "tastemill.rowsPerSlice"
 DEFAULT_ROWS_PER_SLICE = 1_000_000
+FREE_SHUFFLES_CONF = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def build_session(app_name: str = "tastemill", master: str | None = None, **conf: str) -> SparkSession:
@@ -90,6 +93,20 @@ def staged(df: DataFrame, *partition_by: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def freed_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what runs inside go when it ends, not when the driver happens to collect garbage."""
+    before = spark.conf.get(FREE_SHUFFLES_CONF, None)
+    spark.conf.set(FREE_SHUFFLES_CONF, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(FREE_SHUFFLES_CONF)
+        else:
+            spark.conf.set(FREE_SHUFFLES_CONF, before)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Use all cores for costly per-row work when the input came in fewer pieces than cores."""
     cores = df.sparkSession.sparkContext.defaultParallelism

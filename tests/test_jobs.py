@@ -11,6 +11,7 @@ from checks.job_queries import fixed_layers
 from tastemill.models import factors as fa
 from tastemill.models import ranker as ra
 from tastemill.operators import features as ft
+from tastemill.operators.vectors import VectorSpace
 from tastemill.plans import catalog_jobs as cj
 from tastemill.plans import dataset_jobs as dj
 from tastemill.plans import recommend_jobs as rj
@@ -289,6 +290,65 @@ def test_recommendations_match_a_plain_scoring(spark, sf):
         assert r.predicted_score == pytest.approx(scored[r.movie_id], abs=1e-5)
 
 
+def scoring_world(spark, repeated=()):
+    rng = np.random.default_rng(4)
+    draw = lambda ids, width: {i: rng.normal(size=width).astype(np.float32).astype(float) for i in ids}
+    content, cf, metadata = draw(range(60), 4), draw(range(20, 80), 3), draw(range(70), 5)
+    inputs = {u: (rng.normal(size=4), rng.normal(size=3), rng.normal(size=5)) for u in range(40)}
+    pool = [(u, int(m), i + 1, "knn" if i % 2 else "popular") for u in range(-1, 40) for i, m in enumerate(rng.choice(80, 9, replace=False))]
+    layers = [(rng.normal(size=(33, 3)), np.zeros(3)), (rng.normal(size=(3, 1)), np.ones(1))]
+    rows = lambda vectors: [(m, v.tolist()) for m, v in vectors.items()] + [(m, vectors[m].tolist()) for m in repeated if m in vectors]
+    space = lambda name, vectors, dim, kind: VectorSpace(
+        name, spark.createDataFrame(rows(vectors), f"movie_id bigint, vector array<{kind}>"), dim, kind)
+    spaces = space("content", content, 4, "float"), space("cf", cf, 3, "float"), space("metadata", metadata, 5, "double")
+    frames = (
+        spark.createDataFrame(pool, "user_id bigint, movie_id bigint, pool_rank bigint, retrieval_source string"),
+        spark.createDataFrame([(u, *(x.tolist() for x in own)) for u, own in inputs.items()], "user_id bigint, content_profile array<double>, cf_profile array<double>, behavior array<double>"),
+    )
+    plain = {}
+    for user, movie, rank, source in pool:
+        if user in inputs:
+            own = inputs[user]
+            found = [space.get(movie, np.zeros(n))[None] for space, n in ((content, 4), (cf, 3), (metadata, 5))]
+            matrix = ft.assemble_matrix(own[0][None], found[0], own[1][None], found[1], own[2][None], found[2])
+            plain[user, movie] = (rank, source, ra.forward(matrix, layers)[0])
+    return frames, spaces, layers, plain
+
+
+@pytest.mark.parametrize("large", [(), ("content", "cf"), ("metadata",), ("content", "cf", "metadata")])
+@pytest.mark.parametrize("blocks", [{}, {"rows_per_block": 40, "users_per_block": 7, "movies_per_block": 11}])
+def test_pool_scores_in_blocks_of_users_and_movies(spark, monkeypatch, large, blocks):
+    monkeypatch.setattr(rj, "small_enough", lambda space: space.name not in large)
+    frames, spaces, layers, plain = scoring_world(spark)
+    models = {"main": rj.RankingModel("m1", layers, spaces[1]), "candidate": rj.RankingModel("c1", [(-w, b) for w, b in layers], spaces[1])}
+    scored = rj.score_pool(*frames, *spaces, models, **blocks)
+    # Candidates travel as ids: no row packs their vectors.
+    assert "collect_list" not in scored._jdf.queryExecution().executedPlan().toString()
+    rows = scored.collect()
+    assert len(rows) == 2 * len(plain) and {r.model_version for r in rows if r.model_role == "candidate"} == {"c1"}
+    main = {(r.user_id, r.movie_id): (r.pool_rank, r.retrieval_source, r.predicted_score) for r in rows if r.model_role == "main"}
+    assert main.keys() == plain.keys()
+    for key, (rank, source, score) in plain.items():
+        assert main[key] == (rank, source, pytest.approx(score, abs=1e-9))
+
+
+def test_a_repeated_vector_repeats_its_candidates_as_a_join_does(spark, monkeypatch):
+    monkeypatch.setattr(rj, "small_enough", lambda space: False)
+    frames, spaces, layers, plain = scoring_world(spark, repeated=(30,))
+    rows = rj.score_pool(*frames, *spaces, {"main": rj.RankingModel("m1", layers, spaces[1])}).collect()
+    assert len(rows) == len(plain) + 7 * sum(movie == 30 for _, movie in plain)
+
+
+def test_score_grid_copies_the_fewest_bytes():
+    assert rj._grid(1, 1000, 1000, 1, 1) == (1, 1)
+    # Few movies: they go to every block of users, and no user is written twice.
+    assert rj._grid(80, 500_000_000, 1_000_000, 9, 1) == (80, 1)
+    assert rj._grid(80, 500_000_000, 0, 9, 0) == (80, 1)
+    users, movies = rj._grid(78, 575_000_000, 250_000_000, 9, 4)
+    assert users * movies >= 78 and users >= 9 and movies >= 4
+    assert 575 * movies + 250 * users < 8_000
+
+
 def test_two_models_share_the_slots(spark, sf):
     stats = ft.stats_values(ft.fit_metadata_stats(t.created(spark, sf), t.catalog(spark, sf)))
     cf = t.cf_space(spark, sf)

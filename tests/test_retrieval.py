@@ -223,6 +223,30 @@ def test_one_users_exclusions_deepen_nobody_elses_reading(spark):
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
+def test_a_task_draws_once_per_user_and_movie(spark):
+    found = np.array([[2, 5, 30], [1, 7, 10], [1, 7, 10], [1, 8, 10], [2, 4, 20], [1, 9, 5], [2, 6, 10]])
+    assert rt._lowest(found, 2).tolist() == [[1, 9, 5], [1, 7, 10], [2, 6, 10], [2, 4, 20]]
+    assert rt._lowest(np.zeros((0, 3), np.int64), 2).shape == (0, 3)
+    # Users drawing from several genres send n rows, so nothing is left to make distinct.
+    liked = spark.createDataFrame([(u, g) for u in range(9) for g in ("Any", "Drama", "War")], "user_id bigint, genre string")
+    seeds = spark.createDataFrame([(u, u) for u in range(9)], "user_id bigint, seed bigint")
+    nothing = spark.createDataFrame([], "user_id bigint, movie_id bigint")
+    plan = rt.random_by_genres(liked, genre_catalog(spark, 300), nothing, seeds, 20)._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan.split("FlatMapCoGroups")[0]
+
+
+def test_popular_movies_of_a_user_are_read_ranked_and_cut_in_one_task(spark):
+    liked = spark.createDataFrame([(u, g) for u in range(9) for g in ("Any", "Drama")], "user_id bigint, genre string")
+    excluded = spark.range(0, 300, 2).select(F.lit(1).cast("bigint").alias("user_id"), F.col("id").alias("movie_id"))
+    # A movie that the catalog holds twice takes two places, and both of them are skipped.
+    catalog = genre_catalog(spark, 300).unionByName(genre_catalog(spark, 40))
+    found = rt.popular_by_genres(liked, catalog, excluded, 60)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "LeftAnti" not in plan and "Exchange" not in plan.split("arrays_zip")[0].split("BroadcastHashJoin [genre")[0]
+    own = sorted((-(m * 7 % 31), m) for m in range(300) if m % 2)
+    assert [r.movie_id for r in found.where("user_id = 1").orderBy("rank").collect()] == [m for _, m in own[:60]]
+
+
 def test_ranks_inside_a_huge_group(spark):
     rows = spark.range(3000).select(
         F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 40).cast("bigint").alias("user_id"), "id",

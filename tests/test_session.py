@@ -1,8 +1,11 @@
 """The staging folder: local only where driver and executors are one process."""
 
+import time
+
 import pytest
 
 from tastemill import session
+from tastemill.session import FREE_SHUFFLES_CONF, freed_shuffles
 
 
 class Context:
@@ -32,3 +35,20 @@ def test_a_cluster_needs_a_shared_folder(master):
 def test_a_local_session_may_do_without(tmp_path, monkeypatch):
     monkeypatch.setattr(session.tempfile, "mkdtemp", lambda prefix: str(tmp_path / prefix))
     assert session.checkpoint_dir(Session("local[4]")).startswith(str(tmp_path))
+
+
+def test_shuffle_files_go_with_what_ran(spark, tmp_path):
+    def files():
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {name for i in range(found.size()) if (name := found.apply(i).getName()).startswith("shuffle_")}
+
+    before, setting = files(), spark.conf.get(FREE_SHUFFLES_CONF, None)
+    rows = spark.range(1000).groupBy("id").count()
+    with freed_shuffles(spark):
+        rows.write.parquet(str(tmp_path / "a"))
+    for _ in range(50):
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before and spark.conf.get(FREE_SHUFFLES_CONF, None) == setting
+    assert spark.read.parquet(str(tmp_path / "a")).count() == rows.count() == 1000
