@@ -56,6 +56,7 @@ def score_pool(
     metadata: VectorSpace,
     models: dict[str, RankingModel],
     *,
+    best: int | None = None,
     rows_per_block: int = SCORE_ROWS,
     users_per_block: int = SCORE_USERS,
     movies_per_block: int = SCORE_MOVIES,
@@ -65,7 +66,8 @@ def score_pool(
     `users` has user_id, content_profile, cf_profile and behavior. Small movie tables go to the
     tasks whole. Else users and movies are dealt into blocks and a task is one pair of blocks: it
     holds the vectors of both while their pool rows stream past as plain ids. So a vector is
-    written once per block that it meets, never once per candidate.
+    written once per block that it meets, never once per candidate. With `best`, rows that so many
+    of the same user and model are ahead of may be left out; what is returned still has to be ranked.
     """
     spaces = [content, cf, metadata]
     tables = {s.name: vector_table(s) for s in spaces if small_enough(s)}
@@ -98,7 +100,7 @@ def score_pool(
         offered = movies.select("*", each(user_blocks).alias("met"))
         told = told.unionByName(offered.select(block(F.col("met"), movie_block), F.lit(0).alias("kind"), *movies.columns), allowMissingColumns=True)
     told = without_null_lists(told).fillna("", ["retrieval_source"])
-    laid_out = told.repartitionById(user_blocks * movie_blocks, F.col("block")).sortWithinPartitions("block", "kind")
+    laid_out = told.repartitionById(user_blocks * movie_blocks, F.col("block")).sortWithinPartitions("block", "kind", "user_id")
     shapes = {kind: [(s.name, s.dim) for s in own] for kind, own in kinds.items()}
     dims = {s.name: s.dim for s in spaces}
     shared = pool.sparkSession.sparkContext.broadcast((tables, {r: (m.version, m.layers) for r, m in models.items()}))
@@ -118,7 +120,7 @@ def score_pool(
                     held.ask(part)
                 else:
                     for at in range(0, part.num_rows, SCORE_STEP):
-                        yield from held.score(part.slice(at, SCORE_STEP), nets)
+                        yield from held.score(part.slice(at, SCORE_STEP), nets, best)
 
     schema = (
         "user_id bigint, movie_id bigint, pool_rank bigint, retrieval_source string, "
@@ -166,7 +168,7 @@ class _ScoreBlock:
             self.vectors.update({name: matrix[:, end - dim : end] for (name, dim), end in zip(own, ends, strict=True)})
         self.asked, self.offered = [], []
 
-    def score(self, part: pa.RecordBatch, nets: dict[str, tuple[str, Layers]]) -> Iterator[pa.RecordBatch]:
+    def score(self, part: pa.RecordBatch, nets: dict[str, tuple[str, Layers]], best: int | None = None) -> Iterator[pa.RecordBatch]:
         if self.users is None:
             if not self.asked:
                 return
@@ -186,18 +188,29 @@ class _ScoreBlock:
         matrix = assemble_matrix(
             own[:, :content], vectors("content"), own[:, content : content + cf], vectors("cf"), own[:, content + cf :], vectors("metadata")
         )
-        rows = part.take(pa.array(row))
+        named = part.select(["user_id", "movie_id", "pool_rank", "retrieval_source"])
         for role, (version, layers) in nets.items():
+            scores = forward(matrix, layers)
+            kept = np.arange(len(row)) if best is None else _ahead(self.users[user], scores, named.column("pool_rank").to_numpy()[row], best)
+            rows = named.take(pa.array(row[kept]))
             yield pa.RecordBatch.from_pydict(
                 {
-                    **{c: rows.column(c) for c in ("user_id", "movie_id", "pool_rank", "retrieval_source")},
-                    "model_role": pa.array([role] * len(row), pa.string()),
-                    "model_version": pa.array([version] * len(row), pa.string()),
-                    "predicted_score": pa.array(forward(matrix, layers)),
+                    **{c: rows.column(c) for c in named.schema.names},
+                    "model_role": pa.array([role] * len(kept), pa.string()),
+                    "model_version": pa.array([version] * len(kept), pa.string()),
+                    "predicted_score": pa.array(scores[kept]),
                 }
             )
 
 
+def _ahead(users: np.ndarray, scores: np.ndarray, ranks: np.ndarray, best: int) -> np.ndarray:
+    """Places of each user's `best` rows by falling score (NaN first, as in Spark), then rank."""
+    order = np.lexsort((ranks, np.where(np.isnan(scores), -np.inf, -scores), users))
+    starts = np.flatnonzero(np.diff(users[order], prepend=users[order][:1] - 1))
+    turn = np.arange(len(order)) - np.repeat(starts, np.diff(np.r_[starts, len(order)]))
+    return order[turn < best]
+
+
 def _sorted_by_id(parts: list[tuple[np.ndarray, ...]]) -> list[np.ndarray]:
     """The parts' arrays one behind the other, in order of the first."""
     columns = [np.concatenate(x) for x in zip(*parts, strict=True)] or [np.zeros(0, np.int64)]
@@ -250,11 +263,11 @@ def recommend_batch(
         models = {"main": main}
         if challenged and candidate.cf is main.cf:
             models["candidate"] = candidate
-        scored = score_pool(pool, users, content, main.cf, metadata, models)
+        scored = score_pool(pool, users, content, main.cf, metadata, models, best=top_k)
         if challenged and candidate.cf is not main.cf:
             # The challenger was trained with other factors, so it needs its own profiles.
             inputs = staged(user_inputs(ratings, content, candidate.cf))
-            scored = scored.unionByName(score_pool(pool, inputs, content, candidate.cf, metadata, {"candidate": candidate}))
+            scored = scored.unionByName(score_pool(pool, inputs, content, candidate.cf, metadata, {"candidate": candidate}, best=top_k))
     slots = model_slots(F.lit(top_k), F.lit(float(candidate_fraction)), F.lit(challenged))
     shares = users.select("user_id", slots.alias("s")).select("user_id", "s.main_slots", "s.candidate_slots")
     merged = merge_model_rankings(_ranked(scored, top_k), shares, top_k)

@@ -330,6 +330,17 @@ def test_pool_scores_in_blocks_of_users_and_movies(spark, monkeypatch, large, bl
     assert main.keys() == plain.keys()
     for key, (rank, source, score) in plain.items():
         assert main[key] == (rank, source, pytest.approx(score, abs=1e-9))
+    # Those cut early are behind enough others: ranking what is left gives the same lists.
+    cut = rj.score_pool(*frames, *spaces, models, best=2, **blocks)
+    listed = lambda rows: {(r.user_id, r.model_role, r["rank"], r.movie_id) for r in rj._ranked(rows, 2).collect()}
+    assert listed(cut) == listed(scored)
+
+
+def test_rows_ahead_of_the_others():
+    users, ranks = np.array([7, 7, 7, 7, 3, 3, 9]), np.array([4, 3, 2, 1, 1, 2, 1])
+    scores = np.array([1.0, 2.0, np.nan, 2.0, -1.0, -np.inf, np.inf])
+    assert rj._ahead(users, scores, ranks, 2).tolist() == [4, 5, 2, 3, 6]
+    assert rj._ahead(users[:0], scores[:0], ranks[:0], 2).tolist() == []
 
 
 def test_a_repeated_vector_repeats_its_candidates_as_a_join_does(spark, monkeypatch):
